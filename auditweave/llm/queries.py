@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, maxscore, packing, pieces, quality, secrets, urlrules
+from . import ann, langid, maxscore, neardup, packing, pieces, quality, secrets, urlrules
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     found = (
-        op1_secret_scan, op2_ann_rotated_codes, op4_maxscore_topk, op6_quality_gam, op7_url_filter,
+        op1_secret_scan, op2_ann_rotated_codes, op4_maxscore_topk, op5_lsh_forest, op6_quality_gam, op7_url_filter,
         op8_best_fit_packing, op9_sentencepiece, op10_language_id,
     )
     return {f.__name__: f for f in found}
@@ -80,11 +84,27 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}
 """
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 2 THEN [words[1]]
+         ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM same JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.to_id),
+c AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
 _DOT = "list_dot_product(q.vec, c.vec)"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_lsh_forest": _NEAR,
         "op2_ann_rotated_codes": _VECTORS.format(
             component="CAST(x AS DOUBLE)", more="AND len(list_filter(embedding, lambda x: x <> 0)) > 0", every=50, k=5,
             score=f"{_DOT} / (sqrt(list_dot_product(c.vec, c.vec)) * sqrt(list_dot_product(q.vec, q.vec)))",
