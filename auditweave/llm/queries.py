@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, maxscore, neardup, packing, pieces, quality, secrets, urlrules
+from . import ann, langid, maxscore, neardup, packing, pieces, quality, secrets, substrings, urlrules
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_ann_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op3_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -65,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     found = (
-        op1_secret_scan, op2_ann_rotated_codes, op4_maxscore_topk, op5_lsh_forest, op6_quality_gam, op7_url_filter,
+        op1_secret_scan, op2_ann_rotated_codes, op3_bwt_intervals, op4_maxscore_topk, op5_lsh_forest, op6_quality_gam, op7_url_filter,
         op8_best_fit_packing, op9_sentencepiece, op10_language_id,
     )
     return {f.__name__: f for f in found}
