@@ -12,7 +12,8 @@ chunks of bounded size by their ids, and one exchange of the texts serves three
 3. The chunks get back the windows found and cut their texts.
 
 Windows are compared as whole strings, so hashes decide nothing but where they meet. Null texts count as empty;
-rows that repeat an id are not earlier than each other; other columns are carried along; an empty table gives no rows.
+rows that repeat an id are not earlier
+than each other, rows without an id come last; other columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ HOT_WINDOWS, PIECE_WINDOWS = 30_000, 256
 _K = np.uint64(0x9E3779B97F4A7C15)
 _U16 = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
+_LAST = (1 << 63) - 1
 NOTES = "_chunk long, kind int, id long, blob binary"
 
 
@@ -64,7 +66,7 @@ class Chunk:
     """The rows of a chunk in order of (id, text), and the notes that came for it."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table, id_col: str, text_col: str) -> None:
-        ids = np.array(docs.column(id_col).to_pylist(), np.int64)
+        ids = np.array([_LAST if d is None else d for d in docs.column(id_col).to_pylist()], np.int64)
         texts = [(t or "").encode("utf-8", "replace") for t in docs.column(text_col).to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts = ids[self.order], [texts[i] for i in self.order]
