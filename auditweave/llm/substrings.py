@@ -3,7 +3,7 @@
 Documents with equal texts are settled by their digest: all but the first go whole. The others are dealt into
 chunks of bounded size by their ids, and one exchange of the texts serves three passes over the chunks:
 
-1. Each window of `least` bytes has a minimizer, the least hash of its 16-byte strings, which depends on the
+1. Each window of `least` bytes has a minimizer, the least hash of its strings of 28 bytes (of 50), which depends on the
    window's content alone. Chunks send their minimizers to buckets, which send back those of two documents or more.
 2. Runs of windows with such a minimizer are cut out as pieces. A chunk keeps one of equal pieces, and sends it
    to the minimizer's bucket; there equal pieces are joined again, and where a minimizer still has several
@@ -31,7 +31,6 @@ from .bwt import smaller_owner
 from .common import with_class_min, written
 from .shingles import blocks, mix
 
-GRAM = 16
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 96 << 10
 HOT_WINDOWS, PIECE_WINDOWS = 30_000, 256
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +40,11 @@ _LAST = (1 << 63) - 1
 NOTES = "_chunk long, kind int, id long, blob binary"
 
 
+def gram_length(least: int) -> int:
+    """Bytes of the strings whose hashes compete: long, so that few windows share one by chance, yet several to a window."""
+    return min(32, max(16, least * 9 // 16))
+
+
 def minimizers(texts: list[bytes], least: int) -> list[np.ndarray]:
     """For each text the minimizer, 48 bits, of each of its windows."""
     out: list[np.ndarray] = []
@@ -48,8 +52,12 @@ def minimizers(texts: list[bytes], least: int) -> list[np.ndarray]:
         data = b"".join(texts[a:b]) + bytes(least)
         n = len(data) - 7
         words = np.ndarray((n,), "<u8", data, strides=(1,)).copy()
-        least_hash = mix(mix(words[: n - 8]) + words[8:] * _K) >> _U16
-        width, span = least - GRAM + 1, 1
+        gram = gram_length(least)
+        grams = mix(mix(words[: n - 8]) + words[8:] * _K)
+        if gram > 16:
+            grams = mix(grams[: len(grams) - gram + 16] * _K + grams[gram - 16 :])
+        least_hash = grams >> _U16
+        width, span = least - gram + 1, 1
         while span * 2 <= width:
             least_hash = np.minimum(least_hash[:-span], least_hash[span:])
             span *= 2
@@ -304,8 +312,8 @@ def _cut(least: int, id_col: str, text_col: str, others: list[str]):
 
 def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """`docs` without its text, and n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes)."""
-    if least < GRAM:
-        raise ValueError(f"at least {GRAM} bytes")
+    if least < 32:
+        raise ValueError("at least 32 bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     digests = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
     classes = written(with_class_min(digests, "digest", "id", "first"), "substring-classes")
