@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Views, with_views
 
-MODULES = ("provenance", "corpus", "execution", "chains", "review", "mining", "feedback", "retrieval", "ranking", "safety", "tamper", "files")
+MODULES = ("provenance", "corpus", "execution", "chains", "review", "mining", "feedback", "retrieval", "ranking", "safety", "tamper", "files", "streams")
 
 
 def _plans() -> list[tuple[str, Callable[[Views], DataFrame], str | None]]:
