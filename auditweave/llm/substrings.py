@@ -342,15 +342,14 @@ def digest(removed: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """`docs` with the texts that are left (what a cut left of a character goes too), in the same columns."""
-    cut = remove_repeats(docs, least)
-    at = cut.columns.index("kept")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_rest")  # so that no name clashes
+    cut = remove_repeats(docs.select("doc_id", "text", rest), least).select("_rest", "kept")
 
     def whole(batches):
         for batch in batches:
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(at)]
-            columns = [*batch.columns[:at], pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "text"])
+            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_rest", "text"])
 
-    schema = T.StructType([*cut.schema.fields[:at], T.StructField("text", T.StringType())])
-    out = cut.mapInArrow(whole, schema)
-    return out.select(*[F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    out = cut.mapInArrow(whole, T.StructType([cut.schema["_rest"], T.StructField("text", T.StringType())]))
+    column = {"text": F.col("text"), "n_chars": F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[column.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns])

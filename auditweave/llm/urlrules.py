@@ -71,7 +71,8 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence
     """The strongest rules, `max_rules` at most: antecedent, whether it blocks, confidence, its rarest token."""
     bad = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
     items = F.array_append(url_tokens(F.col("url")), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    baskets = pages.join(bad, pages["page_id"] == bad["doc_id"]).filter("url is not null").select(items.alias("items"))
+    known = pages.select("page_id", "url")
+    baskets = known.join(bad, known["page_id"] == bad["doc_id"]).filter("url is not null").select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter(F.array_contains(F.array(F.lit(BLOCK), F.lit(ALLOW)), F.col("consequent")[0]) & (F.col("lift") >= min_lift))
     singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
