@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 1000
+_NOWHERE: dict = {}
 _READY: dict[int, list] = {}
 
 
@@ -63,13 +64,13 @@ def phrases(text: str, start: dict, most: float = math.inf) -> tuple[int, int]:
 
     A character that the sample lacks is a phrase by itself.
     """
-    count, state, get = 1, start, start.get
+    count, state, get = 0, _NOWHERE, start.get
     for at in range(0, len(text), BLOCK):
         for ch in text[at : at + BLOCK]:
             state = state.get(ch)
             if state is None:
                 count += 1
-                state = get(ch, start)
+                state = get(ch, _NOWHERE)
         if count > most:
             return count, min(len(text), at + BLOCK)
     return count, len(text)
