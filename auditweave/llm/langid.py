@@ -95,7 +95,7 @@ def rank(text: str, learned: list[tuple[str, dict, float]]) -> tuple[str, float]
     return rates[0][2], max(0.0, 1 - rates[0][1] / second)
 
 
-def learn(docs: DataFrame, usable: Column, sample_docs: int = 40, doc_chars: int = 600, sample_chars: int = 12_000) -> dict[str, str]:
+def learn(docs: DataFrame, usable: Column, sample_docs: int = 100, doc_chars: int = 300, sample_chars: int = 24_000) -> dict[str, str]:
     """The sample text of each language, from rows for which `usable` holds."""
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
