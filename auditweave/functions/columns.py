@@ -11,10 +11,21 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def dot(a: Column, b: Column, dim: int | None = None) -> Column:
+    """Inner product of two arrays of numbers, summed in order. With the length given it is one compiled expression."""
+    if dim:
+        terms = [F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dim)]
+        return sum(terms, F.lit(0.0))
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column, dim: int | None = None) -> Column:
+    return F.sqrt(dot(a, a, dim))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Cosine of two arrays of numbers. Where rows meet many others, keep `norm` with each and divide `dot` by both."""
+    return dot(a, b) / (norm(a) * norm(b))
 
 
 def kappa(agree: Column, n: Column, *products: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cosine, words
+from ..functions.columns import cosine, dot, norm, words
 
 #: Words that name no section.
 STOP_WORDS = ("what", "where", "when", "which", "with", "this", "that", "from", "have", "does", "should", "would", "about", "into")
@@ -29,15 +29,25 @@ def eligible(chunks: DataFrame, docs: DataFrame, device: str | None = None, doc_
     return (rows.filter("has_safety_content") if safety_only else rows).join(ready, "document_id", "left_semi")
 
 
-def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int = 30, blocks: int = 32) -> DataFrame:
+def _in_blocks(queries: DataFrame, rows: DataFrame, blocks: int, dim: int | None) -> tuple[DataFrame, DataFrame]:
+    """Queries in every block and rows in one, each with the length of its vector, which is worked out once a row."""
+    left = queries.select("query_id", "query_vector", norm(F.col("query_vector"), dim).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("_n", norm(F.col("embedding"), dim)).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return left, right.repartition(blocks, "_b")  # work, not bytes, decides here: few bytes would be put into one task
+
+
+def _score(dim: int | None) -> Column:
+    return dot(F.col("query_vector"), F.col("embedding"), dim) / (F.col("_q") * F.col("_n"))
+
+
+def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int = 30, blocks: int = 32, dim: int | None = None) -> DataFrame:
     """query_id, chunk_id, document_id, level, score (1 - cosine distance), place of the `k` nearest chunks of each query.
 
     Chunks are dealt into blocks and each query goes to every block, so that no side is broadcast; each block
     keeps its own `k` best before rows move on.
     """
-    left = queries.select("query_id", "query_vector").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = chunks.select(F.col("id").alias("chunk_id"), "document_id", "level", "has_safety_content", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    scored = left.join(right, "_b").select("query_id", "chunk_id", "document_id", "level", "has_safety_content", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
+    left, right = _in_blocks(queries, chunks.select(F.col("id").alias("chunk_id"), "id", "document_id", "level", "has_safety_content", "embedding"), blocks, dim)
+    scored = left.join(right, "_b").select("query_id", "chunk_id", "document_id", "level", "has_safety_content", _score(dim).alias("score"))
     return best(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -66,11 +76,10 @@ def mmr(matches: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7)
     return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind['query_id']}, chunk_id string, score double, pick int")
 
 
-def best_document(queries: DataFrame, chunks: DataFrame, blocks: int = 32) -> DataFrame:
+def best_document(queries: DataFrame, chunks: DataFrame, blocks: int = 32, dim: int | None = None) -> DataFrame:
     """The document whose summaries (level 1 and up) are nearest on average."""
-    left = queries.select("query_id", "query_vector").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = chunks.filter("level >= 1 and embedding is not null").select("document_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    mean = left.join(right, "_b").groupBy("query_id", "document_id").agg(F.round(F.avg(1 - cosine(F.col("query_vector"), F.col("embedding"))), 6).alias("distance"))
+    left, right = _in_blocks(queries, chunks.filter("level >= 1 and embedding is not null").select("id", "document_id", "embedding"), blocks, dim)
+    mean = left.join(right, "_b").groupBy("query_id", "document_id").agg(F.round(F.avg(1 - _score(dim)), 6).alias("distance"))
     return mean.groupBy("query_id").agg(F.min_by("document_id", F.struct("distance", "document_id")).alias("document_id"), F.min("distance").alias("distance"))
 
 
@@ -140,11 +149,11 @@ def relevance_cut(rows: DataFrame, by: str, score: str, k: int, least: int, floo
     return placed.filter((s >= least) | (F.col("place") <= floor))
 
 
-def safety_search(queries: DataFrame, chunks: DataFrame, k: int = 10, enough: int = 3) -> DataFrame:
+def safety_search(queries: DataFrame, chunks: DataFrame, k: int = 10, enough: int = 3, dim: int | None = None) -> DataFrame:
     """Safety chunks; where there are fewer than `enough`, general ones too, safety ones with 0.05 more."""
-    safe = nearest_chunks(queries, chunks.filter("has_safety_content"), k)
+    safe = nearest_chunks(queries, chunks.filter("has_safety_content"), k, dim=dim)
     few = queries.join(safe.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < enough).select("query_id", "query_vector")
-    general = nearest_chunks(few, chunks, k).withColumn("score", F.col("score") + F.when(F.col("has_safety_content"), 0.05).otherwise(0.0))
+    general = nearest_chunks(few, chunks, k, dim=dim).withColumn("score", F.col("score") + F.when(F.col("has_safety_content"), 0.05).otherwise(0.0))
     both = safe.unionByName(general).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return best(both, "query_id", [F.desc("score"), F.col("chunk_id")], k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 

@@ -4,6 +4,7 @@ from ..operators import feedback as l3
 from ..operators import retrieval as rt
 from .feedback import _CACHE
 
+DIM = 64  # the length of the given vectors
 _COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
 _QC = _COS.format(a="q.query_vector", b="c.embedding")
 _ELIGIBLE = "el AS (SELECT c.* FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.status = 'READY' AND c.embedding IS NOT NULL AND NOT c.is_blacklisted)"
@@ -17,7 +18,7 @@ def _eligible(v):
 
 
 def _matches(v):
-    return rt.nearest_chunks(v.query_vectors, _eligible(v))
+    return rt.nearest_chunks(v.query_vectors, _eligible(v), dim=DIM)
 
 
 def _sections(v):
@@ -82,10 +83,10 @@ PLANS = [
     ("rt1_eligible_chunks", lambda v: rt.eligible(v.chunks, v.docs, "dev1").select("id", "document_id"), """
 SELECT c.id, c.document_id FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.status = 'READY' AND c.embedding IS NOT NULL AND NOT c.is_blacklisted AND (d.compatible_models IS NULL OR list_contains(d.compatible_models, 'dev1'))"""),
     ("rt2_nearest_chunks", lambda v: _matches(v).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score")), f"WITH {_M} SELECT query_id, chunk_id, place, round(score, 6) AS score FROM m"),
-    ("rt3_flat_search", lambda v: rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level = 0"), 10).select("query_id", "chunk_id", "place"), f"""
+    ("rt3_flat_search", lambda v: rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level = 0"), 10, dim=DIM).select("query_id", "chunk_id", "place"), f"""
 WITH {_M} SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM ms WHERE level = 0) WHERE place <= 10"""),
     ("rt4_mmr", lambda v: rt.mmr(_matches(v), v.chunks), None),
-    ("rt5_best_document", lambda v: rt.best_document(v.query_vectors, v.chunks), f"""
+    ("rt5_best_document", lambda v: rt.best_document(v.query_vectors, v.chunks, dim=DIM), f"""
 WITH d AS (SELECT q.query_id, c.document_id, round(avg(1 - {_QC}), 6) AS distance FROM query_vectors q, chunks c WHERE c.level >= 1 AND c.embedding IS NOT NULL GROUP BY 1, 2)
 SELECT query_id, document_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS n FROM d) WHERE n = 1"""),
     ("rt6_summaries", lambda v: rt.summaries(v.chunks), "SELECT document_id, id, level, CAST(row_number() OVER (PARTITION BY document_id ORDER BY level DESC, page_start ASC NULLS LAST, id) AS INT) AS place FROM chunks WHERE level BETWEEN 1 AND 2"),
@@ -108,13 +109,13 @@ a AS (SELECT query_id, document_id, sequence_index - 1 AS s FROM h UNION SELECT
 SELECT a.query_id, c.id AS chunk_id, c.document_id, c.sequence_index FROM a JOIN chunks c ON c.level = 0 AND c.document_id = a.document_id AND c.sequence_index = a.s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = a.query_id AND h.chunk_id = c.id)"""),
     ("rt13_relevance_cut", lambda v: rt.relevance_cut(v.links, "response_id", "reranker_score", 3, 5).select("response_id", "id", "place"), """
 SELECT response_id, id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY coalesce(reranker_score, 0) DESC, id) AS INT) AS place FROM links) WHERE place <= 3 AND (reranker_score >= 5 OR place <= 2)"""),
-    ("rt14_safety_search", lambda v: rt.safety_search(v.query_vectors, _eligible(v)), f"""
+    ("rt14_safety_search", lambda v: rt.safety_search(v.query_vectors, _eligible(v), dim=DIM), f"""
 WITH {_M}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM ms WHERE has_safety_content) WHERE n <= 10),
 f AS (SELECT query_id FROM query_vectors WHERE query_id NOT IN (SELECT query_id FROM s GROUP BY 1 HAVING count(*) >= 3)),
 g AS (SELECT query_id, chunk_id, score + CASE WHEN has_safety_content THEN 0.05e0 ELSE 0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM ms WHERE query_id IN (SELECT query_id FROM f)) WHERE n <= 10),
 u AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM s UNION ALL SELECT * FROM g) GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS place FROM u) WHERE place <= 10"""),
-    ("rt15_dual_path", lambda v: rt.dual_path(_matches(v).filter("place <= 10"), rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level > 0"), 10)), f"""
+    ("rt15_dual_path", lambda v: rt.dual_path(_matches(v).filter("place <= 10"), rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level > 0"), 10, dim=DIM)), f"""
 WITH {_M}, b AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS n FROM ms WHERE level > 0) WHERE n <= 10)
 SELECT query_id, chunk_id, 0 AS path, place FROM m WHERE place <= 10 UNION ALL SELECT query_id, chunk_id, 1, n FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = b.query_id AND m.chunk_id = b.chunk_id AND m.place <= 10)"""),
     ("rt16_merge_queries", lambda v: rt.merge_queries(_matches(v), v.leaves, F.floor(F.col("query_id") / 100)), f"""
