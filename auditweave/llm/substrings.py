@@ -40,6 +40,16 @@ _LAST = (1 << 63) - 1
 NOTES = "_chunk long, kind int, id long, blob binary"
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The array's bytes, all first ones first: sorted or small numbers then compress in a shuffle."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind, width: int = 1) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize * width, -1).T
+    return np.ascontiguousarray(rows).view(kind).reshape(-1, width) if width > 1 else np.ascontiguousarray(rows).view(kind).ravel()
+
+
 def gram_length(least: int) -> int:
     """Bytes of the strings whose hashes compete: long, so that few windows share one by chance, yet several to a window."""
     return min(32, max(16, least * 9 // 16))
@@ -105,7 +115,7 @@ def _send_minimizers(least: int, buckets: int, id_col: str, text_col: str):
         found, where, documents = np.unique(h, return_inverse=True, return_counts=True)
         n = np.bincount(where, np.concatenate([*windows, np.zeros(0, int)]), len(found)).astype(np.uint64)
         packed = (found << _U16) | np.minimum(n, np.uint64(32767)) | ((documents > 1).astype(np.uint64) << np.uint64(15))
-        parts = [(b, packed[at].tobytes()) for b, at in _by_bucket(found, buckets)]
+        parts = [(b, planes(packed[at])) for b, at in _by_bucket(found, buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int64()), "_chunk": pa.array([key[0].as_py()] * len(parts), pa.int64()), "blob": pa.array([x for _, x in parts], pa.binary())})
 
     return work
@@ -114,7 +124,7 @@ def _send_minimizers(least: int, buckets: int, id_col: str, text_col: str):
 def _find_shared(hot_windows: int):
     def work(table: pa.Table) -> pa.Table:
         chunks, blobs = table.column("_chunk").to_numpy(), table.column("blob").to_pylist()
-        packed = np.frombuffer(b"".join(blobs), np.uint64)
+        packed = np.concatenate([from_planes(b, np.uint64) for b in blobs])
         row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
         order = np.argsort(packed, kind="stable")
         packed, row = packed[order], row[order]
@@ -129,8 +139,8 @@ def _find_shared(hot_windows: int):
         rows, back = row[keep][order], back[keep][order]
         for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
             if len(part):
-                out[int(chunks[rows[part[0]]])].append(back[part].tobytes())
-        return _notes([(c, b"".join(parts)) for c, parts in out.items()], 1)
+                out[int(chunks[rows[part[0]]])].append(back[part])
+        return _notes([(c, planes(np.concatenate(parts))) for c, parts in out.items()], 1)
 
     return work
 
@@ -160,7 +170,7 @@ def _send_pieces(least: int, buckets: int, id_col: str, text_col: str):
 
     def work(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
         chunk = Chunk(docs, notes, id_col, text_col)
-        flags = np.sort(np.frombuffer(b"".join(chunk.blobs), np.uint64))
+        flags = np.sort(np.concatenate([from_planes(b, np.uint64) for b in chunk.blobs] + [np.zeros(0, np.uint64)]))
         shared, hot = flags >> _U16, (flags & _LOW) > 0
         index: dict[bytes, int] = {}
         hashes: list[int] = []
@@ -201,7 +211,7 @@ def _send_pieces(least: int, buckets: int, id_col: str, text_col: str):
                 own = place[np.searchsorted(place_bucket, b) : np.searchsorted(place_bucket, b, side="right")].copy()
                 own[:, 0] = local[own[:, 0]]
                 meta = np.column_stack((value[at].astype(np.int64), np.array(owners, np.int64)[at], [len(pieces[i]) for i in at]))
-                rows.append((b, meta.astype(np.int64).tobytes(), b"".join(pieces[i] for i in at), own.astype(np.int32).tobytes()))
+                rows.append((b, planes(meta.astype(np.int64)), b"".join(pieces[i] for i in at), planes(own.astype(np.int32))))
         n = len(rows)
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()), "_chunk": pa.array([key[0].as_py()] * n, pa.int64()),
@@ -229,7 +239,7 @@ def _resolve(least: int):
             if meta is None:
                 out.append((chunk, places))
                 continue
-            meta = np.frombuffer(meta, np.int64).reshape(-1, 3)
+            meta = from_planes(meta, np.int64, 3)
             at, which = 0, []
             for value, owner, size in meta.tolist():
                 piece = body[at : at + size]
@@ -241,7 +251,7 @@ def _resolve(least: int):
                 elif owner < least_owner[k]:
                     least_owner[k] = owner
                 which.append(k)
-            asked.append((chunk, np.array(which), meta[:, 1], np.frombuffer(places, np.int32).reshape(-1, 4)))
+            asked.append((chunk, np.array(which), meta[:, 1], from_planes(places, np.int32, 4)))
         pieces, owners = list(index), np.array(least_owner, np.int64)
         parts: dict[int, list[tuple[int, int]]] = {}
         for group in _shards(value_of, pieces):
