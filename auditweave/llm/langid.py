@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_small_batches
+
 BLOCK = 1000
 _NOWHERE: dict = {}
 _READY: dict[int, list] = {}
@@ -131,7 +133,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(parse, f"`{id_col}` {kind}, lang_pred string, score double")
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(parse, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

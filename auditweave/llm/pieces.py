@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 BLANK = "▁"
 MEMO = 400_000
 
@@ -121,7 +123,7 @@ def _mapped(df: DataFrame, model_file: str, column: str, out: str, kind: str, ar
             values = [do(pieces, x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(work, schema)
+    return in_small_batches(df).mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids") -> DataFrame:

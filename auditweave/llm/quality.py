@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 MAX_LABELLED = 20_000
 FEATURES = (
@@ -145,7 +145,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[id_col, "features"])
 
-    return docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, features array<double>")
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(measure, f"`{id_col}` {kind}, features array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -191,4 +191,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(model.score(_matrix(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(good, docs.schema)
+    return in_small_batches(docs).mapInArrow(good, docs.schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Dfa, compile_rules
+from .common import in_small_batches
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append([{"kind": kinds[k], "start": place[a], "end": place[b]} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, found_type)], names=[id_col, "found"])
 
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(scan, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -189,4 +190,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(clean, schema)
+    return in_small_batches(docs).mapInArrow(clean, schema)
