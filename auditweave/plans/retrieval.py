@@ -77,7 +77,6 @@ def _images(v):
     return rt.step_images(v.links, F.when(F.col("reranker_score") % 2 == 0, F.concat(F.lit("img"), F.col("reranker_score"))))
 
 
-_IMG = F.col("document_id") % 2 == 0
 
 PLANS = [
     ("rt1_eligible_chunks", lambda v: rt.eligible(v.chunks, v.docs, "dev1").select("id", "document_id"), """
@@ -98,7 +97,7 @@ SELECT query_id, id, place, false AS is_fallback FROM (SELECT query_id, c.id, CA
 UNION ALL SELECT query_id, id, place, true FROM (SELECT query_id, c.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_READ}) AS INT) AS place FROM r c WHERE query_id NOT IN (SELECT query_id FROM h)) WHERE place <= 80"""),
     ("rt9_dominant_document", lambda v: rt.dominant_document(_matches(v).withColumn("document_id", F.when(F.col("query_id") % 2 == 0, F.when(F.col("place") > 5, 1).otherwise(2)).otherwise(F.col("document_id")))).select("query_id", "chunk_id"), f"""
 WITH {_M} SELECT query_id, chunk_id FROM m WHERE query_id % 2 <> 0 OR place > 5"""),
-    ("rt10_quota", lambda v: rt.quota(_matches(v), "query_id", _IMG, [F.col("place")], 12).select("query_id", "chunk_id", "place"), f"""
+    ("rt10_quota", lambda v: rt.quota(_matches(v), "query_id", F.col("document_id") % 2 == 0, [F.col("place")], 12).select("query_id", "chunk_id", "place"), f"""
 WITH {_M}, i AS (SELECT *, document_id % 2 = 0 AS im, row_number() OVER (PARTITION BY query_id, document_id % 2 = 0 ORDER BY place) AS n FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (im AND n <= 3) DESC, place) AS k FROM i)
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INT) AS place FROM k WHERE k <= 12"""),
     ("rt11_swap_parents", lambda v: rt.swap_parents(_matches(v), v.chunks), f"""
