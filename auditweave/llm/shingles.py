@@ -63,10 +63,10 @@ def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(runs[a : b - width + 1]))
         elif b > a:
-            whole = words[a]
-            for w in words[a + 1 : b]:
-                whole = mix(np.array([whole * K3 + w]))[0]
-            out.append(mix(np.array([whole ^ np.uint64(b - a)])))
+            whole = words[a : a + 1]
+            for at in range(a + 1, b):
+                whole = mix(whole * K3 + words[at : at + 1])
+            out.append(mix(whole ^ np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
