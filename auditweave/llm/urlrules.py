@@ -2,7 +2,7 @@
 
 FP-growth mines combinations of a URL's tokens with the label of its page; rules that a token combination
 implies `block` or `allow` are pruned by support, confidence and lift, and matched by an inverted index from
-each rule's rarest token. All of it is DataFrame expressions; the index, `max_rules` rules at most, is a literal.
+each rule's rarest token. All rules that pass are kept, in a table that is joined with the tokens of the distinct URLs.
 
 A url that is null or has no `://` has empty host and path, fits no rule and is judged by the mined rules
 (which have no token of it: `allow`). Repeated rows each give a row. Pages without labels only take part in matching.
@@ -11,12 +11,12 @@ Empty labels give no mined rules.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed values: (verdict, host, path) as the contract lists them.
 FIXED_RULES = (
     ("allow", "com", "/"),
@@ -67,8 +67,8 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_lift: float, max_rules: int) -> list[dict]:
-    """The strongest rules, `max_rules` at most: antecedent, whether it blocks, confidence, its rarest token."""
+def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
+    """token, rules: all rules that pass (antecedent, confidence, whether it blocks), under the antecedent's rarest token."""
     bad = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
     items = F.array_append(url_tokens(F.col("url")), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
     known = pages.select("page_id", "url")
@@ -76,34 +76,30 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter(F.array_contains(F.array(F.lit(BLOCK), F.lit(ALLOW)), F.col("consequent")[0]) & (F.col("lift") >= min_lift))
     singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    rule = F.struct(F.col("antecedent").alias("all"), "confidence", (F.col("consequent")[0] == BLOCK).alias("block"))
     rarest = (
-        found.select("antecedent", "consequent", F.explode("antecedent").alias("token")).join(singles, "token")
-        .groupBy("antecedent", "consequent").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+        found.select("antecedent", "consequent", rule.alias("rule"), F.explode("antecedent").alias("token")).join(singles, "token")
+        .groupBy("antecedent", "consequent").agg(F.min_by("token", F.struct("freq", "token")).alias("token"), F.first("rule").alias("rule"))
     )
-    best = found.join(rarest, ["antecedent", "consequent"]).orderBy(F.desc("confidence"), F.desc("support"), F.array_join("antecedent", " ")).limit(max_rules)
-    return [{"token": r["token"], "all": sorted(r["antecedent"]), "block": r["consequent"][0] == BLOCK, "confidence": r["confidence"]} for r in best.collect()]
-
-
-def mined_verdict(url: Column, rules: list[dict]) -> Column:
-    """block where the surest rule that matches blocks; no match: allow."""
-    if not rules:
-        return F.lit("allow")
-    index: dict[str, list[dict]] = {}
-    for r in rules:
-        index.setdefault(r["token"], []).append({"all": r["all"], "confidence": r["confidence"], "block": r["block"]})
-    kind = "array<struct<all:array<string>,confidence:double,block:boolean>>"
-    by_token = F.from_json(F.lit(json.dumps(index)), f"map<string,{kind}>")
-    tokens = url_tokens(url)
-    listed = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(by_token, t), F.array().cast(kind))))
-    matched = F.filter(listed, lambda r: F.size(F.array_except(r["all"], tokens)) == 0)
+    return written(rarest.groupBy("token").agg(F.collect_list("rule").alias("rules")), "url-rules")
+
+
+def mined_blocks(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct values of `url` where the surest rule that matches blocks."""
+    tokens = urls.filter("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    listed = tokens.select("url", "tokens", F.explode("tokens").alias("token")).join(rules, "token")
+    matched = F.filter("rules", lambda r: F.size(F.array_except(r["all"], F.col("tokens"))) == 0)
     best = F.array_max(F.transform(matched, lambda r: F.struct(r["confidence"].alias("confidence"), r["block"].alias("block"))))
-    return F.when(best["block"], F.lit("block")).otherwise(F.lit("allow"))
+    return listed.select("url", best.alias("best")).groupBy("url").agg(F.max("best").alias("best")).filter("best.block").select("url")
 
 
-def judge(pages: DataFrame, labels: DataFrame, fixed=FIXED_RULES, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.05, max_rules: int = 256) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, fixed=FIXED_RULES, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.05) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    rules = mine(pages, labels, min_support, min_confidence, min_lift, max_rules)
     url = F.col("url")
     host, path = host_of(url), path_of(url)
     name, verdict = fixed_rule(host, path, fixed)
-    return pages.select("page_id", host.alias("host"), path.alias("path"), name.alias("rule"), F.coalesce(verdict, mined_verdict(url, rules)).alias("verdict"))
+    rows = pages.select("page_id", "url")
+    blocks = mined_blocks(rows.filter(verdict.isNull()), mine(pages, labels, min_support, min_confidence, min_lift))
+    judged = rows.join(blocks.select(url.alias("_blocked")), url == F.col("_blocked"), "left")
+    mined = F.when(F.col("_blocked").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", host.alias("host"), path.alias("path"), name.alias("rule"), F.coalesce(verdict, mined).alias("verdict"))

@@ -152,6 +152,15 @@ def test_mined_rules_block_what_labels_say(spark):
     assert {r["verdict"] for r in urlrules.judge(pages, labels.limit(0)).collect()} == {"allow"}
 
 
+def test_many_sure_allow_rules_crowd_out_no_block_rule(spark):
+    good = "http://good.org/a/b/c/d/e/f/g/h"  # ten tokens: 1023 antecedents, all of them sure
+    rows = [(i, good if i % 4 else "http://bad.net/x") for i in range(200)] + [(200, "http://bad.net/x?new=1"), (201, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0 or i % 20 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labels, fixed=()).collect()}
+    assert got == {i: "block" if i == 200 or (i < 200 and i % 4 == 0) else "allow" for i in range(202)}
+
+
 def test_packing_keeps_every_id_in_few_gapless_sequences(spark, docs, odd_docs, no_docs):
     tokenizer = queries.byte_bpe()
     from tokenizers import Tokenizer
