@@ -10,6 +10,9 @@ alike to it makes its star and becomes a candidate with it. Those of a star that
 are candidates with each other, and stars with earlier stars: all that may be alike, or in stars of more than
 `SMALL` the `FEW` that resemble most. So a group of thousands of copies gives thousands of candidates, not millions.
 Candidates are confirmed on full sets; links are followed to components by minima and pointer jumping.
+What the stars and parts did not try comes second: in each region of more than `SMALL`, however large, all pairs of
+different components that may be alike are candidates too, in blocks of `SIDE` x `SIDE`. Groups that the first links
+join cost nothing there; a group of n that nothing joins costs its n * n pairs.
 
 Documents with equal sets are one class, whose smallest document stands for it. Null texts and texts without
 words have the empty set and are linked with nothing. Rows that repeat an id are one document; other columns
@@ -34,6 +37,7 @@ REGION = 20_000
 #: Similarity estimates: below MAYBE no pair of 0.8 is expected (4.5 deviations), above SURELY nearly no other.
 MAYBE, SURELY = 0.62, 0.9
 SMALL, FEW = 32, 8
+SIDE = 2048
 BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
@@ -222,6 +226,41 @@ def candidates(signs: DataFrame, region: int = REGION) -> DataFrame:
     return pairs.distinct()
 
 
+def _between(key: tuple, block: pa.Table) -> pa.Table:
+    """Pairs of one block: a row that is no member of the main component, and one of another component than its own."""
+    ids, sizes, component, main, side = (block[c].to_numpy() for c in ("doc_id", "n_shingles", "component", "main", "side"))
+    sketches = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    every = np.flatnonzero(side == 1)
+    a, b = [], []
+    for y in np.flatnonzero(side == 0):
+        other = every[(component[every] != component[y]) & ((component[every] == main[y]) | (ids[every] > ids[y]))]
+        other = other[np.minimum(sizes[other], sizes[y]) * 100 >= 80 * np.maximum(sizes[other], sizes[y])]
+        other = other[_alike(sketches[y], sketches[other]) >= MAYBE]
+        a.append(np.minimum(ids[other], ids[y]))
+        b.append(np.maximum(ids[other], ids[y]))
+    return pa.table({"a": np.concatenate([*a, ids[:0]]), "b": np.concatenate([*b, ids[:0]])})
+
+
+def left_candidates(signs: DataFrame, found: DataFrame, region: int = REGION) -> DataFrame:
+    """Distinct pairs a < b that may be alike, share a region of more than `SMALL` (or `region`) and are in different components of `found` (node, component)."""
+    keys = signs.select("doc_id", F.explode("keys").alias("key"))
+    large = written(keys.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > min(SMALL, region)), "forest-large")
+    rows = signs.select("doc_id", "n_shingles", "sketch", F.explode("keys").alias("key")).join(large, "key")
+    rows = rows.join(found, rows["doc_id"] == found["node"], "left").select("key", "doc_id", "n_shingles", "sketch", "members", F.coalesce("component", "doc_id").alias("component"))
+    rows = written(rows, "forest-large-rows")
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    regions = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+    rows = rows.join(written(regions, "forest-unjoined"), "key")
+    side = min(SIDE, region)
+    across, down = F.ceil(F.col("outside") / side).cast("int"), F.ceil(F.col("members") / side).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    columns = ["key", "doc_id", "n_shingles", "sketch", "component", "main"]
+    outside = rows.filter("component <> main").select(*columns, F.lit(0).alias("side"), own(across).alias("i"), each(down).alias("j"))
+    every = rows.select(*columns, F.lit(1).alias("side"), each(across).alias("i"), own(down).alias("j"))
+    return outside.unionByName(every).groupBy("key", "i", "j").applyInArrow(_between, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -273,7 +312,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, region: int = REGION, wi
     firsts = classes.filter("doc_id = first and n_shingles > 0").select(F.col("doc_id").alias("one")).distinct()
     alone = signs.join(firsts, signs["doc_id"] == firsts["one"], "left_semi").dropDuplicates(["doc_id"])
     pairs = written(candidates(alone, region), "forest-pairs")
-    found = components(written(links(docs, pairs, percent, width=width), "forest-links"))
+    linked = written(links(docs, pairs, percent, width=width), "forest-links")
+    found = components(linked)
+    more = written(left_candidates(alone, found, region), "forest-left-pairs")
+    if not more.isEmpty():
+        found = components(linked.unionByName(written(links(docs, more, percent, width=width), "forest-left-links")))
     out = classes.join(found, classes["first"] == found["node"], "left")
     component = F.coalesce("component", "first")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

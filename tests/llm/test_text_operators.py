@@ -109,6 +109,17 @@ def test_near_copies_are_those_of_all_pairs(spark, docs, region):
         assert sum(got[d] != want[d] for d in want) <= 3 and all(got[d] in (want[d], (want[d][0], d)) for d in want)
 
 
+def test_pairs_in_a_large_group_that_is_not_linked_are_found(spark):
+    words = [f"t{i}" for i in range(150)]
+    made = []
+    for i in range(400):  # all are alike at 0.75; 40 pairs share more of what is their own, which makes 0.80
+        twin = i // 2 if i < 80 else -1 - i
+        made.append((i, " ".join(words + [f"p{twin}x{k}" for k in range(6)] + [f"o{i}x{k}" for k in range(19)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == brute_components(made)
+    assert [c for _, (_, c) in sorted(got.items())][:80] == [i - i % 2 for i in range(80)]
+
+
 def test_a_group_gives_candidates_in_proportion():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
