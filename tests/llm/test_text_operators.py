@@ -109,6 +109,17 @@ def test_near_copies_are_those_of_all_pairs(spark, docs, region):
         assert sum(got[d] != want[d] for d in want) <= 3 and all(got[d] in (want[d], (want[d][0], d)) for d in want)
 
 
+@pytest.mark.parametrize("region", [3, 20])
+def test_split_regions_leave_no_document_out(spark, region):
+    base = prose(5, 60).split()
+    made = []
+    for i in range(60):
+        rng = random.Random(i)
+        made.append((10_000 + i, " ".join(w if rng.random() > 0.03 * (1 + i % 3) else f"w{rng.randint(0, 9)}" for w in base)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), region=region).collect()}
+    assert got == brute_components(made)
+
+
 def test_pairs_in_a_large_group_that_is_not_linked_are_found(spark):
     words = [f"t{i}" for i in range(150)]
     made = []
