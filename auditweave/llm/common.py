@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """`df`, in a session that hands texts to Python 1000 at a time, unless another number than Spark's 10000 was set.
-
-    10000 texts, once in the JVM's buffers and twice in Python, are what an executor's memory goes for.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, parted into runs of at most `rows` rows, which bound what is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-auditweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,17 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_class_min(df: DataFrame, key: str, id_col: str, out: str, salts: int = 64) -> DataFrame:
-    """Add `out`, the smallest `id_col` among the rows of the same `key`.
+    """Add `out`, the smallest `id_col` among the rows of the same `key`; null where `key` is null.
 
     A key may hold a third of all rows, so both the aggregation and the join back run on (key, salt): a
     key's rows are dealt over `salts` tasks and its minimum is copied only to the salts that it really has.
     """
     salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")
-    per_salt = df.select(key, id_col, salt.alias("_salt")).groupBy(key, "_salt").agg(F.min(id_col).alias("_m"))
+    per_salt = df.filter(F.col(key).isNotNull()).select(key, id_col, salt.alias("_salt")).groupBy(key, "_salt").agg(F.min(id_col).alias("_m"))
     least = (
         per_salt.groupBy(key)
         .agg(F.min("_m").alias(out), F.collect_list("_salt").alias("_salts"))
         .select(F.col(key).alias("_key"), out, F.explode("_salts").alias("_s"))
     )
     left = df.withColumn("_salt", salt)
-    return left.join(least, (left[key] == least["_key"]) & (left["_salt"] == least["_s"])).drop("_salt", "_key", "_s")
+    return left.join(least, (left[key] == least["_key"]) & (left["_salt"] == least["_s"]), "left").drop("_salt", "_key", "_s")

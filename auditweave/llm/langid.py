@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_small_batches
+from .common import slices
 
 BLOCK = 1000
 _NOWHERE: dict = {}
@@ -120,7 +120,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
         if key not in _READY:
             _READY.clear()
             _READY[key] = [(k, suffix_automaton(v), math.log2(len(v) + 1)) for k, v in samples.items()]
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for text in batch.column(1):
                 text = (text.as_py() or "").lower()
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", te
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(parse, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(parse, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import slices
 
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 MEMO = 250_000
@@ -73,7 +73,7 @@ def cut(docs: DataFrame, tokenizer: Callable[[], Tokens], capacity: int, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer()
-        for batch in batches:
+        for batch in slices(batches):
             out = [], [], [], [], []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = tokens.ids(text.as_py() or "") + end
@@ -88,7 +88,7 @@ def cut(docs: DataFrame, tokenizer: Callable[[], Tokens], capacity: int, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
-    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 250) -> list[tuple[np.ndarray, int]]:

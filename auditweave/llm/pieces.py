@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_small_batches
+from .common import slices
 
 BLANK = "▁"
 MEMO = 400_000
@@ -119,11 +119,11 @@ def _mapped(df: DataFrame, model_file: str, column: str, out: str, kind: str, ar
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             values = [do(pieces, x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
 
-    return in_small_batches(df).mapInArrow(work, schema)
+    return df.mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, written
+from .common import slices, written
 
 MAX_LABELLED = 20_000
 FEATURES = (
@@ -140,12 +140,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = dict(docs.dtypes)[id_col]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = _matrix(batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[id_col, "features"])
 
-    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(measure, f"`{id_col}` {kind}, features array<double>")
+    return docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, features array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,7 +168,7 @@ def scored(measured: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     kind = dict(measured.dtypes)["doc_id"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
@@ -188,7 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     at = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(model.score(_matrix(batch.column(at))) >= threshold))
 
-    return in_small_batches(docs).mapInArrow(good, docs.schema)
+    return docs.mapInArrow(good, docs.schema)

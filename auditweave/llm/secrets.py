@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Dfa, compile_rules
-from .common import in_small_batches
+from .common import slices
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = scanner.prepare()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1):
                 data = (text.as_py() or "").encode("utf-8", "replace")
@@ -154,7 +154,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append([{"kind": kinds[k], "start": place[a], "end": place[b]} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, found_type)], names=[id_col, "found"])
 
-    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(scan, schema)
+    return docs.select(id_col, text_col).mapInArrow(scan, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = scanner.prepare()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(at):
                 text = text.as_py()
@@ -190,4 +190,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return in_small_batches(docs).mapInArrow(clean, schema)
+    return docs.mapInArrow(clean, schema)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Odd multipliers.
-BASE, K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+#: Odd multipliers, and the primes and bases of the words' hashes.
+K1, K2, K3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_013))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,13 +20,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and its inverse^i modulo 2^64, for i < n."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        _powers[0] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, BASE))), dtype=np.uint64)
-        _powers[1] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, inverse))), dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base^i modulo the prime, for i < n (a longer table from before serves too)."""
+    table = _powers.get((base, prime), np.ones(1, np.uint64))
+    while len(table) < n:
+        table = np.concatenate((table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)))
+    _powers[base, prime] = table
+    return table[:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits of each word of the bytes: its polynomials over two prime fields, and its length, mixed."""
+    out = (ends - starts).astype(np.uint64) * K3
+    letters = data.astype(np.uint64) + np.uint64(1)
+    for prime, base in FIELDS:
+        p = np.uint64(prime)
+        terms = letters * powers(base, prime, len(data))
+        if len(data) >= 1 << 24:  # below, sums of the terms stay under 2^64
+            terms %= p
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        shift = powers(pow(base, -1, prime), prime, len(data) + 1)[starts]
+        out = mix(out ^ ((sums[ends] - sums[starts]) % p * shift % p))
+    return out
 
 
 def blocks(values, most: int) -> Iterator[tuple[int, int]]:
@@ -50,10 +67,7 @@ def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:
     blank = _BLANK[data]
     turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = turns[0::2], turns[1::2]
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * K3)
+    words = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
     out = []
     runs = words

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import smaller_owner
-from .common import in_small_batches, with_class_min, written
+from .common import slices, with_class_min, written
 from .shingles import blocks, mix
 
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 96 << 10
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     chunks = max(64, -(-total // chunk_bytes))
     buckets = max(32, -(-total // (4 * chunk_bytes)))
     chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
-    dealt = in_small_batches(docs).withColumn("_chunk", chunk_of(id_col)).groupBy("_chunk")
+    dealt = docs.withColumn("_chunk", chunk_of(id_col)).groupBy("_chunk")
     copies = classes.filter("id <> first").select(chunk_of("id").alias("_chunk"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("blob"))
     with_notes = lambda notes, work, schema: dealt.cogroup(notes.groupBy("_chunk")).applyInArrow(work, schema)
     sent = with_notes(copies, _send_minimizers(least, buckets, id_col, text_col), "bucket long, _chunk long, blob binary")
@@ -356,7 +356,7 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     cut = remove_repeats(docs.select("doc_id", "text", rest), least).select("_rest", "kept")
 
     def whole(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_rest", "text"])
 

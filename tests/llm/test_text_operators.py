@@ -6,6 +6,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,32 +93,41 @@ def test_shingle_sets(width):
     assert (same[0] == same[1]).all()
 
 
-@pytest.mark.parametrize("region", [neardup.REGION, 3])
-def test_near_copies_are_those_of_all_pairs(spark, docs, region):
-    base = prose(5, 60).split()
+def variants(first: int, n: int, base: list[str]) -> list[tuple[int, str]]:
+    """Texts of one base: one word in 33 replaced, in some two or three times as many."""
     made = []
-    for i in range(60):  # variants of one text: one word in twenty replaced, some twice as much
+    for i in range(n):
         rng = random.Random(i)
-        made.append((10_000 + i, " ".join(w if rng.random() > 0.03 * (1 + i % 3) else f"w{rng.randint(0, 9)}" for w in base)))
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
-    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, region=region).collect()}
-    want = brute_components(rows)
-    if region == neardup.REGION:
-        assert got == want
-    else:  # regions split to the utmost: a document with few links in a large group may be left out, no more
-        assert sum(got[d] != want[d] for d in want) <= 3 and all(got[d] in (want[d], (want[d][0], d)) for d in want)
-
-
-@pytest.mark.parametrize("region", [3, 20])
-def test_split_regions_leave_no_document_out(spark, region):
-    base = prose(5, 60).split()
-    made = []
-    for i in range(60):
-        rng = random.Random(i)
-        made.append((10_000 + i, " ".join(w if rng.random() > 0.03 * (1 + i % 3) else f"w{rng.randint(0, 9)}" for w in base)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), region=region).collect()}
-    assert got == brute_components(made)
+        made.append((first + i, " ".join(w if rng.random() > 0.03 * (1 + i % 3) else f"w{rng.randint(0, 9)}" for w in base)))
+    return made
+
+
+def near(df, **more):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, **more).collect()}
+
+
+@pytest.mark.parametrize("more", [{}, {"region": 3}, {"region": 20}, {"small": 4}])
+def test_near_copies_are_those_of_all_pairs(spark, docs, more):
+    made = spark.createDataFrame(variants(10_000, 60, prose(5, 60).split()), "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(made)
+    assert near(df, **more) == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_large_groups_of_copies_and_near_copies(spark):
+    base = prose(6, 150)
+    few = variants(60_000, 700, base.split())
+    copies = spark.range(1, 50_001).select(F.col("id").alias("doc_id"), F.lit(base).alias("text"))
+    got = near(copies.unionByName(spark.createDataFrame(few, "doc_id long, text string")))
+    want = brute_components([(1, base), *few])
+    assert len(got) == 50_700 and {d: got[d] for d in want} == want and {got[d] for d in range(1, 50_001)} == {want[1]}
+
+
+def test_word_hashes_tell_structured_words_apart():
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word
+    one, two = shingle_sets([f"{word} end".encode(), f"{other} end".encode()])
+    assert len(word) == 2048 and one[0] != two[0]
 
 
 def test_pairs_in_a_large_group_that_is_not_linked_are_found(spark):
@@ -134,15 +144,16 @@ def test_pairs_in_a_large_group_that_is_not_linked_are_found(spark):
 def test_a_group_gives_candidates_in_proportion():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
-    sets = []
-    for _ in range(1500):
+    places, rows = [], []
+    for i in range(1500):
         s = base.copy()
         s[rng.integers(0, 400, 12)] = rng.integers(0, 1 << 63, 12).astype(np.uint64)
-        sets.append(np.unique(s))
-    signatures = np.array([neardup.signature(s) for s in sets])
-    sketches = np.ascontiguousarray(neardup._sketches(signatures)).view(np.uint64)
-    pairs = neardup.region_candidates(np.arange(1500), np.array([len(s) for s in sets]), sketches)
-    assert 1499 <= len(set(pairs)) < 1500 * 12
+        signature = neardup.signature(np.unique(s))
+        rows += [(place, i, len(np.unique(s)), neardup._sketch(signature)) for place in neardup._places(signature)]
+    rows.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["place", "doc_id", "n_shingles", "sketch"])
+    found = [p for b in neardup._in_order(20_000, 80, 32)([batch]) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert 1499 <= len(set(found)) < 1500 * 12
 
 
 def brute_removed(rows, least=50):
@@ -219,8 +230,10 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     back = pieces.decode(pieces.encode(odd_docs, model), model)
     assert back.filter(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
     assert secrets.digest(secrets.scan_secrets(odd_docs)).count() == odd_docs.count()
-    near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(odd_docs).collect()}
-    assert near[2] == 1 and near[6] == 1 and near[12] == 11 and [near[k] for k in (3, 4, 5, 7)] == [3, 4, 5, 7]
+    rows = neardup.near_duplicates(odd_docs).collect()
+    component = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == odd_docs.count() and [r["kept"] for r in rows if r["doc_id"] is None] == [True]
+    assert component[2] == 1 and component[6] == 1 and component[12] == 11 and [component[k] for k in (3, 4, 5, 7)] == [3, 4, 5, 7]
     assert neardup.keep_first(odd_docs).columns == odd_docs.columns
     left = substrings.without_repeats(odd_docs)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
