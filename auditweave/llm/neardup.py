@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from .common import slices, with_class_min, written
 from .shingles import blocks, shingle_sets
 
-TREES, DEPTH, SHALLOW, NEAR_TREES = 22, 6, 4, 4
+TREES, DEPTH, SHALLOW, NEAR_TREES = 22, 6, 4, 2
 REGION = 20_000
 MAYBE = 0.62
 SMALL, FEW, SIDE = 32, 4, 512
 #: Bits of the parities, minima of which the sketch keeps two bits.
 BITS, SKETCHED = 1024, 128
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES, TASK_EDGES = 1 << 18, 200_000
 #: Bytes of a place in an order: the tree, then its minima, first byte first; and of the part that names the region.
 PREFIX = 1 + 4 * SHALLOW
 
@@ -244,8 +244,8 @@ def left_candidates(signs: DataFrame, large: DataFrame, found: DataFrame, few: i
     return outside.unionByName(every).groupBy("key", "i", "j").applyInArrow(_between(few, percent), "a long, b long").distinct()
 
 
-def links(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def links(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, few: bool = False) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union; few: Spark may broadcast the ids wanted, if they are small."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -264,6 +264,8 @@ def links(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str = "doc_id
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
+    if not few:
+        wanted = wanted.hint("merge")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(wanted, F.col("id") == F.col("want"), "left_semi")
     sets = texts.mapInArrow(build, "id long, words binary")
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
@@ -294,10 +296,10 @@ def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     """node, component (the smallest node reachable) of every end of `edges` (a, b).
 
-    Each task first reduces its own edges to a forest. Then nodes take the smallest label heard, and that label's own;
+    Tasks of up to `TASK_EDGES` edges first reduce their own to a forest. Then nodes take the smallest label heard, and that label's own;
     a label that many nodes share is dealt over `salts` tasks, and only labels that have moved are joined.
     """
-    edges = edges.mapInArrow(_forest_of, "a long, b long")
+    edges = edges.coalesce(1 + edges.count() // TASK_EDGES).mapInArrow(_forest_of, "a long, b long")
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "forest-edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "forest-labels")
     salt = F.pmod(F.xxhash64("node"), F.lit(salts))
@@ -329,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, region: int = REGION, wi
             more = written(left_candidates(alone, large, found, few, min(SIDE, region), percent), "forest-left-pairs")
             if more.isEmpty():
                 break
-            linked = linked.unionByName(written(links(docs, more, percent, width=width), "forest-left-links"))
+            linked = linked.unionByName(written(links(docs, more, percent, width=width, few=True), "forest-left-links"))
             found = components(linked)
     out = classes.join(found, classes["first"] == found["node"], "left")
     component = F.coalesce("component", "first")
