@@ -4,6 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of a table of occurrences, at most about.
+TABLE_BYTES = 16 << 20
+
+
+class Occurrences:
+    """How often each symbol stands before a place, from a table for every `step`-th place and a count of what follows it."""
+
+    def __init__(self, transform: np.ndarray, symbols: int) -> None:
+        n = len(transform)
+        self.step = 1 + n * symbols * 4 // TABLE_BYTES
+        self.transform = np.concatenate((transform, np.zeros(self.step, transform.dtype)))
+        self.table = np.zeros((n // self.step + 1, symbols), np.int32)
+        place = np.arange(n) // self.step + 1
+        inside = place < len(self.table)
+        np.add.at(self.table, (place[inside], transform[inside]), 1)
+        np.cumsum(self.table, axis=0, out=self.table)
+
+    def before(self, places: np.ndarray) -> np.ndarray:
+        """places x symbols."""
+        rows, rest = np.divmod(places, self.step)
+        out = self.table[rows]
+        first = rows * self.step
+        for j in range(self.step - 1):
+            at = np.flatnonzero(rest > j)
+            out[at, self.transform[first[at] + j]] += 1
+        return out
+
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first `depth` codes or more, by prefix doubling from 8 packed codes (below 256)."""
@@ -31,17 +58,15 @@ def common_prefix_cuts(codes: np.ndarray, order: np.ndarray, least: int) -> np.n
     n = len(codes)
     used, dense = np.unique(codes, return_inverse=True)
     transform = dense[order - 1]
-    before = np.zeros((n + 1, len(used)), np.int32)
-    before[np.arange(1, n + 1), transform] = 1
-    np.cumsum(before, axis=0, out=before)
+    table = Occurrences(transform, len(used))
     base = np.concatenate(([0], np.cumsum(np.bincount(dense, minlength=len(used)))[:-1])).astype(np.int32)
     cut = np.zeros(n + 1, bool)
     cut[0] = cut[n] = True
     low, high = np.array([0]), np.array([n])
     for length in range(least):
         next_low, next_high = [], []
-        for at in range(0, len(low), 16384):
-            a, b = before[low[at : at + 16384]], before[high[at : at + 16384]]
+        for at in range(0, len(low), 8192):
+            a, b = table.before(low[at : at + 8192]), table.before(high[at : at + 8192])
             some = b > a
             if length and used[0] == 0:
                 some[:, 0] = False

@@ -12,14 +12,15 @@ chunks of bounded size by their ids, and one exchange of the texts serves three
 3. The chunks get back the windows found and cut their texts.
 
 Windows are compared as whole strings, so hashes decide nothing but where they meet. Null texts count as empty;
-rows that repeat an id are not earlier
-than each other, rows without an id come last; other columns are carried along; an empty table gives no rows.
+rows that repeat an id are not earlier than each other, rows without an id come last; the other columns are carried along
+in one struct, so that no name clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .bwt import smaller_owner
 from .common import slices, with_class_min, written
 from .shingles import blocks, mix
 
-CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 96 << 10
+CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 256 << 10, 96 << 10
 HOT_WINDOWS, PIECE_WINDOWS = 30_000, 256
 _K = np.uint64(0x9E3779B97F4A7C15)
 _U16 = np.uint64(16)
@@ -55,9 +56,8 @@ def gram_length(least: int) -> int:
     return min(32, max(16, least * 9 // 16))
 
 
-def minimizers(texts: list[bytes], least: int) -> list[np.ndarray]:
+def minimizers(texts: list[bytes], least: int) -> Iterator[np.ndarray]:
     """For each text the minimizer, 48 bits, of each of its windows."""
-    out: list[np.ndarray] = []
     for a, b in blocks([len(t) for t in texts], BLOCK_BYTES):
         data = b"".join(texts[a:b]) + bytes(least)
         n = len(data) - 7
@@ -75,17 +75,16 @@ def minimizers(texts: list[bytes], least: int) -> list[np.ndarray]:
             least_hash = np.minimum(least_hash[: -(width - span)], least_hash[width - span :])
         at = 0
         for t in texts[a:b]:
-            out.append(least_hash[at : at + max(0, len(t) - least + 1)])
+            yield least_hash[at : at + max(0, len(t) - least + 1)]
             at += len(t)
-    return out
 
 
 class Chunk:
     """The rows of a chunk in order of (id, text), and the notes that came for it."""
 
-    def __init__(self, docs: pa.Table, notes: pa.Table, id_col: str, text_col: str) -> None:
-        ids = np.array([_LAST if d is None else d for d in docs.column(id_col).to_pylist()], np.int64)
-        texts = [(t or "").encode("utf-8", "replace") for t in docs.column(text_col).to_pylist()]
+    def __init__(self, docs: pa.Table, notes: pa.Table) -> None:
+        ids = np.array([_LAST if d is None else d for d in docs.column("id").to_pylist()], np.int64)
+        texts = [(t or "").encode("utf-8", "replace") for t in docs.column("text").to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts = ids[self.order], [texts[i] for i in self.order]
         kinds, values = notes.column("kind").to_pylist(), notes.column("id").to_pylist()
@@ -103,9 +102,9 @@ def _by_bucket(values: np.ndarray, buckets: int):
             yield int(values[part[0]] % np.uint64(buckets)), part
 
 
-def _send_minimizers(least: int, buckets: int, id_col: str, text_col: str):
+def _send_minimizers(least: int, buckets: int):
     def work(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, notes, id_col, text_col)
+        chunk = Chunk(docs, notes)
         hashes, windows = [], []
         for m in minimizers([chunk.texts[i] for i in chunk.alone], least):
             h, n = np.unique(m, return_counts=True)
@@ -153,7 +152,7 @@ def _notes(found: list[tuple[int, bytes]], kind: int) -> pa.Table:
     })
 
 
-def _send_pieces(least: int, buckets: int, id_col: str, text_col: str):
+def _send_pieces(least: int, buckets: int):
     """Rows of bucket, chunk, pieces (hash, id, length), their bytes, and their places (piece, row, start, windows).
 
     What the chunk can tell by itself goes by a bucket of its own, below 0, with places only.
@@ -169,7 +168,7 @@ def _send_pieces(least: int, buckets: int, id_col: str, text_col: str):
         yield from zip(value[keep].tolist(), starts[keep].tolist(), stops[keep].tolist(), hot[at[keep]].tolist(), strict=True)
 
     def work(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, notes, id_col, text_col)
+        chunk = Chunk(docs, notes)
         flags = np.sort(np.concatenate([from_planes(b, np.uint64) for b in chunk.blobs] + [np.zeros(0, np.uint64)]))
         shared, hot = flags >> _U16, (flags & _LOW) > 0
         index: dict[bytes, int] = {}
@@ -292,9 +291,9 @@ def _shards(values: list[int], pieces: list[bytes]):
         yield shard
 
 
-def _cut(least: int, id_col: str, text_col: str, others: list[str]):
+def _cut(least: int):
     def work(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, notes, id_col, text_col)
+        chunk = Chunk(docs, notes)
         found = np.frombuffer(b"".join(chunk.blobs), np.int32).reshape(-1, 3)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         first = np.searchsorted(found[:, 0], np.arange(len(chunk.ids) + 1))
@@ -312,7 +311,7 @@ def _cut(least: int, id_col: str, text_col: str, others: list[str]):
             removed.append([{"start": a, "end": b} for a, b in spans])
             bounds = [0, *(x for s in spans for x in s), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
-        rows = docs.take(pa.array(chunk.order, pa.int64())).select(others)
+        rows = docs.take(pa.array(chunk.order, pa.int64())).select(["row"])
         rows = rows.append_column("n_bytes", pa.array([len(t) for t in chunk.texts], pa.int64()))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return rows.append_column("removed", pa.array(removed, pa.list_(span))).append_column("kept", pa.array(kept, pa.binary()))
@@ -321,45 +320,44 @@ def _cut(least: int, id_col: str, text_col: str, others: list[str]):
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """`docs` without its text, and n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes)."""
+    """row (the columns of `docs` but its text), n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes)."""
     if least < 32:
         raise ValueError("at least 32 bytes")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digests = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
+    row = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row)
+    text = F.coalesce("text", F.lit(""))
+    digests = docs.select("id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
     classes = written(with_class_min(digests, "digest", "id", "first"), "substring-classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
-    chunks = max(64, -(-total // chunk_bytes))
-    buckets = max(32, -(-total // (4 * chunk_bytes)))
-    chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
-    dealt = docs.withColumn("_chunk", chunk_of(id_col)).groupBy("_chunk")
-    copies = classes.filter("id <> first").select(chunk_of("id").alias("_chunk"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("blob"))
+    chunks, buckets = max(64, -(-total // chunk_bytes)), max(32, -(-total // chunk_bytes))
+    chunk_of = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("_chunk")
+    dealt = docs.withColumn("_chunk", chunk_of).groupBy("_chunk")
+    copies = classes.filter("id <> first").select(chunk_of, F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("blob"))
     with_notes = lambda notes, work, schema: dealt.cogroup(notes.groupBy("_chunk")).applyInArrow(work, schema)
-    sent = with_notes(copies, _send_minimizers(least, buckets, id_col, text_col), "bucket long, _chunk long, blob binary")
+    sent = with_notes(copies, _send_minimizers(least, buckets), "bucket long, _chunk long, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_find_shared(hot_windows), NOTES)
-    cut_out = with_notes(copies.unionByName(shared), _send_pieces(least, buckets, id_col, text_col), "bucket long, _chunk long, meta binary, body binary, places binary")
+    cut_out = with_notes(copies.unionByName(shared), _send_pieces(least, buckets), "bucket long, _chunk long, meta binary, body binary, places binary")
     found = cut_out.groupBy("bucket").applyInArrow(_resolve(least), NOTES)
-    others = [c for c in docs.columns if c != text_col]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("n_bytes", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
-    return with_notes(copies.unionByName(found), _cut(least, id_col, text_col, others), schema)
+    schema = T.StructType([docs.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
+    return with_notes(copies.unionByName(found), _cut(least), schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """The columns that the query returns."""
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return removed.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("row.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """`docs` with the texts that are left (what a cut left of a character goes too), in the same columns."""
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_rest")  # so that no name clashes
-    cut = remove_repeats(docs.select("doc_id", "text", rest), least).select("_rest", "kept")
+    cut = remove_repeats(docs, least).select("row", "kept")
 
     def whole(batches):
         for batch in slices(batches):
             texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_rest", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = cut.mapInArrow(whole, T.StructType([cut.schema["_rest"], T.StructField("text", T.StringType())]))
+    out = cut.mapInArrow(whole, T.StructType([cut.schema["row"], T.StructField("text", T.StringType())]))
     column = {"text": F.col("text"), "n_chars": F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return out.select(*[column.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns])
+    return out.select(*[column.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -174,7 +174,7 @@ def brute_removed(rows, least=50):
 
 
 def removed(df, **more):
-    got = substrings.digest(substrings.remove_repeats(df.select("doc_id", "text"), **more)).collect()
+    got = substrings.digest(substrings.remove_repeats(df, **more)).collect()
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr)
 
 
@@ -196,6 +196,14 @@ def test_interval_expansion_finds_the_common_prefixes():
             assert found.tolist() == want
 
 
+def test_occurrences_are_counted_from_a_coarse_table(monkeypatch):
+    transform = np.random.default_rng(8).integers(0, 5, 333)
+    for most in (1 << 20, 1000, 300):
+        monkeypatch.setattr(bwt, "TABLE_BYTES", most)
+        got = bwt.Occurrences(transform, 5).before(np.arange(334))
+        assert (got == [[(transform[:i] == c).sum() for c in range(5)] for i in range(334)]).all()
+
+
 def best_by_table(p, segment):
     """Viterbi over all substrings."""
     plain = {t: (p.automaton.get(t)[1], i) for i, t in enumerate(p.text) if p.automaton.exists(t)}
@@ -237,5 +245,5 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert neardup.keep_first(odd_docs).columns == odd_docs.columns
     left = substrings.without_repeats(odd_docs)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
-    for empty in (secrets.scan_secrets(no_docs), neardup.near_duplicates(no_docs), substrings.remove_repeats(no_docs.select("doc_id", "text")), pieces.encode(no_docs, model)):
+    for empty in (secrets.scan_secrets(no_docs), neardup.near_duplicates(no_docs), substrings.remove_repeats(no_docs), pieces.encode(no_docs, model)):
         assert empty.count() == 0
