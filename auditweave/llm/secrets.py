@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,39 @@ RULES = (
 )
 
 
+class Walk:
+    """An automaton as flat lists, whose indexing is the fastest that Python has; places are those of `classes(data)`."""
+
+    def __init__(self, dfa: Dfa) -> None:
+        width = dfa.next.shape[1]
+        self.table, self.begin = (dfa.next * width).ravel().tolist(), dfa.start * width
+        self.floor, self.dead, self.map = dfa.first_accepting * width, dfa.dead * width, dfa.classes.tobytes()
+        self.rules = np.repeat(dfa.rules, width).tolist()
+
+    def classes(self, data: bytes) -> bytes:
+        return data.translate(self.map)
+
+    def furthest(self, classes: bytes, places: range) -> int:
+        """The last of the places, read in turn, at which the automaton accepts; -1 if there is none."""
+        table, floor, dead, s, best = self.table, self.floor, self.dead, self.begin, -1
+        for i in places:
+            s = table[s + classes[i]]
+            if s == dead:
+                break
+            if s >= floor:
+                best = i
+        return best
+
+    def first(self, classes: bytes, at: int) -> int:
+        """The end of the first accepted prefix of what begins at `at`; -1 if there is none."""
+        table, floor, s = self.table, self.floor, self.begin
+        for i in range(at, len(classes)):
+            s = table[s + classes[i]]
+            if s >= floor:
+                return i + 1
+        return -1
+
+
 class Scanner:
     """The compiled rules. `spans` gives (rule number, start, end) in bytes."""
 
@@ -57,53 +91,68 @@ class Scanner:
         self.all = compile_rules(triggers, unanchored=True)
         self.ahead = [compile_rules([r.pattern], unanchored=False) for r in rules]
         self.back = [compile_rules([x], unanchored=False, backward=True) for x in triggers]
+        self.seek = [compile_rules([x], unanchored=True) for x in triggers]
 
     def prepare(self) -> "Scanner":
-        """Flat lists, whose indexing is the fastest that Python has; made once in each task."""
-        width = self.all.next.shape[1]
-        self.table = (self.all.next * width).ravel().tolist()
-        self.width, self.floor, self.begin = width, self.all.first_accepting * width, self.all.start * width
-        self.bytes = self.all.classes.tobytes()
+        """The automata as lists; made once in each task."""
+        self.pass_, self.walks = Walk(self.all), [tuple(map(Walk, x)) for x in zip(self.ahead, self.back, self.seek, strict=True)]
         return self
 
-    def events(self, data: bytes) -> list[tuple[int, int]]:
-        """(place after the byte, rules as bits) of each accepting step of the one pass."""
-        table, floor, s = self.table, self.floor, self.begin
-        classes = data.translate(self.bytes)
+    def runs(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(first end, last end, rules as bits) of each run of accepting steps of the one pass."""
+        table, floor, s = self.pass_.table, self.pass_.floor, self.pass_.begin
+        classes = self.pass_.classes(data)
         for c in classes:
             s = table[s + c]
             if s >= floor:
                 break
         else:
             return []
-        out, s = [], self.begin
+        out, s, of, since, rules = [], self.pass_.begin, 0, 0, self.pass_.rules
         for i, c in enumerate(classes, 1):
             s = table[s + c]
             if s >= floor:
-                out.append((i, int(self.all.rules[s // self.width])))
-        return out
+                if of != rules[s]:
+                    if of:
+                        out.append((since, i - 1, of))
+                    of, since = rules[s], i
+            elif of:
+                out.append((since, i - 1, of))
+                of = 0
+        return [*out, (since, len(data), of)] if of else out
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        events, out = self.events(data), []
-        if not events:
-            return out
-        for k, rule in enumerate(self.rules):
-            free = 0
-            for end, bits in events:
-                if end <= free or not bits >> k & 1:
-                    continue
-                length = _furthest(self.back[k], memoryview(data)[free:end][::-1])
-                if length < 0:
-                    continue
-                start = end - length
-                length = _furthest(self.ahead[k], memoryview(data)[start:])
-                if length < 0:
-                    continue
-                free = start + length
-                if not rule.least or _value_length(data[start:free]) >= rule.least:
-                    out.append((k, start, free))
+        found, out = self.runs(data), []
+        for k in range(len(self.rules)):
+            mine = [(a, b) for a, b, bits in found if bits >> k & 1]
+            if mine:
+                out += self._of_rule(k, data, mine)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def _of_rule(self, k: int, data: bytes, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """The rule's spans. What a run accepts may begin before `free`, the end of the last match; where a walk back
+        tells so, the rule is sought from `free` on, so that each byte is read a bounded number of times."""
+        (ahead, backward, seek), least = self.walks[k], self.rules[k].least
+        ahead_of, back_of, seek_of = (w.classes(data) for w in self.walks[k])
+        free = at = 0
+        while True:
+            while at < len(runs) and runs[at][1] <= free:
+                at += 1
+            if at == len(runs):
+                return
+            end, start = runs[at][0], -1
+            if end > free:
+                start = backward.furthest(back_of, range(end - 1, free - 1, -1))
+            if start < 0:
+                end = seek.first(seek_of, free)
+                if end < 0:
+                    return
+                start = backward.furthest(back_of, range(end - 1, free - 1, -1))
+            stop = ahead.furthest(ahead_of, range(start, len(data))) + 1
+            free = stop or start + 1  # no stop: what ends here is the trigger alone
+            if stop and (not least or _value_length(data[start:stop]) >= least):
+                yield k, start, stop
+
 
 def _value_length(match: bytes) -> int:
     """Length of the value: what follows the first separator and its blanks and quote."""
@@ -114,19 +163,6 @@ def _value_length(match: bytes) -> int:
     return 0
 
 
-def _furthest(dfa: Dfa, data: memoryview) -> int:
-    """The longest accepted prefix of `data`, -1 if there is none."""
-    s, best = dfa.start, -1
-    nxt, classes = dfa.next, dfa.classes
-    for i, b in enumerate(data, 1):
-        s = nxt[s, classes[b]]
-        if s == dfa.dead:
-            break
-        if s >= dfa.first_accepting:
-            best = i
-    return best
-
-
 def _in_code_points(data: bytes, spans: list[tuple[int, int, int]]) -> dict[int, int]:
     """Byte place to code point place, for the ends of the spans only."""
     places, out, at, count = sorted({p for _, a, b in spans for p in (a, b)}), {}, 0, 0
@@ -140,7 +176,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: the id and `found`, an array of (kind, start, end) in code points, end exclusive."""
     scanner = Scanner(rules)
     kinds = [r.kind for r in rules]
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, found array<struct<kind:string,start:long,end:long>>"
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, found array<struct<kind:string,start:long,end:long>>"
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from array import array
 
 import numpy as np
@@ -51,6 +52,26 @@ def test_other_rules_add_spans_and_redaction_masks_all(spark):
     assert secrets.redact(df).first()["text"] == "x [secret] [secret] [secret]"
 
 
+def test_overlapping_and_repeated_secrets(spark):
+    texts = [
+        'token="token":' + "a" * 50, "token=token=token=x secret: :password=abcdefg", "-----BEGIN -----BEGIN RSA PRIVATE KEY-----" * 3, "AKIA" * 20 + " AKIA" + "A" * 15 + "AKIA" + "0" * 16,
+        "token='abcdef' token: token: abcdefg", "AIza" * 40, "xox" * 9 + "xoxb-" * 9, 'api_key"="secret:abcdef"token=1', "0123456789abcdef" * 4 + "g" + "a" * 23 + "g" + "b" * 24,
+    ]
+    found = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        text = texts[r["doc_id"]]
+        want = brute_spans(text) + [(rule.kind, m.start(), m.end()) for rule in secrets.RULES[3:] for m in re.finditer(rule.pattern, text)]
+        assert sorted((s["kind"], s["start"], s["end"]) for s in r["found"]) == sorted(want)
+
+
+def test_a_long_value_takes_time_in_proportion():
+    scanner = secrets.Scanner().prepare()
+    began = time.perf_counter()
+    for text in (b'token="token":' + b"a" * 1_000_000, b"token=" + b"Ab9" * 300_000, b"token=abc " * 100_000, b"0af" * 300_000):
+        scanner.spans(text)
+    assert time.perf_counter() - began < 10
+
+
 def test_automaton_agrees_with_the_expression_and_is_minimal():
     dfa = compile_rules(["(a|b)*abb", "c{2,3}"], unanchored=False)
     assert dfa.next.shape[0] == 9  # the start, 4 that follow a or b, 3 that count c, and the dead one
