@@ -7,7 +7,7 @@ way. A score is the logistic function of the sum of table entries, added up for
 
 Training reads at most about `MAX_LABELLED` labelled rows, chosen by a hash of their ids, a bounded sample;
 everything else covers all rows. Where labels are missing or all alike, every score is 0.5 or the one class's share.
-Null and empty texts are scored like others (all counts 0). Several labels of a document count as their smallest.
+Null and empty texts are scored like others (all counts 0). Several labels of a document count as their smallest, as do its several texts in training.
 Repeated rows each give a row; other columns are not read.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices
 
 MAX_LABELLED = 20_000
 FEATURES = (
@@ -152,39 +152,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(measured: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Fit on labelled rows that are not held out; only the texts of the sample are measured."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, max_labelled / max(1, n)) * (1 << 20)))
-    rows = measured.join(some, "doc_id").select("doc_id", "features", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    quality = {r["doc_id"]: float(r["quality"] > 0) for r in some.collect()}
+    ids = F.broadcast(some.select("doc_id"))  # bounded by max_labelled
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = sorted(features(texts).collect())
     x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([float(r["quality"] > 0) for r in rows]))
+    return fit(x, np.array([quality[r["doc_id"]] for r in rows]))
 
 
-def scored(measured: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    kind = dict(measured.dtypes)["doc_id"]
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document."""
+    kind, model = dict(docs.dtypes)["doc_id"], train(docs, labels)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    found = measured.select("doc_id", "features").mapInArrow(add, f"doc_id {kind}, score double")
+    found = docs.select("doc_id", "text").mapInArrow(add, f"doc_id {kind}, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document; the features are written once and read twice."""
-    measured = written(features(docs), "quality-features")
-    return scored(measured, train(measured, labels), threshold)
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that the classifier accepts; a second pass over the texts scores them where they lie."""
-    model = train(written(features(docs), "quality-features"), labels)
+    """The rows of `docs` that the classifier accepts."""
+    model = train(docs, labels)
     at = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
