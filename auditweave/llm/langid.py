@@ -4,9 +4,11 @@ A suffix automaton of each language's labelled text finds, from any place of a t
 language's sample; a text is parsed into such matches (phrases) one after the other. The phrases that a language
 needs, times the bits that point into its sample, for each character, estimate its cross entropy: the lowest wins.
 
-The samples are bounded: `sample_docs` labelled documents of each language, those with the smallest hashes of
-their ids, `doc_chars` characters of each, `sample_chars` in all. Whole texts are parsed, in lower case.
+The samples are bounded by parameters: of each language whole texts of up to `sample_docs` labelled documents, with
+`sample_chars` characters together (one text at least), those with the smallest hashes of their ids; texts of more than an
+eighth of that come last. Whole texts are parsed, in lower case.
 
+The score is the share of characters that the best language's phrases save: 1 - phrases / characters.
 A text that is null or has no letter gets `und` and score 0; so does every text where no language was learned.
 Ties go to the language that sorts first. Rows without lang only get predictions. Repeated rows each give a row.
 """
@@ -79,40 +81,36 @@ def phrases(text: str, start: dict, most: float = math.inf) -> tuple[int, int]:
 
 
 def rank(text: str, learned: list[tuple[str, dict, float]]) -> tuple[str, float]:
-    """The language with the lowest rate and the share by which the next one's is higher.
+    """The language with the fewest bits for the text, and the share of its characters that its phrases save.
 
-    The languages come in the order of the first block; one that needs more than the best so far is given up
-    there, and its rate is that of the part read.
+    The languages come in the order of the first block, and one is given up as soon as it needs more than the best
+    so far, which decides nothing but the time it takes.
     """
     head = text[:BLOCK]
     order = sorted(learned, key=lambda x: (phrases(head, x[1])[0] * x[2], x[0])) if len(text) > BLOCK else learned
-    best, rates = math.inf, []
-    for name, start, bits in order:
-        count, read = phrases(text, start, best / bits)
-        if read == len(text):
-            best = min(best, count * bits)
-        rates.append((read < len(text), count * bits / read, name))
-    rates.sort()
-    second = min((r[1] for r in rates[1:]), default=math.inf)
-    return rates[0][2], max(0.0, 1 - rates[0][1] / second)
-
-
-def learn(docs: DataFrame, usable: Column, sample_docs: int = 100, doc_chars: int = 300, sample_chars: int = 24_000) -> dict[str, str]:
+    best, name, needed = math.inf, "", 0
+    for language, start, bits in order:
+        count, read = phrases(text, start, best / bits * (1 + 1e-12))
+        if read == len(text) and (count * bits, language) < (best, name or language + "~"):
+            best, name, needed = count * bits, language, count
+    return name, 1 - needed / len(text)
+
+
+def learn(docs: DataFrame, usable: Column, sample_docs: int = 100, sample_chars: int = 48_000) -> dict[str, str]:
     """The sample text of each language, from rows for which `usable` holds."""
-    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
-    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
-    rows = known.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, doc_chars).alias("text")).collect()
-    samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        text = samples.get(r["lang"], "")
-        samples[r["lang"]] = (text + " " + r["text"].lower())[:sample_chars]
-    return {k: v for k, v in sorted(samples.items()) if any(c.isalpha() for c in v)}
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.char_length("text") > sample_chars // 8, F.xxhash64("doc_id"), "doc_id", "text")
+    first = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
+    chosen = first.withColumn("total", F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    samples: dict[str, list[str]] = {}
+    for r in chosen.filter((F.col("total") <= sample_chars) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "text").collect():
+        samples.setdefault(r["lang"], []).append(r["text"].lower())
+    joined = {k: " ".join(v) for k, v in samples.items()}
+    return {k: v for k, v in joined.items() if any(c.isalpha() for c in v)}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, lang_pred and score (share by which the best language needs less than the second) of each row."""
+    """The id, lang_pred and score of each row."""
     kind = dict(docs.dtypes)[id_col]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
