@@ -10,6 +10,7 @@ For a random rotation a / f estimates the cosine without bias, and
 but for a chance that falls as exp(-eps^2 / 2). The best estimates are reranked by the exact cosine in double
 precision; then, so is every other row whose upper bound reaches the k-th best exact cosine found.
 
+Vectors are scaled by a power of two first, so that no square is too large or too small for a double and no digit changes.
 Vectors that are null, empty, zero or hold a null or non-finite component take no part; ties go to smaller ids;
 a query with no candidate has no row; rows that repeat an id count once.
 """
@@ -48,8 +49,14 @@ def _sequential_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1] if len(a) else np.zeros(0)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest components to between a half and 1."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None]) if len(rows) else rows
+
+
 def _within(k: int, eps: float):
     def find(query_ids, queries, ids, rows):
+        queries, rows = scaled(queries), scaled(rows)
         norm = np.sqrt(_sequential_dot(rows, rows))
         turn = rotation(rows.shape[1])
         codes, f = encode(rows / norm[:, None], turn)
