@@ -1,14 +1,17 @@
 """Searches against brute force; classifiers by held-out accuracy; packing and the pipeline by their promises."""
 
+import math
 import zlib
 from array import array
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from auditweave.llm import ann, langid, maxscore, packing, quality, queries, urlrules
+from auditweave.llm.vectors import sortable
 
 from ..compare import connect, duckdb_rows, spark_rows
 
@@ -42,6 +45,33 @@ def test_maxscore_is_exact(spark):
     assert got == brute_search(df, 20, 20, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b)))
 
 
+@pytest.mark.parametrize("peaks", [(2.0**23, 2.0**24), (2.0**40, 3.0), (1e300, 1e290), (1.7e308, 5e307)])
+def test_large_weights_are_ranked_exactly(spark, peaks):
+    rows = [(20, [peaks[0], -1.0, 0.5])] + [(i, [peaks[i % 2] / (i % 5 + 1), float(i), -peaks[1] * (i % 3)]) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in maxscore.top_k(df, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()]
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    score = {i: sum(a * b for a, b in zip(whole[20], w, strict=True)) for i, w in whole.items() if i != 20}
+    best = sorted(score, key=lambda i: (-score[i], i))[:5]
+    assert got == [(20, n, i, max(-(2**63), min(2**63 - 1, score[i]))) for n, i in enumerate(best, 1)]
+
+
+def test_sortable_bytes():
+    some = [0, 1, -1, 255, 256, -255, -256, -257, 2**64, -(2**64), 10**400, -(10**400)]
+    assert sorted(some, key=sortable) == sorted(some)
+
+
+def test_searches_of_empty_tables(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert maxscore.top_k(df, F.col("id") % 20 == 0).count() == 0 and ann.nearest(df, F.col("id") % 50 == 0).count() == 0
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [1e200, 0.0, 0.0, 0.0]), (2, [1e-200, 0.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0]), (4, [1e308, 1e308, 0.0, 0.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).orderBy("rank").collect()]
+    assert [g[2] for g in got] == [1, 2, 4, 3] and np.allclose([g[3] for g in got], [1, 1, 0.5**0.5, 0])
+
+
 def test_sparse_postings_and_small_blocks(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.integers(1, 9, 40) * (rng.random(40) < 0.06)).astype(float).tolist()) for i in range(500)]
@@ -87,6 +117,41 @@ def test_additive_model_finds_a_pair():
     assert auc(y, model.score(x)) > 0.98
 
 
+def test_scores_are_plain_sums_of_table_entries():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), bins=8, rounds=10, pair_rounds=10, pairs=2)
+    for row, score in zip(x, model.score(x), strict=True):
+        place = [sum(row[j] >= c for c in model.cuts[j]) for j in range(3)]
+        total = model.base + sum(model.tables[j][place[j]] for j in range(3)) + sum(t[place[i], place[j]] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def plain_tree(g, h, depth):
+    """The best cut of each node by trying every one."""
+    worth = lambda a, b: a.sum() ** 2 / (b.sum() + 1)
+    cuts = [(worth(g[:c], h[:c]) + worth(g[c:], h[c:]), -c) for c in range(1, len(g))]
+    if depth and cuts and max(cuts)[0] > worth(g, h) + 1e-9:
+        c = -max(cuts)[1]
+        return plain_tree(g[:c], h[:c], depth - 1) + plain_tree(g[c:], h[c:], depth - 1)
+    return [g.sum() / (h.sum() + 1)] * len(g)
+
+
+def test_one_round_of_boosting_by_plain_trees():
+    rng = np.random.default_rng(4)
+    x = rng.random((200, 2))
+    y = (x[:, 0] > 0.4).astype(float)
+    model, base = quality.fit(x, y, bins=6, rounds=1, pair_rounds=0), np.log(y.mean() / (1 - y.mean()))
+    total = np.full(200, base)
+    for j in range(2):
+        place = np.array([sum(v >= c for c in model.cuts[j]) for v in x[:, j]])
+        p = 1 / (1 + np.exp(-total))
+        g, h = (np.array([w[place == b].sum() for b in range(len(model.tables[j]))]) for w in (y - p, p * (1 - p)))
+        step = 0.1 * np.array(plain_tree(g, h, 2))
+        assert np.allclose(model.tables[j], step)
+        total += step[place]
+
+
 def test_quality_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (7, None)], "doc_id long, quality int")
     got = quality.classify(odd_docs, labels).collect()
@@ -101,16 +166,38 @@ def test_languages_are_told(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
-def test_phrases_against_substring_search():
-    sample, text = "abracadabra banana", "cadabbananax abra"
-    start = langid.suffix_automaton(sample)
+def plain_phrases(text, sample):
     n, at = 0, 0
     while at < len(text):
         k = 1
         while at + k < len(text) and text[at : at + k + 1] in sample:
             k += 1
         n, at = n + 1, at + k
-    assert langid.phrases(text, start) == (n, len(text))
+    return n
+
+
+def test_predictions_are_those_of_plain_substring_search(spark, docs):
+    rows = docs.select("doc_id", "text").filter("length(text) < 3000").limit(40)
+    samples = langid.learn(docs, F.lit(True), sample_docs=6, sample_chars=4000)
+    assert len(samples) > 2
+    got = {r["doc_id"]: r for r in langid.predict(rows, samples).collect()}
+    for r in rows.collect():
+        text = (r["text"] or "").lower()
+        if any(map(str.isalpha, text)):
+            bits, name, n = min((plain_phrases(text, s) * math.log2(len(s) + 1), name, plain_phrases(text, s)) for name, s in samples.items())
+            assert got[r["doc_id"]]["lang_pred"] == name and abs(got[r["doc_id"]]["score"] - (1 - n / len(text))) < 1e-12
+
+
+def test_samples_are_whole_texts_within_their_bounds(spark):
+    rows = [(i, "ab cd " * n, lang) for i, (n, lang) in enumerate([(1, "x"), (300, "x"), (2, "x"), (1, "x"), (900, "y"), (800, "y"), (2, None)])]
+    got = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample_docs=2, sample_chars=100)
+    assert set(got) == {"x", "y"} and len(got["x"]) <= 100 and len(got["y"]) in (5400, 4800)
+
+
+def test_phrases_against_substring_search():
+    sample, text = "abracadabra banana", "cadabbananax abra"
+    start = langid.suffix_automaton(sample)
+    assert langid.phrases(text, start) == (plain_phrases(text, sample), len(text))
 
 
 def test_language_of_odd_tables(odd_docs, no_docs):
