@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import smaller_owner
-from .common import slices, with_class_min, written
+from .common import with_class_min, written
 from .shingles import blocks, mix
 
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 256 << 10, 96 << 10
@@ -291,7 +291,7 @@ def _shards(values: list[int], pieces: list[bytes]):
         yield shard
 
 
-def _cut(least: int):
+def _cut(least: int, as_text: bool):
     def work(key, docs: pa.Table, notes: pa.Table) -> pa.Table:
         chunk = Chunk(docs, notes)
         found = np.frombuffer(b"".join(chunk.blobs), np.int32).reshape(-1, 3)
@@ -314,13 +314,16 @@ def _cut(least: int):
         rows = docs.take(pa.array(chunk.order, pa.int64())).select(["row"])
         rows = rows.append_column("n_bytes", pa.array([len(t) for t in chunk.texts], pa.int64()))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        return rows.append_column("removed", pa.array(removed, pa.list_(span))).append_column("kept", pa.array(kept, pa.binary()))
+        rows = rows.append_column("removed", pa.array(removed, pa.list_(span)))
+        if as_text:
+            return rows.append_column("kept", pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+        return rows.append_column("kept", pa.array(kept, pa.binary()))
 
     return work
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """row (the columns of `docs` but its text), n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_windows: int = HOT_WINDOWS, as_text: bool = False) -> DataFrame:
+    """row (the columns of `docs` but its text), n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes; as_text: a string, without what is left of a cut character)."""
     if least < 32:
         raise ValueError("at least 32 bytes")
     row = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
@@ -339,8 +342,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     cut_out = with_notes(copies.unionByName(shared), _send_pieces(least, buckets), "bucket long, _chunk long, meta binary, body binary, places binary")
     found = cut_out.groupBy("bucket").applyInArrow(_resolve(least), NOTES)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
-    return with_notes(copies.unionByName(found), _cut(least), schema)
+    schema = T.StructType([docs.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    return with_notes(copies.unionByName(found), _cut(least, as_text), schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
@@ -351,13 +354,6 @@ def digest(removed: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """`docs` with the texts that are left (what a cut left of a character goes too), in the same columns."""
-    cut = remove_repeats(docs, least).select("row", "kept")
-
-    def whole(batches):
-        for batch in slices(batches):
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
-
-    out = cut.mapInArrow(whole, T.StructType([cut.schema["row"], T.StructField("text", T.StringType())]))
-    column = {"text": F.col("text"), "n_chars": F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    out = remove_repeats(docs, least, as_text=True)
+    column = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*[column.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
