@@ -7,7 +7,7 @@ cardinality, each rounded up to its largest; configurations of these few sizes a
 generation; actual pieces take the configurations' places; what is left and the small pieces go, longest
 first, to the open sequence that they fill best.
 
-Null texts count as empty: a piece that holds the end id alone. Repeated rows are packed each. Other columns
+Null texts count as empty: a piece that holds the end id alone. Repeated rows and rows without an id are packed each. Other columns
 than id and text are not read. An empty table gives no rows.
 """
 
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-MEMO = 250_000
+MEMO, MEMO_CHARS = 250_000, 64
 
 
 class Tokens(dict):
     """Ids of a text as little-endian 32-bit words. Keys of the dictionary: words that follow a blank.
 
     A blank between two characters that are not blank always begins a new unit of the byte-level pattern, so
-    words are looked up one by one; other texts go to the tokenizer whole. The memo is emptied when full.
+    words are looked up one by one; other texts go to the tokenizer whole. The memo is emptied when full; long words stay out.
     """
 
     def __init__(self, ranks_file: str, pattern: str) -> None:
@@ -46,9 +46,11 @@ class Tokens(dict):
         self.irregular = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = array("I", self.encode(" " + word)).tobytes()
+        found = array("I", self.encode(" " + word)).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -68,27 +70,27 @@ def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Tokens]:
 
 
 def cut(docs: DataFrame, tokenizer: Callable[[], Tokens], capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece."""
+    """doc_id, piece, start, length, ids_crc32 of each piece, and deal, a hash of the document's row."""
     end = array("I", [end_id]).tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer()
         for batch in slices(batches):
-            out = [], [], [], [], []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            out = [], [], [], [], [], []
+            for doc, text, deal in zip(*batch.columns, strict=True):
                 ids = tokens.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     stop = at + ((n - at) % capacity or capacity)
-                    for column, value in zip(out, (doc.as_py(), k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])), strict=True):
+                    for column, value in zip(out, (doc.as_py(), k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop]), deal.as_py()), strict=True):
                         column.append(value)
                     at, k = stop, k + 1
-            kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col, F.xxhash64(id_col, text_col)).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 250) -> list[tuple[np.ndarray, int]]:
@@ -190,7 +192,7 @@ def pack_documents(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of `docs`."""
     buckets = max(1, round(docs.count() / bucket_docs))
-    pieces = cut(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    pieces = cut(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("bucket", F.pmod("deal", F.lit(buckets)).cast("int")).drop("deal")
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
