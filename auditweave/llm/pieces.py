@@ -8,6 +8,7 @@ the model file asks; no piece crosses from another character to U+2581, so segme
 searched by themselves and remembered.
 
 Null and empty texts have no ids and decode to the empty text. A U+2581 of the text itself decodes to a blank.
+A column of the input that has the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 BLANK = "▁"
-MEMO = 400_000
+MEMO, MEMO_CHARS = 200_000, 64
 
 
 class Pieces(dict):
-    """Keys: segments; values: their ids as little-endian 32-bit words. Emptied when full."""
+    """Keys: segments that are not long; values: their ids as little-endian 32-bit words. Emptied when full."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
@@ -94,9 +95,11 @@ class Pieces(dict):
         bare(len(segment))
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[segment] = array("I", self.best(segment)).tobytes()
+        found = array("I", self.best(segment)).tobytes()
+        if len(segment) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[segment] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -114,6 +117,7 @@ class Pieces(dict):
 
 
 def _mapped(df: DataFrame, model_file: str, column: str, out: str, kind: str, arrow: pa.DataType, do) -> DataFrame:
+    df = df.select(*[c for c in df.columns if c != out])
     at = df.columns.index(column)
     schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{out}` {kind}"])
 
