@@ -5,6 +5,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -239,6 +240,37 @@ def test_mined_rules_block_what_labels_say(spark):
     assert {r["verdict"] for r in urlrules.judge(pages, labels.limit(0)).collect()} == {"allow"}
 
 
+def test_mined_verdicts_are_those_of_plain_enumeration(spark, sf_dir):
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    tokens = {r["page_id"]: tuple(sorted(r["t"])) for r in pages.select("page_id", urlrules.url_tokens(F.col("url")).alias("t")).collect()}
+    bad = defaultdict(bool)
+    for r in labels.collect():
+        bad[r["doc_id"]] |= r["quality"] == 0 or r["toxic"] == 1
+    known = [(set(tokens[d]), b) for d, b in bad.items() if d in tokens]
+    count = defaultdict(lambda: [0, 0])
+    for t, b in known:
+        for k in range(1, len(t) + 1):
+            for some in combinations(sorted(t), k):
+                count[some][b] += 1
+    n, share = len(known), [sum(b == side for _, b in known) / len(known) for side in (0, 1)]
+    rules = []
+    for some, both in count.items():
+        for side in (0, 1):
+            sure = both[side] / sum(both)
+            if both[side] >= math.ceil(0.02 * n) and sure >= 0.5 and sure / share[side] >= 1.05:
+                rules.append((set(some), (sure, side)))
+    assert {side for _, (_, side) in rules} == {0, 1}
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labels, fixed=(), min_support=0.02).collect()}
+    for page, t in tokens.items():
+        best = max((x for some, x in rules if some <= set(t)), default=(0, 0))
+        assert got[page] == ("block" if best[1] else "allow")
+
+
+def test_rules_on_empty_tables(spark, sf_dir):
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert urlrules.judge(pages.limit(0), labels).count() == 0
+
+
 def test_many_sure_allow_rules_crowd_out_no_block_rule(spark):
     good = "http://good.org/a/b/c/d/e/f/g/h"  # ten tokens: 1023 antecedents, all of them sure
     rows = [(i, good if i % 4 else "http://bad.net/x") for i in range(200)] + [(200, "http://bad.net/x?new=1"), (201, None)]
