@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -11,6 +12,26 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A fixed pseudo-random order of whole numbers below 2^31 - 1, the same in any SQL engine."""
+    return (((F.col(key).cast("long") * 7919 + seed) % 2147483647) * 48271 + 11) % 2147483647
+
+
+def numbered(df: DataFrame, key: str, seed: int, out: str, parts: int = 256) -> DataFrame:
+    """`df` with `out`, each row's number from 0 in the seeded order of `key` (then `key`).
+
+    The order's range is cut into `parts`: rows are numbered within their part, and only the parts' counts are put in
+    a row by one task.
+    """
+    rows = df.withColumn("_o", seeded(key, seed)).withColumn("_part", F.floor(F.col("_o") * parts / 2147483647))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_part").alias("_of"), before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_o", key)) - 1
+    found = rows.withColumn("_within", within).join(F.broadcast(starts), F.col("_part") == F.col("_of"))  # `parts` rows at most
+    return found.withColumn(out, F.col("_before") + F.col("_within")).select(*df.columns, out)
+
+
 def dot(a: Column, b: Column, dim: int | None = None) -> Column:
     """Inner product of two arrays of numbers, summed in order. With the length given it is one compiled expression."""
     if dim:

@@ -115,18 +115,22 @@ def verify_log_chain(stored: DataFrame) -> DataFrame:
     return stored.select("chain_id", "id", "record_hash").join(again, ["chain_id", "id"]).filter("record_hash <> expected").select("chain_id", "id")
 
 
-def split_retries(logs: DataFrame, node: str = "KnowledgeRetriever") -> DataFrame:
+def split_retries(logs: DataFrame, node: str = "RepairPlanner") -> DataFrame:
     """The chain of each record: its trace's, and from the second `node` of the trace on one of its own."""
     order = Window.partitionBy("trace_id").orderBy("started_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.sum((F.split("node_name", ":")[0] == node).cast("int")).over(order)
     return logs.select("id", "trace_id", F.when(seen >= 2, F.concat("trace_id", F.lit("-retry"))).otherwise(F.col("trace_id")).alias("new_chain"))
 
 
-def seal(df: DataFrame, key: str, buckets: int = 16) -> DataFrame:
-    """A digest of each bucket of rows, whatever their order: the sha256 of its rows' sorted sha256 values."""
+def seal(df: DataFrame, key: str, buckets: int = 16, digits: int = 3) -> DataFrame:
+    """A digest of each bucket of rows, whatever their order: the sha256 of the digests of its parts, in order, each of
+    them the sha256 of the sorted sha256 values of the rows that begin with the same hex digits (more for more rows)."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
     rows = df.select((F.col(key) % buckets).alias("bucket"), F.sha2(text, 256).alias("h"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    digest = lambda of: F.sha2(F.array_join(of, ""), 256)
+    parts = rows.groupBy("bucket", F.substring("h", 1, digits).alias("start")).agg(F.count("*").alias("n"), digest(F.array_sort(F.collect_list("h"))).alias("part"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n_rows"), digest(ordered).alias("digest"))
 
 
 def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:

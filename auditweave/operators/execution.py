@@ -77,18 +77,19 @@ def step_kappa(verdicts: DataFrame) -> DataFrame:
 SAFETY_INTENTS = ("troubleshoot", "replace_part", "procedural")
 
 
-def routing_by_edges(logs: DataFrame) -> DataFrame:
-    """Edge rows: should the intent reach safety evaluation, and did it? A missing target counts as reached."""
-    rows = logs.filter("operation_type = 'edge' and metadata is not null").select(
-        meta("intent").isin(*SAFETY_INTENTS).alias("should"), F.coalesce(meta("target") != "skip_safety_eval", F.lit(True)).alias("did")
+def routing_by_edges(logs: DataFrame, router: str = "route_from_knowledge") -> DataFrame:
+    """The router's edge rows: should the intent reach safety evaluation, and did it? A missing target counts as reached."""
+    rows = logs.filter("operation_type = 'edge' and metadata is not null").filter(base_name() == router).select(
+        F.lower(meta("intent")).isin(*SAFETY_INTENTS).alias("should"), F.coalesce(meta("target") != "skip_safety_eval", F.lit(True)).alias("did")
     )
     return _routing(rows)
 
 
-def routing_by_nodes(logs: DataFrame, safety_nodes: tuple[str, ...]) -> DataFrame:
-    """Threads: their first intent, and whether a safety node ran."""
-    rows = logs.groupBy("thread_id").agg(F.min_by(meta("intent"), F.when(meta("intent").isNotNull(), F.col("id"))).alias("intent"), F.bool_or(base_name().isin(*safety_nodes)).alias("did"))
-    return _routing(rows.filter("intent is not null").select(F.col("intent").isin(*SAFETY_INTENTS).alias("should"), "did"))
+def routing_by_nodes(logs: DataFrame, safety_nodes: tuple[str, ...], classifier: str = "IntentRouter") -> DataFrame:
+    """The classifier's records with an intent, and whether a safety node ran in their thread."""
+    safe = logs.filter(base_name().isin(*safety_nodes)).select("thread_id", F.lit(True).alias("ran")).distinct()
+    rows = logs.filter(base_name() == classifier).select("thread_id", F.lower(meta("intent")).alias("intent")).filter("intent is not null")
+    return _routing(rows.join(safe, "thread_id", "left").select(F.col("intent").isin(*SAFETY_INTENTS).alias("should"), F.coalesce("ran", F.lit(False)).alias("did")))
 
 
 def _routing(rows: DataFrame) -> DataFrame:

@@ -147,9 +147,9 @@ def affected_summaries(chunks: DataFrame) -> DataFrame:
     return chunks.filter("level > 0").join(hit, "document_id", "left_semi").select("document_id", "id", "level")
 
 
-def quiet_hours(threads: DataFrame, evals: DataFrame, resp_fb: DataFrame, least: int = 10, share_above: float = 0.6) -> DataFrame:
+def quiet_hours(threads: DataFrame, evals: DataFrame, resp_fb: DataFrame, least: int = 10, share_above: float = 0.9) -> DataFrame:
     done = threads.filter("state = 'COMPLETED'").groupBy("device").agg(F.count("*").alias("completed"))
-    of = evals.select("response_id", "thread_id").distinct().join(threads.select(F.col("id").alias("thread_id"), "device"), "thread_id")
+    of = evals.select("response_id", "thread_id").distinct().join(threads.filter("state = 'COMPLETED'").select(F.col("id").alias("thread_id"), "device"), "thread_id")
     fb = live(resp_fb).join(of, "response_id").groupBy("device").agg(F.count("*").alias("feedback"), share(F.sum(F.when(F.col("feedback_type") == "UP", F.col("weight")).otherwise(0.0)), F.sum("weight")).alias("positive"))
     ok = (F.col("completed") >= least) & (F.col("feedback") >= least) & (F.col("positive") > share_above)
     return done.join(fb, "device", "full").select("device", "completed", "feedback", "positive", F.coalesce(ok, F.lit(False)).alias("is_eligible"))

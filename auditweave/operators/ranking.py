@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import share
+from ..functions.columns import numbered, share
 from .execution import ranked
 
 
@@ -59,10 +59,9 @@ def draw(seed: int, iteration: Column, i: Column, n: Column) -> Column:
     return x % n
 
 
-def bootstrap_p(pairs: DataFrame, seed: int = 7, iterations: int = 1000) -> DataFrame:
+def bootstrap_p(pairs: DataFrame, seed: int = 7, iterations: int = 10_000) -> DataFrame:
     """Share of resampled mean differences (centred) that are as large as the one observed. pairs: query_id, a, b."""
-    order = Window.orderBy("query_id")
-    diffs = pairs.select((F.row_number().over(order) - 1).cast("long").alias("place"), (F.col("a") - F.col("b")).alias("d"))  # one value a query
+    diffs = numbered(pairs.select("query_id", (F.col("a") - F.col("b")).alias("d")), "query_id", seed, "place").select("place", "d")
     seen = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
     draws = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(seen)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     drawn = draws.withColumn("place", draw(seed, F.col("iteration"), F.col("i"), F.col("n"))).join(diffs, "place")

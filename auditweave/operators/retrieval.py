@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,11 +183,12 @@ def section_groups(rows: DataFrame, by: str, most: int = 8) -> DataFrame:
 
 
 def context_budget(groups: DataFrame, by: str, budget: int = 12) -> DataFrame:
-    """One row of each group and the rest by group size, or one of each of the best groups where they are too many."""
+    """All rows where the budget holds them; else one of each group and the rest by group size, or one of each of the best groups where
+    they are too many."""
     per = groups.groupBy(by, "label").agg(F.count("*").alias("size"), F.max(F.coalesce("reranker_score", F.lit(-1))).alias("top"))
     total, n = F.sum("size").over(Window.partitionBy(by)), F.count("*").over(Window.partitionBy(by))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("top"), "label"))
-    share = F.when(F.col("n") <= budget, 1 + F.floor((budget - F.col("n")) * F.col("size") / F.col("total"))).otherwise(F.when(F.col("rank") <= budget, 1).otherwise(0))
+    share = F.when(F.col("total") <= budget, F.col("size")).when(F.col("n") <= budget, 1 + F.floor((budget - F.col("n")) * F.col("size") / F.col("total"))).otherwise(F.when(F.col("rank") <= budget, 1).otherwise(0))
     given = per.withColumn("total", total).withColumn("n", n).withColumn("rank", rank).select(by, "label", share.cast("int").alias("given"))
     return groups.join(given, [by, "label"]).filter(F.col("place") <= F.col("given"))
 
@@ -226,7 +231,7 @@ def lexical_scores(pairs: DataFrame) -> DataFrame:
     """.55 Jaccard of words, .25 for a cited page, .20 best caption Jaccard, of step_text, chunk_text, caption, page."""
     a, b, c = words(F.col("step_text"), 3), words(F.col("chunk_text"), 3), words(F.col("caption"), 3)
     jaccard = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
-    cited = F.when(F.coalesce(F.col("step_text").contains(F.concat(F.lit("page "), F.col("page").cast("string"))), F.lit(False)), 0.25).otherwise(0.0)
+    cited = F.when(F.coalesce(F.regexp_like("step_text", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit("($|[^0-9])"))), F.lit(False)), 0.25).otherwise(0.0)
     return pairs.select("response_id", "step_index", "chunk_id", F.round(0.55 * jaccard(a, b) + cited + 0.2 * jaccard(a, c), 6).alias("score"))
 
 
@@ -247,24 +252,32 @@ def assign_in_order(scores: DataFrame, above: float = 0.1, reach: int = 1) -> Da
     """As above, but the chunk's place never falls from step to step; chunks with images left over then go to the nearest
     step that has a chunk, `reach` steps away at most. One response at a time, whose steps and chunks are few."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, low, taken = [], -1, set()
-        for step, rows in sorted(pdf.groupby("step_index")):
-            fit = rows[(rows["chunk_at"] >= low) & (rows["score"] > above)].sort_values(["score", "chunk_id"], ascending=[False, True])
-            if len(fit):
-                top = fit.iloc[0]
-                low = top["chunk_at"]
-                taken.add(top["chunk_id"])
-                out.append((top["response_id"], int(step), top["chunk_id"], float(top["score"]), False))
-        filled = [(s, c) for _, s, c, _, _ in out]
-        left = pdf[pdf["has_image"] & ~pdf["chunk_id"].isin(taken)].drop_duplicates("chunk_id").sort_values("chunk_id")
-        for row in left.itertuples():
-            near = min(((abs(s - row.step_index), s) for s, _ in filled), default=(reach + 1, 0))
-            if near[0] <= reach:
-                out.append((row.response_id, int(near[1]), row.chunk_id, 0.0, True))
-        return pd.DataFrame(out, columns=["response_id", "step_index", "chunk_id", "score", "is_rescued"])
-
-    return scores.groupBy("response_id").applyInPandas(walk, "response_id long, step_index int, chunk_id string, score double, is_rescued boolean")
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        low, taken, filled = -1, set(), []
+        for step, group in groupby(rows, key=lambda r: r[1]):
+            top = next((r for r in group if r[3] is not None and r[4] is not None and r[4] >= low and r[3] > above), None)
+            if top:
+                low = top[4]
+                taken.add(top[2])
+                filled.append(step)
+                yield top[0], step, top[2], top[3], False
+        for _, group in groupby(sorted((r for r in rows if r[5] and r[2] not in taken), key=lambda r: (r[2], r[1])), key=lambda r: r[2]):
+            row = next(group)
+            away, step = min(((abs(s - row[1]), s) for s in filled), default=(reach + 1, 0))
+            if away <= reach:
+                yield row[0], step, row[2], 0.0, True
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in chain(batches, [None]):
+            rows = held + (list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) if batch else [])
+            groups = [list(g) for _, g in groupby(rows, key=lambda r: r[0])]
+            held = groups.pop() if groups and batch else []
+            found = [x for g in groups for x in one(g)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["response_id", "step_index", "chunk_id", "score", "is_rescued"])
+
+    ordered = scores.select("response_id", "step_index", "chunk_id", "score", "chunk_at", "has_image").repartition("response_id").sortWithinPartitions("response_id", "step_index", F.desc("score"), "chunk_id")
+    return ordered.mapInArrow(walk, "response_id long, step_index int, chunk_id string, score double, is_rescued boolean")
 
 
 def resolve_references(refs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,17 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import share
+from ..functions.columns import numbered, seeded, share
 
 #: Kinds of fault.
 KINDS = ("chunk_deletion", "score_perturbation", "log_gap", "manifest_tamper")
 
 
-def seeded(key: str, seed: int) -> Column:
-    """A fixed pseudo-random order of whole numbers, the same in any SQL engine."""
-    return (((F.col(key) * 7919 + seed) % 2147483647) * 48271 + 11) % 2147483647
-
-
 def eligible_sessions(run_log: DataFrame, nodes: DataFrame, least_chunks: int = 3, least_nodes: int = 2) -> DataFrame:
     rows = run_log.filter(F.col("response_id").isNotNull() & (F.col("status") == "PASS") & (F.col("chunks_retrieved") >= least_chunks))
     return rows.join(nodes.filter(F.col("n_nodes") >= least_nodes), "thread_id").select("query_id", "response_id", "thread_id", "variant", "safety_found", "actual_intent")
@@ -39,10 +34,9 @@ def stratified(sessions: DataFrame, strata: list[tuple[Column, int]], total: int
 
 
 def assigned(sessions: DataFrame, seed: int) -> DataFrame:
-    """Every second session in a seeded order is injected, with the kinds in turn; sessions number a few."""
-    n = F.row_number().over(Window.orderBy(seeded("query_id", seed), "query_id")) - 1
+    """Every second session in a seeded order is injected, with the kinds in turn."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    rows = sessions.withColumn("_n", n)
+    rows = numbered(sessions, "query_id", seed, "_n")
     return rows.select("query_id", "response_id", "thread_id", (F.col("_n") % 2 == 0).alias("is_injected"), F.when(F.col("_n") % 2 == 0, kinds[(F.floor(F.col("_n") / 2) % len(KINDS)).cast("int")]).alias("kind"))
 
 
@@ -93,18 +87,18 @@ def overview(logs: DataFrame) -> DataFrame:
 
 
 def anomalies(logs: DataFrame) -> DataFrame:
-    """One row for each oddity of a record."""
+    """One row for each oddity of a record; edges are no records of their own."""
     latency = F.coalesce("latency_ms", F.lit(0))
     odd = F.array_compact(F.array(
         F.when(F.col("completed_ms").isNull(), "not_completed"), F.when(F.col("latency_ms").isNull() | (latency == 0), "no_latency"),
-        F.when(latency > 60_000, "slow"), F.when(F.col("metadata").isNull(), "no_metadata"),
+        F.when(latency > 120_000, "slow"), F.when(F.col("metadata").isNull(), "no_metadata"),
     ))
-    return logs.select("id", F.explode(odd).alias("anomaly"))
+    return logs.filter("operation_type <> 'edge'").select("id", F.explode(odd).alias("anomaly"))
 
 
 def content_check(links: DataFrame, chunks: DataFrame, per_response: int = 2, seed: int = 5) -> DataFrame:
     """Of a seeded pair of links of each response those whose chunk is missing."""
-    order = Window.partitionBy("response_id").orderBy(F.col("similarity_score"), "id")
+    order = Window.partitionBy("response_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
     some = links.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_response)
     known = chunks.select(F.col("id").alias("chunk_id"), F.lit(True).alias("known"))
     return some.join(known, "chunk_id", "left").groupBy("response_id").agg(F.count("*").alias("sampled"), F.count_if(F.col("known").isNull()).alias("missing"))

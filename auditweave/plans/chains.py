@@ -7,14 +7,14 @@ h AS (SELECT document_id, entry_sequence, entry_type, entry_json, n, repeat('0',
   UNION ALL SELECT o.document_id, o.entry_sequence, o.entry_type, o.entry_json, o.n, h.entry_hash, sha256(h.entry_hash || o.entry_json) FROM h JOIN o ON o.document_id = h.document_id AND o.n = h.n + 1),
 t AS (SELECT * REPLACE (CASE WHEN document_id % 5 = 0 AND entry_type = 'chunk_created' THEN 'TAMPERED_' || left(entry_hash, 55) ELSE entry_hash END AS entry_hash) FROM h)"""
 _TEXT = "'|' || operation_type || '|' || coalesce(document, 'None') || '|' || node_name || '|' || started_ms || '|' || coalesce(metadata, '')"
-_LOGS = "l AS (SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE 'd' || (id % 10) END AS document FROM exec_logs WHERE thread_id % 4 = 0)"
+_LOGS = "l AS (SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE 'd' || (id % 10) END AS document FROM exec_logs)"
 _LOG_CHAIN = f"""{_LOGS}, o AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY id) AS n FROM l),
 h AS (SELECT chain_id, id, n, sha256('GENESIS') AS prev_hash, sha256(sha256('GENESIS') || {_TEXT}) AS record_hash FROM o WHERE n = 1
   UNION ALL SELECT h.chain_id, o.id, o.n, h.record_hash, sha256(h.record_hash || {_TEXT}) FROM h JOIN o ON o.chain_id = h.chain_id AND o.n = h.n + 1)"""
 
 
 def _logs(v):
-    return v.exec_logs.filter("thread_id % 4 = 0").withColumn("document", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("d"), F.col("id") % 10)))
+    return v.exec_logs.withColumn("document", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("d"), F.col("id") % 10)))
 
 
 def _changed_logs(v):
@@ -42,11 +42,12 @@ SELECT document_id, 0 AS k, 'registered' AS entry_type, a AS entry_json, ha AS e
 WITH RECURSIVE {_LOG_CHAIN}, f AS (SELECT chain_id, min(id) AS id FROM h WHERE id % 50 = 0 AND id IN (SELECT id FROM l WHERE metadata IS DISTINCT FROM '{{}}') GROUP BY 1)
 SELECT h.chain_id, h.id FROM h LEFT JOIN f ON f.chain_id = h.chain_id WHERE h.id % 70 = 0 OR h.id >= f.id"""),
     ("hc8_split_retries", lambda v: hc.split_retries(v.exec_logs), """
-SELECT id, trace_id, CASE WHEN sum(CASE WHEN split_part(node_name, ':', 1) = 'KnowledgeRetriever' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY started_ms, id ROWS UNBOUNDED PRECEDING) >= 2
+SELECT id, trace_id, CASE WHEN sum(CASE WHEN split_part(node_name, ':', 1) = 'RepairPlanner' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY started_ms, id ROWS UNBOUNDED PRECEDING) >= 2
   THEN trace_id || '-retry' ELSE trace_id END AS new_chain FROM exec_logs"""),
     ("hc9_seal", lambda v: hc.seal(v.links.select("response_id", "chunk_id", "grounding_label"), "response_id"), """
-WITH r AS (SELECT response_id % 16 AS bucket, sha256(chunk_id || chr(31) || grounding_label || chr(31) || response_id) AS h FROM links)
-SELECT bucket, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM r GROUP BY bucket"""),
+WITH r AS (SELECT response_id % 16 AS bucket, sha256(chunk_id || chr(31) || grounding_label || chr(31) || response_id) AS h FROM links),
+s AS (SELECT bucket, left(h, 3) AS start, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS part FROM r GROUP BY 1, 2)
+SELECT bucket, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(part, '' ORDER BY start)) AS digest FROM s GROUP BY bucket"""),
     ("hc10_fingerprint", lambda v: hc.fingerprint(v.run_log, ["response_id", "actual_variant", "actual_intent", "status"]).select("query_id", "fingerprint"), """
 SELECT query_id, left(sha256(concat_ws(';', 'actual_intent=' || nullif(actual_intent, ''), 'actual_variant=' || nullif(actual_variant, ''), 'response_id=' || response_id, 'status=' || status)), 16) AS fingerprint FROM run_log"""),
 ]

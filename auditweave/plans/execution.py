@@ -46,9 +46,9 @@ WITH c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE inline_faithful AND
 p AS (SELECT *, ((both_yes + inline_only) * CAST(both_yes + shadow_only AS DOUBLE) + (neither + shadow_only) * CAST(neither + inline_only AS DOUBLE)) / (CAST(pairs AS DOUBLE) * pairs) AS pe FROM c)
 SELECT pairs, both_yes AS "both", neither, inline_only, shadow_only, round(CASE WHEN pairs = 0 THEN 0.0 WHEN pe >= 1 THEN 1.0 ELSE ((both_yes + neither) / CAST(pairs AS DOUBLE) - pe) / (1 - pe) END, 6) AS kappa FROM p"""),
     ("l2_7_routing_by_edges", lambda v: l2.routing_by_edges(v.exec_logs), f"""
-WITH r AS (SELECT {_J.format('intent')} IN {_SAFETY} AS should, coalesce({_J.format('target')} <> 'skip_safety_eval', true) AS did FROM exec_logs WHERE operation_type = 'edge' AND metadata IS NOT NULL) {_ROUTING}"""),
+WITH r AS (SELECT {_J.format('intent')} IN {_SAFETY} AS should, coalesce({_J.format('target')} <> 'skip_safety_eval', true) AS did FROM exec_logs WHERE operation_type = 'edge' AND metadata IS NOT NULL AND {_BASE} = 'route_from_knowledge') {_ROUTING}"""),
     ("l2_8_routing_by_nodes", lambda v: l2.routing_by_nodes(v.exec_logs, ("RootCauseAnalyzer",)), f"""
-WITH r AS (SELECT arg_min({_J.format('intent')}, id) FILTER (WHERE metadata IS NOT NULL) IN {_SAFETY} AS should, bool_or({_BASE} = 'RootCauseAnalyzer') AS did FROM exec_logs GROUP BY thread_id HAVING count(metadata) > 0) {_ROUTING}"""),
+WITH r AS (SELECT {_J.format('intent')} IN {_SAFETY} AS should, thread_id IN (SELECT thread_id FROM exec_logs WHERE {_BASE} = 'RootCauseAnalyzer') AS did FROM exec_logs WHERE {_BASE} = 'IntentRouter' AND metadata IS NOT NULL) {_ROUTING}"""),
     ("l2_9_complement_rate", lambda v: l2.complement_rate(v.exec_logs), f"""
 WITH r AS (SELECT CAST({_J.format('path_b')} AS INT) AS b, CAST({_J.format('complement_count')} AS INT) AS c FROM exec_logs WHERE metadata IS NOT NULL)
 SELECT count(*) AS rows, count(*) FILTER (WHERE b > 0) AS with_path_b, round(coalesce(avg(c / CAST(b AS DOUBLE)) FILTER (WHERE b > 0), 0.0), 6) AS rate FROM r"""),

@@ -9,11 +9,11 @@ sg AS (SELECT l.chunk_id, CASE action WHEN 'ACCEPT' THEN 1 WHEN 'INCORRECT' THEN
 st AS (SELECT chunk_id, count(*) AS n_steps, sum(greatest(s, 0)) AS plus, sum(greatest(-s, 0)) AS minus FROM sg GROUP BY 1),
 cache AS (SELECT coalesce(th.chunk_id, st.chunk_id) AS chunk_id, coalesce(n_thumbs, 0) AS n_thumbs, coalesce(n_steps, 0) AS n_steps, round(coalesce(up, 0) + coalesce(plus, 0), 6) AS positive, round(coalesce(down, 0) + coalesce(minus, 0), 6) AS negative,
   round(coalesce(up, 0) + coalesce(plus, 0) - coalesce(down, 0) - coalesce(minus, 0), 6) AS net FROM th FULL JOIN st ON st.chunk_id = th.chunk_id)"""
-_CAND = "cand AS (SELECT k.chunk_id, c.document_id, negative, positive FROM cache k JOIN chunks c ON c.id = k.chunk_id WHERE negative >= 5 AND (positive = 0 OR negative / nullif(positive, 0) > 0.5) AND NOT is_blacklisted)"
+_CAND = "cand AS (SELECT k.chunk_id, c.document_id, negative, positive FROM cache k JOIN chunks c ON c.id = k.chunk_id WHERE negative >= 5 AND (positive = 0 OR negative / nullif(positive, 0) > 3) AND NOT is_blacklisted)"
 _KAPPA = """n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) AS o FROM p), x AS (SELECT coalesce(sum(CAST(na AS DOUBLE) * nb), 0) AS m FROM (SELECT a AS k, count(*) AS na FROM p GROUP BY 1) JOIN (SELECT b AS k, count(*) AS nb FROM p GROUP BY 1) USING (k)),
 k AS (SELECT CAST(n AS BIGINT) AS pairs, CAST(o AS BIGINT) AS agreed, CASE WHEN n < 2 THEN NULL WHEN m / (n * n) >= 1 THEN 1.0 ELSE round((o / n - m / (n * n)) / (1 - m / (n * n)), 6) END AS kappa FROM n, x)
 SELECT pairs, agreed, kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' WHEN kappa IS NOT NULL THEN 'almost perfect' END AS band FROM k"""
-_EV = "e AS (SELECT l_orderkey % 500 AS k, l_suppkey % 20 AS u, l_orderkey * 100000 + l_partkey * 8 + l_linenumber AS place, CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN 'DOWN' WHEN 5 THEN 'DOWN' ELSE 'UP' END AS v FROM lineitem WHERE l_quantity < 5)"
+_EV = "e AS (SELECT l_orderkey % 500 AS k, l_suppkey % 20 AS u, l_orderkey * 100000 + l_partkey * 8 + l_linenumber AS place, CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN 'DOWN' WHEN 5 THEN 'DOWN' ELSE 'UP' END AS v FROM lineitem)"
 
 
 def _cache(v):
@@ -21,7 +21,7 @@ def _cache(v):
 
 
 def _candidates(v):
-    return l3.blacklist_candidates(_cache(v), v.chunks, 5, 0.5)
+    return l3.blacklist_candidates(_cache(v), v.chunks, 5, 3)
 
 
 def _label_pairs(v):
@@ -30,11 +30,11 @@ def _label_pairs(v):
 
 def _events(v):
     value = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linenumber") >= 5, "DOWN").otherwise("UP")
-    return v.lineitem.filter("l_quantity < 5").select((F.col("l_orderkey") % 500).alias("k"), (F.col("l_suppkey") % 20).alias("u"), (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("place"), value.alias("v"))
+    return v.lineitem.select((F.col("l_orderkey") % 500).alias("k"), (F.col("l_suppkey") % 20).alias("u"), (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("place"), value.alias("v"))
 
 
 def _scored(v):
-    return v.links.filter("response_id % 4 = 0").select("response_id", "id", "chunk_id", F.col("similarity_score").alias("score"))
+    return v.links.select("response_id", "id", "chunk_id", F.col("similarity_score").alias("score"))
 
 
 PLANS = [
@@ -65,15 +65,15 @@ SELECT k, u, state FROM (SELECT *, row_number() OVER (PARTITION BY k, u ORDER BY
     ("l3_9_step_feedback_fold", lambda v: l3.fold_upserts(_events(v), ["k", "u"], "place", "v"), f"WITH {_EV} SELECT k, u, v AS state FROM (SELECT *, row_number() OVER (PARTITION BY k, u ORDER BY place DESC, v DESC NULLS LAST) AS n FROM e) WHERE n = 1"),
     ("l3_10_chunk_cache", _cache, f"WITH {_CACHE} SELECT * FROM cache"),
     ("l3_11_feedback_boost", lambda v: l3.boosted(_scored(v), _cache(v)), f"""
-WITH {_CACHE} SELECT response_id, l.id, l.chunk_id, similarity_score AS score, round(similarity_score + 0.05 * least(1, greatest(-1, coalesce(net / nullif(positive + abs(negative), 0), 0))), 6) AS adjusted FROM links l LEFT JOIN cache k ON k.chunk_id = l.chunk_id WHERE response_id % 4 = 0"""),
+WITH {_CACHE} SELECT response_id, l.id, l.chunk_id, similarity_score AS score, round(similarity_score + 0.05 * least(1, greatest(-1, coalesce(net / nullif(positive + abs(negative), 0), 0))), 6) AS adjusted FROM links l LEFT JOIN cache k ON k.chunk_id = l.chunk_id"""),
     ("l3_12_blacklist_candidates", _candidates, f"WITH {_CACHE}, {_CAND} SELECT chunk_id, document_id, negative, positive FROM cand"),
     ("l3_13_bulk_blacklist", lambda v: l3.blacklisted(v.chunks, _candidates(v))[1], f"WITH {_CACHE}, {_CAND} SELECT chunk_id, document_id, 'BLACKLIST' AS action FROM cand"),
     ("l3_14_unblacklist", lambda v: l3.unblacklisted(v.chunks, v.docs.filter("id % 2 = 0").select(F.col("id").alias("document_id"))).filter("is_blacklisted").select("id", "document_id"), "SELECT id, document_id FROM chunks WHERE is_blacklisted AND document_id % 2 <> 0"),
     ("l3_15_affected_summaries", lambda v: l3.affected_summaries(v.chunks), "SELECT document_id, id, level FROM chunks WHERE level > 0 AND document_id IN (SELECT document_id FROM chunks WHERE is_blacklisted AND level = 0)"),
     ("l3_16_quiet_hours", lambda v: l3.quiet_hours(v.threads, v.evals, v.resp_fb), """
-WITH d AS (SELECT device, count(*) AS completed FROM threads WHERE state = 'COMPLETED' GROUP BY 1), o AS (SELECT DISTINCT response_id, device FROM evals JOIN threads t ON t.id = thread_id),
+WITH d AS (SELECT device, count(*) AS completed FROM threads WHERE state = 'COMPLETED' GROUP BY 1), o AS (SELECT DISTINCT response_id, device FROM evals JOIN threads t ON t.id = thread_id WHERE state = 'COMPLETED'),
 f AS (SELECT device, count(*) AS feedback, sum(CASE WHEN feedback_type = 'UP' THEN weight ELSE 0 END) / sum(weight) AS positive FROM resp_fb JOIN o USING (response_id) WHERE NOT retracted GROUP BY 1)
-SELECT device, completed, feedback, positive, coalesce(completed >= 10 AND feedback >= 10 AND positive > 0.6, false) AS is_eligible FROM d FULL JOIN f USING (device)"""),
+SELECT device, completed, feedback, positive, coalesce(completed >= 10 AND feedback >= 10 AND positive > 0.9, false) AS is_eligible FROM d FULL JOIN f USING (device)"""),
     ("l3_17_retraction", lambda v: l3.retracted(v.resp_fb, v.resp_fb.filter("response_id % 50 = 0")).select("response_id", "user_id", "retracted"), "SELECT response_id, user_id, retracted OR response_id % 50 = 0 AS retracted FROM resp_fb"),
     ("l3_18_first_report", lambda v: l3.first_write(v.links.select("chunk_id", "response_id", "id"), ["chunk_id", "response_id"], "id"), "SELECT chunk_id, response_id, min(id) AS id FROM links GROUP BY 1, 2"),
     ("l3_19_thread_feedback", lambda v: l3.thread_feedback(v.evals, v.resp_fb, v.step_fb), """

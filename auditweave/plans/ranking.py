@@ -2,9 +2,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import ranking as ir
+from ..sources.tables import stage_table
 from .retrieval import _COS
 
-_R = f"""rr AS (SELECT q.query_id, e.vec_id AS doc_id, e.label, {_COS.format(a='q.query_vector', b='e.embedding')} AS s FROM query_vectors q JOIN embeddings e ON e.vec_id <> q.query_id WHERE q.query_id < 200),
+_R = f"""rr AS (SELECT q.query_id, e.vec_id AS doc_id, e.label, {_COS.format(a='q.query_vector', b='e.embedding')} AS s FROM query_vectors q JOIN embeddings e ON e.vec_id <> q.query_id),
 rankings AS (SELECT query_id, 'vector' AS mode, rank, doc_id, doc_id % 3 AS level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT) AS rank FROM rr) WHERE rank <= 20
   UNION ALL SELECT query_id, 'hybrid', rank, doc_id, doc_id % 3 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s + CASE WHEN label = query_id % 10 THEN 0.2e0 ELSE 0 END DESC, doc_id) AS INT) AS rank FROM rr) WHERE rank <= 20
   UNION ALL SELECT query_id, 'random', rank, doc_id, doc_id % 3 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 7919 + query_id) % 10007, doc_id) AS INT) AS rank FROM rr) WHERE rank <= 20),
@@ -20,31 +21,32 @@ _OVER = "coalesce((SELECT count(*) FILTER (WHERE n = 2) / CAST(count(*) AS DOUBL
 def _rows(v):
     from ..functions.columns import cosine
 
-    queries = v.query_vectors.filter("query_id < 200").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    queries = v.query_vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7))))
     docs = v.embeddings.select(F.col("vec_id").alias("doc_id"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("_b"))
-    return queries.join(docs, "_b").filter("doc_id <> query_id").select("query_id", "doc_id", "label", cosine(F.col("query_vector"), F.col("embedding")).alias("s"))
+    rows = queries.join(docs, "_b").filter("doc_id <> query_id").select("query_id", "doc_id", "label", cosine(F.col("query_vector"), F.col("embedding")).alias("s"))
+    return stage_table(rows)  # the rankings and the judgements read it again
 
 
-def _rankings(v):
-    rows = _rows(v)
-    orders = {"vector": F.desc("s"), "hybrid": F.desc(F.col("s") + F.when(F.col("label") == F.col("query_id") % 10, 0.2).otherwise(0.0)), "random": ((F.col("doc_id") * 7919 + F.col("query_id")) % 10007).asc()}
-    out = None
-    for mode, order in orders.items():
-        part = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "doc_id"))).filter("rank <= 20").select("query_id", F.lit(mode).alias("mode"), "rank", "doc_id", (F.col("doc_id") % 3).alias("level"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _rankings(v, rows=None):
+    rows = _rows(v) if rows is None else rows
+    hybrid = F.col("s") + F.when(F.col("label") == F.col("query_id") % 10, 0.2).otherwise(0.0)
+    orders = {"vector": -F.col("s"), "hybrid": -hybrid, "random": ((F.col("doc_id") * 7919 + F.col("query_id")) % 10007).cast("double")}
+    each = F.explode(F.array(*[F.struct(F.lit(mode).alias("mode"), order.alias("o")) for mode, order in orders.items()])).alias("m")
+    placed = rows.select("query_id", "doc_id", each).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "m.mode").orderBy("m.o", "doc_id")))
+    return placed.filter("rank <= 20").select("query_id", "m.mode", "rank", "doc_id", (F.col("doc_id") % 3).alias("level"))
 
 
-def _qrels(v):
-    return _rows(v).filter(F.col("label") == F.col("query_id") % 10).select("query_id", "doc_id", F.when(F.abs(F.col("doc_id") - F.col("query_id")) < 100, 2).otherwise(1).alias("grade"))
+def _qrels(v, rows=None):
+    return (_rows(v) if rows is None else rows).filter(F.col("label") == F.col("query_id") % 10).select("query_id", "doc_id", F.when(F.abs(F.col("doc_id") - F.col("query_id")) < 100, 2).otherwise(1).alias("grade"))
 
 
 def _scores(v):
-    return ir.per_query(_rankings(v), _qrels(v), 10)
+    rows = _rows(v)
+    return ir.per_query(_rankings(v, rows), _qrels(v, rows), 10)
 
 
 def _paired(v):
-    s = _scores(v)
+    s = stage_table(_scores(v))
     return s.filter("mode = 'hybrid'").select("query_id", F.col("ndcg").alias("a")).join(s.filter("mode = 'random'").select("query_id", F.col("ndcg").alias("b")), "query_id")
 
 
@@ -54,8 +56,8 @@ PLANS = [
 WITH {_R} SELECT query_id, count(*) FILTER (WHERE n = 2) / CAST(count(*) AS DOUBLE) AS overlap FROM (SELECT query_id, doc_id, count(*) AS n FROM rankings WHERE rank <= 10 AND mode IN ('vector', 'hybrid') GROUP BY 1, 2) GROUP BY 1"""),
     ("ir7_summary_ratio", lambda v: ir.summary_ratio(_rankings(v)), f"WITH {_R} SELECT mode, round(avg(CASE WHEN level > 0 THEN 1.0e0 ELSE 0 END), 6) AS summary_ratio FROM rankings GROUP BY 1"),
     ("ir8_bootstrap_p", lambda v: ir.bootstrap_p(_paired(v)), f"""
-WITH {_R}, d AS (SELECT row_number() OVER (ORDER BY a.query_id) - 1 AS place, a.ndcg - b.ndcg AS d FROM pq a JOIN pq b ON a.query_id = b.query_id AND a.mode = 'hybrid' AND b.mode = 'random'), c AS (SELECT count(*) AS n, avg(d) AS mean FROM d),
-x AS (SELECT it, c.n, c.mean, ((((it * 7919 + i * 104729 + 7) % 2147483647) * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 % c.n AS place FROM c, range(1000) t(it), range((SELECT n FROM c)) u(i)),
+WITH {_R}, d AS (SELECT row_number() OVER (ORDER BY (((a.query_id * 7919 + 7) % 2147483647) * 48271 + 11) % 2147483647, a.query_id) - 1 AS place, a.ndcg - b.ndcg AS d FROM pq a JOIN pq b ON a.query_id = b.query_id AND a.mode = 'hybrid' AND b.mode = 'random'), c AS (SELECT count(*) AS n, avg(d) AS mean FROM d),
+x AS (SELECT it, c.n, c.mean, ((((it * 7919 + i * 104729 + 7) % 2147483647) * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 % c.n AS place FROM c, range(10000) t(it), range((SELECT n FROM c)) u(i)),
 m AS (SELECT it, avg(d.d - x.mean) AS m, any_value(x.mean) AS mean, any_value(x.n) AS n FROM x JOIN d USING (place) GROUP BY it)
 SELECT max(n) AS n, round(max(mean), 6) AS mean, count(*) FILTER (WHERE round(abs(m), 9) >= round(abs(mean), 9)) / CAST(count(*) AS DOUBLE) AS p_value FROM m"""),
     ("ir9_report", lambda v: ir.report(_scores(v), ["recall", "precision", "mrr", "ndcg"], ("hybrid", "vector")), f"""

@@ -28,16 +28,16 @@ def _sections(v):
 
 
 def _grouped(v):
-    rows = v.links.filter("response_id % 5 = 0").join(v.chunks.selectExpr("id AS chunk_id", "CASE WHEN section_header = 'es' THEN ' ' ELSE section_header END AS section_header"), "chunk_id")
-    return rt.section_groups(rows, "response_id", 4)
+    rows = v.links.join(v.chunks.selectExpr("id AS chunk_id", "CASE WHEN section_header = 'es' THEN ' ' ELSE section_header END AS section_header"), "chunk_id")
+    return rt.section_groups(rows, "response_id")
 
 
-_G = """gr AS (SELECT l.*, CASE WHEN c.section_header = 'es' THEN 'ungrouped' ELSE c.section_header END AS label FROM links l JOIN chunks c ON c.id = l.chunk_id WHERE response_id % 5 = 0),
-g AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id, label ORDER BY coalesce(reranker_score, -1) DESC, coalesce(similarity_score, -1) DESC, id) AS INT) AS place FROM gr) WHERE place <= 4)"""
+_G = """gr AS (SELECT l.*, CASE WHEN c.section_header = 'es' THEN 'ungrouped' ELSE c.section_header END AS label FROM links l JOIN chunks c ON c.id = l.chunk_id),
+g AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id, label ORDER BY coalesce(reranker_score, -1) DESC, coalesce(similarity_score, -1) DESC, id) AS INT) AS place FROM gr) WHERE place <= 8)"""
 
 
 def _examples(v):
-    return v.embeddings.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5 != 0).alias("is_active"), (F.col("vec_id") % 11 == 0).alias("is_superseded"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("dev"), F.col("vec_id") % 3)).alias("for_device"))
+    return v.embeddings.select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5 != 0).alias("is_active"), (F.col("vec_id") % 11 == 0).alias("is_superseded"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("dev"), F.col("vec_id") % 3)).alias("for_device"))
 
 
 def _rules(v):
@@ -45,29 +45,29 @@ def _rules(v):
 
 
 def _requests(v):
-    return v.part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("query_id"), (F.col("p_size") % 3).alias("category"), F.concat(F.lit("The "), F.upper("p_name"), F.lit(" fails")).alias("text"))
+    return v.part.select(F.col("p_partkey").alias("query_id"), (F.col("p_size") % 3).alias("category"), F.concat(F.lit("The "), F.upper("p_name"), F.lit(" fails")).alias("text"))
 
 
 def _pairs(v):
-    steps = v.links.filter("response_id % 40 = 0 and step_index is not null").join(v.leaves.selectExpr("id AS chunk_id", "text AS chunk_text", "section_header AS header", "page_start AS page"), "chunk_id")
+    steps = v.links.filter("step_index is not null").join(v.leaves.selectExpr("id AS chunk_id", "text AS chunk_text", "section_header AS header", "page_start AS page"), "chunk_id")
     said = v.benchmark.select(F.col("item_id").alias("step_no"), F.col("text").alias("step_text"))
     rows = steps.withColumn("step_no", F.col("step_index") * 5 % 40).join(said, "step_no")
-    return rows.select("response_id", "step_index", "chunk_id", "step_text", "chunk_text", "header", "page", F.substring("chunk_text", 1, 100).alias("caption")).distinct()
+    return rows.select("response_id", "step_index", "chunk_id", "step_text", "chunk_text", "header", "page", F.col("header").alias("caption")).distinct()
 
 
-_P = """pr AS (SELECT DISTINCT l.response_id, l.step_index, l.chunk_id, b.text AS step_text, c.text AS chunk_text, left(c.text, 100) AS caption, c.section_header AS header, c.page_start AS page
-  FROM links l JOIN leaves c ON c.id = l.chunk_id JOIN benchmark b ON b.item_id = l.step_index * 5 % 40 WHERE response_id % 40 = 0 AND step_index IS NOT NULL),
+_P = """pr AS (SELECT DISTINCT l.response_id, l.step_index, l.chunk_id, b.text AS step_text, c.text AS chunk_text, c.section_header AS caption, c.section_header AS header, c.page_start AS page
+  FROM links l JOIN leaves c ON c.id = l.chunk_id JOIN benchmark b ON b.item_id = l.step_index * 5 % 40 WHERE step_index IS NOT NULL),
 w AS (SELECT *, list_distinct(regexp_extract_all(lower(step_text), '([0-9A-Za-z_]{3,})')) AS a, list_distinct(regexp_extract_all(lower(chunk_text), '([0-9A-Za-z_]{3,})')) AS b, list_distinct(regexp_extract_all(lower(caption), '([0-9A-Za-z_]{3,})')) AS c FROM pr),
 lex AS (SELECT response_id, step_index, chunk_id, round(0.55 * coalesce(len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0), 0)
-  + CASE WHEN contains(step_text, 'page ' || page) THEN 0.25 ELSE 0 END + 0.2 * coalesce(len(list_intersect(a, c)) / nullif(CAST(len(list_distinct(list_concat(a, c))) AS DOUBLE), 0), 0), 6) AS score FROM w)"""
+  + CASE WHEN regexp_matches(step_text, 'page ' || page || '($|[^0-9])') THEN 0.25 ELSE 0 END + 0.2 * coalesce(len(list_intersect(a, c)) / nullif(CAST(len(list_distinct(list_concat(a, c))) AS DOUBLE), 0), 0), 6) AS score FROM w)"""
 
 
 def _placed_pairs(v):
-    return _pairs(v).selectExpr("response_id", "step_index", "chunk_id", "step_text", "concat(header, ' ', substring(chunk_text, 1, 30)) AS header", "step_index / 6.0D AS step_at", "page % 10 / 10.0D AS chunk_at", "page % 3 = 0 AS page_cited")
+    return _pairs(v).selectExpr("response_id", "step_index", "chunk_id", "step_text", "header", "step_index / 6.0D AS step_at", "page % 10 / 10.0D AS chunk_at", "page % 3 = 0 AS page_cited")
 
 
 def _refs(v):
-    rows = v.links.filter("response_id % 20 = 0").join(v.chunks.selectExpr("id AS chunk_id", "document_id"), "chunk_id")
+    rows = v.links.join(v.chunks.selectExpr("id AS chunk_id", "document_id"), "chunk_id")
     n = F.col("reranker_score").cast("string")
     ref = F.when(F.col("response_id") % 3 == 0, F.col("chunk_id")).when(F.col("step_index") == 0, F.concat(F.lit("Seq "), n)).when(F.col("step_index") == 1, F.concat(F.lit("see page "), n)).when(F.col("step_index") == 2, F.concat(F.lit("man:"), n)).otherwise("none")
     return rows.select(ref.alias("ref"), "document_id").distinct()
@@ -89,8 +89,8 @@ WITH {_M} SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM (SELECT *,
 WITH d AS (SELECT q.query_id, c.document_id, round(avg(1 - {_QC}), 6) AS distance FROM query_vectors q, chunks c WHERE c.level >= 1 AND c.embedding IS NOT NULL GROUP BY 1, 2)
 SELECT query_id, document_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS n FROM d) WHERE n = 1"""),
     ("rt6_summaries", lambda v: rt.summaries(v.chunks), "SELECT document_id, id, level, CAST(row_number() OVER (PARTITION BY document_id ORDER BY level DESC, page_start ASC NULLS LAST, id) AS INT) AS place FROM chunks WHERE level BETWEEN 1 AND 2"),
-    ("rt7_walkthrough", lambda v: rt.walkthrough(v.chunks, v.docs, 40), f"""
-SELECT document_id, id, place FROM (SELECT c.document_id, c.id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY {_READ}) AS INT) AS place FROM chunks c JOIN docs d ON d.id = c.document_id WHERE level = 0 AND d.status = 'READY') WHERE place <= 40"""),
+    ("rt7_walkthrough", lambda v: rt.walkthrough(v.chunks, v.docs), f"""
+SELECT document_id, id, place FROM (SELECT c.document_id, c.id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY {_READ}) AS INT) AS place FROM chunks c JOIN docs d ON d.id = c.document_id WHERE level = 0 AND d.status = 'READY') WHERE place <= 80"""),
     ("rt8_sections", _sections, f"""
 WITH r AS (SELECT c.document_id AS query_id, c.id, c.document_id % 3 = 0 AND c.section_header = 'de' AS hit, page_start, sequence_index FROM chunks c WHERE level = 0), h AS (SELECT query_id FROM r WHERE hit)
 SELECT query_id, id, place, false AS is_fallback FROM (SELECT query_id, c.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_READ}) AS INT) AS place FROM r c WHERE hit) WHERE place <= 200
@@ -122,10 +122,10 @@ WITH {_M}, t AS (SELECT CAST(floor(query_id / 100) AS BIGINT) AS group_id, m.*,
 SELECT group_id, query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, head ORDER BY query_id, place) AS n FROM t) WHERE n = 1"""),
     ("rt17_section_groups", lambda v: _grouped(v).select("response_id", "label", "id", "place"), f"WITH {_G} SELECT response_id, label, id, place FROM g"),
     ("rt18_representatives", lambda v: _grouped(v).filter("place <= 2").select("response_id", "label", "id", "place"), f"WITH {_G} SELECT response_id, label, id, place FROM g WHERE place <= 2"),
-    ("rt19_context_budget", lambda v: rt.context_text(rt.context_budget(_grouped(v), "response_id", 4), "response_id"), f"""
+    ("rt19_context_budget", lambda v: rt.context_text(rt.context_budget(_grouped(v), "response_id"), "response_id"), f"""
 WITH {_G}, p AS (SELECT response_id, label, count(*) AS size, max(coalesce(reranker_score, -1)) AS top FROM g GROUP BY 1, 2),
 q AS (SELECT *, sum(size) OVER (PARTITION BY response_id) AS total, count(*) OVER (PARTITION BY response_id) AS n, row_number() OVER (PARTITION BY response_id ORDER BY top DESC, label) AS rank FROM p),
-s AS (SELECT response_id, label, CASE WHEN n <= 4 THEN 1 + floor((4 - n) * size / CAST(total AS DOUBLE)) WHEN rank <= 4 THEN 1 ELSE 0 END AS given FROM q),
+s AS (SELECT response_id, label, CASE WHEN total <= 12 THEN size WHEN n <= 12 THEN 1 + floor((12 - n) * size / CAST(total AS DOUBLE)) WHEN rank <= 12 THEN 1 ELSE 0 END AS given FROM q),
 k AS (SELECT g.response_id, g.label || '#' || g.place || ':' || g.id AS line FROM g JOIN s ON s.response_id = g.response_id AND s.label = g.label WHERE g.place <= s.given)
 SELECT response_id, string_agg(line, chr(10) ORDER BY line) AS context, count(*) AS n FROM k GROUP BY 1"""),
     ("rt20_limited_context", lambda v: rt.limited_context(_grouped(v), _grouped(v).filter("response_id % 2 = 0 and reranker_score > 4"), "response_id").select("response_id", "id"), f"""
@@ -134,25 +134,25 @@ WITH {_G}, h AS (SELECT response_id, id FROM g WHERE response_id % 2 = 0 AND rer
 WITH a AS (SELECT l.response_id, l.id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY step_index ASC NULLS LAST, similarity_score DESC, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id),
 r AS (SELECT DISTINCT response_id, reranker_score AS place FROM links WHERE reranker_score <> 3) SELECT response_id, place, id FROM r JOIN a USING (response_id, place)"""),
     ("rt22_rt23_example_search", lambda v: rt.example_search(v.query_vectors, _examples(v)).select("query_id", "example_id", "distance", "place"), f"""
-WITH e AS (SELECT vec_id AS example_id, embedding AS vector, CASE WHEN vec_id % 2 = 0 THEN 'dev' || (vec_id % 3) END AS d FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0),
+WITH e AS (SELECT vec_id AS example_id, embedding AS vector, CASE WHEN vec_id % 2 = 0 THEN 'dev' || (vec_id % 3) END AS d FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 11 <> 0),
 s AS (SELECT query_id, example_id, round(1 - {_COS.format(a='q.query_vector', b='e.vector')}, 6) AS distance FROM query_vectors q JOIN e ON e.d IS NULL OR e.d = q.device)
 SELECT query_id, example_id, distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, example_id) AS INT) AS place FROM s) WHERE place <= 3 AND distance <= 0.9"""),
     ("rt24_match_rules", lambda v: rt.match_rules(_requests(v), _rules(v), 700), """
 WITH r AS (SELECT p_partkey AS rule_id, p_size % 3 AS category, p_name, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_partkey % 7 <> 0 AND (p_partkey % 2 <> 0 OR p_partkey * 10 > 700)),
-q AS (SELECT p_partkey AS query_id, p_size % 3 AS category, lower('The ' || p_name || ' fails') AS text FROM part WHERE p_partkey % 4 = 0)
+q AS (SELECT p_partkey AS query_id, p_size % 3 AS category, lower('The ' || p_name || ' fails') AS text FROM part)
 SELECT query_id, rule_id, priority FROM (SELECT query_id, rule_id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, rule_id DESC) AS n FROM q JOIN r USING (category)
   WHERE len(list_filter(string_split(lower(p_name), ' '), lambda k: NOT contains(text, k))) = 0) WHERE n = 1"""),
     ("rt25_active_amendments", lambda v: _rules(v).filter("is_active and category = 1").select("rule_id", "priority").orderBy("rule_id"), "SELECT p_partkey AS rule_id, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_size % 3 = 1"),
     ("rt26_lexical_scores", lambda v: rt.lexical_scores(_pairs(v)), f"WITH {_P} SELECT response_id, step_index, chunk_id, score FROM lex"),
     ("rt27_positional_scores", lambda v: rt.positional_scores(_placed_pairs(v)), f"""
-WITH {_P}, z AS (SELECT *, list_distinct(regexp_extract_all(lower(step_text), '([0-9A-Za-z_]{{5,}})')) AS x, list_distinct(regexp_extract_all(lower(header || ' ' || left(chunk_text, 30)), '([0-9A-Za-z_]{{5,}})')) AS y FROM pr)
+WITH {_P}, z AS (SELECT *, list_distinct(regexp_extract_all(lower(step_text), '([0-9A-Za-z_]{{5,}})')) AS x, list_distinct(regexp_extract_all(lower(header), '([0-9A-Za-z_]{{5,}})')) AS y FROM pr)
 SELECT response_id, step_index, chunk_id, round(0.5 * greatest(0, 1 - 2.5e0 * abs(step_index / 6.0e0 - page % 10 / 10.0e0)) + CASE WHEN page % 3 = 0 THEN 0.3e0 ELSE 0 END + CASE WHEN len(list_intersect(x, y)) > 0 THEN 0.2e0 ELSE 0 END, 6) AS score FROM z"""),
     ("rt28_assign", lambda v: rt.assign(rt.lexical_scores(_pairs(v)), 0.02), f"""
 WITH {_P} SELECT response_id, step_index, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY response_id, step_index ORDER BY score DESC, chunk_id DESC) AS n FROM lex WHERE score > 0.02) WHERE n = 1"""),
     ("rt28_rt29_assign_in_order", lambda v: rt.assign_in_order(rt.positional_scores(_placed_pairs(v)).join(v.chunks.selectExpr("id AS chunk_id", "sequence_index AS chunk_at", "document_id % 2 = 0 AS has_image"), "chunk_id").withColumn("step_index", F.col("step_index").cast("int"))), None),
     ("rt30_resolve_references", lambda v: rt.resolve_references(_refs(v), v.chunks), """
 WITH r AS (SELECT DISTINCT CASE WHEN response_id % 3 = 0 THEN l.chunk_id WHEN step_index = 0 THEN 'Seq ' || reranker_score WHEN step_index = 1 THEN 'see page ' || reranker_score WHEN step_index = 2 THEN 'man:' || reranker_score ELSE 'none' END AS ref, c.document_id
-  FROM links l JOIN chunks c ON c.id = l.chunk_id WHERE response_id % 20 = 0),
+  FROM links l JOIN chunks c ON c.id = l.chunk_id),
 s AS (SELECT document_id, sequence_index AS k, max(id) AS id FROM chunks WHERE level = 0 GROUP BY 1, 2), p AS (SELECT document_id, page_start AS k, arg_min(id, sequence_index) AS id FROM chunks WHERE level = 0 GROUP BY 1, 2),
 o AS (SELECT r.*, CASE WHEN ref LIKE 'L0-%' THEN ref WHEN ref LIKE 'Seq %' THEN s.id WHEN ref LIKE '%page%' OR ref LIKE 'man:%' THEN p.id END AS chunk_id
   FROM r LEFT JOIN s ON s.document_id = r.document_id AND ref = 'Seq ' || s.k LEFT JOIN p ON p.document_id = r.document_id AND (ref = 'see page ' || p.k OR ref = 'man:' || p.k))

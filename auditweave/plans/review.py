@@ -18,7 +18,7 @@ def _tasks(v):
 
 
 def _events(v):
-    return v.exec_logs.selectExpr("thread_id AS task_id", "id AS place", "CASE id % 7 WHEN 0 THEN 'RESOLVE' WHEN 1 THEN 'SNOOZE' WHEN 2 THEN 'CLAIM' ELSE 'VIEW' END AS event").filter("task_id % 3 = 0 and place % 5 = 1")
+    return v.exec_logs.selectExpr("thread_id AS task_id", "id AS place", "CASE id % 7 WHEN 0 THEN 'RESOLVE' WHEN 1 THEN 'SNOOZE' WHEN 2 THEN 'CLAIM' ELSE 'VIEW' END AS event")
 
 
 def _orders(v):
@@ -47,7 +47,7 @@ SELECT id, priority, CASE priority WHEN 'P0' THEN 4 WHEN 'P1' THEN 24 WHEN 'P2'
 WITH t AS (SELECT id, 'P' || (id % 4) AS priority, id * 7 % 1000 AS created FROM flags WHERE id % 5 <> 0 AND (id % 3 <> 0 OR id <= 500))
 SELECT * FROM (SELECT id, priority, CAST(row_number() OVER (ORDER BY priority, created, id) AS INT) AS place, count(*) OVER () AS total FROM t) WHERE place BETWEEN 21 AND 40"""),
     ("bd6_task_states", lambda v: bd.task_states(_events(v)), """
-WITH RECURSIVE e AS (SELECT thread_id AS task_id, id % 7 AS k, row_number() OVER (PARTITION BY thread_id ORDER BY id) AS n FROM exec_logs WHERE thread_id % 3 = 0 AND id % 5 = 1),
+WITH RECURSIVE e AS (SELECT thread_id AS task_id, id % 7 AS k, row_number() OVER (PARTITION BY thread_id ORDER BY id) AS n FROM exec_logs),
 s AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'NEW' AS state FROM e UNION ALL
   SELECT s.task_id, e.n, CASE WHEN k = 2 AND state IN ('NEW', 'SNOOZED') THEN 'CLAIMED' WHEN k = 1 AND state <> 'RESOLVED' THEN 'SNOOZED' WHEN k = 0 THEN 'RESOLVED' ELSE state END FROM s JOIN e ON e.task_id = s.task_id AND e.n = s.n + 1)
 SELECT task_id, arg_max(state, n) AS state FROM s GROUP BY 1"""),

@@ -4,7 +4,7 @@ from ..operators import safety as c3
 
 KEYWORDS = ("the", "and")  # stand for safety words in the invented prose
 _W = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: length(w) > 3))"
-_TEXTS = """gold AS (SELECT item_id % 12 AS thread_id, item_id AS id, text FROM benchmark), ex AS (SELECT conv_id % 12 AS thread_id, conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'assistant' AND conv_id % 12 < 10)"""
+_TEXTS = """gold AS (SELECT item_id % 12 AS thread_id, item_id AS id, text FROM benchmark), ex AS (SELECT conv_id % 12 AS thread_id, conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'assistant')"""
 _BEST = """aw AS (SELECT thread_id, id, unnest({w}) AS w FROM {a}), bw AS (SELECT thread_id, id AS other, unnest({w}) AS w FROM {b}), h AS (SELECT thread_id, id, max(n) AS most FROM (SELECT aw.thread_id, aw.id, other, count(*) AS n FROM aw JOIN bw ON aw.thread_id = bw.thread_id AND aw.w = bw.w GROUP BY ALL) GROUP BY ALL),
 o AS (SELECT a.thread_id, a.id, len({w}) AS words, coalesce(most, 0) AS most FROM {a} a LEFT JOIN h ON h.thread_id = a.thread_id AND h.id = a.id)"""
 
@@ -22,7 +22,7 @@ def _gold(v):
 
 
 def _extracted(v):
-    return v.conversations.filter("role = 'assistant' and conv_id % 12 < 10").selectExpr("conv_id % 12 AS thread_id", "conv_id * 100 + turn AS id", "text")
+    return v.conversations.filter("role = 'assistant'").selectExpr("conv_id % 12 AS thread_id", "conv_id * 100 + turn AS id", "text")
 
 
 def _plans(v):

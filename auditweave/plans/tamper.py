@@ -7,7 +7,7 @@ _ORD = "(((query_id * 7919 + {}) % 2147483647) * 48271 + 11) % 2147483647"
 _BASE = "split_part(node_name, ':', 1)"
 _E = f"""nn AS (SELECT thread_id, count(DISTINCT {_BASE}) AS n FROM exec_logs GROUP BY 1),
 el AS (SELECT query_id, response_id, thread_id, variant, safety_found, actual_intent FROM run_log WHERE status = 'PASS' AND chunks_retrieved >= 3 AND thread_id IN (SELECT thread_id FROM nn WHERE n >= 2))"""
-_A = f"""{_E}, ra AS (SELECT *, row_number() OVER (ORDER BY {_ORD.format(9)}, query_id) - 1 AS k FROM el QUALIFY k < 400),
+_A = f"""{_E}, ra AS (SELECT *, row_number() OVER (ORDER BY {_ORD.format(9)}, query_id) - 1 AS k FROM el),
 asg AS (SELECT query_id, response_id, thread_id, k % 2 = 0 AS is_injected, CASE WHEN k % 2 = 0 THEN ['chunk_deletion', 'score_perturbation', 'log_gap', 'manifest_tamper'][k // 2 % 4 + 1] END AS kind FROM ra)"""
 _O = f"""{_A}, oc AS (SELECT *, CASE WHEN is_injected AND query_id % 5 <> 0 THEN 'TP' WHEN NOT is_injected AND query_id % 7 <> 0 THEN 'TN' WHEN NOT is_injected THEN 'FP' ELSE 'FN' END AS outcome,
   CASE WHEN query_id % 3 = 0 THEN 'other' WHEN query_id % 3 = 1 THEN kind ELSE 'log_gap' END AS guess FROM asg)"""
@@ -20,7 +20,7 @@ def _eligible(v):
 
 
 def _assigned(v):
-    return fi.assigned(_eligible(v).orderBy(fi.seeded("query_id", 9), "query_id").limit(400), 9)
+    return fi.assigned(_eligible(v), 9)
 
 
 def _outcomes(v):
@@ -55,10 +55,11 @@ WITH {_A} SELECT id, CASE WHEN attempt_number = 1 AND response_id IN (SELECT res
     ("fi8_overview", lambda v: fi.overview(v.exec_logs), f"SELECT thread_id, count(*) AS rows, count(DISTINCT {_BASE}) AS nodes, max(completed_ms) - min(started_ms) AS span_ms FROM exec_logs GROUP BY 1"),
     ("fi9_score_deltas", lambda v: v.evals.groupBy("thread_id").agg((F.round(F.avg(F.col("sync_faithfulness") - F.col("async_faithfulness")), 6) + F.lit(0.0)).alias("faithfulness_delta"), F.count("*").alias("n")), "SELECT thread_id, round(avg(sync_faithfulness - async_faithfulness), 6) + 0.0 AS faithfulness_delta, count(*) AS n FROM evals GROUP BY 1"),
     ("fi10_anomalies", lambda v: fi.anomalies(v.exec_logs), """
-SELECT id, 'not_completed' AS anomaly FROM exec_logs WHERE completed_ms IS NULL UNION ALL SELECT id, 'no_latency' FROM exec_logs WHERE coalesce(latency_ms, 0) = 0 UNION ALL SELECT id, 'slow' FROM exec_logs WHERE latency_ms > 60000
-UNION ALL SELECT id, 'no_metadata' FROM exec_logs WHERE metadata IS NULL"""),
+WITH l AS (SELECT * FROM exec_logs WHERE operation_type <> 'edge')
+SELECT id, 'not_completed' AS anomaly FROM l WHERE completed_ms IS NULL UNION ALL SELECT id, 'no_latency' FROM l WHERE coalesce(latency_ms, 0) = 0 UNION ALL SELECT id, 'slow' FROM l WHERE latency_ms > 120000
+UNION ALL SELECT id, 'no_metadata' FROM l WHERE metadata IS NULL"""),
     ("fi11_content_check", lambda v: fi.content_check(v.links, v.chunks), """
-WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY similarity_score, id) AS n FROM links) WHERE n <= 2)
+WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY md5('5:' || id), id) AS n FROM links) WHERE n <= 2)
 SELECT response_id, count(*) AS sampled, count(*) FILTER (WHERE c.id IS NULL) AS missing FROM s LEFT JOIN chunks c ON c.id = s.chunk_id GROUP BY 1"""),
     ("fi12_outcomes", lambda v: _outcomes(v).select("query_id", "outcome"), f"WITH {_O} SELECT query_id, outcome FROM oc"),
     ("fi13_scores", lambda v: fi.scores(_outcomes(v)), f"""

@@ -47,7 +47,7 @@ VIEWS = {
     "chunks": """
         SELECT n.doc_id, n.id, n.document_id, n.level, n.section_header, n.sequence_index, n.page_start, n.has_safety_content, n.is_blacklisted, n.parent_id, n.n_signals,
                CASE WHEN n.doc_id % 23 = 0 THEN NULL ELSE v.embedding END AS embedding
-        FROM nodes n LEFT JOIN vectors v ON v.vec_id = n.doc_id % 500""",
+        FROM nodes n LEFT JOIN vectors v ON v.vec_id = n.doc_id""",
     "tree_edges": """
         SELECT document_id, parent_id AS parent, id AS child FROM nodes WHERE parent_id IS NOT NULL AND (level > 0 OR doc_id % 7 <> 0)""",
     "manifest": """
@@ -86,12 +86,12 @@ VIEWS = {
     "flags": """
         SELECT o_orderkey AS id, o_custkey AS thread_id, CASE WHEN o_orderkey % 3 = 0 THEN 'AUTO_SAFETY' WHEN o_orderkey % 3 = 1 THEN 'AUTO_EVAL' ELSE 'MANUAL' END AS reason,
                CASE WHEN o_orderkey % 4 = 0 THEN 'PENDING' ELSE 'APPROVED' END AS status
-        FROM orders WHERE o_orderkey % 17 = 0""",
+        FROM orders""",
     "model_edges": _EDGES,
     "exec_logs": """
         SELECT event_id AS id, user_id AS thread_id, CAST(user_id AS VARCHAR(19)) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS trace_id,
-               CASE event_type WHEN 'view' THEN 'IntentRouter' WHEN 'click' THEN 'DeterministicRuleChecker' WHEN 'signup' THEN 'SymptomAnalyzer'
-                    WHEN 'purchase' THEN 'KnowledgeRetriever' ELSE 'RootCauseAnalyzer' END || CASE WHEN event_id % 9 = 0 THEN ':sub' ELSE '' END AS node_name,
+               CASE WHEN event_id % 4 = 2 AND event_id % 3 = 0 THEN 'route_from_knowledge' WHEN event_id % 7 = 0 THEN 'RepairPlanner' ELSE CASE event_type WHEN 'view' THEN 'IntentRouter' WHEN 'click' THEN 'DeterministicRuleChecker' WHEN 'signup' THEN 'SymptomAnalyzer'
+                    WHEN 'purchase' THEN 'KnowledgeRetriever' ELSE 'RootCauseAnalyzer' END END || CASE WHEN event_id % 9 = 0 THEN ':sub' ELSE '' END AS node_name,
                CASE event_id % 4 WHEN 0 THEN 'llm_call' WHEN 1 THEN 'node' WHEN 2 THEN 'edge' ELSE 'node' END AS operation_type,
                event_id * 1000 AS started_ms, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id * 1000 + CAST(floor(value) AS BIGINT) END AS completed_ms,
                CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(floor(value * 1000) AS BIGINT) END AS latency_ms,
@@ -108,9 +108,9 @@ VIEWS = {
                      CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'INCORRECT' WHEN l_returnflag = 'R' THEN 'MODIFY' WHEN l_linestatus = 'O' THEN 'SKIP' ELSE 'ACCEPT' END AS action,
                      CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'WRONG_PART' WHEN 2 THEN 'MISSING_STEP' WHEN 3 THEN 'WRONG_ORDER' WHEN 4 THEN 'SAFETY' WHEN 5 THEN 'other' ELSE 'text' END AS correction_type,
                      CASE WHEN l_partkey % 19 = 0 THEN 0.0e0 ELSE 1 + l_tax END AS weight, l_quantity = 50 AS retracted, l_orderkey * 1000 + l_partkey % 1000 AS id
-              FROM lineitem WHERE l_suppkey % 5 = 0) GROUP BY response_id, step_index, user_id""",
+              FROM lineitem) GROUP BY response_id, step_index, user_id""",
     "resp_fb": """
-        SELECT o_orderkey AS response_id, o_custkey AS user_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'UP' ELSE 'DOWN' END AS feedback_type, 1.0e0 AS weight,
+        SELECT o_orderkey AS response_id, o_custkey AS user_id, CASE WHEN o_orderkey % 5 = 0 THEN 'UP' ELSE 'DOWN' END AS feedback_type, 1.0e0 AS weight,
                o_orderkey % 41 = 0 AS retracted, CASE o_orderkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'incorrect' END AS correctness, o_orderkey AS id
         FROM orders WHERE o_orderkey % 2 = 0""",
     "run_log": """
@@ -128,7 +128,7 @@ VIEWS = {
         SELECT conv_id AS thread_id, turn, text FROM conversations WHERE role = 'assistant'""",
     "protocols": """
         SELECT item_id, text FROM benchmark""",
-    "query_vectors": "SELECT vec_id AS query_id, embedding AS query_vector, 'dev' || CAST(vec_id % 3 AS VARCHAR(9)) AS device FROM embeddings WHERE vec_id % 25 = 0",
+    "query_vectors": "SELECT vec_id AS query_id, embedding AS query_vector, 'dev' || CAST(vec_id % 3 AS VARCHAR(9)) AS device FROM embeddings WHERE vec_id % 20 = 0",
 }
 
 

@@ -14,9 +14,11 @@ ALLOWED = {"status": ("PENDING", "PROCESSING", "READY", "FAILED"), "badge": ("gr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir, the folder that driver and executors share. Only a local session may lack it, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-auditweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from auditweave.functions.columns import numbered
 from auditweave.operators import chains, corpus, execution, feedback, mining, ranking, retrieval, review, safety, tamper
 from auditweave.sources import files, tables
 
@@ -138,3 +139,18 @@ def test_run_log_and_sheets_read_and_write(spark, tmp_path):
     sheet = spark.createDataFrame([("1", 'a, "b"\nc')], "id string, text string")
     files.write_sheet(sheet, str(tmp_path / "sheet"))
     assert [tuple(r) for r in files.read_sheet(spark, str(tmp_path / "sheet")).collect()] == [("1", 'a, "b"\nc')]
+
+
+def test_steps_take_chunks_in_order_and_images_are_rescued(spark):
+    rows = [(1, 0, "a", 0.9, 5, False), (1, 0, "b", 0.9, 3, False), (1, 1, "c", 0.8, 4, False), (1, 1, "d", 0.5, 6, True), (1, 2, "e", 0.05, 9, True), (1, 9, "f", 0.05, 9, True), (2, 0, "a", None, 1, True), (2, 1, "b", 0.2, None, False)]
+    scores = spark.createDataFrame(rows, "response_id long, step_index int, chunk_id string, score double, chunk_at int, has_image boolean")
+    got = sorted(tuple(r) for r in retrieval.assign_in_order(scores).collect())
+    assert got == [(1, 0, "a", 0.9, False), (1, 1, "d", 0.5, False), (1, 1, "e", 0.0, True)]
+    assert retrieval.assign_in_order(scores.limit(0)).count() == 0
+
+
+def test_rows_are_numbered_as_by_one_window(spark):
+    ids = [7 * i + 3 for i in range(500)]
+    order = sorted(ids, key=lambda q: ((((q * 7919 + 9) % 2147483647) * 48271 + 11) % 2147483647, q))
+    got = {r["q"]: r["n"] for r in numbered(spark.createDataFrame([(i,) for i in ids], "q long"), "q", 9, "n").collect()}
+    assert got == {q: n for n, q in enumerate(order)}
