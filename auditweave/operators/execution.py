@@ -78,18 +78,18 @@ SAFETY_INTENTS = ("troubleshoot", "replace_part", "procedural")
 
 
 def routing_by_edges(logs: DataFrame, router: str = "route_from_knowledge") -> DataFrame:
-    """The router's edge rows: should the intent reach safety evaluation, and did it? A missing target counts as reached."""
-    rows = logs.filter("operation_type = 'edge' and metadata is not null").filter(base_name() == router).select(
-        F.lower(meta("intent")).isin(*SAFETY_INTENTS).alias("should"), F.coalesce(meta("target") != "skip_safety_eval", F.lit(True)).alias("did")
+    """The router's edge rows: should the intent reach safety evaluation, and did it? No intent should not; a missing target counts as reached."""
+    rows = logs.filter((F.col("node_name") == router) & F.col("metadata").isNotNull()).select(
+        F.coalesce(F.lower(meta("intent")).isin(*SAFETY_INTENTS), F.lit(False)).alias("should"), F.coalesce(meta("target") != "skip_safety_eval", F.lit(True)).alias("did")
     )
     return _routing(rows)
 
 
 def routing_by_nodes(logs: DataFrame, safety_nodes: tuple[str, ...], classifier: str = "IntentRouter") -> DataFrame:
-    """The classifier's records with an intent, and whether a safety node ran in their thread."""
+    """The classifier's records, and whether a safety node ran in their thread. No intent should not reach one."""
     safe = logs.filter(base_name().isin(*safety_nodes)).select("thread_id", F.lit(True).alias("ran")).distinct()
-    rows = logs.filter(base_name() == classifier).select("thread_id", F.lower(meta("intent")).alias("intent")).filter("intent is not null")
-    return _routing(rows.join(safe, "thread_id", "left").select(F.col("intent").isin(*SAFETY_INTENTS).alias("should"), F.coalesce("ran", F.lit(False)).alias("did")))
+    rows = logs.filter((base_name() == classifier) & F.col("metadata").isNotNull()).select("thread_id", F.lower(meta("intent")).alias("intent"))
+    return _routing(rows.join(safe, "thread_id", "left").select(F.coalesce(F.col("intent").isin(*SAFETY_INTENTS), F.lit(False)).alias("should"), F.coalesce("ran", F.lit(False)).alias("did")))
 
 
 def _routing(rows: DataFrame) -> DataFrame:
@@ -117,15 +117,28 @@ def path_distribution(logs: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("path", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"))  # one row
 
 
-def retry_rate(logs: DataFrame, planner: str) -> DataFrame:
+def decision_rate(logs: DataFrame, edge: str, decision: str) -> DataFrame:
+    """The edge's decisions, those for `decision`, and their share to 4 places (0 of none)."""
+    rows = logs.filter((F.col("node_name") == edge) & (F.col("operation_type") == "edge_decision"))
+    hits = F.count_if(F.coalesce(meta("decision") == decision, F.lit(False)))
+    return rows.agg(F.count("*").alias("total"), hits.alias("hits"), F.round(F.coalesce(share(hits, F.count("*")), F.lit(0.0)), 4).alias("rate"))
+
+
+def retry_rate(logs: DataFrame, planner: str = "RepairPlanner") -> DataFrame:
+    """Threads with a planner row that is a retry or a later attempt / threads with a planner row."""
     rows = logs.filter((base_name() == planner) & F.col("operation_type").isin("llm_call", "node"))
-    n, again = F.count_distinct("thread_id"), F.count_distinct(F.when(F.col("is_retry"), F.col("thread_id")))
+    n, again = F.count_distinct("thread_id"), F.count_distinct(F.when(F.col("is_retry") | (meta("attempt_number").cast("int") > 1), F.col("thread_id")))
     return rows.agg(n.alias("threads"), again.alias("retried"), share(again, n).alias("rate"))
 
 
-def retry_triggers(logs: DataFrame, gates: tuple[str, str]) -> DataFrame:
-    a, b = (F.count_if(F.col("is_retry") & (base_name() == g)) for g in gates)
-    return logs.agg(a.alias("by_first"), b.alias("by_second"), share(a, a + b).alias("first_share"), share(b, a + b).alias("second_share"))
+GATES = ("edge:route_from_safety_judge", "edge:route_from_inline_evaluator")
+
+
+def retry_triggers(logs: DataFrame, gates: tuple[str, str] = GATES, planner: str = "RepairPlanner") -> DataFrame:
+    """Decisions of either gate that send the answer back to the planner, and their shares to 4 places (null of none)."""
+    rows = logs.filter((F.col("operation_type") == "edge_decision") & F.col("node_name").isin(*gates) & (meta("decision") == planner))
+    a, b = (F.count_if(F.col("node_name") == g) for g in gates)
+    return rows.agg(a.alias("by_first"), b.alias("by_second"), F.round(share(a, a + b), 4).alias("first_share"), F.round(share(b, a + b), 4).alias("second_share"))
 
 
 def execution_summary(logs: DataFrame, *by: str) -> DataFrame:
@@ -186,7 +199,7 @@ def evaluator_deltas(evals: DataFrame, dimensions: tuple[str, ...] = ("faithfuln
 def node_sequence(logs: DataFrame) -> DataFrame:
     """Per trace its nodes by first appearance, cut at the colon; edges and dispatchers are left out."""
     name = base_name()
-    first = logs.filter((F.col("operation_type") != "edge") & ~name.endswith("_dispatch")).groupBy("trace_id", name.alias("node")).agg(F.min(F.struct("started_ms", "id")).alias("at"))
+    first = logs.filter((F.col("operation_type") != "edge_decision") & ~name.endswith("_dispatch")).groupBy("trace_id", name.alias("node")).agg(F.min(F.struct("started_ms", "id")).alias("at"))
     return first.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]), ">").alias("nodes"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import share
-from .execution import base_name
+from .execution import base_name, meta
 
 
 def traces(logs: DataFrame, model_edges: DataFrame) -> DataFrame:
@@ -31,35 +33,75 @@ def steps(trace: DataFrame, model_edges: DataFrame) -> DataFrame:
     return inner.unionByName(last).join(known, ["src", "dst"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def variants(trace: DataFrame, model_edges: DataFrame) -> DataFrame:
-    """Per trace: conforming or not, the first edge that is not in the model, and a label by the nodes that it has."""
+#: Labels by the nodes that a trace must have and the node that it must end with; the first that fits holds.
+SIGNATURES = (
+    ("followup", ("FollowUpResponder", "InlineEvaluator"), "InlineEvaluator"),
+    ("troubleshoot_deterministic_exit", ("DeterministicRuleChecker",), "DeterministicRuleChecker"),
+    ("replace_part", ("DirectReplacementAnalyzer", "InlineEvaluator"), "InlineEvaluator"),
+    ("troubleshoot_short_circuit", ("SymptomAnalyzer", "RootCauseAnalyzer"), "RootCauseAnalyzer"),
+)
+#: The labels that answer each expected variant number.
+ANSWERS = (
+    (1, ("troubleshoot_deterministic_exit",)),
+    (2, ("followup",)),
+    (3, ("troubleshoot_short_circuit", "troubleshoot_full")),
+    (4, ("troubleshoot_full", "troubleshoot_safety_retry", "troubleshoot_eval_retry")),
+    (5, ("replace_part",)),
+    (6, ("unsafe_method_redirect",)),
+    (7, ("unsafe_method_redirect",)),
+)
+
+
+def variants(trace: DataFrame, model_edges: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Per trace: conforming or not, the first edge that is not in the model, and its label.
+
+    Labels go by SIGNATURES; other traces that end in InlineEvaluator are unsafe redirects, repairs planned again after
+    the evaluator or after the safety judge, or full ones. Rest: null. Of `sessions` (trace_id), those without a model node
+    conform and have no label.
+    """
     edges = steps(trace, model_edges)
     bad = F.min(F.when(~F.col("known"), F.struct("place", F.concat("src", F.lit(">"), "dst").alias("edge"))))
-    per = edges.groupBy("trace_id").agg(F.bool_and("known").alias("is_conforming"), bad.alias("bad"), F.max("place").alias("n"))
-    nodes = trace.groupBy("trace_id").agg(F.collect_set("node").alias("nodes"), F.max_by("node", "place").alias("last"))
-    has = lambda n: F.array_contains("nodes", n)
-    label = (
-        F.when(has("RootCauseAnalyzer"), "full_troubleshoot").when(has("KnowledgeRetriever") & has("SymptomAnalyzer"), "guided_retrieval")
-        .when(has("KnowledgeRetriever"), "direct_retrieval").when(F.col("last") == "DeterministicRuleChecker", "rule_exit").otherwise("routed_only")
+    again = lambda gate: F.bool_or((F.col("src") == gate) & (F.col("dst") == "RepairPlanner"))
+    per = edges.groupBy("trace_id").agg(
+        F.bool_and("known").alias("is_conforming"), bad.alias("bad"), F.collect_set("src").alias("nodes"), F.max_by("src", "place").alias("last"),
+        again("InlineEvaluator").alias("eval_retry"), again("SafetyJudgeGate").alias("safety_retry"),
     )
-    return per.join(nodes, "trace_id").select("trace_id", "is_conforming", F.col("bad.edge").alias("first_deviation"), label.alias("variant"))
+    has = lambda n: F.array_contains("nodes", n)
+    label = F.when(F.lit(False), "")
+    for name, required, last in SIGNATURES:
+        label = label.when(reduce(and_, map(has, required)) & (F.col("last") == last), name)
+    evaluated = F.when(has("UnsafeMethodGate"), "unsafe_method_redirect").when(F.col("eval_retry"), "troubleshoot_eval_retry").when(F.col("safety_retry"), "troubleshoot_safety_retry")
+    label = label.when(F.col("last") == "InlineEvaluator", evaluated.otherwise("troubleshoot_full"))
+    out = per.select("trace_id", "is_conforming", F.col("bad.edge").alias("first_deviation"), label.alias("variant"))
+    if sessions is None:
+        return out
+    return sessions.select("trace_id").distinct().join(out, "trace_id", "left").withColumn("is_conforming", F.coalesce("is_conforming", F.lit(True)))
+
 
+def deviations(edges: DataFrame) -> DataFrame:
+    """The edges of each trace that does not conform, in order."""
+    bad = F.array_sort(F.collect_list(F.when(~F.col("known"), F.struct("place", F.concat("src", F.lit(">"), "dst").alias("edge")))))
+    return edges.groupBy("trace_id").agg(bad.alias("bad")).filter(F.size("bad") > 0).select("trace_id", F.array_join(F.transform("bad", lambda x: x["edge"]), ",").alias("edges"))
 
-def fitness(edges: DataFrame) -> DataFrame:
-    """Valid steps / steps, and conforming traces / traces."""
+
+def fitness(edges: DataFrame, least: int = 20) -> DataFrame:
+    """Valid steps / steps, and conforming traces / traces, to 4 places; null of fewer than `least` traces."""
     per = edges.groupBy("trace_id").agg(F.count_if("known").alias("valid"), F.count_if(~F.col("known")).alias("deviant"))
+    of = lambda a, b: F.when(F.count("*") >= least, F.round(share(a, b), 4))
     return per.agg(
-        F.count("*").alias("traces"), F.sum("valid").alias("valid"), F.sum("deviant").alias("deviant"), share(F.sum("valid"), F.sum("valid") + F.sum("deviant")).alias("fitness"),
-        share(F.count_if(F.col("deviant") == 0), F.count("*")).alias("conformance_rate"),
+        F.count("*").alias("traces"), F.sum("valid").alias("valid"), F.sum("deviant").alias("deviant"), of(F.sum("valid"), F.sum("valid") + F.sum("deviant")).alias("fitness"),
+        of(F.count_if(F.col("deviant") == 0), F.count("*")).alias("conformance_rate"),
     )
 
 
-def precision(edges: DataFrame, model_edges: DataFrame) -> DataFrame:
-    """Model edges that were observed / model edges, with the others listed."""
+def precision(edges: DataFrame, model_edges: DataFrame, least: int = 20) -> DataFrame:
+    """Model edges that were observed / model edges, to 4 places, with the others listed; null of fewer than `least` traces."""
+    enough = edges.agg(F.count_distinct("trace_id") >= least)
     seen = edges.filter("known").select("src", "dst", F.lit(True).alias("seen")).distinct()
     rows = model_edges.join(seen, ["src", "dst"], "left")
     rest = F.array_join(F.array_sort(F.collect_list(F.when(F.col("seen").isNull(), F.concat("src", F.lit(">"), "dst")))), ",")
-    return rows.agg(F.count("*").alias("model"), F.count_if("seen").alias("observed"), share(F.count_if("seen"), F.count("*")).alias("precision"), rest.alias("unexercised"))
+    found = rows.agg(F.count("*").alias("model"), F.count_if("seen").alias("observed"), F.round(share(F.count_if("seen"), F.count("*")), 4).alias("precision"), rest.alias("unexercised"))
+    return found.crossJoin(enough.toDF("enough")).select("model", "observed", F.when(F.col("enough"), F.col("precision")).alias("precision"), "unexercised")  # one row each
 
 
 def chi_squared(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
@@ -75,18 +117,24 @@ def chi_squared(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
 
 
 def chi_squared_p(tests: DataFrame) -> DataFrame:
-    """The upper tail of each test: the regularised incomplete gamma function by its series, of df / 2 and statistic / 2."""
+    """The upper tail of each test: the regularised incomplete gamma function of df / 2 and statistic / 2, by its series or continued fraction."""
     def tail(df: int, x: float) -> float:
-        if df <= 0:
+        if df <= 0 or x <= 0:
             return 1.0
         s, x = df / 2, x / 2
-        term = total = 1 / s
-        n = 0
-        while term > total * 1e-15 and n < 10_000:
-            n += 1
-            term *= x / (s + n)
-            total += term
-        return max(0.0, 1 - math.exp(-x + s * math.log(x) - math.lgamma(s)) * total) if x > 0 else 1.0
+        scale = math.exp(-x + s * math.log(x) - math.lgamma(s))
+        if x < s + 1:
+            term = total = 1 / s
+            n = 0
+            while term > total * 1e-15:
+                n += 1
+                term *= x / (s + n)
+                total += term
+            return max(0.0, 1 - scale * total)
+        value = 0.0  # the continued fraction from its tail, which converges fast for x above s and does not cancel
+        for n in range(500, 0, -1):
+            value = n * (n - s) / (x + 2 * n + 1 - s - value)
+        return scale / (x + 1 - s - value)
 
     @F.pandas_udf("double")
     def p(df: pd.Series, x: pd.Series) -> pd.Series:
@@ -96,14 +144,18 @@ def chi_squared_p(tests: DataFrame) -> DataFrame:
 
 
 def decisions(logs: DataFrame) -> DataFrame:
-    """Edge rows: the node, where it went, and the facts it may depend on."""
-    from .execution import meta
+    """Decisions of the conditional edges: the edge, where it went, and the facts it may depend on."""
+    rows = logs.filter((F.col("operation_type") == "edge_decision") & F.col("node_name").startswith("edge:") & F.col("metadata").isNotNull())
+    return rows.select(F.col("node_name").alias("node"), meta("decision").alias("target"), meta("intent").alias("intent"), (meta("intent") == "procedural").alias("is_procedural"))
+
 
-    rows = logs.filter("operation_type = 'edge' and metadata is not null")
-    return rows.select(base_name().alias("node"), F.coalesce(meta("target"), F.lit("none")).alias("target"), meta("intent").alias("intent"), (meta("intent") == "procedural").alias("is_procedural"))
+def testable(tests: DataFrame) -> DataFrame:
+    """Tests of edges with two targets and two values of the fact at least."""
+    return tests.filter("df > 0")
 
 
 def variant_agreement(observed: DataFrame, expected: DataFrame) -> DataFrame:
-    """Traces of each variant, expected and observed (trace_id, variant), and those that agree."""
-    both = observed.select("trace_id", "variant").join(expected.select("trace_id", F.col("variant").alias("expected")), "trace_id")
-    return both.groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.col("variant") == F.col("expected")).alias("agree"), F.count_distinct("variant").alias("observed_variants"))
+    """Traces of each expected variant number (trace_id, expected), and those whose label is one of the number's ANSWERS."""
+    both = observed.select("trace_id", "variant").join(expected.select("trace_id", "expected"), "trace_id")
+    fits = reduce(lambda w, kv: w.when(F.col("expected") == kv[0], F.col("variant").isin(*kv[1])), ANSWERS, F.when(F.lit(False), False))
+    return both.groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.coalesce(fits, F.lit(False))).alias("agree"), F.count_distinct("variant").alias("observed_variants"))

@@ -93,7 +93,7 @@ def anomalies(logs: DataFrame) -> DataFrame:
         F.when(F.col("completed_ms").isNull(), "not_completed"), F.when(F.col("latency_ms").isNull() | (latency == 0), "no_latency"),
         F.when(latency > 120_000, "slow"), F.when(F.col("metadata").isNull(), "no_metadata"),
     ))
-    return logs.filter("operation_type <> 'edge'").select("id", F.explode(odd).alias("anomaly"))
+    return logs.filter("operation_type <> 'edge_decision'").select("id", F.explode(odd).alias("anomaly"))
 
 
 def content_check(links: DataFrame, chunks: DataFrame, per_response: int = 2, seed: int = 5) -> DataFrame:

@@ -27,9 +27,9 @@ PLANS = [
 WITH i AS (SELECT DISTINCT unnest(from_json(json_extract(metadata, '$.retrieved_chunk_ids'), '["VARCHAR"]')) AS id FROM exec_logs WHERE {_BASE} = 'KnowledgeRetriever' AND metadata IS NOT NULL)
 SELECT count(*) AS logged, count(c.id) AS existing, coalesce(count(c.id) / CAST(nullif(count(*), 0) AS DOUBLE), 1.0) AS score FROM i LEFT JOIN chunks c ON c.id = i.id"""),
     ("l2_2_required_nodes", lambda v: l2.required_nodes(v.exec_logs, ("KnowledgeRetriever", "RootCauseAnalyzer", "SafetyExtractor")), f"""
-WITH s AS (SELECT thread_id, bool_or({_BASE} = 'KnowledgeRetriever') AS a, bool_or({_BASE} = 'RootCauseAnalyzer') AS b FROM exec_logs GROUP BY 1)
-SELECT thread_id, concat_ws(',', CASE WHEN a THEN 'KnowledgeRetriever' END, CASE WHEN b THEN 'RootCauseAnalyzer' END) AS present,
-  concat_ws(',', CASE WHEN NOT a THEN 'KnowledgeRetriever' END, CASE WHEN NOT b THEN 'RootCauseAnalyzer' END, 'SafetyExtractor') AS missing, (CAST(a AS INT) + CAST(b AS INT)) / 3.0e0 AS score FROM s"""),
+WITH s AS (SELECT thread_id, bool_or({_BASE} = 'KnowledgeRetriever') AS a, bool_or({_BASE} = 'RootCauseAnalyzer') AS b, bool_or({_BASE} = 'SafetyExtractor') AS c FROM exec_logs GROUP BY 1)
+SELECT thread_id, concat_ws(',', CASE WHEN a THEN 'KnowledgeRetriever' END, CASE WHEN b THEN 'RootCauseAnalyzer' END, CASE WHEN c THEN 'SafetyExtractor' END) AS present,
+  concat_ws(',', CASE WHEN NOT a THEN 'KnowledgeRetriever' END, CASE WHEN NOT b THEN 'RootCauseAnalyzer' END, CASE WHEN NOT c THEN 'SafetyExtractor' END) AS missing, (CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT)) / 3.0e0 AS score FROM s"""),
     ("l2_3_escalation_rate", lambda v: l2.escalation_rate(v.threads, v.flags), """
 WITH r AS (SELECT is_escalated OR id IN (SELECT thread_id FROM flags WHERE reason IN ('AUTO_SAFETY', 'AUTO_EVAL')) AS hit FROM threads)
 SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS escalated, count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE) AS rate FROM r"""),
@@ -46,22 +46,24 @@ WITH c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE inline_faithful AND
 p AS (SELECT *, ((both_yes + inline_only) * CAST(both_yes + shadow_only AS DOUBLE) + (neither + shadow_only) * CAST(neither + inline_only AS DOUBLE)) / (CAST(pairs AS DOUBLE) * pairs) AS pe FROM c)
 SELECT pairs, both_yes AS "both", neither, inline_only, shadow_only, round(CASE WHEN pairs = 0 THEN 0.0 WHEN pe >= 1 THEN 1.0 ELSE ((both_yes + neither) / CAST(pairs AS DOUBLE) - pe) / (1 - pe) END, 6) AS kappa FROM p"""),
     ("l2_7_routing_by_edges", lambda v: l2.routing_by_edges(v.exec_logs), f"""
-WITH r AS (SELECT {_J.format('intent')} IN {_SAFETY} AS should, coalesce({_J.format('target')} <> 'skip_safety_eval', true) AS did FROM exec_logs WHERE operation_type = 'edge' AND metadata IS NOT NULL AND {_BASE} = 'route_from_knowledge') {_ROUTING}"""),
-    ("l2_8_routing_by_nodes", lambda v: l2.routing_by_nodes(v.exec_logs, ("RootCauseAnalyzer",)), f"""
-WITH r AS (SELECT {_J.format('intent')} IN {_SAFETY} AS should, thread_id IN (SELECT thread_id FROM exec_logs WHERE {_BASE} = 'RootCauseAnalyzer') AS did FROM exec_logs WHERE {_BASE} = 'IntentRouter' AND metadata IS NOT NULL) {_ROUTING}"""),
+WITH r AS (SELECT lower(coalesce({_J.format('intent')}, '')) IN {_SAFETY} AS should, coalesce({_J.format('target')} <> 'skip_safety_eval', true) AS did FROM exec_logs WHERE metadata IS NOT NULL AND node_name = 'route_from_knowledge') {_ROUTING}"""),
+    ("l2_8_routing_by_nodes", lambda v: l2.routing_by_nodes(v.exec_logs, ("SafetyExtractor", "SafetyEvaluator")), f"""
+WITH r AS (SELECT lower(coalesce({_J.format('intent')}, '')) IN {_SAFETY} AS should, thread_id IN (SELECT thread_id FROM exec_logs WHERE {_BASE} IN ('SafetyExtractor', 'SafetyEvaluator')) AS did FROM exec_logs WHERE {_BASE} = 'IntentRouter' AND metadata IS NOT NULL) {_ROUTING}"""),
     ("l2_9_complement_rate", lambda v: l2.complement_rate(v.exec_logs), f"""
 WITH r AS (SELECT CAST({_J.format('path_b')} AS INT) AS b, CAST({_J.format('complement_count')} AS INT) AS c FROM exec_logs WHERE metadata IS NOT NULL)
 SELECT count(*) AS rows, count(*) FILTER (WHERE b > 0) AS with_path_b, round(coalesce(avg(c / CAST(b AS DOUBLE)) FILTER (WHERE b > 0), 0.0), 6) AS rate FROM r"""),
     ("l2_10_short_circuit_rate", lambda v: l2.thread_rate(v.exec_logs, l2.base_name() == "DeterministicRuleChecker"), _RATE.format(f"{_BASE} = 'DeterministicRuleChecker'")),
     ("l2_11_path_distribution", lambda v: l2.path_distribution(v.exec_logs), f"""
 WITH r AS (SELECT {_J.format('retrieval_path')} AS path FROM exec_logs WHERE metadata IS NOT NULL) SELECT path, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM r GROUP BY path"""),
-    ("l2_12_follow_up_rate", lambda v: l2.thread_rate(v.exec_logs, F.col("operation_type") == "edge"), _RATE.format("operation_type = 'edge'")),
-    ("l2_13_retry_rate", lambda v: l2.retry_rate(v.exec_logs, "IntentRouter"), f"""
-SELECT count(DISTINCT thread_id) AS threads, count(DISTINCT thread_id) FILTER (WHERE is_retry) AS retried, count(DISTINCT thread_id) FILTER (WHERE is_retry) / CAST(nullif(count(DISTINCT thread_id), 0) AS DOUBLE) AS rate
-FROM exec_logs WHERE {_BASE} = 'IntentRouter' AND operation_type IN ('llm_call', 'node')"""),
-    ("l2_14_retry_triggers", lambda v: l2.retry_triggers(v.exec_logs, ("RootCauseAnalyzer", "SymptomAnalyzer")), f"""
-WITH r AS (SELECT count(*) FILTER (WHERE is_retry AND {_BASE} = 'RootCauseAnalyzer') AS a, count(*) FILTER (WHERE is_retry AND {_BASE} = 'SymptomAnalyzer') AS b FROM exec_logs)
-SELECT a AS by_first, b AS by_second, a / CAST(nullif(a + b, 0) AS DOUBLE) AS first_share, b / CAST(nullif(a + b, 0) AS DOUBLE) AS second_share FROM r"""),
+    ("l2_12_follow_up_rate", lambda v: l2.decision_rate(v.exec_logs, "edge:route_from_intent", "FollowUpResponder"), f"""
+WITH r AS (SELECT coalesce({_J.format('decision')} = 'FollowUpResponder', false) AS hit FROM exec_logs WHERE node_name = 'edge:route_from_intent')
+SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS hits, round(count(*) FILTER (WHERE hit) / CAST(count(*) AS DOUBLE), 4) AS rate FROM r"""),
+    ("l2_13_retry_rate", lambda v: l2.retry_rate(v.exec_logs), f"""
+WITH r AS (SELECT thread_id, is_retry OR coalesce(CAST({_J.format('attempt_number')} AS INT) > 1, false) AS again FROM exec_logs WHERE {_BASE} = 'RepairPlanner' AND operation_type IN ('llm_call', 'node'))
+SELECT count(DISTINCT thread_id) AS threads, count(DISTINCT thread_id) FILTER (WHERE again) AS retried, count(DISTINCT thread_id) FILTER (WHERE again) / CAST(nullif(count(DISTINCT thread_id), 0) AS DOUBLE) AS rate FROM r"""),
+    ("l2_14_retry_triggers", lambda v: l2.retry_triggers(v.exec_logs), f"""
+WITH r AS (SELECT count(*) FILTER (WHERE node_name = 'edge:route_from_safety_judge') AS a, count(*) FILTER (WHERE node_name = 'edge:route_from_inline_evaluator') AS b FROM exec_logs WHERE {_J.format('decision')} = 'RepairPlanner')
+SELECT a AS by_first, b AS by_second, round(a / CAST(nullif(a + b, 0) AS DOUBLE), 4) AS first_share, round(b / CAST(nullif(a + b, 0) AS DOUBLE), 4) AS second_share FROM r"""),
     ("l2_15_execution_summary", lambda v: l2.execution_summary(v.exec_logs, "thread_id", "node_name"), """
 SELECT thread_id, node_name, count(*) AS calls, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, CAST(sum(coalesce(latency_ms, 0)) AS BIGINT) AS latency_ms FROM exec_logs WHERE operation_type = 'llm_call' GROUP BY 1, 2"""),
     ("l2_16_natural_retries", lambda v: l2.natural_retries(v.exec_logs), "SELECT trace_id, count(DISTINCT chain_id) AS chains FROM exec_logs GROUP BY 1 HAVING count(DISTINCT chain_id) > 1"),
@@ -90,7 +92,7 @@ SELECT id AS eval_id, 'SHADOW_WORSE' AS reason, 'P2' AS priority FROM r WHERE s
 WITH d AS (SELECT id, 'faithfulness' AS dimension, round(sync_faithfulness - async_faithfulness, 4) AS delta FROM evals UNION ALL SELECT id, 'answer_relevance', round(sync_answer_relevance - async_answer_relevance, 4) FROM evals)
 SELECT id, dimension, delta, abs(delta) > 0.15 AS is_flagged FROM d WHERE delta IS NOT NULL"""),
     ("l2_24_node_sequence", lambda v: l2.node_sequence(v.exec_logs), f"""
-WITH f AS (SELECT trace_id, {_BASE} AS node, min(started_ms) AS first_ms FROM exec_logs WHERE operation_type <> 'edge' GROUP BY 1, 2) SELECT trace_id, string_agg(node, '>' ORDER BY first_ms) AS nodes FROM f GROUP BY 1"""),
+WITH f AS (SELECT trace_id, {_BASE} AS node, min(started_ms) AS first_ms FROM exec_logs WHERE operation_type <> 'edge_decision' AND NOT ends_with({_BASE}, '_dispatch') GROUP BY 1, 2) SELECT trace_id, string_agg(node, '>' ORDER BY first_ms) AS nodes FROM f GROUP BY 1"""),
     ("l2_25_routing_facts", lambda v: l2.routing_facts(v.exec_logs), f"""
 WITH r AS (SELECT trace_id, arg_min({_J.format('intent')}, started_ms) FILTER (WHERE {_BASE} = 'IntentRouter' AND metadata IS NOT NULL) AS intent,
   arg_min({_J.format('retrieval_path')}, started_ms) FILTER (WHERE {_BASE} = 'KnowledgeRetriever' AND metadata IS NOT NULL) AS path FROM exec_logs GROUP BY 1)

@@ -55,7 +55,7 @@ WITH {_A} SELECT id, CASE WHEN attempt_number = 1 AND response_id IN (SELECT res
     ("fi8_overview", lambda v: fi.overview(v.exec_logs), f"SELECT thread_id, count(*) AS rows, count(DISTINCT {_BASE}) AS nodes, max(completed_ms) - min(started_ms) AS span_ms FROM exec_logs GROUP BY 1"),
     ("fi9_score_deltas", lambda v: v.evals.groupBy("thread_id").agg((F.round(F.avg(F.col("sync_faithfulness") - F.col("async_faithfulness")), 6) + F.lit(0.0)).alias("faithfulness_delta"), F.count("*").alias("n")), "SELECT thread_id, round(avg(sync_faithfulness - async_faithfulness), 6) + 0.0 AS faithfulness_delta, count(*) AS n FROM evals GROUP BY 1"),
     ("fi10_anomalies", lambda v: fi.anomalies(v.exec_logs), """
-WITH l AS (SELECT * FROM exec_logs WHERE operation_type <> 'edge')
+WITH l AS (SELECT * FROM exec_logs WHERE operation_type <> 'edge_decision')
 SELECT id, 'not_completed' AS anomaly FROM l WHERE completed_ms IS NULL UNION ALL SELECT id, 'no_latency' FROM l WHERE coalesce(latency_ms, 0) = 0 UNION ALL SELECT id, 'slow' FROM l WHERE latency_ms > 120000
 UNION ALL SELECT id, 'no_metadata' FROM l WHERE metadata IS NULL"""),
     ("fi11_content_check", lambda v: fi.content_check(v.links, v.chunks), """

@@ -13,8 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: The nodes and edges of the process model that traces are held against.
-MODEL_EDGES = (
+#: The nodes of the process model and those that may follow each.
+MODEL = {
+    "START": ("IntentRouter",),
+    "IntentRouter": ("UnsafeMethodGate", "DeterministicRuleChecker", "FollowUpResponder"),
+    "UnsafeMethodGate": ("DeterministicRuleChecker", "FollowUpResponder"),
+    "DeterministicRuleChecker": ("SymptomAnalyzer", "DirectReplacementAnalyzer", "END"),
+    "SymptomAnalyzer": ("KnowledgeRetriever",),
+    "DirectReplacementAnalyzer": ("KnowledgeRetriever",),
+    "KnowledgeRetriever": ("RootCauseAnalyzer", "SafetyExtractor"),
+    "RootCauseAnalyzer": ("SafetyExtractor", "END"),
+    "SafetyExtractor": ("RepairPlanner",),
+    "RepairPlanner": ("SafetyJudgeGate",),
+    "SafetyJudgeGate": ("InlineEvaluator", "RepairPlanner", "END"),
+    "FollowUpResponder": ("InlineEvaluator",),
+    "InlineEvaluator": ("END",),
+}
+MODEL_EDGES = tuple((src, dst) for src, after in MODEL.items() for dst in after)
+_EDGES = (
     ("START", "IntentRouter"), ("IntentRouter", "DeterministicRuleChecker"), ("IntentRouter", "SymptomAnalyzer"),
     ("IntentRouter", "END"), ("DeterministicRuleChecker", "SymptomAnalyzer"), ("DeterministicRuleChecker", "END"),
     ("SymptomAnalyzer", "KnowledgeRetriever"), ("KnowledgeRetriever", "RootCauseAnalyzer"), ("KnowledgeRetriever", "RepairPlanner"),
@@ -88,20 +104,36 @@ VIEWS = {
                CASE WHEN o_orderkey % 4 = 0 THEN 'PENDING' ELSE 'APPROVED' END AS status
         FROM orders""",
     "model_edges": _EDGES,
+    "exec_paths": """
+        SELECT event_id, user_id, event_type, value, CAST(user_id AS VARCHAR(19)) || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR(10)) AS trace_id,
+               CASE (user_id * 5 + CAST(extract(day FROM date_trunc('week', ts)) AS BIGINT)) % 9
+                    WHEN 0 THEN 'IntentRouter FollowUpResponder InlineEvaluator'
+                    WHEN 1 THEN 'IntentRouter DeterministicRuleChecker'
+                    WHEN 2 THEN 'IntentRouter DeterministicRuleChecker DirectReplacementAnalyzer KnowledgeRetriever SafetyExtractor RepairPlanner SafetyJudgeGate InlineEvaluator'
+                    WHEN 3 THEN 'IntentRouter DeterministicRuleChecker SymptomAnalyzer KnowledgeRetriever RootCauseAnalyzer'
+                    WHEN 4 THEN 'IntentRouter DeterministicRuleChecker SymptomAnalyzer KnowledgeRetriever RootCauseAnalyzer SafetyExtractor RepairPlanner SafetyJudgeGate InlineEvaluator'
+                    WHEN 5 THEN 'IntentRouter DeterministicRuleChecker SymptomAnalyzer KnowledgeRetriever SafetyExtractor RepairPlanner SafetyJudgeGate RepairPlanner SafetyJudgeGate InlineEvaluator'
+                    WHEN 6 THEN 'IntentRouter UnsafeMethodGate DeterministicRuleChecker SymptomAnalyzer KnowledgeRetriever SafetyExtractor RepairPlanner SafetyJudgeGate InlineEvaluator'
+                    WHEN 7 THEN 'IntentRouter DeterministicRuleChecker SymptomAnalyzer KnowledgeRetriever SafetyExtractor RepairPlanner SafetyJudgeGate InlineEvaluator RepairPlanner SafetyJudgeGate InlineEvaluator'
+                    ELSE 'IntentRouter UnsafeMethodGate FollowUpResponder' END AS path,
+               CAST(row_number() OVER (PARTITION BY user_id, date_trunc('week', ts), event_id % 4 = 2 ORDER BY event_id) AS INT) AS place
+        FROM events""",
     "exec_logs": """
-        SELECT event_id AS id, user_id AS thread_id, CAST(user_id AS VARCHAR(19)) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS trace_id,
-               CASE WHEN event_id % 4 = 2 AND event_id % 3 = 0 THEN 'route_from_knowledge' WHEN event_id % 7 = 0 THEN 'RepairPlanner' ELSE CASE event_type WHEN 'view' THEN 'IntentRouter' WHEN 'click' THEN 'DeterministicRuleChecker' WHEN 'signup' THEN 'SymptomAnalyzer'
-                    WHEN 'purchase' THEN 'KnowledgeRetriever' ELSE 'RootCauseAnalyzer' END END || CASE WHEN event_id % 9 = 0 THEN ':sub' ELSE '' END AS node_name,
-               CASE event_id % 4 WHEN 0 THEN 'llm_call' WHEN 1 THEN 'node' WHEN 2 THEN 'edge' ELSE 'node' END AS operation_type,
+        SELECT event_id AS id, user_id AS thread_id, trace_id,
+               CASE WHEN event_id % 4 = 2 THEN CASE event_id % 3 WHEN 0 THEN 'route_from_knowledge' WHEN 1 THEN 'edge:route_from_safety_judge' ELSE CASE WHEN event_id % 5 < 2 THEN 'edge:route_from_intent' ELSE 'edge:route_from_inline_evaluator' END END
+                    WHEN event_id % 61 = 0 THEN CASE event_type WHEN 'view' THEN 'SymptomAnalyzer' WHEN 'click' THEN 'RootCauseAnalyzer' ELSE 'health_dispatch' END
+                    ELSE split_part(path, ' ', CAST(least(place, length(path) - length(replace(path, ' ', '')) + 1) AS INT)) END || CASE WHEN event_id % 9 = 0 AND event_id % 4 <> 2 THEN ':sub' ELSE '' END AS node_name,
+               CASE event_id % 4 WHEN 0 THEN 'llm_call' WHEN 1 THEN 'node' WHEN 2 THEN 'edge_decision' ELSE 'node' END AS operation_type,
                event_id * 1000 AS started_ms, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id * 1000 + CAST(floor(value) AS BIGINT) END AS completed_ms,
                CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(floor(value * 1000) AS BIGINT) END AS latency_ms,
-               CASE WHEN event_id % 53 = 0 THEN NULL ELSE '{"retrieved_chunk_ids": ["L0-' || CAST(event_id * 13 % 1050 AS VARCHAR(19)) || '", "L0-' || CAST(event_id * 7 % 990 AS VARCHAR(19)) || '"], "intent": "'
-                    || CASE event_id % 5 WHEN 0 THEN 'troubleshoot' WHEN 1 THEN 'replace_part' WHEN 2 THEN 'procedural' ELSE 'chat' END || '", '
+               CASE WHEN event_id % 53 = 0 THEN NULL ELSE '{"retrieved_chunk_ids": ["L0-' || CAST(event_id * 13 % 1050 AS VARCHAR(19)) || '", "L0-' || CAST(event_id * 7 % 990 AS VARCHAR(19)) || '"], '
+                    || CASE event_id % 5 WHEN 0 THEN '"intent": "Troubleshoot", ' WHEN 1 THEN '"intent": "replace_part", ' WHEN 2 THEN '"intent": "procedural", ' WHEN 3 THEN '"intent": "chat", ' ELSE CASE WHEN event_id % 7 = 0 THEN '' ELSE '"intent": "chat", ' END END
                     || CASE event_id % 6 WHEN 0 THEN '"target": "skip_safety_eval", ' WHEN 1 THEN '' ELSE '"target": "safety_extractor", ' END
-                    || '"path_b": ' || CAST(event_id % 4 AS VARCHAR(19)) || ', "complement_count": ' || CAST(event_id % 3 AS VARCHAR(19)) || ', "retrieval_path": "'
+                    || CASE event_id % 11 WHEN 0 THEN '"decision": "FollowUpResponder", ' WHEN 1 THEN '' ELSE CASE WHEN event_id % 11 < 7 THEN '"decision": "RepairPlanner", ' ELSE '"decision": "InlineEvaluator", ' END END
+                    || CASE WHEN event_id % 7 = 3 THEN '"attempt_number": 2, ' ELSE '' END || '"path_b": ' || CAST(event_id % 4 AS VARCHAR(19)) || ', "complement_count": ' || CAST(event_id % 3 AS VARCHAR(19)) || ', "retrieval_path": "'
                     || CASE event_id % 3 WHEN 0 THEN 'full_document' WHEN 1 THEN 'section' ELSE 'vector' END || '"}' END AS metadata, CAST(event_id * 7 % 900 AS INT) AS tokens, event_id % 40 = 0 AS is_retry,
-               CAST(user_id AS VARCHAR(19)) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR(10)) || CASE WHEN event_id % 20 = 0 THEN '-retry' ELSE '' END AS chain_id
-        FROM events""",
+               trace_id || CASE WHEN event_id % 20 = 0 THEN '-retry' ELSE '' END AS chain_id
+        FROM exec_paths""",
     "step_fb": """
         SELECT response_id, step_index, user_id, min(action) AS action, min(correction_type) AS correction_type, min(weight) AS weight, bool_or(retracted) AS retracted, min(id) AS id
         FROM (SELECT l_orderkey AS response_id, l_linenumber - 1 AS step_index, l_suppkey AS user_id,
