@@ -13,6 +13,12 @@ h AS (SELECT chain_id, id, n, sha256('GENESIS') AS prev_hash, sha256(sha256('GEN
   UNION ALL SELECT h.chain_id, o.id, o.n, h.record_hash, sha256(h.record_hash || {_TEXT}) FROM h JOIN o ON o.chain_id = h.chain_id AND o.n = h.n + 1)"""
 
 
+#: The records whose stored hash is not the recomputed one, of `_changed_logs`.
+VERIFY_LOGS = f"""
+WITH RECURSIVE {_LOG_CHAIN}, f AS (SELECT chain_id, min(id) AS id FROM h WHERE id % 50 = 0 AND id IN (SELECT id FROM l WHERE metadata IS DISTINCT FROM '{{}}') GROUP BY 1)
+SELECT h.chain_id, h.id FROM h LEFT JOIN f ON f.chain_id = h.chain_id WHERE h.id % 70 = 0 OR h.id >= f.id"""
+
+
 def _logs(v):
     return v.exec_logs.withColumn("document", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("d"), F.col("id") % 10)))
 
@@ -38,9 +44,7 @@ s AS (SELECT *, sha256(repeat('0', 64) || a) AS ha FROM j), s2 AS (SELECT *, sha
 SELECT document_id, 0 AS k, 'registered' AS entry_type, a AS entry_json, ha AS entry_hash FROM s2 UNION ALL SELECT document_id, 1, 'chunk_created', b, hb FROM s2 UNION ALL SELECT document_id, 2, 'embedding_generated', c, sha256(hb || c) FROM s2"""),
     ("hc5_record_hash", lambda v: hc.record_hashes(_logs(v), "p").select("id", "record_hash"), f"WITH {_LOGS} SELECT id, sha256('p' || {_TEXT}) AS record_hash FROM l"),
     ("hc6_log_chain", lambda v: hc.log_chain(_logs(v)).select("chain_id", "id", "prev_hash", "record_hash"), f"WITH RECURSIVE {_LOG_CHAIN} SELECT chain_id, id, prev_hash, record_hash FROM h"),
-    ("hc7_verify_log_chain", lambda v: hc.verify_log_chain(_changed_logs(v)), f"""
-WITH RECURSIVE {_LOG_CHAIN}, f AS (SELECT chain_id, min(id) AS id FROM h WHERE id % 50 = 0 AND id IN (SELECT id FROM l WHERE metadata IS DISTINCT FROM '{{}}') GROUP BY 1)
-SELECT h.chain_id, h.id FROM h LEFT JOIN f ON f.chain_id = h.chain_id WHERE h.id % 70 = 0 OR h.id >= f.id"""),
+    ("hc7_verify_log_chain", lambda v: hc.verify_log_chain(_changed_logs(v)), VERIFY_LOGS),
     ("hc8_split_retries", lambda v: hc.split_retries(v.exec_logs), """
 SELECT id, trace_id, CASE WHEN sum(CASE WHEN split_part(node_name, ':', 1) = 'RepairPlanner' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY started_ms, id ROWS UNBOUNDED PRECEDING) >= 2
   THEN trace_id || '-retry' ELSE trace_id END AS new_chain FROM exec_logs"""),

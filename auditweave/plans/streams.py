@@ -5,13 +5,16 @@ from ..operators import execution as l2
 from ..operators import provenance as xl
 from ..sources.tables import stage_table
 from ..streaming import incremental as st
-from .chains import _changed_logs
+from .chains import VERIFY_LOGS, _changed_logs
 from .provenance import _resolved
 
 
 def _events(v):
-    rows = st.stream_of(v.spark, f"{v.sf_dir}/events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with a zone
+    return v.events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with a zone
+
+
+def _arriving(v, transform, *how):
+    return st.drain_arrivals(_events(v), F.unix_micros("ts"), transform, *how)
 
 
 def _followed(events):
@@ -36,11 +39,11 @@ def _trace_report(v):
 
 
 PLANS = [
-    ("st1_followed_within", lambda v: st.drain(_followed(_events(v))), """
+    ("st1_followed_within", lambda v: _arriving(v, _followed), """
 SELECT a.user_id AS key, a.event_id AS first_id, b.event_id AS second_id, date_diff('microsecond', a.ts, b.ts) AS micros FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
 WHERE a.event_type = 'purchase' AND b.event_type = 'error'"""),
-    ("st2_broken_records", lambda v: st.drain(st.broken_records(st.stream_of(v.spark, stage_table(_changed_logs(v)).inputFiles()[0].rsplit("/", 1)[0], 1000))), None),
-    ("st3_node_activity", lambda v: st.drain(_activity(_events(v)), "update", ["window_start", "node"]).withColumn("window_start", F.col("window_start").cast("string")), """
+    ("st2_broken_records", lambda v: st.drain_arrivals(stage_table(_changed_logs(v)), F.col("id"), st.broken_records), VERIFY_LOGS),
+    ("st3_node_activity", lambda v: _arriving(v, _activity, "update", ["window_start", "node"]).withColumn("window_start", F.col("window_start").cast("string")), """
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS node, count(*) AS rows, count(*) FILTER (WHERE value > 40) AS errors, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""),
     ("xl12_trace_report", _trace_report, """
 WITH r AS (SELECT l.response_id, c.document_id, c.id IS NOT NULL AS ok FROM links l LEFT JOIN chunks c ON c.id = l.chunk_id), k AS (SELECT response_id, count(*) AS links, count(*) FILTER (WHERE ok) AS resolved, count(DISTINCT document_id) AS documents FROM r GROUP BY 1),

@@ -1,12 +1,13 @@
 """Structured Streaming forms of the incremental operators. Each is held to the batch operator on the same rows.
 
-`drain` runs a stream over what is there now, into files of the shared folder, and gives the rows back as a table.
+`drain` runs a stream over what is there now, into files of the shared folder, and gives the rows back as a table;
+`drain_arrivals` lets the rows of a table arrive in portions and starts the stream anew after each.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,23 +18,26 @@ from ..operators.chains import LOG_GENESIS
 from ..sources.tables import shared_folder
 
 
-def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
     """A parquet table, a file or a folder, as a stream of its files (a file needs a pattern for a path)."""
-    schema = spark.read.parquet(path).schema
-    path = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """All rows that the stream gives until its input is used up; with `keys`, in update mode, the last row of each."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, base: str, mode: str) -> None:
+    """The stream over what is there now; state and place come from `base`, where an earlier run may have left them."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def _rows(stream: DataFrame, base: str, keys: list[str] | None) -> DataFrame:
+    spark = stream.sparkSession
     rows = spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch")
     if keys:
         rest = [c for c in stream.columns if c not in keys]
@@ -41,6 +45,30 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
     return rows.drop("_batch")
 
 
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """All rows that the stream gives until its input is used up; with `keys`, in update mode, the last row of each."""
+    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    _run(stream, base, mode)
+    return _rows(stream, base, keys)
+
+
+def drain_arrivals(df: DataFrame, place: Column, transform: Callable[[DataFrame], DataFrame], mode: str = "append", keys: list[str] | None = None, parts: int = 4) -> DataFrame:
+    """As `drain`, of `transform` over rows of `df` that arrive in `parts` portions: even spans of the whole number `place`, rising.
+
+    After each portion the stream is started again from its checkpoint, so that watermarks and state outlive a restart.
+    """
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    step = 1 if low is None else (high - low) // parts + 1
+    for k in range(1 if low is None else parts):
+        within = F.lit(True) if low is None else place.between(low + k * step, low + (k + 1) * step - 1)
+        df.filter(within | place.isNull() if k == 0 else within).write.mode("append").parquet(f"{base}/input")
+        stream = transform(stream_of(spark, f"{base}/input", None))
+        _run(stream, base, mode)
+    return _rows(stream, base, keys)
+
+
 def node_activity(events: DataFrame, time: str, node: str, is_error: Column, value: str, span: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows, errors and the sum of `value` of each node in tumbling windows; works on streams and tables."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
