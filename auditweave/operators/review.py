@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,24 @@ def composite_badge(a: Column, b: Column) -> Column:
     return reduce(lambda w, kv: w.when(least == kv[1], kv[0]), RANK.items(), F.when(least.isNull(), "gray"))
 
 
-def priority(has_safety_risk: Column, has_correction: Column, badge: Column, low_score: Column) -> Column:
-    return F.when(has_safety_risk & (badge == "red"), "P0").when(has_safety_risk | has_correction, "P1").when((badge == "red") | low_score, "P2").otherwise("P3")
+#: Risk categories that always come first, and the scores that count as failing below 0.6.
+CRITICAL = ("LOTO", "HIGH_VOLTAGE", "CONFINED_SPACE", "PRESSURE_SYSTEM", "ARC_FLASH")
+METRICS = ("faithfulness", "answer_relevance", "context_relevance", "completeness")
+
+
+def priority(source: Column, risks: Column, metrics: dict[str, Column], has_correction: Column, badge: Column, quality: Column, safety: Column) -> Column:
+    """P0 to P3 of a review task; a missing quality badge is the composite one, and missing facts fit no rule.
+
+    P0: a critical risk, faithfulness below 0.3, or an automatic evaluation that ended red. P1: a red safety badge, two
+    failing scores, any other risk, or a manual flag with a correction. P2: one failing score, or a manual flag on red or gray.
+    """
+    of = lambda c: F.coalesce(c, F.lit(False))
+    quality = F.coalesce(F.nullif(quality, F.lit("")), badge)
+    failing = reduce(add, [of(metrics[m] < 0.6).cast("int") for m in METRICS if m in metrics], F.lit(0))
+    first = of(F.arrays_overlap(risks, F.array(*[F.lit(c) for c in CRITICAL]))) | of(metrics["faithfulness"] < 0.3) | of((source == "AUTO_EVAL") & (quality == "red"))
+    manual = of(source == "MANUAL_FLAG")
+    second = of(safety == "red") | (failing >= 2) | of(F.size(risks) > 0) | (of(has_correction) & manual)
+    return F.when(first, "P0").when(second, "P1").when((failing == 1) | (manual & of(quality.isin("red", "gray"))), "P2").otherwise("P3")
 
 
 def due_hours(of: Column) -> Column:
@@ -62,9 +79,9 @@ def safety_badges(threads_protocols: DataFrame) -> DataFrame:
 
 
 def reviewed(rows: DataFrame) -> DataFrame:
-    """Priority and hours to answer of each row of (id, has_risk, has_correction, badge, score)."""
-    p = priority(F.col("has_risk"), F.col("has_correction"), F.col("badge"), F.coalesce(F.col("score") < RED, F.lit(False)))
-    return rows.select("id", p.alias("priority"), due_hours(p).alias("sla_hours"))
+    """Priority and hours to answer of each row of (id, source, risks, has_correction, badge, quality_badge, safety_badge) and METRICS."""
+    p = priority(F.col("source"), F.col("risks"), {m: F.col(m) for m in METRICS}, F.col("has_correction"), F.col("badge"), F.col("quality_badge"), F.col("safety_badge"))
+    return rows.select("id", p.alias("priority")).withColumn("sla_hours", due_hours(F.col("priority")))
 
 
 def shadow_escalation(evals: DataFrame, agreement: DataFrame) -> DataFrame:

@@ -10,7 +10,12 @@ def _safety(v):
 
 
 def _reviews(v):
-    return v.evals.selectExpr("id", "response_id % 7 = 0 AS has_risk", "response_id % 11 = 0 AS has_correction", "badge", "sync_faithfulness AS score")
+    return v.evals.selectExpr(
+        "id", "CASE id % 3 WHEN 0 THEN 'AUTO_SAFETY' WHEN 1 THEN 'AUTO_EVAL' ELSE 'MANUAL_FLAG' END AS source",
+        "CASE WHEN response_id % 17 = 0 THEN array('PINCH_POINT', 'LOTO') WHEN response_id % 13 = 1 THEN array('PINCH_POINT') WHEN response_id % 2 = 0 THEN cast(array() AS array<string>) END AS risks",
+        "response_id % 11 = 0 AS has_correction", "badge", "CASE response_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'green' END AS quality_badge", "CASE WHEN response_id % 19 = 3 THEN 'red' END AS safety_badge",
+        "sync_faithfulness + 0.3D AS faithfulness", "sync_answer_relevance + 0.5D AS answer_relevance", "async_faithfulness + 0.5D AS context_relevance", "async_answer_relevance + 0.5D AS completeness",
+    )
 
 
 def _tasks(v):
@@ -41,7 +46,10 @@ SELECT id AS thread_id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'red
 WITH r AS (SELECT id, CASE badge WHEN 'green' THEN 3 WHEN 'yellow' THEN 2 WHEN 'red' THEN 1 WHEN 'gray' THEN 0 END AS a, CASE WHEN id % 3 = 0 THEN 1 END AS b FROM evals)
 SELECT id, CASE least(a, b) WHEN 3 THEN 'green' WHEN 2 THEN 'yellow' WHEN 1 THEN 'red' ELSE 'gray' END AS badge FROM r"""),
     ("bd4_bd5_review_priority", lambda v: bd.reviewed(_reviews(v)), """
-WITH p AS (SELECT id, CASE WHEN response_id % 7 = 0 AND badge = 'red' THEN 'P0' WHEN response_id % 7 = 0 OR response_id % 11 = 0 THEN 'P1' WHEN badge = 'red' OR coalesce(sync_faithfulness < 0.4, false) THEN 'P2' ELSE 'P3' END AS priority FROM evals)
+WITH f AS (SELECT *, CAST(coalesce(sync_faithfulness + 0.3e0 < 0.6, false) AS INT) + CAST(coalesce(sync_answer_relevance + 0.5e0 < 0.6, false) AS INT) + CAST(coalesce(async_faithfulness + 0.5e0 < 0.6, false) AS INT)
+  + CAST(coalesce(async_answer_relevance + 0.5e0 < 0.6, false) AS INT) AS k, CASE WHEN response_id % 5 = 1 THEN 'green' ELSE badge END AS q FROM evals),
+p AS (SELECT id, CASE WHEN response_id % 17 = 0 OR sync_faithfulness + 0.3e0 < 0.3 OR (id % 3 = 1 AND q = 'red') THEN 'P0'
+  WHEN response_id % 19 = 3 OR k >= 2 OR response_id % 13 = 1 OR (response_id % 11 = 0 AND id % 3 = 2) THEN 'P1' WHEN k = 1 OR (id % 3 = 2 AND q IN ('red', 'gray')) THEN 'P2' ELSE 'P3' END AS priority FROM f)
 SELECT id, priority, CASE priority WHEN 'P0' THEN 4 WHEN 'P1' THEN 24 WHEN 'P2' THEN 72 ELSE 168 END AS sla_hours FROM p"""),
     ("bd6_task_queue", lambda v: bd.task_queue(_tasks(v), 500, 20, 1).select("id", "priority", "place", "total"), """
 WITH t AS (SELECT id, 'P' || (id % 4) AS priority, id * 7 % 1000 AS created FROM flags WHERE id % 5 <> 0 AND (id % 3 <> 0 OR id <= 500))
