@@ -56,8 +56,8 @@ def kappa(agree: Column, n: Column, *products: Column) -> Column:
 
 
 def words(text: Column, least: int) -> Column:
-    """The distinct lower-case words of at least `least` letters, digits or underscores."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(\w{{{least},}})"), 1))
+    """The distinct lower-case words of at least `least` letters, digits or underscores of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"([\p{{L}}\p{{N}}_]{{{least},}})"), 1))
 
 
 def to_envelope(df: DataFrame, metric: str, key: str | None, value: str) -> DataFrame:

@@ -103,16 +103,17 @@ def chunk_cache(links: DataFrame, resp_fb: DataFrame, step_fb: DataFrame) -> Dat
     used = links.select("chunk_id", "response_id").distinct()
     up, w = F.col("feedback_type") == "UP", F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
     thumbs = used.join(live(resp_fb), "response_id").groupBy("chunk_id").agg(
-        F.count("*").alias("n_thumbs"), F.sum(F.when(up, w).otherwise(0.0)).alias("up"), F.sum(F.when(up, 0.0).otherwise(w)).alias("down")
+        F.count("*").alias("n_thumbs"), F.count_if(up).alias("n_up"), F.count_if(~up).alias("n_down"), F.sum(F.when(up, w).otherwise(0.0)).alias("up"), F.sum(F.when(up, 0.0).otherwise(w)).alias("down")
     )
     marks = live(step_fb).select("response_id", "step_index", _looked_up(F.col("action"), POLARITY, 0.0).alias("polarity"), w.alias("w"))
     signals = links.select("chunk_id", "response_id", "step_index", _looked_up(F.col("grounding_label"), GROUNDING, 0.5).alias("g")).join(marks, ["response_id", "step_index"])
     s = F.col("polarity") * F.col("g") * F.col("w")
-    steps = signals.groupBy("chunk_id").agg(F.count("*").alias("n_steps"), F.sum(F.greatest(s, F.lit(0.0))).alias("plus"), F.sum(F.greatest(-s, F.lit(0.0))).alias("minus"))
+    steps = signals.groupBy("chunk_id").agg(F.count("*").alias("n_steps"), F.count_if(s > 0).alias("n_plus"), F.count_if(s < 0).alias("n_minus"), F.sum(F.greatest(s, F.lit(0.0))).alias("plus"), F.sum(F.greatest(-s, F.lit(0.0))).alias("minus"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     pos, neg = zero("up") + zero("plus"), zero("down") + zero("minus")
     return thumbs.join(steps, "chunk_id", "full").select(
-        "chunk_id", zero("n_thumbs").alias("n_thumbs"), zero("n_steps").alias("n_steps"), F.round(pos, 6).alias("positive"), F.round(neg, 6).alias("negative"), F.round(pos - neg, 6).alias("net")
+        "chunk_id", zero("n_thumbs").alias("n_thumbs"), zero("n_steps").alias("n_steps"), F.round(pos, 6).alias("positive"), F.round(neg, 6).alias("negative"), F.round(pos - neg, 6).alias("net"),
+        (zero("n_up") + zero("n_plus")).alias("positive_count"), (zero("n_down") + zero("n_minus")).alias("negative_count"),
     )
 
 
@@ -123,9 +124,10 @@ def boosted(scored: DataFrame, cache: DataFrame, alpha: float = 0.05) -> DataFra
     return scored.join(cache.select("chunk_id", "positive", "negative", "net"), "chunk_id", "left").select(*scored.columns, F.round(F.col("score") + alpha * boost, 6).alias("adjusted"))
 
 
-def blacklist_candidates(cache: DataFrame, chunks: DataFrame, least: float = 5, ratio: float = 3) -> DataFrame:
-    bad = cache.filter((F.col("negative") >= least) & ((F.col("positive") == 0) | (F.try_divide("negative", "positive") > ratio)))
-    return bad.join(chunks.filter("not is_blacklisted").select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").select("chunk_id", "document_id", "negative", "positive")
+def blacklist_candidates(cache: DataFrame, chunks: DataFrame, least: int = 5, ratio: float = 3) -> DataFrame:
+    """Chunks not yet blacklisted with `least` negative marks or more and none positive, or over `ratio` times as many."""
+    bad = cache.filter((F.col("negative_count") >= least) & ((F.col("positive_count") == 0) | (F.try_divide("negative_count", "positive_count") > ratio)))
+    return bad.join(chunks.filter("not is_blacklisted").select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").select("chunk_id", "document_id", "negative_count", "positive_count", "net")
 
 
 def blacklisted(chunks: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

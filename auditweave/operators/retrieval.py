@@ -227,19 +227,43 @@ def match_rules(requests: DataFrame, rules: DataFrame, now: int) -> DataFrame:
     return best(rows, "query_id", [F.desc("priority"), F.desc("rule_id")], 1).select("query_id", "rule_id", "priority")
 
 
+def _cited() -> Column:
+    """Whether a cite tag of step_text names the chunk's `page`; several numbers may stand in one tag."""
+    tags = F.regexp_extract_all("step_text", F.lit("""<cite[^>]+page=["']([^"']+)["']"""), 1)
+    pages = F.flatten(F.transform(tags, lambda x: F.regexp_extract_all(x, F.lit(r"0*(\d+)"), 1)))
+    return F.coalesce(F.array_contains(pages, F.col("page").cast("string")), F.lit(False))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))), F.lit(0.0))
+
+
 def lexical_scores(pairs: DataFrame) -> DataFrame:
-    """.55 Jaccard of words, .25 for a cited page, .20 best caption Jaccard, of step_text, chunk_text, caption, page."""
-    a, b, c = words(F.col("step_text"), 3), words(F.col("chunk_text"), 3), words(F.col("caption"), 3)
-    jaccard = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
-    cited = F.when(F.coalesce(F.regexp_like("step_text", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit("($|[^0-9])"))), F.lit(False)), 0.25).otherwise(0.0)
-    return pairs.select("response_id", "step_index", "chunk_id", F.round(0.55 * jaccard(a, b) + cited + 0.2 * jaccard(a, c), 6).alias("score"))
+    """.55 Jaccard of words, .25 for a cited page, .20 best Jaccard of the captions, of step_text, chunk_text, captions, page.
+    A step without words has 0."""
+    a = words(F.col("step_text"), 3)
+    best = F.coalesce(F.array_max(F.transform("captions", lambda c: _jaccard(a, words(c, 3)))), F.lit(0.0))
+    score = 0.55 * _jaccard(a, words(F.col("chunk_text"), 3)) + F.when(_cited(), 0.25).otherwise(0.0) + 0.2 * best
+    return pairs.select("response_id", "step_index", "chunk_id", F.when(F.size(a) > 0, F.round(score, 6)).otherwise(0.0).alias("score"))
+
+
+def in_reading_order(pairs: DataFrame) -> DataFrame:
+    """`pairs` with the places from 0 of their step (step_at) and chunk (chunk_at, by page, then id) in the response, and
+    how many it has (n_steps, n_chunks)."""
+    place = lambda *by: F.dense_rank().over(Window.partitionBy("response_id").orderBy(*by)) - 1
+    rows = pairs.withColumn("step_at", place("step_index")).withColumn("chunk_at", place(F.asc_nulls_last("page"), "chunk_id"))
+    most = lambda c: F.max(c).over(Window.partitionBy("response_id")) + 1
+    return rows.withColumn("n_steps", most("step_at")).withColumn("n_chunks", most("chunk_at"))
 
 
 def positional_scores(pairs: DataFrame) -> DataFrame:
-    """.5 max(0, 1 - 2.5 d) of relative places, .3 for the page, .2 for a shared header word, of (step_at, chunk_at, page_cited, step_text, header)."""
-    near = F.greatest(F.lit(0.0), 1 - 2.5 * F.abs(F.col("step_at") - F.col("chunk_at")))
-    shared = F.size(F.array_intersect(words(F.col("step_text"), 5), words(F.col("header"), 5))) > 0
-    return pairs.select("response_id", "step_index", "chunk_id", F.round(0.5 * near + F.when(F.col("page_cited"), 0.3).otherwise(0.0) + F.when(shared, 0.2).otherwise(0.0), 6).alias("score"))
+    """.5 max(0, 1 - 2.5 d) of relative places, .3 for a cited page, .2 times the share of the header's words that the step has,
+    of (step_at, n_steps, chunk_at, n_chunks, step_text, header, page). A single chunk is near (1), a single step half so."""
+    apart = F.abs(F.try_divide("step_at", F.col("n_steps") - 1) - F.try_divide("chunk_at", F.col("n_chunks") - 1))
+    near = F.when((F.col("n_steps") > 1) & (F.col("n_chunks") > 1), F.greatest(F.lit(0.0), 1 - 2.5 * apart)).when(F.col("n_chunks") == 1, 1.0).otherwise(0.5)
+    head = words(F.trim("header"), 5)
+    shared = F.coalesce(F.when(F.size(head) > 0, F.size(F.array_intersect(head, words(F.col("step_text"), 5))) / F.size(head)), F.lit(0.0))
+    return pairs.select("response_id", "step_index", "chunk_id", F.round(0.5 * near + F.when(_cited(), 0.3).otherwise(0.0) + 0.2 * shared, 6).alias("score"))
 
 
 def assign(scores: DataFrame, above: float = 0.1) -> DataFrame:

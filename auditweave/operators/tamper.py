@@ -34,10 +34,14 @@ def stratified(sessions: DataFrame, strata: list[tuple[Column, int]], total: int
 
 
 def assigned(sessions: DataFrame, seed: int) -> DataFrame:
-    """Every second session in a seeded order is injected, with the kinds in turn."""
+    """Every second session in a seeded order is injected, with the kinds in turn. The first of them that expects safety
+    content comes before the others, so that it loses a chunk; without such a session the order stands."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    rows = numbered(sessions, "query_id", seed, "_n")
-    return rows.select("query_id", "response_id", "thread_id", (F.col("_n") % 2 == 0).alias("is_injected"), F.when(F.col("_n") % 2 == 0, kinds[(F.floor(F.col("_n") / 2) % len(KINDS)).cast("int")]).alias("kind"))
+    rows = numbered(sessions, "query_id", seed, "_n").withColumn("_i", F.when(F.col("_n") % 2 == 0, F.floor(F.col("_n") / 2)))
+    first = rows.filter("safety_found").agg(F.min("_i").alias("_first"))  # one row
+    at = F.when(F.col("_i") == F.col("_first"), 0).when(F.col("_i") < F.col("_first"), F.col("_i") + 1).otherwise(F.col("_i"))
+    kind = F.when(F.col("_i").isNotNull(), kinds[(at % len(KINDS)).cast("int")])
+    return rows.crossJoin(F.broadcast(first)).select("query_id", "response_id", "thread_id", F.col("_i").isNotNull().alias("is_injected"), kind.alias("kind"))
 
 
 def link_targets(assignments: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@ from pyspark.sql import functions as F
 
 from ..operators import feedback as l3
 
-_CACHE = """u AS (SELECT DISTINCT chunk_id, response_id FROM links), th AS (SELECT chunk_id, count(*) AS n_thumbs, sum(CASE WHEN feedback_type = 'UP' THEN CASE WHEN weight = 0 THEN 1 ELSE weight END ELSE 0 END) AS up,
+_CACHE = """u AS (SELECT DISTINCT chunk_id, response_id FROM links), th AS (SELECT chunk_id, count(*) AS n_thumbs, count(*) FILTER (WHERE feedback_type = 'UP') AS n_up, sum(CASE WHEN feedback_type = 'UP' THEN CASE WHEN weight = 0 THEN 1 ELSE weight END ELSE 0 END) AS up,
   sum(CASE WHEN feedback_type = 'UP' THEN 0 ELSE CASE WHEN weight = 0 THEN 1 ELSE weight END END) AS down FROM u JOIN resp_fb USING (response_id) WHERE NOT retracted GROUP BY 1),
 sg AS (SELECT l.chunk_id, CASE action WHEN 'ACCEPT' THEN 1 WHEN 'INCORRECT' THEN -1 WHEN 'MODIFY' THEN -0.5e0 ELSE 0 END * CASE grounding_label WHEN 'verbatim' THEN 1 WHEN 'paraphrased' THEN 0.8e0 ELSE 0.5e0 END * CASE WHEN weight = 0 THEN 1 ELSE weight END AS s
   FROM links l JOIN step_fb f ON f.response_id = l.response_id AND f.step_index = l.step_index WHERE NOT retracted),
-st AS (SELECT chunk_id, count(*) AS n_steps, sum(greatest(s, 0)) AS plus, sum(greatest(-s, 0)) AS minus FROM sg GROUP BY 1),
+st AS (SELECT chunk_id, count(*) AS n_steps, count(*) FILTER (WHERE s > 0) AS n_plus, count(*) FILTER (WHERE s < 0) AS n_minus, sum(greatest(s, 0)) AS plus, sum(greatest(-s, 0)) AS minus FROM sg GROUP BY 1),
 cache AS (SELECT coalesce(th.chunk_id, st.chunk_id) AS chunk_id, coalesce(n_thumbs, 0) AS n_thumbs, coalesce(n_steps, 0) AS n_steps, round(coalesce(up, 0) + coalesce(plus, 0), 6) AS positive, round(coalesce(down, 0) + coalesce(minus, 0), 6) AS negative,
-  round(coalesce(up, 0) + coalesce(plus, 0) - coalesce(down, 0) - coalesce(minus, 0), 6) AS net FROM th FULL JOIN st ON st.chunk_id = th.chunk_id)"""
-_CAND = "cand AS (SELECT k.chunk_id, c.document_id, negative, positive FROM cache k JOIN chunks c ON c.id = k.chunk_id WHERE negative >= 5 AND (positive = 0 OR negative / nullif(positive, 0) > 3) AND NOT is_blacklisted)"
+  round(coalesce(up, 0) + coalesce(plus, 0) - coalesce(down, 0) - coalesce(minus, 0), 6) AS net, coalesce(n_up, 0) + coalesce(n_plus, 0) AS positive_count, coalesce(n_thumbs - n_up, 0) + coalesce(n_minus, 0) AS negative_count FROM th FULL JOIN st ON st.chunk_id = th.chunk_id)"""
+_CAND = "cand AS (SELECT k.chunk_id, c.document_id, negative_count, positive_count, net FROM cache k JOIN chunks c ON c.id = k.chunk_id WHERE negative_count >= 5 AND (positive_count = 0 OR negative_count / CAST(nullif(positive_count, 0) AS DOUBLE) > 3) AND NOT is_blacklisted)"
 _KAPPA = """n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) AS o FROM p), x AS (SELECT coalesce(sum(CAST(na AS DOUBLE) * nb), 0) AS m FROM (SELECT a AS k, count(*) AS na FROM p GROUP BY 1) JOIN (SELECT b AS k, count(*) AS nb FROM p GROUP BY 1) USING (k)),
 k AS (SELECT CAST(n AS BIGINT) AS pairs, CAST(o AS BIGINT) AS agreed, CASE WHEN n < 2 THEN NULL WHEN m / (n * n) >= 1 THEN 1.0 ELSE round((o / n - m / (n * n)) / (1 - m / (n * n)), 6) END AS kappa FROM n, x)
 SELECT pairs, agreed, kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' WHEN kappa IS NOT NULL THEN 'almost perfect' END AS band FROM k"""
@@ -66,7 +66,7 @@ SELECT k, u, state FROM (SELECT *, row_number() OVER (PARTITION BY k, u ORDER BY
     ("l3_10_chunk_cache", _cache, f"WITH {_CACHE} SELECT * FROM cache"),
     ("l3_11_feedback_boost", lambda v: l3.boosted(_scored(v), _cache(v)), f"""
 WITH {_CACHE} SELECT response_id, l.id, l.chunk_id, similarity_score AS score, round(similarity_score + 0.05 * least(1, greatest(-1, coalesce(net / nullif(positive + abs(negative), 0), 0))), 6) AS adjusted FROM links l LEFT JOIN cache k ON k.chunk_id = l.chunk_id"""),
-    ("l3_12_blacklist_candidates", _candidates, f"WITH {_CACHE}, {_CAND} SELECT chunk_id, document_id, negative, positive FROM cand"),
+    ("l3_12_blacklist_candidates", _candidates, f"WITH {_CACHE}, {_CAND} SELECT chunk_id, document_id, negative_count, positive_count, net FROM cand"),
     ("l3_13_bulk_blacklist", lambda v: l3.blacklisted(v.chunks, _candidates(v))[1], f"WITH {_CACHE}, {_CAND} SELECT chunk_id, document_id, 'BLACKLIST' AS action FROM cand"),
     ("l3_14_unblacklist", lambda v: l3.unblacklisted(v.chunks, v.docs.filter("id % 2 = 0").select(F.col("id").alias("document_id"))).filter("is_blacklisted").select("id", "document_id"), "SELECT id, document_id FROM chunks WHERE is_blacklisted AND document_id % 2 <> 0"),
     ("l3_15_affected_summaries", lambda v: l3.affected_summaries(v.chunks), "SELECT document_id, id, level FROM chunks WHERE level > 0 AND document_id IN (SELECT document_id FROM chunks WHERE is_blacklisted AND level = 0)"),

@@ -28,7 +28,7 @@ def _trace(v):
 
 
 def _expected(v):
-    return _trace(v).select("trace_id").distinct().withColumn("expected", F.length("trace_id") * 5 % 8)
+    return _trace(v).select("trace_id").distinct().withColumn("expected", F.expr("cast(substr(trace_id, 1, 1) as int)") % 8)
 
 
 PLANS = [
@@ -47,7 +47,7 @@ SELECT count(*) AS model, count(*) FILTER (WHERE seen) AS observed, round(count(
     ("pm5_decision_procedural", lambda v: pm.testable(pm.chi_squared(pm.decisions(v.exec_logs), "node", "target", "is_procedural")), _CHI.format(what="json_extract_string(metadata, '$.intent') = 'procedural'")),
     ("pm6_chi_squared_p", lambda v: pm.chi_squared_p(pm.chi_squared(pm.decisions(v.exec_logs), "node", "target", "intent")), None),
     ("pm7_variant_agreement", lambda v: pm.variant_agreement(pm.variants(_trace(v), v.model_edges), _expected(v)), f"""
-{_V}, x AS (SELECT variant, length(trace_id) * 5 % 8 AS expected FROM v)
+{_V}, x AS (SELECT variant, CAST(substr(trace_id, 1, 1) AS INT) % 8 AS expected FROM v)
 SELECT CAST(expected AS INT) AS expected, count(*) AS n, count(*) FILTER (WHERE CASE expected WHEN 1 THEN variant = 'troubleshoot_deterministic_exit' WHEN 2 THEN variant = 'followup' WHEN 3 THEN variant IN ('troubleshoot_short_circuit', 'troubleshoot_full')
   WHEN 4 THEN variant IN ('troubleshoot_full', 'troubleshoot_safety_retry', 'troubleshoot_eval_retry') WHEN 5 THEN variant = 'replace_part' WHEN 6 THEN variant = 'unsafe_method_redirect' WHEN 7 THEN variant = 'unsafe_method_redirect' END) AS agree,
   count(DISTINCT variant) AS observed_variants FROM x GROUP BY 1"""),

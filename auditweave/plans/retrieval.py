@@ -49,21 +49,27 @@ def _requests(v):
 
 
 def _pairs(v):
-    steps = v.links.filter("step_index is not null").join(v.leaves.selectExpr("id AS chunk_id", "text AS chunk_text", "section_header AS header", "page_start AS page"), "chunk_id")
-    said = v.benchmark.select(F.col("item_id").alias("step_no"), F.col("text").alias("step_text"))
-    rows = steps.withColumn("step_no", F.col("step_index") * 5 % 40).join(said, "step_no")
-    return rows.select("response_id", "step_index", "chunk_id", "step_text", "chunk_text", "header", "page", F.col("header").alias("caption")).distinct()
+    keys = v.links.filter("step_index is not null").select("response_id", "step_index", "chunk_id").distinct()
+    said = v.benchmark.select(F.col("item_id").alias("step_no"), F.col("text").alias("said"))
+    rows = keys.withColumn("step_no", F.col("step_index") * 5 % 40).join(said, "step_no").join(v.leaves.withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return rows.selectExpr(
+        "response_id", "step_index", "chunk_id", "concat(said, ' <cite doc=\"m\" page=\"', step_index, ', 0', response_id % 9, '\">') AS step_text", "text AS chunk_text", "page_start AS page",
+        "concat(section_header, ' ', split_part(said, ' ', 1), ' section') AS header", "CASE WHEN page_start % 4 <> 0 THEN array(section_header, left(said, 40), left(text, 60)) END AS captions",
+    )
 
 
-_P = """pr AS (SELECT DISTINCT l.response_id, l.step_index, l.chunk_id, b.text AS step_text, c.text AS chunk_text, c.section_header AS caption, c.section_header AS header, c.page_start AS page
-  FROM links l JOIN leaves c ON c.id = l.chunk_id JOIN benchmark b ON b.item_id = l.step_index * 5 % 40 WHERE step_index IS NOT NULL),
-w AS (SELECT *, list_distinct(regexp_extract_all(lower(step_text), '([0-9A-Za-z_]{3,})')) AS a, list_distinct(regexp_extract_all(lower(chunk_text), '([0-9A-Za-z_]{3,})')) AS b, list_distinct(regexp_extract_all(lower(caption), '([0-9A-Za-z_]{3,})')) AS c FROM pr),
-lex AS (SELECT response_id, step_index, chunk_id, round(0.55 * coalesce(len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0), 0)
-  + CASE WHEN regexp_matches(step_text, 'page ' || page || '($|[^0-9])') THEN 0.25 ELSE 0 END + 0.2 * coalesce(len(list_intersect(a, c)) / nullif(CAST(len(list_distinct(list_concat(a, c))) AS DOUBLE), 0), 0), 6) AS score FROM w)"""
+_W = "list_distinct(regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]{{{},}})'))"
+_JAC = "coalesce(len(list_intersect({0}, {1})) / nullif(CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE), 0), 0)"
+_P = f"""ke AS (SELECT DISTINCT response_id, step_index, chunk_id FROM links WHERE step_index IS NOT NULL),
+pr AS (SELECT k.*, b.text || ' <cite doc="m" page="' || k.step_index || ', 0' || (response_id % 9) || '">' AS step_text, c.text AS chunk_text, c.page_start AS page, c.section_header || ' ' || split_part(b.text, ' ', 1) || ' section' AS header,
+  c.section_header AS c1, left(b.text, 40) AS c2, left(c.text, 60) AS c3, page_start = step_index OR page_start = response_id % 9 AS cited FROM ke k JOIN leaves c ON c.id = k.chunk_id JOIN benchmark b ON b.item_id = step_index * 5 % 40),
+w AS (SELECT *, {_W.format('step_text', 3)} AS a, {_W.format('chunk_text', 3)} AS b, {_W.format('c1', 3)} AS d, {_W.format('c2', 3)} AS e, {_W.format('c3', 3)} AS f FROM pr),
+lex AS (SELECT response_id, step_index, chunk_id, round(0.55 * {_JAC.format('a', 'b')} + CASE WHEN cited THEN 0.25 ELSE 0 END
+  + 0.2 * CASE WHEN page % 4 <> 0 THEN greatest({_JAC.format('a', 'd')}, {_JAC.format('a', 'e')}, {_JAC.format('a', 'f')}) ELSE 0 END, 6) AS score FROM w)"""
 
 
 def _placed_pairs(v):
-    return _pairs(v).selectExpr("response_id", "step_index", "chunk_id", "step_text", "header", "step_index / 6.0D AS step_at", "page % 10 / 10.0D AS chunk_at", "page % 3 = 0 AS page_cited")
+    return rt.in_reading_order(_pairs(v))
 
 
 def _refs(v):
@@ -145,8 +151,10 @@ SELECT query_id, rule_id, priority FROM (SELECT query_id, rule_id, priority, row
     ("rt25_active_amendments", lambda v: _rules(v).filter("is_active and category = 1").select("rule_id", "priority").orderBy("rule_id"), "SELECT p_partkey AS rule_id, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_size % 3 = 1"),
     ("rt26_lexical_scores", lambda v: rt.lexical_scores(_pairs(v)), f"WITH {_P} SELECT response_id, step_index, chunk_id, score FROM lex"),
     ("rt27_positional_scores", lambda v: rt.positional_scores(_placed_pairs(v)), f"""
-WITH {_P}, z AS (SELECT *, list_distinct(regexp_extract_all(lower(step_text), '([0-9A-Za-z_]{{5,}})')) AS x, list_distinct(regexp_extract_all(lower(header), '([0-9A-Za-z_]{{5,}})')) AS y FROM pr)
-SELECT response_id, step_index, chunk_id, round(0.5 * greatest(0, 1 - 2.5e0 * abs(step_index / 6.0e0 - page % 10 / 10.0e0)) + CASE WHEN page % 3 = 0 THEN 0.3e0 ELSE 0 END + CASE WHEN len(list_intersect(x, y)) > 0 THEN 0.2e0 ELSE 0 END, 6) AS score FROM z"""),
+WITH {_P}, z AS (SELECT *, {_W.format('step_text', 5)} AS x, {_W.format('header', 5)} AS y, dense_rank() OVER (PARTITION BY response_id ORDER BY step_index) - 1 AS i, dense_rank() OVER (PARTITION BY response_id ORDER BY page, chunk_id) - 1 AS j FROM pr),
+o AS (SELECT *, max(i) OVER (PARTITION BY response_id) AS m, max(j) OVER (PARTITION BY response_id) AS n FROM z)
+SELECT response_id, step_index, chunk_id, round(0.5 * CASE WHEN m > 0 AND n > 0 THEN greatest(0, 1 - 2.5e0 * abs(i / CAST(m AS DOUBLE) - j / CAST(n AS DOUBLE))) WHEN n = 0 THEN 1 ELSE 0.5e0 END
+  + CASE WHEN cited THEN 0.3e0 ELSE 0 END + 0.2e0 * coalesce(len(list_intersect(y, x)) / CAST(nullif(len(y), 0) AS DOUBLE), 0), 6) AS score FROM o"""),
     ("rt28_assign", lambda v: rt.assign(rt.lexical_scores(_pairs(v)), 0.02), f"""
 WITH {_P} SELECT response_id, step_index, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY response_id, step_index ORDER BY score DESC, chunk_id DESC) AS n FROM lex WHERE score > 0.02) WHERE n = 1"""),
     ("rt28_rt29_assign_in_order", lambda v: rt.assign_in_order(rt.positional_scores(_placed_pairs(v)).join(v.chunks.selectExpr("id AS chunk_id", "sequence_index AS chunk_at", "document_id % 2 = 0 AS has_image"), "chunk_id").withColumn("step_index", F.col("step_index").cast("int"))), None),

@@ -14,7 +14,7 @@ def _best(a, b):
 
 
 _PL = "pl AS (SELECT conv_id AS thread_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1), pt AS (SELECT p.thread_id, b.item_id AS protocol_id, b.text AS protocol FROM pl p JOIN benchmark b ON b.item_id % 20 = p.thread_id % 20)"
-_R5 = "list_distinct(regexp_extract_all(lower({}), '([0-9A-Za-z_]{{5,}})'))"
+_R5 = "list_distinct(regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]{{5,}})'))"
 
 
 def _gold(v):
