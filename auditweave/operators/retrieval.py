@@ -241,10 +241,13 @@ def _jaccard(a: Column, b: Column) -> Column:
 def lexical_scores(pairs: DataFrame) -> DataFrame:
     """.55 Jaccard of words, .25 for a cited page, .20 best Jaccard of the captions, of step_text, chunk_text, captions, page.
     A step without words has 0."""
-    a = words(F.col("step_text"), 3)
-    best = F.coalesce(F.array_max(F.transform("captions", lambda c: _jaccard(a, words(c, 3)))), F.lit(0.0))
-    score = 0.55 * _jaccard(a, words(F.col("chunk_text"), 3)) + F.when(_cited(), 0.25).otherwise(0.0) + 0.2 * best
-    return pairs.select("response_id", "step_index", "chunk_id", F.when(F.size(a) > 0, F.round(score, 6)).otherwise(0.0).alias("score"))
+    keys = ["response_id", "step_index", "chunk_id"]
+    sets = pairs.select(  # each text is split once
+        *keys, words(F.col("step_text"), 3).alias("a"), words(F.col("chunk_text"), 3).alias("b"), F.transform("captions", lambda c: words(c, 3)).alias("c"), _cited().alias("cited")
+    )
+    best = F.coalesce(F.array_max(F.transform("c", lambda c: _jaccard(F.col("a"), c))), F.lit(0.0))
+    score = 0.55 * _jaccard(F.col("a"), F.col("b")) + F.when(F.col("cited"), 0.25).otherwise(0.0) + 0.2 * best
+    return sets.select(*keys, F.when(F.size("a") > 0, F.floor(score * 1e6 + 0.5) / 1e6).otherwise(0.0).alias("score"))
 
 
 def in_reading_order(pairs: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ _P = f"""ke AS (SELECT DISTINCT response_id, step_index, chunk_id FROM links WHE
 pr AS (SELECT k.*, b.text || ' <cite doc="m" page="' || k.step_index || ', 0' || (response_id % 9) || '">' AS step_text, c.text AS chunk_text, c.page_start AS page, c.section_header || ' ' || split_part(b.text, ' ', 1) || ' section' AS header,
   c.section_header AS c1, left(b.text, 40) AS c2, left(c.text, 60) AS c3, page_start = step_index OR page_start = response_id % 9 AS cited FROM ke k JOIN leaves c ON c.id = k.chunk_id JOIN benchmark b ON b.item_id = step_index * 5 % 40),
 w AS (SELECT *, {_W.format('step_text', 3)} AS a, {_W.format('chunk_text', 3)} AS b, {_W.format('c1', 3)} AS d, {_W.format('c2', 3)} AS e, {_W.format('c3', 3)} AS f FROM pr),
-lex AS (SELECT response_id, step_index, chunk_id, round(0.55 * {_JAC.format('a', 'b')} + CASE WHEN cited THEN 0.25 ELSE 0 END
-  + 0.2 * CASE WHEN page % 4 <> 0 THEN greatest({_JAC.format('a', 'd')}, {_JAC.format('a', 'e')}, {_JAC.format('a', 'f')}) ELSE 0 END, 6) AS score FROM w)"""
+lex AS (SELECT response_id, step_index, chunk_id, floor((0.55e0 * {_JAC.format('a', 'b')} + CASE WHEN cited THEN 0.25 ELSE 0 END
+  + 0.2e0 * CASE WHEN page % 4 <> 0 THEN greatest({_JAC.format('a', 'd')}, {_JAC.format('a', 'e')}, {_JAC.format('a', 'f')}) ELSE 0 END) * 1e6 + 0.5e0) / 1e6 AS score FROM w)"""
 
 
 def _placed_pairs(v):
