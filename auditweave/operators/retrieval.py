@@ -271,8 +271,8 @@ def positional_scores(pairs: DataFrame) -> DataFrame:
 
 def assign(scores: DataFrame, above: float = 0.1) -> DataFrame:
     """The best chunk of each step above the threshold."""
-    ok = scores.filter(F.col("score") > above)
-    return ok.groupBy("response_id", "step_index").agg(F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"), F.max("score").alias("score"))
+    best = scores.groupBy("response_id", "step_index").agg(F.max_by("chunk_id", F.struct("score", "chunk_id")).alias("chunk_id"), F.max("score").alias("score"))
+    return best.filter(F.col("score") > above)  # after the aggregation, so that no score is worked out twice
 
 
 def assign_in_order(scores: DataFrame, above: float = 0.1, reach: int = 1) -> DataFrame:
