@@ -22,25 +22,37 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+#: Folders of local sessions that have none set, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it, as in tests; it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-auditweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+        app = spark.sparkContext.applicationId
+        found = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-auditweave-")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a folder below the shared one, once nothing reads it any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def with_class_min(df: DataFrame, key: str, id_col: str, out: str, salts: int = 64) -> DataFrame:
     """Add `out`, the smallest `id_col` among the rows of the same `key`; null where `key` is null.
 
