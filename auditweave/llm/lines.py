@@ -4,7 +4,7 @@ A line's key is the line without blanks at its ends, A-Z in lower case, as 128 b
 batches. A batch's keys, counted once a document, are merge-anti-joined with the settled runs (keys already found in
 `least` documents, which need no more counting), and what is left becomes a run of its own. Runs are tables bucketed
 and sorted by key in the shared folder, so runs join and merge bucket by bucket. When a level holds `fanout` runs they are summed
-into one run of the next level, and keys that have reached `least` move to the settled runs, which are levelled likewise.
+into one run of the next level (full merge joins, without an exchange), and keys that have reached `least` move to the settled runs, which are levelled likewise.
 
 `drop_lines` then takes the settled keys out of texts. Keys that had over 1 / `HOT` of the settled keys' documents when they were
 settled (at most `HOT` keys, so a broadcast of at most 1 MB) are found where the text stands; the rest by a join on the key, where a hot
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir
+from .common import discard, shared_dir, written
 
 BLANKS, UPPER, LOWER = "\t\n\x0b\x0c\r ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most so many keys are broadcast, of 16 bytes each.
@@ -31,13 +31,15 @@ HOT = 50_000
 _KEY = ("key_1", "key_2")
 
 
-def line_keys(text: Column, least_chars: int = 1) -> Column:
-    """Of a text's lines, in their order: the two halves of the key's hash, or null if the key is shorter than `least_chars`."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: _hashed(F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER), least_chars))
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines, in their order."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER))
 
 
-def _hashed(key: Column, least_chars: int) -> Column:
-    return F.when(F.char_length(key) >= least_chars, F.struct(F.xxhash64(key).alias(_KEY[0]), F.xxhash64(F.lit(1), key).alias(_KEY[1])))
+def hashed(keys: Column, least_chars: int = 1) -> Column:
+    """The two halves of each key's hash; null for keys shorter than `least_chars`."""
+    halves = lambda key: F.struct(F.xxhash64(key).alias(_KEY[0]), F.xxhash64(F.lit(1), key).alias(_KEY[1]))
+    return F.transform(keys, lambda key: F.when(F.char_length(key) >= least_chars, halves(key)))
 
 
 class LineRuns:
@@ -52,38 +54,47 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Count the documents of `batch`; its keys that are not settled become a run."""
-        keys = batch.select(F.explode(F.array_distinct(line_keys(F.col("text"), self.least_chars))).alias("key"))
+        keys = batch.select(F.explode(hashed(F.array_distinct(line_keys(F.col("text"))), self.least_chars)).alias("key"))
         fresh = keys.filter(F.col("key").isNotNull()).groupBy(*(F.col("key")[k].alias(k) for k in _KEY)).agg(F.count("*").alias("n_docs"))
-        if any(self.settled):
-            fresh = fresh.join(self._union(self.settled).select(*_KEY).hint("merge"), [*_KEY], "left_anti")
+        for run in (run for level in self.settled for run in level):
+            fresh = fresh.join(self.spark.table(run).select(*_KEY).hint("merge"), [*_KEY], "left_anti")
         self._push(self.counting, 0, self._write(fresh))
-        for level in range(len(self.counting)):
-            if len(self.counting[level]) >= self.fanout:
-                self._compact(level)
+        level = 0
+        while len(self.counting[level]) >= self.fanout:
+            self._compact(level)
+            level += 1
 
     def frequent(self) -> DataFrame:
         """Ends the count: key_1, key_2 and n_docs (when it was settled) of the keys in `least` documents or more."""
-        held = [run for level in self.counting for run in level]
-        if held:
-            self._push(self.settled, 0, self._write(self._summed(held).filter(F.col("n_docs") >= self.least)))
-        self.counting = []
-        self._remove(held)
-        return self._union(self.settled) if any(self.settled) else self.spark.createDataFrame([], "key_1 long, key_2 long, n_docs long")
-
-    def _summed(self, runs: list[str]) -> DataFrame:
-        return self._union([runs]).groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"))
+        counting, settled = ([run for level in levels for run in level] for levels in (self.counting, self.settled))
+        found = [self._merged(counting).filter(F.col("n_docs") >= self.least)] if counting else []
+        found += [self._merged(settled)] if settled else []
+        if not found:
+            return self.spark.createDataFrame([], "key_1 long, key_2 long, n_docs long")
+        out = written(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "line-keys")
+        self.counting, self.settled = [], []
+        self._remove(counting + settled)
+        return out
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """Runs merged by key, their counts added; each has a key once."""
+        first, *rest = map(self.spark.table, runs)
+        for run in rest:
+            both = first.join(run.select(*_KEY, F.col("n_docs").alias("more")).hint("merge"), [*_KEY], "full")
+            first = both.select(*_KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
+        return first
 
     def _compact(self, level: int) -> None:
-        """Sum the runs of a level: settled keys leave, the rest is one run of the next level."""
+        """Merge the runs of a level: settled keys leave, the rest is one run of the next level."""
         old, self.counting[level] = self.counting[level], []
-        summed, reached = self._summed(old), F.col("n_docs") >= self.least
-        self._push(self.settled, 0, self._write(summed.filter(reached)))
-        self._push(self.counting, level + 1, self._write(summed.filter(~reached)))
+        merged, reached = self._merged(old), F.col("n_docs") >= self.least
+        self._push(self.settled, 0, self._write(merged.filter(reached)))
+        self._push(self.counting, level + 1, self._write(merged.filter(~reached)))
         self._remove(old)
         for at, runs in enumerate(self.settled):
             if len(runs) >= self.fanout:
                 self.settled[at] = []
-                self._push(self.settled, at + 1, self._write(self._union([runs])))
+                self._push(self.settled, at + 1, self._write(self._merged(runs)))
                 self._remove(runs)
 
     def _push(self, levels: list[list[str]], level: int, run: str) -> None:
@@ -91,12 +102,6 @@ class LineRuns:
             levels.append([])
         levels[level].append(run)
 
-    def _union(self, levels: list[list[str]]) -> DataFrame:
-        first, *rest = [self.spark.table(run) for level in levels for run in level]
-        for run in rest:
-            first = first.unionByName(run)
-        return first
-
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         self.tables[name] = f"{shared_dir(self.spark)}/{name}"
@@ -115,7 +120,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, least_chars: int = 1) -> Da
     row = [F.xxhash64("doc_id", text).alias("row_1"), F.xxhash64(F.lit(1), text, "doc_id").alias("row_2")]
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"), F.split(text, "\n").alias("lines"), *row)
-    found = docs.select(*row, F.posexplode(line_keys(F.col("text"), least_chars)).alias("at", "key")).filter(F.col("key").isNotNull())
+    found = docs.select(*row, F.posexplode(hashed(line_keys(F.col("text")), least_chars)).alias("at", "key")).filter(F.col("key").isNotNull())
     total = frequent.agg(F.sum("n_docs")).first()[0] or 0
     is_hot = F.col("n_docs") * HOT > total
     hot = frequent.filter(is_hot).select(*_KEY, F.lit(True).alias("is_hot"))
