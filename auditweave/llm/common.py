@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_numbers(df: DataFrame, id_col: str) -> None:
+    """Refuse ids that are no whole numbers, before any work is done."""
+    kind = dict(df.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; ids must be whole numbers")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches of a task, parted into runs of at most `rows` rows, which bound what is held as Python objects."""
     for batch in batches:

@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a string of `least` bytes that also starts in a document with a smaller id.
 
 Documents with equal texts are settled by their digest: all but the first go whole. The others are dealt into
-chunks of bounded size by their ids, and one exchange of the texts serves three passes over the chunks:
+chunks of bounded size by their ids and texts, and one exchange of the texts serves three passes over the chunks:
 
 1. Each window of `least` bytes has a minimizer, the least hash of its strings of 28 bytes (of 50), which depends on the
    window's content alone. Chunks send their minimizers to buckets, which send back those of two documents or more.
@@ -12,7 +12,8 @@ chunks of bounded size by their ids, and one exchange of the texts serves three
 3. The chunks get back the windows found and cut their texts.
 
 Windows are compared as whole strings, so hashes decide nothing but where they meet. Null texts count as empty;
-rows that repeat an id are not earlier than each other, rows without an id come last; the other columns are carried along
+rows that repeat an id are not earlier than each other, whether their texts are equal or not, and each is judged by its own text;
+rows without an id come last. Ids must be whole numbers (any other type raises an error). The other columns are carried along
 in one struct, so that no name clashes; an empty table gives no rows.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import smaller_owner
-from .common import with_class_min, written
+from .common import whole_numbers, with_class_min, written
 from .shingles import blocks, mix
 
 CHUNK_BYTES, BLOCK_BYTES, SHARD_BYTES = 4 << 20, 256 << 10, 96 << 10
@@ -88,9 +89,12 @@ class Chunk:
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts = ids[self.order], [texts[i] for i in self.order]
         kinds, values = notes.column("kind").to_pylist(), notes.column("id").to_pylist()
-        self.copies = {v for k, v in zip(kinds, values, strict=True) if k == 0}
-        self.blobs = [b for k, b in zip(kinds, notes.column("blob").to_pylist(), strict=True) if k]
-        self.alone = [i for i, d in enumerate(self.ids.tolist()) if d not in self.copies]
+        blobs = notes.column("blob").to_pylist()
+        told = {(v, b) for k, v, b in zip(kinds, values, blobs, strict=True) if k == 0}
+        copied = {v for v, _ in told}
+        self.copies = {i for i, d in enumerate(self.ids.tolist()) if d in copied and (d, hashlib.sha256(self.texts[i]).digest()) in told}
+        self.blobs = [b for k, b in zip(kinds, blobs, strict=True) if k]
+        self.alone = [i for i in range(len(self.ids)) if i not in self.copies]
 
 
 def _by_bucket(values: np.ndarray, buckets: int):
@@ -298,9 +302,9 @@ def _cut(least: int, as_text: bool):
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         first = np.searchsorted(found[:, 0], np.arange(len(chunk.ids) + 1))
         removed, kept = [], []
-        for i, (doc, text) in enumerate(zip(chunk.ids.tolist(), chunk.texts, strict=True)):
+        for i, text in enumerate(chunk.texts):
             spans: list[list[int]] = []
-            if doc in chunk.copies:
+            if i in chunk.copies:
                 spans = [[0, len(text)]] if len(text) >= least else []
             for _, start, n in found[first[i] : first[i + 1]].tolist():
                 stop = start + n + least - 1
@@ -326,16 +330,17 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     """row (the columns of `docs` but its text), n_bytes, removed (array of start and end, in bytes) and kept (the remaining bytes; as_text: a string, without what is left of a cut character)."""
     if least < 32:
         raise ValueError("at least 32 bytes")
+    whole_numbers(docs, id_col)
     row = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row)
     text = F.coalesce("text", F.lit(""))
-    digests = docs.select("id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
+    place = F.xxhash64("id", text)  # not the id alone, which many rows may share or lack
+    digests = docs.select("id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"), place.alias("place"))
     classes = written(with_class_min(digests, "digest", "id", "first"), "substring-classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
     chunks, buckets = max(64, -(-total // chunk_bytes)), max(32, -(-total // chunk_bytes))
-    chunk_of = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("_chunk")
-    dealt = docs.withColumn("_chunk", chunk_of).groupBy("_chunk")
-    copies = classes.filter("id <> first").select(chunk_of, F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("blob"))
+    dealt = docs.withColumn("_chunk", F.pmod(place, F.lit(chunks))).groupBy("_chunk")
+    copies = classes.filter("id <> first").select(F.pmod("place", F.lit(chunks)).alias("_chunk"), F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), F.col("digest").alias("blob")).distinct()
     with_notes = lambda notes, work, schema: dealt.cogroup(notes.groupBy("_chunk")).applyInArrow(work, schema)
     sent = with_notes(copies, _send_minimizers(least, buckets), "bucket long, _chunk long, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_find_shared(hot_windows), NOTES)
