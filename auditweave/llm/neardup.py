@@ -20,9 +20,11 @@ is expected (4.5 deviations). Two documents of similarity 0.8 share no region in
 
 Regions of more than `region` documents are parted over tasks in the first step, by the deeper minima and, where
 these are all alike, at random, differently in each tree. Documents with equal sets are one class, whose smallest document
-stands for it. Null texts and texts without words have the empty set and are linked with nothing. Rows that
-repeat an id are one document; rows without an id are kept; other columns than doc_id and
-text are not read; an empty table gives no rows.
+stands for it. Null texts and texts without words have the empty set and are linked with nothing.
+
+Every row is judged by its own text and gives a row. Where one id has several texts, each is a document of its own under that id: one of them is
+known by the id, the others by numbers made from id and text, and components get the smallest id at the end. Rows without an id are kept. Ids must be
+whole numbers (any other type raises an error); other columns than doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_class_min, written
+from .common import slices, whole_numbers, with_class_min, written
 from .shingles import blocks, shingle_sets
 
 TREES, DEPTH, SHALLOW, NEAR_TREES = 22, 6, 4, 2
@@ -315,30 +317,60 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, region: int = REGION, width: int = 2, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
-    signs = written(signed(docs, width=width), "forest-signs")
+def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, node, text and row (the other columns) of each row, and doc_id by node of the nodes that are no ids (None: there are none).
+
+    A node is the id, but for the second and later texts of an id: these get a number from id and text.
+    """
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), others)
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).filter("_least <> _most")
+    several = written(several.select(F.col("doc_id").alias("_id"), "_least"), "forest-repeated-ids")
+    if several.isEmpty():
+        return rows.select("doc_id", F.col("doc_id").alias("node"), "text", "row"), None
+    found = rows.join(several, rows["doc_id"] == several["_id"], "left")
+    found = found.select("doc_id", F.when(F.col("_hash") != F.col("_least"), F.xxhash64("doc_id", "_hash")).otherwise(F.col("doc_id")).alias("node"), "text", "row")
+    return found, found.filter("node <> doc_id").select(F.col("node").alias("_node"), F.col("doc_id").alias("_named")).distinct()
+
+
+def judged(docs: DataFrame, percent: int = 80, region: int = REGION, width: int = 2, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, n_shingles, component_id, kept of each row, and what nodes() gives."""
+    whole_numbers(docs, "doc_id")
+    docs, named = nodes(docs)
+    signs = written(signed(docs, "node", width=width), "forest-signs")
     classes = with_class_min(signs.select("doc_id", "n_shingles", "set_id"), "set_id", "doc_id", "first")
     classes = written(classes.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "forest-classes")
     firsts = classes.filter("doc_id = first and n_shingles > 0").select(F.col("doc_id").alias("one")).distinct()
     alone = signs.join(firsts, signs["doc_id"] == firsts["one"], "left_semi").dropDuplicates(["doc_id"])
     large = written(large_regions(alone, min(small, region)), "forest-large")
     pairs = written(candidates(alone, large, region, percent, small), "forest-pairs")
-    linked = written(links(docs, pairs, percent, width=width), "forest-links")
+    linked = written(links(docs, pairs, percent, "node", width=width), "forest-links")
     found = components(linked)
     if not large.isEmpty():
         for few in (FEW, 0):
             more = written(left_candidates(alone, large, found, few, min(SIDE, region), percent), "forest-left-pairs")
             if more.isEmpty():
                 break
-            linked = linked.unionByName(written(links(docs, more, percent, width=width, few=True), "forest-left-links"))
+            linked = linked.unionByName(written(links(docs, more, percent, "node", width=width, few=True), "forest-left-links"))
             found = components(linked)
-    out = classes.join(found, classes["first"] == found["node"], "left")
-    component = F.coalesce("component", "first")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = classes.join(found, classes["first"] == found["node"], "left").select(F.col("doc_id").alias("node"), "n_shingles", F.coalesce("component", "first").alias("component"))
+    if named is None:
+        out = out.select(F.col("node").alias("doc_id"), "node", "n_shingles", F.col("component").alias("component_id"))
+    else:
+        out = out.join(named, out["node"] == named["_node"], "left").select(F.coalesce("_named", "node").alias("doc_id"), "node", "n_shingles", "component")
+        out = with_class_min(written(out, "forest-named"), "component", "doc_id", "component_id")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "node", "n_shingles", "component_id", kept), docs
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, region: int = REGION, width: int = 2, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row."""
+    return judged(docs, percent, region, width, small)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """The rows of `docs` that stay when one document of each component does; rows without an id stay."""
-    gone = near_duplicates(docs, percent, width=width).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found, rows = judged(docs, percent, width=width)
+    gone = found.filter("not kept").select(F.col("node").alias("_gone")).distinct()
+    left = rows.join(gone, rows["node"] == gone["_gone"], "left_anti")
+    return left.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

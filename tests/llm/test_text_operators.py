@@ -268,3 +268,72 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
     for empty in (secrets.scan_secrets(no_docs), neardup.near_duplicates(no_docs), substrings.remove_repeats(no_docs), pieces.encode(no_docs, model)):
         assert empty.count() == 0
+
+
+def shared_id_docs(spark):
+    """Ids that repeat with equal, near and quite different texts; rows without an id; columns of clashing names."""
+    a, b, c = prose(11, 90), prose(12, 90), prose(13, 90)
+    near = a + " tail"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "y"), (6, near, "z"), (6, c, "z"), (7, near, "x"), (7, near, "x"), (None, a, "x"), (None, c, "x"), (9, c, "n"), (3, prose(14, 5), "x"), (3, None, "x"), (3, "", "x")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, node string")
+
+
+def test_repeats_in_rows_that_share_an_id(spark):
+    rows, df = shared_id_docs(spark)
+    order = lambda d: (d is None, d or 0)
+    out = {}
+    for d, t, _ in rows:
+        data, gone = (t or "").encode(), set()
+        earlier = {x for e, u, _ in rows if order(e) < order(d) for x in (u or "").encode().__getitem__ and [(u or "").encode()[i : i + 50] for i in range(len((u or "").encode()) - 49)]}
+        for i in range(len(data) - 49):
+            if data[i : i + 50] in earlier:
+                gone.update(range(i, i + 50))
+        out.setdefault((d, hashlib.sha256(data).hexdigest()), len(gone))
+    for _ in range(2):
+        got = substrings.remove_repeats(df, chunk_bytes=300)
+        found = sorted(((r["row"]["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"])) for r in got.collect()), key=repr)
+        assert found == sorted(((d, len((t or "").encode()), out[d, hashlib.sha256((t or "").encode()).hexdigest()]) for d, t, _ in rows), key=repr)
+    assert next(r for r in substrings.without_repeats(df).collect() if r["doc_id"] == 5 and r["node"] == "y")["text"] == prose(12, 90)
+
+
+def test_near_copies_in_rows_that_share_an_id(spark):
+    rows, df = shared_id_docs(spark)
+    keyed = [(i, t or "") for i, (_, t, _) in enumerate(rows)]
+    label = brute_components(keyed)
+    ids = {}
+    for i, (_, c) in label.items():
+        if rows[i][0] is not None:
+            ids[c] = min(ids.get(c, 1 << 60), rows[i][0])
+    for _ in range(2):
+        got = [r for r in neardup.near_duplicates(df).collect() if r["doc_id"] is not None]
+        want = [(rows[i][0], n, ids[c], rows[i][0] == ids[c]) for i, (n, c) in label.items() if rows[i][0] is not None]
+        # an empty set is linked with nothing: it stands for itself under its id
+        want = [(d, n, c, k) if n else (d, 0, d, True) for d, n, c, k in want]
+        assert sorted(map(tuple, got)) == sorted(want)
+        kept = sorted(map(tuple, neardup.keep_first(df, width=2).collect()), key=repr)
+        assert (5, prose(12, 90), "y") in kept and (6, prose(13, 90), "z") in kept and (5, prose(11, 90), "x") not in kept
+        assert sum(r[0] is None for r in kept) == 2
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for operator in (substrings.remove_repeats, neardup.near_duplicates):
+        with pytest.raises(TypeError, match="whole numbers"):
+            operator(df)
+
+
+def test_the_shared_folder_of_a_session_without_one(spark, monkeypatch):
+    from auditweave.llm import common
+
+    set_before = spark.conf.get("spark.checkpoint.dir", None)
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: (a[0] if a else None) if key == "spark.checkpoint.dir" else get(self, key, *a))
+    folder = common.shared_dir(spark)
+    assert folder.startswith("file:///") and folder == common.shared_dir(spark) and folder != set_before
+    held = common.written(spark.range(5), "some")
+    assert held.count() == 5
+    with pytest.raises(ValueError, match="not below"):
+        common.discard(spark, "file:///tmp/elsewhere")
+    common.discard(spark, held.inputFiles()[0].rsplit("/", 1)[0].replace("file:///", "file:///", 1))
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        held.count()
