@@ -4,9 +4,10 @@ A suffix automaton of each language's labelled text finds, from any place of a t
 language's sample; a text is parsed into such matches (phrases) one after the other. The phrases that a language
 needs, times the bits that point into its sample, for each character, estimate its cross entropy: the lowest wins.
 
-The samples are bounded by parameters: of each language whole texts of up to `sample_docs` labelled documents, with
-`sample_chars` characters together (one text at least), those with the smallest hashes of their ids; texts of more than an
-eighth of that come last. Whole texts are parsed, in lower case.
+The samples are bounded by parameters: of each of the `languages` that have the most labelled documents (ties: those that sort first), whole texts of up to
+`sample_docs` labelled documents, with `sample_chars` characters together (one text at least), those with the smallest hashes of their ids; texts of
+more than an eighth of that come last. Only ids and hashes are ranked, first within salted parts of a language; the texts of those chosen are
+fetched by a join. Whole texts are parsed, in lower case.
 
 The score is the share of characters that the best language's phrases save: 1 - phrases / characters.
 A text that is null or has no letter gets `und` and score 0; so does every text where no language was learned.
@@ -96,16 +97,25 @@ def rank(text: str, learned: list[tuple[str, dict, float]]) -> tuple[str, float]
     return name, 1 - needed / len(text)
 
 
-def learn(docs: DataFrame, usable: Column, sample_docs: int = 100, sample_chars: int = 48_000) -> dict[str, str]:
+def learn(docs: DataFrame, usable: Column, sample_docs: int = 100, sample_chars: int = 48_000, languages: int = 200, salts: int = 64) -> dict[str, str]:
     """The sample text of each language, from rows for which `usable` holds."""
-    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.char_length("text") > sample_chars // 8, F.xxhash64("doc_id"), "doc_id", "text")
-    first = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
-    chosen = first.withColumn("total", F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    samples: dict[str, list[str]] = {}
-    for r in chosen.filter((F.col("total") <= sample_chars) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "text").collect():
-        samples.setdefault(r["lang"], []).append(r["text"].lower())
-    joined = {k: " ".join(v) for k, v in samples.items()}
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    size, text_hash = F.char_length("text").alias("size"), F.xxhash64("text").alias("text_hash")
+    ids = known.select("lang", "doc_id", size, text_hash, (F.char_length("text") > sample_chars // 8).alias("is_long"), F.xxhash64("doc_id").alias("dealt"))
+    order = ["is_long", "dealt", "doc_id", "text_hash"]
+    salted = Window.partitionBy("lang", F.pmod("text_hash", F.lit(salts))).orderBy(*order)
+    best = ids.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= sample_docs)
+    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    by_lang = Window.partitionBy("lang").orderBy(*order)
+    best = best.join(often, "lang", "left_semi").withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= sample_docs)
+    chosen = best.withColumn("total", F.sum("size").over(by_lang.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.filter((F.col("total") <= sample_chars) | (F.col("n") == 1)).select("lang", "n", F.col("doc_id").alias("id"), F.col("text_hash").alias("its_hash"))
+    # at most languages * sample_docs rows, whose texts have sample_chars each language but for single longer ones
+    fetched = known.join(F.broadcast(chosen.withColumnRenamed("lang", "its_lang")), F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("its_hash")) & (F.col("lang") == F.col("its_lang")))
+    texts: dict[str, dict[int, str]] = {}
+    for r in fetched.select("lang", "n", "text").dropDuplicates(["lang", "n"]).collect():
+        texts.setdefault(r["lang"], {})[r["n"]] = r["text"].lower()
+    joined = {k: " ".join(v[n] for n in sorted(v)) for k, v in sorted(texts.items())}
     return {k: v for k, v in joined.items() if any(c.isalpha() for c in v)}
 
 
