@@ -1,13 +1,18 @@
 """Hash chains: building, verifying, splitting and sealing.
 
-A chain is sequential, so it is folded inside one array for each chain; chains are short (a document's
-entries, a session's log) and all of them run at once.
+A chain is sequential: each digest stands on the one before. Chains run side by side; within a task, records come in order of
+chain and place and are folded in one pass that carries only the last digest, so that a chain of any length takes the memory of one batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: What the first entry of a manifest, and of a log, stands on.
@@ -15,24 +20,34 @@ ZEROS = "0" * 64
 LOG_GENESIS = "GENESIS"
 
 
-def _fold(rows: Column, first: Column, digest) -> Column:
-    """rows with the hash before and the own hash; `digest(previous, row)`."""
-    start = F.struct(first.alias("tail"), F.array().cast("array<struct<place:bigint,prev:string,own:string>>").alias("done"))
-    step = lambda acc, row: F.struct(
-        digest(acc["tail"], row).alias("tail"),
-        F.concat(acc["done"], F.array(F.struct(row["place"].alias("place"), acc["tail"].alias("prev"), digest(acc["tail"], row).alias("own")))).alias("done"),
-    )
-    return F.aggregate(rows, start, step)["done"]
+def folded(records: DataFrame, chain: str, place: str, suffix: Column, first: str, prev: str, own: str) -> DataFrame:
+    """`records` with `prev` and `own` = sha256(`prev` followed by `suffix`), in order of `place` within each chain; a chain's first stands on `first`.
+
+    Records that share chain and place follow each other by their suffix. Records without a chain form one. A missing suffix counts as empty.
+    """
+    rows = records.withColumn("_suffix", F.coalesce(suffix, F.lit(""))).repartition(chain).sortWithinPartitions(chain, place, "_suffix")
+    names = [c for c in rows.columns if c not in (prev, own)]
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in names and f.name != "_suffix"), T.StructField(prev, T.StringType()), T.StructField(own, T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tail, begun = None, first, False
+        for batch in batches:
+            before, after = [], []
+            for key, text in zip(batch.column(chain).to_pylist(), batch.column("_suffix").to_pylist(), strict=True):
+                if key != current or not begun:
+                    current, tail, begun = key, first, True
+                before.append(tail)
+                tail = hashlib.sha256(f"{tail}{text}".encode()).hexdigest()
+                after.append(tail)
+            kept = batch.select([n for n in names if n != "_suffix"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept.schema.names, prev, own])
+
+    return rows.select(*names).mapInArrow(fold, schema)
 
 
 def chained(entries: DataFrame, chain: str = "document_id", place: str = "entry_sequence", payload: str = "entry_json", first: str = ZEROS) -> DataFrame:
     """`entries` with prev_hash and entry_hash = sha256(prev_hash || payload), in order of `place` within each chain."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(payload).alias("payload"))))
-    done = entries.groupBy(chain).agg(rows.alias("rows")).select(
-        chain, F.explode(_fold(F.col("rows"), F.lit(first), lambda prev, row: F.sha2(F.concat(prev, row["payload"]), 256))).alias("h")
-    )
-    hashes = done.select(chain, F.col("h.place").alias(place), F.col("h.prev").alias("prev_hash"), F.col("h.own").alias("entry_hash"))
-    return entries.join(hashes, [chain, place])
+    return folded(entries, chain, place, F.col(payload), first, "prev_hash", "entry_hash")
 
 
 def tampered(chain: DataFrame, key: str = "document_id", every: int = 5, entry_type: str = "chunk_created") -> DataFrame:
@@ -98,21 +113,20 @@ def record_hashes(logs: DataFrame, previous: str) -> DataFrame:
     return logs.withColumn("record_hash", F.sha2(record_text(F.lit(previous), {c: F.col(c) for c in logs.columns}), 256))
 
 
+def _log_suffix() -> Column:
+    return record_text(F.lit(""), {c: F.col(c) for c in ("operation_type", "document", "node_name", "started_ms", "metadata")})
+
+
 def log_chain(logs: DataFrame) -> DataFrame:
     """prev_hash and record_hash of each record, in order of id within its chain_id."""
-    fields = ["operation_type", "document", "node_name", "started_ms", "metadata"]
-    rows = F.array_sort(F.collect_list(F.struct(F.col("id").alias("place"), *fields)))
-    done = logs.groupBy("chain_id").agg(rows.alias("rows")).select(
-        "chain_id", F.explode(_fold(F.col("rows"), F.sha2(F.lit(LOG_GENESIS), 256), lambda prev, row: F.sha2(record_text(prev, row), 256))).alias("h")
-    )
-    return logs.join(done.select("chain_id", F.col("h.place").alias("id"), F.col("h.prev").alias("prev_hash"), F.col("h.own").alias("record_hash")), ["chain_id", "id"])
+    return folded(logs, "chain_id", "id", _log_suffix(), hashlib.sha256(LOG_GENESIS.encode()).hexdigest(), "prev_hash", "record_hash")
 
 
 def verify_log_chain(stored: DataFrame) -> DataFrame:
     """Rows whose stored hash is not the recomputed one. The recomputed hash goes on, so a changed payload
     marks all later rows of its chain, a changed hash only its own."""
-    again = log_chain(stored.drop("prev_hash", "record_hash")).select("chain_id", "id", F.col("record_hash").alias("expected"))
-    return stored.select("chain_id", "id", "record_hash").join(again, ["chain_id", "id"]).filter("record_hash <> expected").select("chain_id", "id")
+    again = folded(stored, "chain_id", "id", _log_suffix(), hashlib.sha256(LOG_GENESIS.encode()).hexdigest(), "_before", "_expected")
+    return again.filter(~F.col("record_hash").eqNullSafe(F.col("_expected"))).select("chain_id", "id")
 
 
 def split_retries(logs: DataFrame, node: str = "RepairPlanner") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import kappa, share
 
 #: Correction types that count as structured, and the weights of actions and groundings.
-STRUCTURED = ("WRONG_PART", "MISSING_STEP", "WRONG_ORDER", "SAFETY")
+STRUCTURED = ("WRONG_VALUE", "WRONG_SEQUENCE", "MISSING_STEP", "WRONG_TOOL", "SAFETY_VIOLATION", "OUTDATED_PROCEDURE")
 POLARITY = {"ACCEPT": 1.0, "INCORRECT": -1.0, "MODIFY": -0.5, "SKIP": 0.0}
 GROUNDING = {"verbatim": 1.0, "paraphrased": 0.8, "synthesized": 0.5, "ungrounded": 0.1}
 CORRECTIONS = ("MODIFY", "INCORRECT")
@@ -29,7 +29,7 @@ def live(df: DataFrame) -> DataFrame:
 def schema_coverage(step_fb: DataFrame) -> DataFrame:
     rows = live(step_fb).filter(F.col("action").isin(*CORRECTIONS))
     known = F.count_if(F.coalesce(F.col("correction_type").isin(*STRUCTURED), F.lit(False)))
-    return rows.agg(F.count("*").alias("total"), known.alias("structured"), share(known, F.count("*")).alias("coverage"))
+    return rows.agg(F.count("*").alias("total"), known.alias("structured"), (F.count("*") - known).alias("unstructured"), F.round(F.coalesce(share(known, F.count("*")), F.lit(0.0)), 4).alias("coverage"))
 
 
 def correction_distribution(step_fb: DataFrame) -> DataFrame:
@@ -67,13 +67,13 @@ def correctness_vs_faithfulness(resp_fb: DataFrame, evals: DataFrame, threshold:
     return rows.agg(F.count("*").alias("n"), F.count_if(right == faithful).alias("agree"), F.count_if(~right & faithful).alias("faithful_but_wrong"), share(F.count_if(right == faithful), F.count("*")).alias("agreement"))
 
 
-def label_kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Cohen's kappa of any two label columns, with the band that it falls in; under two pairs: null."""
+def label_kappa(pairs: DataFrame, a: str = "a", b: str = "b", least: int = 0) -> DataFrame:
+    """Cohen's kappa of any two label columns, with the band that it falls in; null under `least` pairs, else 0 of none."""
     clean = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     n = clean.agg(F.count("*").cast("double").alias("n"), F.count_if(F.col(a) == F.col(b)).cast("double").alias("agree"))
     of = lambda c, name: clean.groupBy(F.col(c).alias("label")).agg(F.count("*").cast("double").alias(name))
     products = of(a, "na").join(of(b, "nb"), "label").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0.0)).alias("product"))
-    k = F.when(F.col("n") < 2, F.lit(None)).otherwise(F.round(kappa(F.col("agree"), F.col("n"), F.col("product")), 6))
+    k = F.when(F.col("n") < least, F.lit(None)).otherwise(F.round(kappa(F.col("agree"), F.col("n"), F.col("product")), 6))
     out = n.crossJoin(F.broadcast(products)).select(F.col("n").cast("long").alias("pairs"), F.col("agree").cast("long").alias("agreed"), k.alias("kappa"))  # one row each
     band = F.when(F.col("kappa") < 0, "poor").when(F.col("kappa") <= 0.2, "slight").when(F.col("kappa") <= 0.4, "fair").when(F.col("kappa") <= 0.6, "moderate").when(F.col("kappa") <= 0.8, "substantial").when(F.col("kappa").isNotNull(), "almost perfect")
     return out.withColumn("band", band)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import variant as vt
 from ..functions.columns import share
 
 
@@ -66,13 +67,16 @@ def links_to_chunks(links: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def feedback_to_verdicts(step_fb: DataFrame, evals: DataFrame) -> DataFrame:
-    """L3 to L2 integrity: feedback steps within the verdict lists of every evaluation, and feedback without evaluation."""
+    """L3 to L2 integrity: feedback steps within the verdict arrays of every evaluation (texts that are no JSON arrays do not count), and feedback
+    without evaluation; score: what is neither, of both, to 4 places (1 of none)."""
     live = step_fb.filter(~F.coalesce("retracted", F.lit(False)))
-    rows = live.join(evals.filter("n_verdicts is not null").select("response_id", "n_verdicts"), "response_id")
+    sized = evals.select("response_id", F.array_size(vt.elements(vt.parsed("step_verdicts"))).alias("n_verdicts"))
+    rows = live.join(sized.filter("n_verdicts is not null"), "response_id")
     valid = (F.col("step_index") >= 0) & (F.col("step_index") < F.col("n_verdicts"))
     checked = rows.agg(F.count("*").alias("total"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("out_of_range"))
     alone = live.join(evals.select("response_id").distinct(), "response_id", "left_anti").agg(F.count("*").alias("without_evaluation"))
-    return checked.crossJoin(F.broadcast(alone)).withColumn("score", share(F.col("valid"), F.col("total")))  # one row each
+    score = F.coalesce(share(F.col("valid"), F.col("total") + F.col("without_evaluation")), F.lit(1.0))
+    return checked.crossJoin(F.broadcast(alone)).withColumn("score", F.round(score, 4))  # one row each
 
 
 def feedback_chain(step_fb: DataFrame, evals: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -97,12 +101,13 @@ def feedback_sanity(step_fb: DataFrame, evals: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if("known").alias("with_evaluation"), F.count_distinct("response_id").alias("responses"))
 
 
-def trace_order(links: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Place of each linked chunk in its response's report: reading order for even responses, else most similar first."""
+def trace_order(links: DataFrame, chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """Place of each linked chunk in its response's report: reading order where the response's retrieval path (paths: response_id,
+    retrieval_path) begins with full_, else most similar first."""
     from pyspark.sql.window import Window
 
-    rows = links.join(chunks.select(F.col("id").alias("chunk_id"), "sequence_index"), "chunk_id")
-    full = F.col("response_id") % 2 == 0
+    rows = links.join(chunks.select(F.col("id").alias("chunk_id"), "sequence_index"), "chunk_id").join(paths.select("response_id", "retrieval_path"), "response_id", "left")
+    full = F.coalesce(F.startswith("retrieval_path", F.lit("full_")), F.lit(False))
     order = Window.partitionBy("response_id").orderBy(
         F.when(full, F.col("sequence_index")).asc_nulls_last(), F.when(~full, F.col("similarity_score")).desc_nulls_last(), F.col("id")
     )

@@ -39,8 +39,8 @@ def _scored(v):
 
 PLANS = [
     ("l3_1_schema_coverage", lambda v: l3.schema_coverage(v.step_fb), """
-WITH r AS (SELECT coalesce(correction_type IN ('WRONG_PART', 'MISSING_STEP', 'WRONG_ORDER', 'SAFETY'), false) AS s FROM step_fb WHERE NOT retracted AND action IN ('MODIFY', 'INCORRECT'))
-SELECT count(*) AS total, count(*) FILTER (WHERE s) AS structured, count(*) FILTER (WHERE s) / CAST(count(*) AS DOUBLE) AS coverage FROM r"""),
+WITH r AS (SELECT coalesce(correction_type IN ('WRONG_VALUE', 'WRONG_SEQUENCE', 'MISSING_STEP', 'WRONG_TOOL', 'SAFETY_VIOLATION', 'OUTDATED_PROCEDURE'), false) AS s FROM step_fb WHERE NOT retracted AND action IN ('MODIFY', 'INCORRECT'))
+SELECT count(*) AS total, count(*) FILTER (WHERE s) AS structured, count(*) FILTER (WHERE NOT s) AS unstructured, round(count(*) FILTER (WHERE s) / CAST(count(*) AS DOUBLE), 4) AS coverage FROM r"""),
     ("l3_1_correction_distribution", lambda v: l3.correction_distribution(v.step_fb), "SELECT coalesce(correction_type, 'NULL') AS correction_type, count(*) AS n FROM step_fb WHERE NOT retracted AND action IN ('MODIFY', 'INCORRECT') GROUP BY 1"),
     ("l3_2_correction_entropy", lambda v: l3.correction_entropy(v.step_fb), """
 WITH c AS (SELECT coalesce(correction_type, 'NULL') AS k, count(*) AS n FROM step_fb GROUP BY 1), t AS (SELECT count(*) AS kinds, CAST(sum(n) AS BIGINT) AS total, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM c)
@@ -56,7 +56,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE u AND g) AS both_up, count(*) FILTE
 WITH r AS (SELECT correctness IN ('correct', 'partial') AS c, sync_faithfulness >= 0.7 AS f FROM resp_fb JOIN evals USING (response_id) WHERE attempt_number = 1 AND sync_faithfulness IS NOT NULL)
 SELECT count(*) AS n, count(*) FILTER (WHERE c = f) AS agree, count(*) FILTER (WHERE NOT c AND f) AS faithful_but_wrong, count(*) FILTER (WHERE c = f) / CAST(count(*) AS DOUBLE) AS agreement FROM r"""),
     ("l3_6_label_kappa", lambda v: l3.label_kappa(_label_pairs(v)), f"WITH p AS (SELECT CASE feedback_type WHEN 'UP' THEN 'good' ELSE 'bad' END AS a, CASE badge WHEN 'green' THEN 'good' ELSE 'bad' END AS b FROM resp_fb JOIN evals USING (response_id) WHERE attempt_number = 1 AND badge <> 'gray'), {_KAPPA}"),
-    ("l3_7_annotator_kappa", lambda v: l3.label_kappa(l3.annotator_pairs(v.step_fb)), f"""
+    ("l3_7_annotator_kappa", lambda v: l3.label_kappa(l3.annotator_pairs(v.step_fb), least=2), f"""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY response_id, step_index ORDER BY user_id) AS n FROM step_fb), p AS (SELECT x.action AS a, y.action AS b FROM o x JOIN o y ON x.response_id = y.response_id AND x.step_index = y.step_index AND x.n = 1 AND y.n = 2), {_KAPPA}"""),
     ("l3_8_response_feedback_fold", lambda v: l3.fold_toggles(_events(v), ["k", "u"], "place", "v"), f"""
 WITH RECURSIVE {_EV}, o AS (SELECT *, row_number() OVER (PARTITION BY k, u ORDER BY place, v NULLS FIRST) AS n FROM e), s AS (SELECT DISTINCT k, u, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS state FROM e

@@ -1,4 +1,7 @@
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import to_envelope
 from ..operators import provenance as xl
@@ -41,7 +44,25 @@ def _queries(v):
     return v.orders.select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") + 1).alias("parent_query_id"))
 
 
+_SEED = T.StructType([T.StructField("document_id", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("section_header", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def _seed_load(v):
+    """All documents are loaded as they are, then every third with other headings, twice."""
+    base = f"{tables.shared_folder(v.spark)}/seed-{uuid.uuid4().hex}"
+    whole = v.leaves.select("document_id", "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("section_header")).alias("section_header"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise("").alias("text"))
+    some = whole.filter("document_id % 3 = 0 and doc_id % 7 <> 0").withColumn("section_header", F.lit('new, "quoted"\n heading '))
+    for rows, name in ((whole, "whole"), (some, "some"), (some, "some")):
+        tables.write_seed(rows, f"{base}/{name}")
+        tables.load_seed(v.spark, f"{base}/{name}", _SEED, "document_id", f"{base}/table")
+    return tables.seeded_table(v.spark, f"{base}/table", _SEED).select("document_id", "doc_id", "section_header", F.sha2("text", 256).alias("text_sha256"))
+
+
 PLANS = [
+    ("src2_seed_load", _seed_load, """
+WITH w AS (SELECT document_id, doc_id, CASE WHEN doc_id % 5 <> 0 THEN section_header END AS section_header, sha256(CASE WHEN doc_id % 9 <> 0 THEN text ELSE '' END) AS text_sha256 FROM leaves)
+SELECT document_id, doc_id, CASE WHEN document_id % 3 = 0 THEN 'new, "quoted"' || chr(10) || ' heading ' ELSE section_header END AS section_header, text_sha256
+FROM w WHERE document_id % 3 <> 0 OR doc_id % 7 <> 0"""),
     ("src1_unknown_values", lambda v: tables.unknown_values(v.docs.unionByName(v.docs.withColumn("status", F.lit("LOST"))), "status"), """
 SELECT status AS value, count(*) AS n, status IN ('PENDING', 'PROCESSING', 'READY', 'FAILED') AS is_allowed FROM (SELECT status FROM docs UNION ALL SELECT 'LOST' FROM docs) GROUP BY 1"""),
     ("src2_replace_rows", lambda v: tables.replace_rows(v.chunks.select("document_id", "id"), v.chunks.filter("document_id % 3 = 0 and level = 0").select("document_id", F.concat("id", F.lit("-new")).alias("id")), "document_id"), """

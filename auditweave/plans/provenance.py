@@ -37,10 +37,12 @@ SELECT thread_id, count(*) AS links, count(*) FILTER (WHERE s) AS safety_links,
   CASE WHEN count(*) FILTER (WHERE s) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE s AND ok) / CAST(count(*) FILTER (WHERE s) AS DOUBLE) END AS score FROM r GROUP BY thread_id"""),
     ("xl3_links_to_chunks", lambda v: xl.links_to_chunks(v.links, v.chunks), """
 SELECT count(*) AS total, count(c.id) AS valid, count(c.id) / CAST(count(*) AS DOUBLE) AS score FROM links l LEFT JOIN chunks c ON c.id = l.chunk_id"""),
-    ("xl4_feedback_to_verdicts", lambda v: xl.feedback_to_verdicts(v.step_fb, v.evals), """
-WITH f AS (SELECT * FROM step_fb WHERE NOT retracted), r AS (SELECT f.step_index >= 0 AND f.step_index < e.n_verdicts AS ok FROM f JOIN evals e USING (response_id) WHERE e.n_verdicts IS NOT NULL)
+    ("xl4_feedback_to_verdicts", lambda v: xl.feedback_to_verdicts(v.step_fb, v.verdict_json), """
+WITH f AS (SELECT * FROM step_fb WHERE NOT retracted), e AS (SELECT response_id, json_array_length(step_verdicts) AS n FROM verdict_json WHERE CASE WHEN json_valid(step_verdicts) THEN json_type(step_verdicts) = 'ARRAY' ELSE false END),
+r AS (SELECT f.step_index >= 0 AND f.step_index < e.n AS ok FROM f JOIN e USING (response_id))
 SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS out_of_range,
-  (SELECT count(*) FROM f WHERE response_id NOT IN (SELECT response_id FROM evals)) AS without_evaluation, count(*) FILTER (WHERE ok) / CAST(count(*) AS DOUBLE) AS score FROM r"""),
+  (SELECT count(*) FROM f WHERE response_id NOT IN (SELECT response_id FROM evals)) AS without_evaluation,
+  round(count(*) FILTER (WHERE ok) / CAST(count(*) + (SELECT count(*) FROM f WHERE response_id NOT IN (SELECT response_id FROM evals)) AS DOUBLE), 4) AS score FROM r"""),
     ("xl5_provenance_completeness", lambda v: xl.completeness(_resolved(v)), f"WITH {_RESOLVED} SELECT {_COUNTS} FROM f"),
     ("xl6_completeness_by_variant", lambda v: xl.completeness(_of_run(v), "variant"), f"WITH {_RESOLVED} SELECT variant, {_COUNTS} FROM f JOIN run_log g ON g.response_id = f.response_id GROUP BY variant"),
     ("xl7_safety_provenance", lambda v: xl.completeness(_of_run(v).filter("safety_found")), f"WITH {_RESOLVED} SELECT {_COUNTS} FROM f JOIN run_log g ON g.response_id = f.response_id WHERE g.safety_found"),
@@ -57,7 +59,7 @@ WITH u AS (SELECT DISTINCT c.document_id FROM links l JOIN chunks c ON c.id = l.
 k AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1)
 SELECT u.document_id, m.n AS manifest_count, CASE WHEN m.n IS NOT NULL THEN k.n END AS current_count, CASE WHEN m.n IS NULL THEN NULL WHEN m.n = 0 AND k.n = 0 THEN 1.0 ELSE least(m.n, k.n) / CAST(greatest(m.n, k.n) AS DOUBLE) END AS reconstructability
 FROM u LEFT JOIN m USING (document_id) LEFT JOIN k USING (document_id)"""),
-    ("xl13_trace_order", lambda v: xl.trace_order(v.links, v.chunks), """
-SELECT l.response_id, l.id, CAST(row_number() OVER (PARTITION BY l.response_id ORDER BY CASE WHEN l.response_id % 2 = 0 THEN sequence_index END ASC NULLS LAST,
-  CASE WHEN l.response_id % 2 <> 0 THEN similarity_score END DESC NULLS LAST, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id"""),
+    ("xl13_trace_order", lambda v: xl.trace_order(v.links, v.chunks, v.run_log), """
+SELECT l.response_id, l.id, CAST(row_number() OVER (PARTITION BY l.response_id ORDER BY CASE WHEN coalesce(starts_with(retrieval_path, 'full_'), false) THEN sequence_index END ASC NULLS LAST,
+  CASE WHEN NOT coalesce(starts_with(retrieval_path, 'full_'), false) THEN similarity_score END DESC NULLS LAST, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id LEFT JOIN run_log g ON g.response_id = l.response_id"""),
 ]

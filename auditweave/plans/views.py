@@ -30,12 +30,6 @@ MODEL = {
     "InlineEvaluator": ("END",),
 }
 MODEL_EDGES = tuple((src, dst) for src, after in MODEL.items() for dst in after)
-_EDGES = (
-    ("START", "IntentRouter"), ("IntentRouter", "DeterministicRuleChecker"), ("IntentRouter", "SymptomAnalyzer"),
-    ("IntentRouter", "END"), ("DeterministicRuleChecker", "SymptomAnalyzer"), ("DeterministicRuleChecker", "END"),
-    ("SymptomAnalyzer", "KnowledgeRetriever"), ("KnowledgeRetriever", "RootCauseAnalyzer"), ("KnowledgeRetriever", "RepairPlanner"),
-    ("KnowledgeRetriever", "END"), ("RootCauseAnalyzer", "RepairPlanner"), ("RootCauseAnalyzer", "END"),
-)
 _EDGES = " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS dst" for a, b in MODEL_EDGES)
 
 VIEWS = {
@@ -88,11 +82,13 @@ VIEWS = {
                CASE WHEN o_orderkey % 13 = 1 THEN NULL ELSE (o_orderkey * 11 % 101) / 100.0e0 END AS sync_answer_relevance,
                CASE WHEN o_orderkey % 13 = 2 THEN NULL ELSE (o_orderkey * 17 % 101) / 100.0e0 END AS async_faithfulness,
                CASE WHEN o_orderkey % 13 = 3 THEN NULL ELSE (o_orderkey * 19 % 101) / 100.0e0 END AS async_answer_relevance,
-               CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(o_orderkey % 8 AS INT) END AS n_verdicts, CAST(o_orderkey % 29 AS INT) AS async_delay_s
+               CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(o_orderkey % 8 AS INT) END AS n_verdicts, CAST(o_orderkey % 29 AS INT) AS async_delay_s,
+               CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_orderkey * 31 % 101) / 100.0e0 END AS sync_context_relevance, CASE WHEN o_orderkey % 5 = 1 THEN (o_orderkey * 37 % 101) / 100.0e0 END AS async_context_relevance,
+               (o_orderkey * 41 % 101) / 100.0e0 AS sync_completeness, CAST(NULL AS DOUBLE) AS async_completeness
         FROM orders
         UNION ALL
         SELECT o_orderkey * 2 + 1, o_orderkey, o_custkey, 2, CASE WHEN o_orderkey % 3 = 0 THEN 'green' ELSE 'yellow' END,
-               (o_orderkey * 23 % 101) / 100.0e0, (o_orderkey * 29 % 101) / 100.0e0, NULL, NULL, CAST(o_orderkey % 8 AS INT), CAST(o_orderkey % 29 AS INT)
+               (o_orderkey * 23 % 101) / 100.0e0, (o_orderkey * 29 % 101) / 100.0e0, NULL, NULL, CAST(o_orderkey % 8 AS INT), CAST(o_orderkey % 29 AS INT), NULL, NULL, NULL, NULL
         FROM orders WHERE o_orderkey % 10 = 0""",
     "threads": """
         SELECT c_custkey AS id, 'dev' || CAST(c_nationkey % 3 AS VARCHAR(9)) AS device, c_acctbal < 0 AS is_escalated,
@@ -134,11 +130,42 @@ VIEWS = {
                     || CASE event_id % 3 WHEN 0 THEN 'full_document' WHEN 1 THEN 'section' ELSE 'vector' END || '"}' END AS metadata, CAST(event_id * 7 % 900 AS INT) AS tokens, event_id % 40 = 0 AS is_retry,
                trace_id || CASE WHEN event_id % 20 = 0 THEN '-retry' ELSE '' END AS chain_id
         FROM exec_paths""",
+    "meta_logs": """
+        SELECT id, thread_id, trace_id, started_ms,
+               CASE id % 13 WHEN 5 THEN 'edge:route_from_deterministic_check' WHEN 7 THEN 'SafetyExtractor' WHEN 9 THEN 'IntentRouter' WHEN 10 THEN 'UnsafeMethodGate' WHEN 11 THEN 'DeterministicRuleChecker' ELSE node_name END AS node_name,
+               CASE WHEN id % 13 = 5 THEN 'edge_decision' WHEN id % 13 = 7 AND id % 3 <> 0 THEN 'node' ELSE operation_type END AS operation_type,
+               CASE id % 20 WHEN 0 THEN NULL WHEN 1 THEN '{"retrieved_chunk_ids": null, "complement_count": 2, "path_b_count": null, "has_override": null, "classified_intent": null}'
+                    WHEN 2 THEN '{"retrieved_chunk_ids": "L0-1", "complement_count": 1, "path_b_count": 0, "has_override": "true", "routing_decision": "chat"}'
+                    WHEN 3 THEN '{"retrieved_chunk_ids": ["L0-1", "complement_count": ' WHEN 4 THEN '["retrieved_chunk_ids"]'
+                    WHEN 5 THEN '{"retrieved_chunk_ids": [], "complement_count": null, "path_b_count": 4, "has_override": false, "rule_matched": false, "classified_intent": ""}'
+                    WHEN 6 THEN '{"retrieved_chunk_ids": ["L0-3", null, "L0-999999999"], "path_b_count": 3, "has_override": "yes", "is_procedural": true, "rule_matched": true}'
+                    ELSE '{"retrieved_chunk_ids": ["L0-' || CAST(id * 13 % 1050 AS VARCHAR(19)) || '", "L0-' || CAST(id * 7 % 990 AS VARCHAR(19)) || '"], "complement_count": ' || CAST(id % 3 AS VARCHAR(19)) || ', "path_b_count": ' || CAST(id % 4 AS VARCHAR(19))
+                         || ', "has_override": ' || CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END || ', "classified_intent": "' || CASE WHEN id % 2 = 0 THEN 'troubleshoot' ELSE 'chat' END || '", ' || CASE WHEN id % 7 = 0 THEN '' ELSE '"equipment_type": "pump", ' END
+                         || '"is_procedural": ' || CASE WHEN id % 5 = 0 THEN 'true' ELSE 'false' END || ', "routing_decision": "chat", "reason": "r' || CAST(id % 6 AS VARCHAR(19)) || '", "redirect_to": ' || CASE WHEN id % 4 = 0 THEN 'null' ELSE '"manual"' END
+                         || ', "rule_matched": ' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END || ', "rule_id": ' || CAST(id % 9 AS VARCHAR(19)) || ', "trigger_keywords": ["hot", "oil ' || CAST(id % 5 AS VARCHAR(19)) || '"], "override_response": "'
+                         || repeat('stop the pump. ', CAST(id % 30 AS INT)) || '"}' END AS metadata
+        FROM exec_logs""",
+    "verdict_json": """
+        SELECT id, response_id,
+               CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN '{"faithful": true}' WHEN 2 THEN '[]' WHEN 3 THEN 'null' WHEN 4 THEN '[{"faithful": tr'
+                    ELSE '[' || CASE id % 3 WHEN 0 THEN '{"step_id": "s0"}' WHEN 1 THEN '{"faithful": true}' ELSE '{"faithful": false, "step_index": 5}' END || ', {"faithful": ' || CASE WHEN id % 4 < 3 THEN 'true' ELSE 'false' END
+                         || CASE WHEN id % 5 = 0 THEN ', "step_index": 0' WHEN id % 5 = 1 THEN ', "step_index": null' ELSE '' END || '}, ' || CASE id % 2 WHEN 0 THEN '"no object"' ELSE '{"faithful": null}' END
+                         || CASE WHEN id % 8 < 5 THEN ', {"step_index": 7, "faithful": true}' ELSE '' END || ']' END AS step_verdicts,
+               CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN '{"other": 1}' WHEN 2 THEN '{"step_cross_validation": null}' WHEN 3 THEN '{"step_cross_validation": {"agreement_rate": 1}}'
+                    ELSE '{"step_cross_validation": {"verdicts": [{"step_index": 0, "faithful": ' || CASE WHEN id % 9 < 5 THEN 'true' ELSE 'null' END || '}, "no object", {"faithful": true}, {"step_index": 1' || CASE WHEN id % 6 = 0 THEN ', "faithful": false' ELSE '' END
+                         || '}, {"step_index": 7, "faithful": false}' || CASE WHEN id % 10 < 4 THEN ', {"step_index": 0, "faithful": false}' ELSE '' END || ']}}' END AS async_evidence
+        FROM evals""",
+    "kb_entries": """
+        SELECT doc_id AS entry_sequence, CAST(substr(source, 4) AS INT) AS document_id, CASE WHEN doc_id % 5 = 0 OR CAST(substr(source, 4) AS INT) % 9 = 7 THEN 'registered' ELSE 'chunk_created' END AS entry_type,
+               1704067200 + 3600 * (doc_id * 7 % 50) AS created_s, CASE WHEN doc_id % 8 = 7 THEN NULL ELSE doc_id % 40 END AS total_chunks
+        FROM documents WHERE CAST(substr(source, 4) AS INT) % 9 <> 8""",
+    "kb_questions": """
+        SELECT o_orderkey AS question_id, CAST(o_orderkey % 23 AS INT) AS document_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 1704063600 + 1800 * (o_orderkey % 120) END AS at_s FROM orders""",
     "step_fb": """
         SELECT response_id, step_index, user_id, min(action) AS action, min(correction_type) AS correction_type, min(weight) AS weight, bool_or(retracted) AS retracted, min(id) AS id
         FROM (SELECT l_orderkey AS response_id, l_linenumber - 1 AS step_index, l_suppkey AS user_id,
                      CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'INCORRECT' WHEN l_returnflag = 'R' THEN 'MODIFY' WHEN l_linestatus = 'O' THEN 'SKIP' ELSE 'ACCEPT' END AS action,
-                     CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'WRONG_PART' WHEN 2 THEN 'MISSING_STEP' WHEN 3 THEN 'WRONG_ORDER' WHEN 4 THEN 'SAFETY' WHEN 5 THEN 'other' ELSE 'text' END AS correction_type,
+                     CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'WRONG_VALUE' WHEN 2 THEN 'MISSING_STEP' WHEN 3 THEN 'WRONG_SEQUENCE' WHEN 4 THEN 'SAFETY_VIOLATION' WHEN 5 THEN 'other' ELSE 'text' END AS correction_type,
                      CASE WHEN l_partkey % 19 = 0 THEN 0.0e0 ELSE 1 + l_tax END AS weight, l_quantity = 50 AS retracted, l_orderkey * 1000 + l_partkey % 1000 AS id
               FROM lineitem) GROUP BY response_id, step_index, user_id""",
     "resp_fb": """
@@ -150,7 +177,10 @@ VIEWS = {
                CASE WHEN o_orderkey % 11 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, o_orderkey % 9 <> 0 AS shadow_completed,
                CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'troubleshoot' ELSE 'replace_part' END AS actual_intent,
                CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'procedural' WHEN o_orderkey % 3 = 0 THEN 'troubleshoot' ELSE 'replace_part' END AS expected_intent,
-               CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS actual_variant, CAST(o_orderkey % 12 AS INT) AS chunks_retrieved
+               CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS actual_variant, CAST(o_orderkey % 12 AS INT) AS chunks_retrieved,
+               CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'green' WHEN o_orderkey % 4 = 2 THEN 'yellow' ELSE 'red' END AS badge,
+               CASE o_orderkey % 5 WHEN 0 THEN 'troubleshoot_full' WHEN 1 THEN 'deterministic_override' ELSE 'direct_replacement' END AS trace_variant,
+               CASE o_orderkey % 4 WHEN 0 THEN 'full_document' WHEN 1 THEN 'vector' WHEN 2 THEN 'full_manual' END AS retrieval_path, o_orderkey % 2 = 1 AS is_audited, CAST(floor(o_totalprice) AS BIGINT) DIV 3 AS stream_ms
         FROM orders WHERE o_orderkey % 3 <> 2""",
     "verdicts": """
         SELECT e.id AS eval_id, e.response_id, k AS step_index, (e.response_id + k) % 4 <> 0 AS inline_faithful, CASE WHEN (e.response_id + k) % 9 = 0 THEN NULL ELSE (e.response_id * 3 + k) % 5 <> 0 END AS shadow_faithful

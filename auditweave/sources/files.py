@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Quoted fields may hold line breaks and quotes (doubled); a missing value is an empty field, an empty text is "".
+CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def truthy(column: str) -> Column:
     """null where the text is empty."""
     return F.nullif(F.col(column), F.lit(""))

@@ -6,15 +6,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.chains import LOG_GENESIS
+from ..operators.chains import LOG_GENESIS, record_text
 from ..sources.tables import shared_folder
 
 
@@ -52,8 +54,8 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
     return _rows(stream, base, keys)
 
 
-def drain_arrivals(df: DataFrame, place: Column, transform: Callable[[DataFrame], DataFrame], mode: str = "append", keys: list[str] | None = None, parts: int = 4) -> DataFrame:
-    """As `drain`, of `transform` over rows of `df` that arrive in `parts` portions: even spans of the whole number `place`, rising.
+def drain_arrivals(df: DataFrame, place: Column, transform: Callable[[DataFrame], DataFrame], mode: str = "append", keys: list[str] | None = None, parts: int = 4, last: DataFrame | None = None) -> DataFrame:
+    """As `drain`, of `transform` over rows of `df` that arrive in `parts` portions: even spans of the whole number `place`, rising; then the rows of `last`.
 
     After each portion the stream is started again from its checkpoint, so that watermarks and state outlive a restart.
     """
@@ -66,6 +68,9 @@ def drain_arrivals(df: DataFrame, place: Column, transform: Callable[[DataFrame]
         df.filter(within | place.isNull() if k == 0 else within).write.mode("append").parquet(f"{base}/input")
         stream = transform(stream_of(spark, f"{base}/input", None))
         _run(stream, base, mode)
+    if last is not None:
+        last.write.mode("append").parquet(f"{base}/input")
+        _run(stream := transform(stream_of(spark, f"{base}/input", None)), base, mode)
     return _rows(stream, base, keys)
 
 
@@ -86,29 +91,81 @@ def followed_within(first: DataFrame, second: DataFrame, key: str, time: str, sp
     return a.join(b, near).select("key", "first_id", "second_id", F.timestamp_diff("MICROSECOND", "first_time", "second_time").alias("micros"))
 
 
-def broken_records(logs: DataFrame) -> DataFrame:
-    """chain_id and id of each record whose stored hash is not the one recomputed from the chain so far.
+class _ChainCheck(StatefulProcessor):
+    """State of a chain: the last recomputed hash and the time and id it stands on; a buffer of records by (time, id) that wait for the watermark.
 
-    The state of a chain is its last recomputed hash and last id. Records must come in order of id between batches;
-    within a batch they are sorted; one that comes too late is reported, not dropped.
+    When the watermark passes a record, it is folded in; one at or before the last that was folded came too late and is reported. A
+    chain whose last record is `idle_ms` behind the watermark and that has nothing waiting is forgotten.
     """
-    import hashlib
-
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, last = state.get if state.exists else (hashlib.sha256(LOG_GENESIS.encode()).hexdigest(), -1)
-        rows = pd.concat(list(batches)).sort_values("id")
-        bad = []
-        for r in rows.itertuples():
-            if r.id <= last:
-                bad.append(r.id)
-                continue
-            text = lambda x, none: none if x is None or x != x else str(x)
-            tail = hashlib.sha256(f"{tail}|{r.operation_type}|{text(r.document, 'None')}|{r.node_name}|{r.started_ms}|{text(r.metadata, '')}".encode()).hexdigest()
-            last = r.id
-            if tail != r.record_hash:
-                bad.append(r.id)
-        state.update((tail, int(last)))
-        yield pd.DataFrame({"chain_id": [key[0]] * len(bad), "id": pd.Series(bad, dtype="int64")})
-
-    fields = logs.select("chain_id", "id", "operation_type", "document", "node_name", "started_ms", "metadata", "record_hash")
-    return fields.groupBy("chain_id").applyInPandasWithState(check, "chain_id string, id long", "tail string, last long", "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tail = handle.getValueState("tail", "tail string, time_ms long, id long")
+        self.waiting = handle.getMapState("waiting", "time_ms long, id long", "suffix string, record_hash string")
+
+    def _row(self, chain: str, record: int, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"chain_id": [chain], "id": pd.Series([record], dtype="int64"), "state": [state]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Records wait in the buffer; the timer of the earliest is set."""
+        last = self.tail.get() if self.tail.exists() else None
+        due = set()
+        for batch in rows:
+            for r in batch.itertuples():
+                if last is not None and (r.time_ms, r.id) <= (last[1], last[2]):
+                    yield self._row(key[0], r.id, "late")
+                    continue
+                self.waiting.updateValue((int(r.time_ms), int(r.id)), (r.suffix, r.record_hash))
+                due.add(int(r.time_ms))
+        for at in due:
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The watermark has passed: fold what is due, in order, and forget the chain if it has been idle."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k for k in self.waiting.keys() if k[0] <= mark)
+        tail, time_ms, last = self.tail.get() if self.tail.exists() else (hashlib.sha256(LOG_GENESIS.encode()).hexdigest(), 0, -1)
+        for at, record in due:
+            suffix, stored = self.waiting.getValue((at, record))
+            self.waiting.removeKey((at, record))
+            tail, time_ms, last = hashlib.sha256(f"{tail}{suffix}".encode()).hexdigest(), at, record
+            if tail != stored:
+                yield self._row(key[0], record, "broken")
+        if due:
+            self.tail.update((tail, int(time_ms), int(last)))
+            self.handle.registerTimer(int(time_ms) + self.idle_ms)
+        elif self.tail.exists() and time_ms + self.idle_ms <= mark and not any(True for _ in self.waiting.keys()):
+            self.tail.clear()
+            yield self._row(key[0], last, "expired")
+
+    def close(self) -> None:
+        pass
+
+
+def broken_records(logs: DataFrame, late: str = "10 minutes", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """chain_id, id and state of each record of a stream whose stored hash is not the one recomputed from the chain so far (broken), of records that came
+    after the watermark had passed later ones of their chain (late), and of the last record of chains that were forgotten (expired).
+
+    Records may come in any order within `late` of each other: they wait, and are folded in order of started_ms and id once the watermark passes. A chain
+    forgotten after `idle_ms` would begin anew. The session must keep state in RocksDB (`rocksdb_state`).
+    """
+    suffix = record_text(F.lit(""), {c: F.col(c) for c in ("operation_type", "document", "node_name", "started_ms", "metadata")})
+    rows = logs.select("chain_id", "id", F.col("started_ms").alias("time_ms"), suffix.alias("suffix"), "record_hash", F.timestamp_millis("started_ms").alias("at"))
+    schema = "chain_id string, id long, state string"
+    # without the column that carries the watermark, Spark hands late records on, too
+    return rows.withWatermark("at", late).drop("at").groupBy("chain_id").transformWithStateInPandas(_ChainCheck(idle_ms), schema, "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, which operators with timers need; the session's setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -94,7 +94,9 @@ def test_quality_badge(spark, a, b, bad, want):
 def test_kappa_extremes(spark):
     rows = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
     assert one(feedback.label_kappa(rows([("x", "x")] * 3)))["kappa"] == 1.0
-    assert one(feedback.label_kappa(rows([("x", "x")])))["kappa"] is None
+    assert one(feedback.label_kappa(rows([("x", "x")]), least=2))["kappa"] is None
+    assert one(feedback.label_kappa(rows([("x", "x")])))["kappa"] == 1.0 and one(feedback.label_kappa(rows([("x", "y")])))["kappa"] == 0.0
+    assert one(feedback.label_kappa(rows([])))["kappa"] == 0.0
     assert one(feedback.label_kappa(rows([("x", "y"), ("y", "x")])))["band"] == "poor"
 
 
