@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cosine, dot, norm, words
+from ..functions.columns import dot, norm, words
+from .grams import grams, posted
 
 #: Words that name no section.
-STOP_WORDS = ("what", "where", "when", "which", "with", "this", "that", "from", "have", "does", "should", "would", "about", "into")
+STOP_WORDS = tuple(
+    "this that with from have does been were will would could should they them their what when where which about into more some then than also just each only "
+    "manual section chapter page figure table note warning caution guide instructions procedure service maintenance".split()
+)
 
 
 def best(df: DataFrame, by: str | list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
@@ -102,14 +106,22 @@ def walkthrough(chunks: DataFrame, docs: DataFrame, k: int = 80) -> DataFrame:
     return best(chunks.filter("level = 0").join(ready, "document_id", "left_semi"), "document_id", _reading(), k).select("document_id", "id", "place")
 
 
-def sections(requests: DataFrame, chunks: DataFrame, k: int = 200) -> DataFrame:
-    """For each request (query_id, document_id, text) leaves whose header holds one of its words of 4 letters or more; none: the walkthrough."""
-    wanted = requests.withColumn("w", F.filter(words(F.col("text"), 4), lambda x: ~x.isin(*STOP_WORDS)))
-    rows = wanted.join(chunks.filter("level = 0"), "document_id")
-    hit = F.exists("w", lambda x: F.lower("section_header").contains(x))
-    found = best(rows.filter(hit), "query_id", _reading(), k).select("query_id", "id", "place", F.lit(False).alias("is_fallback"))
-    rest = rows.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.unionByName(best(rest, "query_id", _reading(), 80).select("query_id", "id", "place", F.lit(True).alias("is_fallback")))
+def sections(requests: DataFrame, chunks: DataFrame, k: int = 100) -> DataFrame:
+    """For each request (query_id, document_id, text) leaves whose header holds one of its words of 4 letters or more; none: the walkthrough.
+
+    A document's distinct headers are posted under their strings of 4 letters, and a word looks up its first one: only headers
+    that may hold it are compared, and only leaves under a header that does are read. The walkthrough is cut once a document.
+    """
+    wanted = requests.withColumn("w", F.explode_outer(F.filter(words(F.col("text"), 4), lambda x: ~x.isin(*STOP_WORDS))))
+    leaves = chunks.filter("level = 0").select("document_id", "id", "section_header", "page_start", "sequence_index")
+    heads = leaves.select("document_id", "section_header", F.lower("section_header").alias("head")).distinct()
+    posts = heads.withColumn("gram", F.explode(grams(F.col("head"), 4)))
+    named = wanted.withColumn("gram", F.substring("w", 1, 4)).join(posts, ["document_id", "gram"]).filter(F.contains("head", F.col("w")))
+    hits = named.select("query_id", "document_id", "section_header").distinct().join(leaves, ["document_id", "section_header"])
+    found = best(hits, "query_id", _reading(), k).select("query_id", "id", "place", F.lit(False).alias("is_fallback"))
+    first = best(leaves, "document_id", _reading(), 80).select("document_id", "id", "place")
+    rest = requests.select("query_id", "document_id").join(named.select("query_id").distinct(), "query_id", "left_anti").join(first, "document_id")
+    return found.unionByName(rest.select("query_id", "id", "place", F.lit(True).alias("is_fallback")))
 
 
 def dominant_document(matches: DataFrame, above: float = 0.7) -> DataFrame:
@@ -211,20 +223,39 @@ def cited_chunks(refs: DataFrame, rows: DataFrame, by: str) -> DataFrame:
     return n.join(rows.select(by, "place", "id"), [by, "place"])
 
 
-def example_search(queries: DataFrame, examples: DataFrame, k: int = 3, most: float = 0.9) -> DataFrame:
-    """Examples of the query's device or of none, live ones: the `k` nearest, and of these those within `most`."""
-    live = examples.filter("is_active and not is_superseded")
-    places = queries.select("query_id", "query_vector", F.explode(F.array("device", F.lit("any"))).alias("place"))
-    rows = places.join(live.withColumn("place", F.coalesce("for_device", F.lit("any"))), "place")
-    scored = rows.select("query_id", "example_id", F.round(1 - cosine(F.col("query_vector"), F.col("vector")), 6).alias("distance"))
-    return best(scored, "query_id", [F.col("distance"), F.col("example_id")], k).filter(F.col("distance") <= most)
+def example_search(queries: DataFrame, examples: DataFrame, k: int = 3, most: float = 0.45, cut: int | None = None, blocks: int = 32, dim: int | None = None) -> DataFrame:
+    """Live examples of the query's category or GENERAL and of its device or none: the `k` nearest, and of these those within `most`; their text up to `cut` characters.
+
+    A query goes to the four (category, device) places that may serve it, each dealt into blocks, which keep their own `k` best:
+    no place of many examples is one task.
+    """
+    live = examples.filter("is_active and not is_superseded").select("example_id", "vector", "text", F.col("category").alias("_c"), F.coalesce("for_device", F.lit("*")).alias("_d"))
+    right = live.withColumn("_n", norm(F.col("vector"), dim)).withColumn("_b", F.pmod(F.xxhash64("example_id"), F.lit(blocks)).cast("int"))
+    each = lambda *values: F.explode(F.array_distinct(F.array(*values)))
+    left = queries.select("query_id", "query_vector", norm(F.col("query_vector"), dim).alias("_q"), each(F.col("category"), F.lit("GENERAL")).alias("_c"), "device").withColumn("_d", each(F.coalesce("device", F.lit("*")), F.lit("*")))
+    held = right.select("_c", "_d", "_b").distinct()  # the blocks that exist
+    placed = left.join(held, ["_c", "_d"]).join(right, ["_c", "_d", "_b"])
+    scored = placed.select("query_id", "example_id", F.round(1 - dot(F.col("query_vector"), F.col("vector"), dim) / (F.col("_q") * F.col("_n")), 6).alias("distance"), "_b", "_c", "_d")
+    near = best(scored, ["query_id", "_b", "_c", "_d"], [F.col("distance"), F.col("example_id")], k).drop("place")
+    found = best(near, "query_id", [F.col("distance"), F.col("example_id")], k).filter(F.col("distance") <= most).select("query_id", "example_id", "distance", "place")
+    return found.join(live.select("example_id", (F.substring("text", 1, cut) if cut else F.col("text")).alias("text")), "example_id")
 
 
 def match_rules(requests: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """The live rule of each request's category whose keywords its text holds all: highest priority, then newest."""
+    """The live rule whose keywords the request's text holds all, of its category or GENERAL and of its device or none: highest priority, then newest.
+
+    Rules are posted under their rarest gram and checked on the candidates (see `grams`); of rules that ask for the same, only the first can win and is kept.
+    """
     live = rules.filter((F.col("is_active")) & (F.col("is_approved")) & (F.col("expires").isNull() | (F.col("expires") > now)))
-    rows = requests.join(live, "category").filter(F.forall("keywords", lambda k: F.lower("text").contains(F.lower(k))))
-    return best(rows, "query_id", [F.desc("priority"), F.desc("rule_id")], 1).select("query_id", "rule_id", "priority")
+    low = live.withColumn("keywords", F.array_sort(F.array_distinct(F.transform("keywords", F.lower))))
+    asked = ["keywords", "category", "device"]
+    top = low.groupBy(*asked).agg(F.max(F.struct("priority", "created_s", "rule_id")).alias("r")).select(*asked, "r.*")
+    texts, posts = posted(requests.select("query_id", F.lower("text").alias("low"), F.col("category").alias("its_category"), F.col("device").alias("its_device")), "low", top.withColumn("_pattern", F.col("rule_id")), "keywords")
+    fits = F.col("category").isin("GENERAL") | (F.col("category") == F.col("its_category"))
+    fits = fits & (F.col("device").isNull() | (F.col("device") == F.col("its_device"))) & F.forall("keywords", lambda k: F.contains("low", k))
+    rows = texts.join(posts, "gram").filter(fits)
+    won = rows.groupBy("query_id").agg(F.max(F.struct("priority", "created_s", "rule_id")).alias("r"))
+    return won.select("query_id", "r.rule_id", "r.priority")
 
 
 def _cited() -> Column:

@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import dot, norm
 from ..operators import ranking as ir
 from ..sources.tables import stage_table
-from .retrieval import _COS
+from .retrieval import _COS, DIM
 
 _R = f"""rr AS (SELECT q.query_id, e.vec_id AS doc_id, e.label, {_COS.format(a='q.query_vector', b='e.embedding')} AS s FROM query_vectors q JOIN embeddings e ON e.vec_id <> q.query_id),
 rankings AS (SELECT query_id, 'vector' AS mode, rank, doc_id, doc_id % 3 AS level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT) AS rank FROM rr) WHERE rank <= 20
@@ -18,31 +19,32 @@ pq AS (SELECT g.query_id, mode, coalesce(found / CAST(relevant AS DOUBLE), 0) AS
 _OVER = "coalesce((SELECT count(*) FILTER (WHERE n = 2) / CAST(count(*) AS DOUBLE) FROM (SELECT doc_id, count(*) AS n FROM rankings r WHERE r.query_id = k.query_id AND rank <= 10 AND mode IN ('{0}', '{1}') GROUP BY 1)), 1.0) AS {0}_{1}"
 
 
-def _rows(v):
-    from ..functions.columns import cosine
+def _scored(v, blocks=32):
+    """Each query meets every block of vectors; lengths are worked out once a row."""
+    queries = v.query_vectors.select("query_id", "query_vector", norm(F.col("query_vector"), DIM).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    docs = v.embeddings.select(F.col("vec_id").alias("doc_id"), "label", "embedding", norm(F.col("embedding"), DIM).alias("_n"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_b"))
+    cosine = dot(F.col("query_vector"), F.col("embedding"), DIM) / (F.col("_q") * F.col("_n"))
+    return queries.join(docs, "_b").filter("doc_id <> query_id").select("query_id", "doc_id", "label", cosine.alias("s"))
 
-    queries = v.query_vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    docs = v.embeddings.select(F.col("vec_id").alias("doc_id"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("_b"))
-    rows = queries.join(docs, "_b").filter("doc_id <> query_id").select("query_id", "doc_id", "label", cosine(F.col("query_vector"), F.col("embedding")).alias("s"))
-    return stage_table(rows)  # the rankings and the judgements read it again
 
-
-def _rankings(v, rows=None):
-    rows = _rows(v) if rows is None else rows
+def _rankings(v):
+    """The first 20 of each query and mode; a block passes on no more than that."""
     hybrid = F.col("s") + F.when(F.col("label") == F.col("query_id") % 10, 0.2).otherwise(0.0)
     orders = {"vector": -F.col("s"), "hybrid": -hybrid, "random": ((F.col("doc_id") * 7919 + F.col("query_id")) % 10007).cast("double")}
     each = F.explode(F.array(*[F.struct(F.lit(mode).alias("mode"), order.alias("o")) for mode, order in orders.items()])).alias("m")
-    placed = rows.select("query_id", "doc_id", each).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "m.mode").orderBy("m.o", "doc_id")))
+    placed = _scored(v).select("query_id", "doc_id", each).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "m.mode").orderBy("m.o", "doc_id")))
     return placed.filter("rank <= 20").select("query_id", "m.mode", "rank", "doc_id", (F.col("doc_id") % 3).alias("level"))
 
 
-def _qrels(v, rows=None):
-    return (_rows(v) if rows is None else rows).filter(F.col("label") == F.col("query_id") % 10).select("query_id", "doc_id", F.when(F.abs(F.col("doc_id") - F.col("query_id")) < 100, 2).otherwise(1).alias("grade"))
+def _qrels(v):
+    """Judgements come from labels alone: no vector is compared for them."""
+    own = v.query_vectors.select("query_id", (F.col("query_id") % 10).alias("label"))
+    rows = own.join(v.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("doc_id <> query_id")
+    return rows.select("query_id", "doc_id", F.when(F.abs(F.col("doc_id") - F.col("query_id")) < 100, 2).otherwise(1).alias("grade"))
 
 
 def _scores(v):
-    rows = _rows(v)
-    return ir.per_query(_rankings(v, rows), _qrels(v, rows), 10)
+    return ir.per_query(_rankings(v), _qrels(v), 10)
 
 
 def _paired(v):

@@ -36,16 +36,31 @@ _G = """gr AS (SELECT l.*, CASE WHEN c.section_header = 'es' THEN 'ungrouped' EL
 g AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id, label ORDER BY coalesce(reranker_score, -1) DESC, coalesce(similarity_score, -1) DESC, id) AS INT) AS place FROM gr) WHERE place <= 8)"""
 
 
+_EXAMPLE = """SELECT vec_id AS example_id, embedding AS vector, vec_id % 5 <> 0 AS is_active, vec_id % 11 = 0 AS is_superseded, CASE WHEN vec_id % 2 = 0 THEN 'dev' || CAST(vec_id % 3 AS VARCHAR(9)) END AS for_device,
+  CASE WHEN vec_id % 7 = 0 THEN 'GENERAL' ELSE 'c' || CAST(label % 2 AS VARCHAR(9)) END AS category, repeat('example ' || CAST(vec_id AS VARCHAR(9)) || ' ', 60) AS text FROM embeddings"""
+_RULE = """SELECT p_partkey AS rule_id, CASE WHEN p_size % 5 = 0 THEN 'GENERAL' ELSE 'c' || CAST(p_size % 3 AS VARCHAR(9)) END AS category, CASE WHEN p_partkey % 4 = 0 THEN 'dev' || CAST(p_partkey % 3 AS VARCHAR(9)) END AS device,
+  p_name AS said, p_size AS priority, p_partkey * 17 % 1000 AS created_s, p_partkey % 6 <> 0 AS is_active, p_partkey % 7 <> 0 AS is_approved, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 10 END AS expires FROM part"""
+_REQUEST = """SELECT p_partkey AS query_id, 'c' || CAST(p_size % 3 AS VARCHAR(9)) AS category, 'dev' || CAST(p_partkey % 3 AS VARCHAR(9)) AS device, 'The ' || upper(p_name) || ' fails' AS text FROM part"""
+
+
 def _examples(v):
-    return v.embeddings.select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5 != 0).alias("is_active"), (F.col("vec_id") % 11 == 0).alias("is_superseded"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("dev"), F.col("vec_id") % 3)).alias("for_device"))
+    return v.sql(_EXAMPLE)
+
+
+def _near_queries(v):
+    """Each query's vector moved towards those of the next ids, so that some examples are within the limit."""
+    more = v.embeddings.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("more"))
+    even = v.embeddings.select((F.col("vec_id") - 2).alias("query_id"), F.col("embedding").alias("even"))
+    near = F.zip_with(F.zip_with("query_vector", "more", lambda a, b: a.cast("double") * 0.1 + b.cast("double")), "even", lambda a, b: a + b.cast("double") * 0.8)
+    return v.query_vectors.join(more, "query_id").join(even, "query_id").select("query_id", near.alias("query_vector"), "device", F.concat(F.lit("c"), F.col("query_id") % 2).alias("category"))
 
 
 def _rules(v):
-    return v.part.select(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 3).alias("category"), F.split("p_name", " ").alias("keywords"), F.col("p_size").alias("priority"), (F.col("p_partkey") % 6 != 0).alias("is_active"), (F.col("p_partkey") % 7 != 0).alias("is_approved"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") * 10).alias("expires"))
+    return v.sql(_RULE).withColumn("keywords", F.when(F.col("rule_id") % 97 == 0, F.array().cast("array<string>")).otherwise(F.split("said", " ")))
 
 
 def _requests(v):
-    return v.part.select(F.col("p_partkey").alias("query_id"), (F.col("p_size") % 3).alias("category"), F.concat(F.lit("The "), F.upper("p_name"), F.lit(" fails")).alias("text"))
+    return v.sql(_REQUEST)
 
 
 def _pairs(v):
@@ -99,7 +114,7 @@ SELECT query_id, document_id, distance FROM (SELECT *, row_number() OVER (PARTIT
 SELECT document_id, id, place FROM (SELECT c.document_id, c.id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY {_READ}) AS INT) AS place FROM chunks c JOIN docs d ON d.id = c.document_id WHERE level = 0 AND d.status = 'READY') WHERE place <= 80"""),
     ("rt8_sections", _sections, f"""
 WITH r AS (SELECT c.document_id AS query_id, c.id, c.document_id % 3 = 0 AND c.section_header = 'de' AS hit, page_start, sequence_index FROM chunks c WHERE level = 0), h AS (SELECT query_id FROM r WHERE hit)
-SELECT query_id, id, place, false AS is_fallback FROM (SELECT query_id, c.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_READ}) AS INT) AS place FROM r c WHERE hit) WHERE place <= 200
+SELECT query_id, id, place, false AS is_fallback FROM (SELECT query_id, c.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_READ}) AS INT) AS place FROM r c WHERE hit) WHERE place <= 100
 UNION ALL SELECT query_id, id, place, true FROM (SELECT query_id, c.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_READ}) AS INT) AS place FROM r c WHERE query_id NOT IN (SELECT query_id FROM h)) WHERE place <= 80"""),
     ("rt9_dominant_document", lambda v: rt.dominant_document(_matches(v).withColumn("document_id", F.when(F.col("query_id") % 2 == 0, F.when(F.col("place") > 5, 1).otherwise(2)).otherwise(F.col("document_id")))).select("query_id", "chunk_id"), f"""
 WITH {_M} SELECT query_id, chunk_id FROM m WHERE query_id % 2 <> 0 OR place > 5"""),
@@ -139,16 +154,16 @@ WITH {_G}, h AS (SELECT response_id, id FROM g WHERE response_id % 2 = 0 AND rer
     ("rt21_cited_chunks", lambda v: rt.cited_chunks(v.links.select("response_id", F.concat(F.when(F.col("reranker_score") == 3, "REF-").otherwise("CHUNK-"), F.col("reranker_score")).alias("ref")), rt.step_attribution(v.links, v.chunks), "response_id"), """
 WITH a AS (SELECT l.response_id, l.id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY step_index ASC NULLS LAST, similarity_score DESC, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id),
 r AS (SELECT DISTINCT response_id, reranker_score AS place FROM links WHERE reranker_score <> 3) SELECT response_id, place, id FROM r JOIN a USING (response_id, place)"""),
-    ("rt22_rt23_example_search", lambda v: rt.example_search(v.query_vectors, _examples(v)).select("query_id", "example_id", "distance", "place"), f"""
-WITH e AS (SELECT vec_id AS example_id, embedding AS vector, CASE WHEN vec_id % 2 = 0 THEN 'dev' || (vec_id % 3) END AS d FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 11 <> 0),
-s AS (SELECT query_id, example_id, round(1 - {_COS.format(a='q.query_vector', b='e.vector')}, 6) AS distance FROM query_vectors q JOIN e ON e.d IS NULL OR e.d = q.device)
-SELECT query_id, example_id, distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, example_id) AS INT) AS place FROM s) WHERE place <= 3 AND distance <= 0.9"""),
-    ("rt24_match_rules", lambda v: rt.match_rules(_requests(v), _rules(v), 700), """
-WITH r AS (SELECT p_partkey AS rule_id, p_size % 3 AS category, p_name, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_partkey % 7 <> 0 AND (p_partkey % 2 <> 0 OR p_partkey * 10 > 700)),
-q AS (SELECT p_partkey AS query_id, p_size % 3 AS category, lower('The ' || p_name || ' fails') AS text FROM part)
-SELECT query_id, rule_id, priority FROM (SELECT query_id, rule_id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, rule_id DESC) AS n FROM q JOIN r USING (category)
-  WHERE len(list_filter(string_split(lower(p_name), ' '), lambda k: NOT contains(text, k))) = 0) WHERE n = 1"""),
-    ("rt25_active_amendments", lambda v: _rules(v).filter("is_active and category = 1").select("rule_id", "priority").orderBy("rule_id"), "SELECT p_partkey AS rule_id, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_size % 3 = 1"),
+    ("rt22_rt23_example_search", lambda v: rt.example_search(_near_queries(v), _examples(v), cut=500, dim=DIM), f"""
+WITH e AS (SELECT * FROM ({_EXAMPLE}) WHERE is_active AND NOT is_superseded),
+nq AS (SELECT query_id, device, list_transform(list_zip(query_vector, x.embedding, y.embedding), lambda z: CAST(z[1] AS DOUBLE) * 0.1e0 + CAST(z[2] AS DOUBLE) + CAST(z[3] AS DOUBLE) * 0.8e0) AS query_vector FROM query_vectors JOIN embeddings x ON x.vec_id = query_id + 1 JOIN embeddings y ON y.vec_id = query_id + 2),
+s AS (SELECT query_id, example_id, round(1 - {_COS.format(a='q.query_vector', b='e.vector')}, 6) AS distance, text FROM nq q JOIN e ON (for_device IS NULL OR for_device = q.device) AND category IN ('GENERAL', 'c' || (query_id % 2)))
+SELECT query_id, example_id, distance, place, left(text, 500) AS text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, example_id) AS INT) AS place FROM s) WHERE place <= 3 AND distance <= 0.45"""),
+    ("rt24_match_rules", lambda v: rt.match_rules(_requests(v), _rules(v), 700), f"""
+WITH r AS (SELECT *, CASE WHEN rule_id % 97 = 0 THEN [] ELSE string_split(lower(said), ' ') END AS keywords FROM ({_RULE}) WHERE is_active AND is_approved AND (expires IS NULL OR expires > 700)), q AS (SELECT query_id, category, device, lower(text) AS text FROM ({_REQUEST}))
+SELECT query_id, rule_id, priority FROM (SELECT query_id, rule_id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, created_s DESC, rule_id DESC) AS n FROM q JOIN r ON r.category IN ('GENERAL', q.category) AND (r.device IS NULL OR r.device = q.device)
+  WHERE len(list_filter(keywords, lambda k: NOT contains(text, k))) = 0) WHERE n = 1"""),
+    ("rt25_active_amendments", lambda v: _rules(v).filter("is_active and category = 'c1'").select("rule_id", "priority").orderBy("rule_id"), "SELECT p_partkey AS rule_id, p_size AS priority FROM part WHERE p_partkey % 6 <> 0 AND p_size % 3 = 1 AND p_size % 5 <> 0"),
     ("rt26_lexical_scores", lambda v: rt.lexical_scores(_pairs(v)), f"WITH {_P} SELECT response_id, step_index, chunk_id, score FROM lex"),
     ("rt27_positional_scores", lambda v: rt.positional_scores(_placed_pairs(v)), f"""
 WITH {_P}, z AS (SELECT *, {_W.format('step_text', 5)} AS x, {_W.format('header', 5)} AS y, dense_rank() OVER (PARTITION BY response_id ORDER BY step_index) - 1 AS i, dense_rank() OVER (PARTITION BY response_id ORDER BY page, chunk_id) - 1 AS j FROM pr),

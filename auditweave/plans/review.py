@@ -1,6 +1,10 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import review as bd
+from ..operators import search
+from ..sources.tables import shared_folder
 
 _LAST = "lb AS (SELECT thread_id, arg_max(badge, id) AS badge FROM evals GROUP BY 1)"
 
@@ -34,6 +38,19 @@ def _badges(v):
     return v.evals.select("id", bd.composite_badge(F.col("badge"), F.when(F.col("id") % 3 == 0, "red").when(F.col("id") % 3 == 1, "none")).alias("badge"))
 
 
+def _searched(v, term):
+    """The index is built from all sessions, then one page of what holds the term."""
+    path, columns = f"{shared_folder(v.spark)}/search-{uuid.uuid4().hex}", ["device", "id", "email"]
+    search.build_index(v.threads, columns, path)
+    hits = search.found(v.spark, path, columns, term)
+    return search.review_queue(hits, v.evals, "APPROVED").select("id", "device", "email", "risk_tier", "is_escalated", "badge", "sync_faithfulness", "place", "total")
+
+
+_SEARCHED = """
+WITH e AS (SELECT thread_id, arg_max(badge, id) AS badge, max(id) AS last_id FROM evals GROUP BY 1), h AS (SELECT * FROM threads WHERE review_state = 'APPROVED' AND {how}),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY is_escalated DESC, risk_tier DESC NULLS LAST, created_s DESC, id) AS INT) AS place, count(*) OVER () AS total FROM h)
+SELECT p.id, device, email, risk_tier, is_escalated, e.badge, x.sync_faithfulness, place, total FROM p LEFT JOIN e ON e.thread_id = p.id LEFT JOIN evals x ON x.id = e.last_id WHERE place <= 20"""
+
 PLANS = [
     ("bd1_quality_badge", lambda v: bd.badged(v.evals, v.verdicts), """
 WITH u AS (SELECT eval_id, count(*) FILTER (WHERE NOT inline_faithful) / CAST(count(*) AS DOUBLE) AS bad FROM verdicts GROUP BY 1),
@@ -62,6 +79,8 @@ SELECT task_id, arg_max(state, n) AS state FROM s GROUP BY 1"""),
     ("bd7_session_queue", lambda v: bd.session_queue(v.threads, v.evals, "000001", 15, 0), f"""
 WITH {_LAST} SELECT * FROM (SELECT id, device, is_escalated, badge, CAST(row_number() OVER (ORDER BY is_escalated DESC, id) AS INT) AS place, count(*) OVER () AS total
 FROM threads LEFT JOIN lb ON lb.thread_id = id WHERE title ILIKE '%000001%' OR device ILIKE '%000001%') WHERE place <= 15"""),
+    ("bd7_review_queue", lambda v: _searched(v, "_A@mail1"), _SEARCHED.format(how="contains(lower(coalesce(email, '')), '_a@mail1')")),
+    ("bd7_short_term", lambda v: _searched(v, "\\"), _SEARCHED.format(how="contains(lower(coalesce(email, '')), chr(92))")),
     ("bd8_thread_list", lambda v: bd.thread_list(v.threads, v.evals, "COMPLETED", 25, 0), f"""
 WITH {_LAST} SELECT * FROM (SELECT id, device, badge, CAST(row_number() OVER (ORDER BY id DESC) AS INT) AS place, count(*) OVER () AS total FROM threads LEFT JOIN lb ON lb.thread_id = id WHERE state = 'COMPLETED') WHERE place <= 25"""),
     ("bd9_evaluation_rows", lambda v: bd.page(v.evals.filter("badge = 'red'").select("id", "response_id"), [F.desc("id")], 200, 0), """

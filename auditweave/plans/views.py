@@ -93,7 +93,9 @@ VIEWS = {
     "threads": """
         SELECT c_custkey AS id, 'dev' || CAST(c_nationkey % 3 AS VARCHAR(9)) AS device, c_acctbal < 0 AS is_escalated,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'COMPLETED' WHEN 'MACHINERY' THEN 'ABANDONED' ELSE 'ACTIVE' END AS state,
-               CASE c_mktsegment WHEN 'BUILDING' THEN 'APPROVED' WHEN 'HOUSEHOLD' THEN 'PENDING' ELSE 'NONE' END AS review_state, c_name AS title
+               CASE c_mktsegment WHEN 'BUILDING' THEN 'APPROVED' WHEN 'HOUSEHOLD' THEN 'PENDING' ELSE 'NONE' END AS review_state, c_name AS title,
+               CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE lower(c_name) || CASE c_custkey % 5 WHEN 0 THEN '_a' WHEN 1 THEN '%b' WHEN 2 THEN chr(92) || 'c' ELSE '' END || '@Mail' || CAST(c_custkey % 40 AS VARCHAR(9)) || '.org' END AS email,
+               CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custkey % 4 AS INT) END AS risk_tier, 1704067200 + c_custkey * 7919 % 86400 AS created_s
         FROM customer""",
     "flags": """
         SELECT o_orderkey AS id, o_custkey AS thread_id, CASE WHEN o_orderkey % 3 = 0 THEN 'AUTO_SAFETY' WHEN o_orderkey % 3 = 1 THEN 'AUTO_EVAL' ELSE 'MANUAL' END AS reason,
