@@ -60,13 +60,25 @@ def draw(seed: int, iteration: Column, i: Column, n: Column) -> Column:
 
 
 def bootstrap_p(pairs: DataFrame, seed: int = 7, iterations: int = 10_000) -> DataFrame:
-    """Share of resampled mean differences (centred) that are as large as the one observed. pairs: query_id, a, b."""
+    """Share of resampled mean differences (centred) that are as large as the one observed; 1 of no pairs. pairs: query_id, a, b.
+
+    A pair with one side missing means that the two runs did not answer the same queries, and is an error.
+    """
+    whole = F.assert_true(F.col("a").isNull() == F.col("b").isNull(), F.lit("paired scores must have equal length"))
+    pairs = pairs.withColumn("_checked", whole).filter("_checked is null and a is not null").drop("_checked")
     diffs = numbered(pairs.select("query_id", (F.col("a") - F.col("b")).alias("d")), "query_id", seed, "place").select("place", "d")
     seen = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
-    draws = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(seen)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(seen)).withColumn("i", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0))))))
     drawn = draws.withColumn("place", draw(seed, F.col("iteration"), F.col("i"), F.col("n"))).join(diffs, "place")
     means = drawn.groupBy("iteration").agg(F.avg(F.col("d") - F.col("mean")).alias("m"), F.first("mean").alias("mean"), F.first("n").alias("n"))
-    return means.agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), share(F.count_if(F.round(F.abs("m"), 9) >= F.round(F.abs("mean"), 9)), F.count("*")).alias("p_value"))
+    p = F.coalesce(share(F.count_if(F.round(F.abs("m"), 9) >= F.round(F.abs("mean"), 9)), F.count("*")), F.lit(1.0))
+    return means.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.max("mean"), 6).alias("mean"), p.alias("p_value"))
+
+
+def paired(scores: DataFrame, value: str, a: str, b: str) -> DataFrame:
+    """query_id, a and b: the value of each query in two modes; null where a mode lacks the query."""
+    of = lambda mode, name: scores.filter(F.col("mode") == mode).select("query_id", F.col(value).alias(name))
+    return of(a, "a").join(of(b, "b"), "query_id", "full")
 
 
 def report(scores: DataFrame, metrics: list[str], modes: tuple[str, str]) -> DataFrame:

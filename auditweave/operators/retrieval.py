@@ -368,6 +368,13 @@ def allocation(links: DataFrame) -> DataFrame:
     return links.groupBy("response_id", to.alias("allocated_to")).agg(F.count("*").alias("n"))
 
 
+def filtered_out(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Per response its candidates (response_id, chunk_id), and those that no link kept."""
+    kept = links.select("response_id", "chunk_id").distinct().withColumn("kept", F.lit(True))
+    rows = candidates.select("response_id", "chunk_id").distinct().join(kept, ["response_id", "chunk_id"], "left")
+    return rows.groupBy("response_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("kept").isNull()).alias("filtered_out"))
+
+
 def step_images(links: DataFrame, image: Column) -> DataFrame:
     """Each image of a response at the first step that has it."""
     rows = links.filter("step_index is not null").withColumn("image", image).filter("image is not null")

@@ -143,11 +143,15 @@ def artifact_class(has_steps: Column, has_root_cause: Column, has_answer: Column
     return F.when(has_steps, "repair_plan").when(has_root_cause, "informational").when(has_answer & has_context, "follow_up").otherwise("non_retrieval")
 
 
-def plan_text(turns: DataFrame) -> DataFrame:
-    """The assistant's text of each thread by turn, its class and whether its first 200 characters tell of failure."""
+def plan_text(turns: DataFrame, contexts: DataFrame, least_steps: int = 3) -> DataFrame:
+    """The assistant's text of each thread by turn, its class and whether its first 200 characters tell of failure.
+
+    A thread of `least_steps` turns has steps, one of a turn less a root cause; `contexts` (thread_id) names those with retrieved context.
+    """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     rows = turns.groupBy("thread_id").agg(text.alias("text"), F.count("*").alias("n_turns"))
-    kind = artifact_class(F.col("n_turns") > 2, F.col("n_turns") == 2, F.lit(True), F.col("thread_id") % 2 == 0)
+    rows = rows.join(contexts.select("thread_id", F.lit(True).alias("has_context")).distinct(), "thread_id", "left")
+    kind = artifact_class(F.col("n_turns") >= least_steps, F.col("n_turns") == least_steps - 1, F.lit(True), F.coalesce("has_context", F.lit(False)))
     return rows.select("thread_id", kind.alias("kind"), F.char_length("text").cast("long").alias("n_chars"), F.lower(F.substring("text", 1, 200)).rlike("fail|error|unable").alias("is_failed"))
 
 

@@ -76,11 +76,13 @@ def survives(protocol: Column, plan: Column) -> Column:
 
 
 def gate_verdict(protocols: DataFrame, plans: DataFrame, least: float = 0.85) -> DataFrame:
-    """Per thread: protocols that survive in its plan, and pass, fail or skip (no protocol, empty plan)."""
+    """Per thread: protocols that survive in its plan, pass, fail or skip (no protocol, empty plan), and the first five that are missing, by protocol_id."""
     rows = plans.join(protocols, "thread_id", "left").withColumn("ok", survives(F.col("protocol"), F.col("text")))
     n, kept = F.count("protocol"), F.count_if(F.col("protocol").isNotNull() & F.col("ok"))
     verdict = F.when((F.max(F.trim(F.coalesce("text", F.lit("")))) == "") | (n == 0), "skip").when(share(kept, n) >= least, "pass").otherwise("fail")
-    return rows.groupBy("thread_id").agg(n.alias("protocols"), kept.alias("survived"), share(kept, n).alias("coverage"), verdict.alias("verdict"))
+    lost = F.array_sort(F.collect_set(F.when(F.col("protocol").isNotNull() & ~F.col("ok"), F.col("protocol_id"))))
+    missing = F.array_join(F.slice(lost, 1, 5), ",")
+    return rows.groupBy("thread_id").agg(n.alias("protocols"), kept.alias("survived"), share(kept, n).alias("coverage"), verdict.alias("verdict"), missing.alias("missing"))
 
 
 def inline_presence(protocols: DataFrame, plans: DataFrame, least: float = 0.4) -> DataFrame:

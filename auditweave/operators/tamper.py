@@ -15,7 +15,7 @@ from ..functions.columns import numbered, seeded, share
 KINDS = ("chunk_deletion", "score_perturbation", "log_gap", "manifest_tamper")
 
 
-def eligible_sessions(run_log: DataFrame, nodes: DataFrame, least_chunks: int = 3, least_nodes: int = 2) -> DataFrame:
+def eligible_sessions(run_log: DataFrame, nodes: DataFrame, least_chunks: int = 3, least_nodes: int = 5) -> DataFrame:
     rows = run_log.filter(F.col("response_id").isNotNull() & (F.col("status") == "PASS") & (F.col("chunks_retrieved") >= least_chunks))
     return rows.join(nodes.filter(F.col("n_nodes") >= least_nodes), "thread_id").select("query_id", "response_id", "thread_id", "variant", "safety_found", "actual_intent")
 

@@ -10,6 +10,7 @@ from .provenance import _RESOLVED, _resolved
 
 _CORPUS = "co AS (SELECT p_partkey AS query_no, p_type AS observation_type, p_brand AS system, CASE WHEN p_size % 2 = 0 THEN 'manual' ELSE 'user' END AS origin, p_name AS variant FROM part)"
 _T = "split_part(node_name, ':', 1)"
+_RUNS = """SELECT thread_id, CASE WHEN query_id % 13 = 0 THEN NULL ELSE response_id END AS response_id, query_id % 7 = 0 AS gate_rejected, CASE WHEN query_id % 4 = 0 THEN 'troubleshoot_deterministic_exit' ELSE trace_variant END AS trace_variant FROM run_log"""
 
 
 def _corpus(v):
@@ -84,9 +85,10 @@ SELECT e.thread_id, turn, CAST(i AS INT) AS step_index, left(l[i + 1], 2000) AS
 WITH f AS (SELECT trace_id, min(id) AS first_id FROM exec_logs GROUP BY 1), n AS (SELECT trace_id, row_number() OVER (ORDER BY first_id, trace_id) AS n FROM f)
 SELECT trace_id, 'trace-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS pseudonym FROM n"""),
     ("src10_row_counts", lambda v: tables.row_counts({"chunks": v.chunks, "evals": v.evals, "links": v.links}), "SELECT 'chunks' AS table_name, count(*) AS n FROM chunks UNION ALL SELECT 'evals', count(*) FROM evals UNION ALL SELECT 'links', count(*) FROM links"),
-    ("src11_session_kinds", lambda v: files.session_kinds(v.exec_logs, v.evals.filter("response_id % 3 = 0"), "KnowledgeRetriever", "RootCauseAnalyzer", "DeterministicRuleChecker"), f"""
-WITH p AS (SELECT thread_id, bool_or({_T} = 'KnowledgeRetriever') AS p, bool_or({_T} = 'RootCauseAnalyzer') AS g, bool_or({_T} = 'DeterministicRuleChecker') AS r FROM exec_logs GROUP BY 1)
-SELECT CASE WHEN p AND thread_id IN (SELECT thread_id FROM evals WHERE response_id % 3 = 0) THEN 'evaluable' WHEN g THEN 'gate_rejected' WHEN r THEN 'deterministic_exit' ELSE 'other' END AS kind, count(*) AS sessions FROM p GROUP BY 1"""),
+    ("src11_session_kinds", lambda v: files.session_kinds(v.sql(_RUNS), v.exec_logs), f"""
+WITH u AS ({_RUNS}), p AS (SELECT DISTINCT thread_id FROM exec_logs WHERE {_T} = 'RepairPlanner')
+SELECT CASE WHEN response_id IS NOT NULL AND thread_id IN (SELECT thread_id FROM p) THEN 'evaluable' WHEN gate_rejected OR response_id IS NULL THEN 'gate_rejected' WHEN ends_with(trace_variant, 'deterministic_exit') THEN 'deterministic_exit' ELSE 'other' END AS kind,
+  count(*) AS sessions FROM u GROUP BY 1"""),
     ("src12_evidence", lambda v: files.evidence(v.evals, v.links, v.chunks), """
 WITH e AS (SELECT response_id, arg_max(badge, id) AS badge, count(*) AS attempts FROM evals GROUP BY 1), l AS (SELECT response_id, count(*) AS links, count(*) FILTER (WHERE has_safety_content) AS safety_links, string_agg(DISTINCT chunk_id, ';' ORDER BY chunk_id) AS chunk_ids
   FROM links JOIN chunks c ON c.id = chunk_id GROUP BY 1) SELECT * FROM e LEFT JOIN l USING (response_id)"""),

@@ -49,7 +49,7 @@ def _scores(v):
 
 def _paired(v):
     s = stage_table(_scores(v))
-    return s.filter("mode = 'hybrid'").select("query_id", F.col("ndcg").alias("a")).join(s.filter("mode = 'random'").select("query_id", F.col("ndcg").alias("b")), "query_id")
+    return ir.paired(s, "ndcg", "hybrid", "random")
 
 
 PLANS = [

@@ -170,8 +170,8 @@ WITH {_P}, z AS (SELECT *, {_W.format('step_text', 5)} AS x, {_W.format('header'
 o AS (SELECT *, max(i) OVER (PARTITION BY response_id) AS m, max(j) OVER (PARTITION BY response_id) AS n FROM z)
 SELECT response_id, step_index, chunk_id, round(0.5 * CASE WHEN m > 0 AND n > 0 THEN greatest(0, 1 - 2.5e0 * abs(i / CAST(m AS DOUBLE) - j / CAST(n AS DOUBLE))) WHEN n = 0 THEN 1 ELSE 0.5e0 END
   + CASE WHEN cited THEN 0.3e0 ELSE 0 END + 0.2e0 * coalesce(len(list_intersect(y, x)) / CAST(nullif(len(y), 0) AS DOUBLE), 0), 6) AS score FROM o"""),
-    ("rt28_assign", lambda v: rt.assign(rt.lexical_scores(_pairs(v)), 0.02), f"""
-WITH {_P} SELECT response_id, step_index, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY response_id, step_index ORDER BY score DESC, chunk_id DESC) AS n FROM lex WHERE score > 0.02) WHERE n = 1"""),
+    ("rt28_assign", lambda v: rt.assign(rt.lexical_scores(_pairs(v))), f"""
+WITH {_P} SELECT response_id, step_index, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY response_id, step_index ORDER BY score DESC, chunk_id DESC) AS n FROM lex WHERE score > 0.1) WHERE n = 1"""),
     ("rt28_rt29_assign_in_order", lambda v: rt.assign_in_order(rt.positional_scores(_placed_pairs(v)).join(v.chunks.selectExpr("id AS chunk_id", "sequence_index AS chunk_at", "document_id % 2 = 0 AS has_image"), "chunk_id").withColumn("step_index", F.col("step_index").cast("int"))), None),
     ("rt30_resolve_references", lambda v: rt.resolve_references(_refs(v), v.chunks), """
 WITH r AS (SELECT DISTINCT CASE WHEN response_id % 3 = 0 THEN l.chunk_id WHEN step_index = 0 THEN 'Seq ' || reranker_score WHEN step_index = 1 THEN 'see page ' || reranker_score WHEN step_index = 2 THEN 'man:' || reranker_score ELSE 'none' END AS ref, c.document_id
@@ -186,6 +186,9 @@ SELECT DISTINCT response_id, chunk_id, CAST(NULL AS BIGINT) AS step_index FROM l
     ("rt32_step_attribution", lambda v: rt.step_attribution(v.links, v.chunks), """
 SELECT l.response_id, l.id, c.document_id, c.page_start, CAST(row_number() OVER (PARTITION BY response_id ORDER BY step_index ASC NULLS LAST, similarity_score DESC, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id"""),
     ("rt33_allocation", lambda v: rt.allocation(v.links), "SELECT response_id, CASE WHEN step_index IS NOT NULL THEN 'step_' || step_index ELSE coalesce(grounding_label, 'unattributed') END AS allocated_to, count(*) AS n FROM links GROUP BY 1, 2"),
+    ("rt33_filtered_out", lambda v: rt.filtered_out(v.links, v.links.filter("grounding_label = 'verbatim'")), """
+WITH c AS (SELECT DISTINCT response_id, chunk_id FROM links), k AS (SELECT DISTINCT response_id, chunk_id FROM links WHERE grounding_label = 'verbatim')
+SELECT c.response_id, count(*) AS candidates, count(*) FILTER (WHERE k.chunk_id IS NULL) AS filtered_out FROM c LEFT JOIN k ON k.response_id = c.response_id AND k.chunk_id = c.chunk_id GROUP BY 1"""),
     ("rt34_step_images", _images, "SELECT response_id, 'img' || reranker_score AS image, min(step_index) AS step_index FROM links WHERE step_index IS NOT NULL AND reranker_score % 2 = 0 GROUP BY 1, 2"),
     ("rt35_citations", lambda v: rt.citations(_matches(v), v.chunks), f"""
 WITH {_M}, b AS (SELECT m.query_id, m.place, CASE WHEN m.level >= 2 THEN 'Chapter' WHEN m.level = 1 THEN 'Section' ELSE 'Passage' END || ' doc ' || m.document_id || ' page ' || coalesce(CAST(c.page_start AS VARCHAR), '-') || ' ' || c.section_header AS t FROM m JOIN chunks c ON c.id = m.chunk_id)

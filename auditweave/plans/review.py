@@ -88,7 +88,7 @@ SELECT * FROM (SELECT id, response_id, CAST(row_number() OVER (ORDER BY id DESC)
     ("bd10_feedback_page", lambda v: bd.page(v.resp_fb.filter("not retracted").select("id", "feedback_type"), [F.desc("id")], 50, 2), """
 SELECT * FROM (SELECT id, feedback_type, CAST(row_number() OVER (ORDER BY id DESC) AS INT) AS place, count(*) OVER () AS total FROM resp_fb WHERE NOT retracted) WHERE place BETWEEN 101 AND 150"""),
     ("bd11_thread_logs", lambda v: bd.listing(v.exec_logs, F.col("operation_type") == "llm_call", [F.col("thread_id"), F.col("started_ms"), F.col("id")], ["thread_id", "id", "node_name"]), "SELECT thread_id, id, node_name FROM exec_logs WHERE operation_type = 'llm_call'"),
-    ("bd12_bd13_plan_text", lambda v: bd.plan_text(v.plans), """
+    ("bd12_bd13_plan_text", lambda v: bd.plan_text(v.plans, v.plans.filter("thread_id % 2 = 0")), """
 WITH p AS (SELECT thread_id, string_agg(text, chr(10) ORDER BY turn, text) AS text, count(*) AS n FROM plans GROUP BY 1)
 SELECT thread_id, CASE WHEN n > 2 THEN 'repair_plan' WHEN n = 2 THEN 'informational' WHEN thread_id % 2 = 0 THEN 'follow_up' ELSE 'non_retrieval' END AS kind, length(text) AS n_chars, regexp_matches(lower(left(text, 200)), 'fail|error|unable') AS is_failed FROM p"""),
     ("bd14_flagged_threads", lambda v: bd.flagged_threads(v.threads, v.flags), """

@@ -62,8 +62,8 @@ k AS (SELECT thread_id, list_distinct(flatten(list({_W.format('text')}))) AS kno
 SELECT thread_id, count(*) AS lines, count(*) FILTER (WHERE bad) AS hallucinated, count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE) AS rate FROM r GROUP BY 1"""),
     ("c3_6_survives", lambda v: _ascii(v)[1].join(_ascii(v)[0], "thread_id").select("thread_id", "protocol_id", c3.survives(F.col("protocol"), F.col("text")).alias("ok")), f"WITH {_PL}, {_CLEAN}, {_OK} SELECT thread_id, protocol_id, ok FROM sv"),
     ("c3_7_c3_9_gate_verdict", lambda v: c3.gate_verdict(*_ascii(v)), f"""
-WITH {_PL}, {_CLEAN}, {_OK}, n AS (SELECT cl.thread_id, count(sv.ok) AS n, count(*) FILTER (WHERE ok) AS k FROM cl LEFT JOIN sv ON sv.thread_id = cl.thread_id GROUP BY 1)
-SELECT thread_id, n AS protocols, k AS survived, k / CAST(nullif(n, 0) AS DOUBLE) AS coverage, CASE WHEN n = 0 THEN 'skip' WHEN k / CAST(n AS DOUBLE) >= 0.85 THEN 'pass' ELSE 'fail' END AS verdict FROM n"""),
+WITH {_PL}, {_CLEAN}, {_OK}, n AS (SELECT cl.thread_id, count(sv.ok) AS n, count(*) FILTER (WHERE ok) AS k, coalesce(list_sort(list(DISTINCT protocol_id) FILTER (WHERE NOT ok)), []) AS lost FROM cl LEFT JOIN sv ON sv.thread_id = cl.thread_id GROUP BY 1)
+SELECT thread_id, n AS protocols, k AS survived, k / CAST(nullif(n, 0) AS DOUBLE) AS coverage, CASE WHEN n = 0 THEN 'skip' WHEN k / CAST(n AS DOUBLE) >= 0.85 THEN 'pass' ELSE 'fail' END AS verdict, array_to_string(list_slice(lost, 1, 5), ',') AS missing FROM n"""),
     ("c3_8_inline_presence", lambda v: c3.inline_presence(_protocols(v), _plans(v)), f"""
 WITH {_PL}, w AS (SELECT p.thread_id, protocol_id, lower(text) AS plan, list_filter(list_transform(regexp_split_to_array(lower(protocol), '\\s+'), lambda x: regexp_replace(x, '[.,;:!?()]', '', 'g')), lambda x: length(x) > 3) AS w FROM pl p JOIN pt ON pt.thread_id = p.thread_id)
 SELECT thread_id, protocol_id, len(w) = 0 OR len(list_filter(w, lambda x: contains(plan, x))) >= 0.4 * len(w) AS is_present FROM w"""),

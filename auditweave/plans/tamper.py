@@ -9,7 +9,7 @@ from .chains import _CHAIN, _LOG_CHAIN, _logs
 _ORD = "(((query_id * 7919 + {}) % 2147483647) * 48271 + 11) % 2147483647"
 _BASE = "split_part(node_name, ':', 1)"
 _E = f"""nn AS (SELECT thread_id, count(DISTINCT {_BASE}) AS n FROM exec_logs GROUP BY 1),
-el AS (SELECT query_id, response_id, thread_id, variant, safety_found, actual_intent FROM run_log WHERE status = 'PASS' AND chunks_retrieved >= 3 AND thread_id IN (SELECT thread_id FROM nn WHERE n >= 2))"""
+el AS (SELECT query_id, response_id, thread_id, variant, safety_found, actual_intent FROM run_log WHERE status = 'PASS' AND chunks_retrieved >= 3 AND thread_id IN (SELECT thread_id FROM nn WHERE n >= 5))"""
 _A = f"""{_E}, ra AS (SELECT *, row_number() OVER (ORDER BY {_ORD.format(9)}, query_id) - 1 AS k FROM el),
 fs AS (SELECT min(k // 2) AS f FROM ra WHERE safety_found AND k % 2 = 0), rk AS (SELECT ra.*, CASE WHEN k // 2 = f THEN 0 WHEN k // 2 < f THEN k // 2 + 1 ELSE k // 2 END AS i FROM ra, fs),
 asg AS (SELECT query_id, response_id, thread_id, k % 2 = 0 AS is_injected, CASE WHEN k % 2 = 0 THEN ['chunk_deletion', 'score_perturbation', 'log_gap', 'manifest_tamper'][i % 4 + 1] END AS kind FROM rk)"""

@@ -74,14 +74,18 @@ def pseudonyms(rows: DataFrame, field: str, position: str, prefix: str) -> DataF
     return ranged.join(before, "_range").select(field, F.concat(F.lit(prefix + "-"), text).alias("pseudonym"))
 
 
-def session_kinds(logs: DataFrame, responses: DataFrame, planner: str, gate: str, rule: str) -> DataFrame:
-    """Sessions by whether they can be evaluated: planner and response, else gate, else rule exit, else other."""
+def session_kinds(runs: DataFrame, logs: DataFrame, planner: str = "RepairPlanner") -> DataFrame:
+    """Runs (thread_id, response_id, gate_rejected, trace_variant) by whether they can be evaluated: planner and response, else rejected by a gate or
+    without a response, else left by a deterministic rule, else other."""
     from ..operators.execution import base_name
 
-    has = lambda n, name: F.bool_or(base_name() == n).alias(name)
-    per = logs.groupBy("thread_id").agg(has(planner, "p"), has(gate, "g"), has(rule, "r")).join(responses.select("thread_id", F.lit(True).alias("answered")).distinct(), "thread_id", "left")
-    kind = F.when(F.col("p") & F.col("answered"), "evaluable").when(F.col("g"), "gate_rejected").when(F.col("r"), "deterministic_exit").otherwise("other")
-    return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("sessions"))
+    planned = logs.filter(base_name() == planner).select("thread_id", F.lit(True).alias("planned")).distinct()
+    answered = F.col("response_id").isNotNull()
+    kind = (
+        F.when(F.coalesce("planned", F.lit(False)) & answered, "evaluable").when(F.coalesce("gate_rejected", F.lit(False)) | ~answered, "gate_rejected")
+        .when(F.endswith(F.coalesce("trace_variant", F.lit("")), F.lit("deterministic_exit")), "deterministic_exit").otherwise("other")
+    )
+    return runs.join(planned, "thread_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("sessions"))
 
 
 def evidence(evals: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -81,6 +81,10 @@ def test_ranking_metrics_by_hand(spark):
 def test_bootstrap_is_one_for_equal_and_small_for_clear_differences(spark):
     same = spark.createDataFrame([(i, 0.5, 0.5) for i in range(20)], "query_id int, a double, b double")
     assert one(ranking.bootstrap_p(same, iterations=200))["p_value"] == 1.0
+    assert one(ranking.bootstrap_p(same.limit(0), iterations=200))["p_value"] == 1.0
+    uneven = ranking.paired(spark.createDataFrame([(1, "h", 0.5), (2, "h", 0.6), (1, "r", 0.5)], "query_id int, mode string, ndcg double"), "ndcg", "h", "r")
+    with pytest.raises(Exception, match="equal length"):
+        ranking.bootstrap_p(uneven, iterations=20).collect()
     clear = spark.createDataFrame([(i, 0.9 + i % 3 / 100, 0.1) for i in range(20)], "query_id int, a double, b double")
     assert one(ranking.bootstrap_p(clear, iterations=200))["p_value"] < 0.05
 
