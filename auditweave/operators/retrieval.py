@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import dot, norm, words
+from .cells import Index, build, search
 from .grams import grams, posted
 
 #: Words that name no section.
@@ -84,11 +85,29 @@ def mmr(matches: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7)
     return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind['query_id']}, chunk_id string, score double, pick int")
 
 
-def best_document(queries: DataFrame, chunks: DataFrame, blocks: int = 32, dim: int | None = None) -> DataFrame:
-    """The document whose summaries (level 1 and up) are nearest on average."""
-    left, right = _in_blocks(queries, chunks.filter("level >= 1 and embedding is not null").select("id", "document_id", "embedding"), blocks, dim)
-    mean = left.join(right, "_b").groupBy("query_id", "document_id").agg(F.round(F.avg(1 - _score(dim)), 6).alias("distance"))
-    return mean.groupBy("query_id").agg(F.min_by("document_id", F.struct("distance", "document_id")).alias("document_id"), F.min("distance").alias("distance"))
+def best_document(queries: DataFrame, chunks: DataFrame, dim: int, ring_rows: int = 2048) -> DataFrame:
+    """The document whose summaries (level 1 and up) are nearest on average.
+
+    The mean distance to a document's summaries is 1 less the inner product of the query's direction with the mean of theirs, so
+    each document is one vector, and the best one is searched for in the cells of these.
+    """
+    rows = chunks.filter("level >= 1 and embedding is not null").select("document_id", "embedding", norm(F.col("embedding")).alias("_n"))
+    sums = [F.sum(F.try_divide(F.get("embedding", F.lit(i)).cast("double"), "_n")) for i in range(dim)]
+    means = rows.groupBy(F.col("document_id").alias("id")).agg(F.transform(F.array(*sums), lambda x: x / F.count("*")).alias("vector"))
+    best_one, _ = search(build(means, dim, inner=True, ring_rows=ring_rows), queries, 1, digits=6)
+    return best_one.select("query_id", F.col("id").alias("document_id"), F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+def chunk_index(chunks: DataFrame, dim: int, ring_rows: int = 2048) -> Index:
+    """The cells of all chunks given; a search may ask for some of them by level or safety content."""
+    kept = ["document_id", "level", "has_safety_content"]
+    return build(chunks.select("id", F.col("embedding").alias("vector"), *kept), dim, kept, ring_rows=ring_rows)
+
+
+def indexed_chunks(queries: DataFrame, index: Index, k: int = 30, where: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of `nearest_chunks`, from the index, and how many chunks each query was compared with."""
+    found, work = search(index, queries, k, where)
+    return found.withColumnRenamed("id", "chunk_id"), work
 
 
 def summaries(chunks: DataFrame, most: int = 2) -> DataFrame:
@@ -223,21 +242,20 @@ def cited_chunks(refs: DataFrame, rows: DataFrame, by: str) -> DataFrame:
     return n.join(rows.select(by, "place", "id"), [by, "place"])
 
 
-def example_search(queries: DataFrame, examples: DataFrame, k: int = 3, most: float = 0.45, cut: int | None = None, blocks: int = 32, dim: int | None = None) -> DataFrame:
+def example_search(queries: DataFrame, examples: DataFrame, dim: int, k: int = 3, most: float = 0.45, cut: int | None = None, ring_rows: int = 2048) -> DataFrame:
     """Live examples of the query's category or GENERAL and of its device or none: the `k` nearest, and of these those within `most`; their text up to `cut` characters.
 
-    A query goes to the four (category, device) places that may serve it, each dealt into blocks, which keep their own `k` best:
-    no place of many examples is one task.
+    Category and device are one tag of an example, and a query asks for four at most, so that the cells of all examples serve all of
+    them; `most` bounds what is read from the start. Examples without a category fit none.
     """
-    live = examples.filter("is_active and not is_superseded").select("example_id", "vector", "text", F.col("category").alias("_c"), F.coalesce("for_device", F.lit("*")).alias("_d"))
-    right = live.withColumn("_n", norm(F.col("vector"), dim)).withColumn("_b", F.pmod(F.xxhash64("example_id"), F.lit(blocks)).cast("int"))
-    each = lambda *values: F.explode(F.array_distinct(F.array(*values)))
-    left = queries.select("query_id", "query_vector", norm(F.col("query_vector"), dim).alias("_q"), each(F.col("category"), F.lit("GENERAL")).alias("_c"), "device").withColumn("_d", each(F.coalesce("device", F.lit("*")), F.lit("*")))
-    held = right.select("_c", "_d", "_b").distinct()  # the blocks that exist
-    placed = left.join(held, ["_c", "_d"]).join(right, ["_c", "_d", "_b"])
-    scored = placed.select("query_id", "example_id", F.round(1 - dot(F.col("query_vector"), F.col("vector"), dim) / (F.col("_q") * F.col("_n")), 6).alias("distance"), "_b", "_c", "_d")
-    near = best(scored, ["query_id", "_b", "_c", "_d"], [F.col("distance"), F.col("example_id")], k).drop("place")
-    found = best(near, "query_id", [F.col("distance"), F.col("example_id")], k).filter(F.col("distance") <= most).select("query_id", "example_id", "distance", "place")
+    live = examples.filter("is_active and not is_superseded and category is not null")
+    tag = lambda category, device: F.to_json(F.struct(category.alias("c"), device.alias("d")))
+    rows = live.select(F.col("example_id").alias("id"), "vector", tag(F.col("category"), F.col("for_device")).alias("tag"))
+    none = F.lit(None).cast("string")
+    tags = F.array_distinct(F.array(*[tag(c, d) for c in (F.col("category"), F.lit("GENERAL")) for d in (F.col("device"), none)]))
+    asked = queries.select("query_id", "query_vector", tags.alias("tags"))
+    near, _ = search(build(rows, dim, tag="tag", ring_rows=ring_rows), asked, k, floor=round(1 - most, 6), digits=6)
+    found = near.select("query_id", F.col("id").alias("example_id"), F.round(1 - F.col("score"), 6).alias("distance"), "place")
     return found.join(live.select("example_id", (F.substring("text", 1, cut) if cut else F.col("text")).alias("text")), "example_id")
 
 

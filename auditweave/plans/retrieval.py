@@ -21,6 +21,10 @@ def _matches(v):
     return rt.nearest_chunks(v.query_vectors, _eligible(v), dim=DIM)
 
 
+def _indexed(v, k=30, where=None):
+    return rt.indexed_chunks(v.query_vectors, rt.chunk_index(_eligible(v), DIM), k, where)
+
+
 def _sections(v):
     asked = v.docs.select(F.col("id").alias("query_id"), F.col("id").alias("document_id"), F.when(F.col("id") % 3 == 0, "what about the xende part").otherwise("with this zzzz").alias("text"))
     heads = v.chunks.withColumn("section_header", F.when(F.col("section_header") == "de", "xende part").otherwise(F.col("section_header")))
@@ -102,11 +106,12 @@ def _images(v):
 PLANS = [
     ("rt1_eligible_chunks", lambda v: rt.eligible(v.chunks, v.docs, "dev1").select("id", "document_id"), """
 SELECT c.id, c.document_id FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.status = 'READY' AND c.embedding IS NOT NULL AND NOT c.is_blacklisted AND (d.compatible_models IS NULL OR list_contains(d.compatible_models, 'dev1'))"""),
-    ("rt2_nearest_chunks", lambda v: _matches(v).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score")), f"WITH {_M} SELECT query_id, chunk_id, place, round(score, 6) AS score FROM m"),
-    ("rt3_flat_search", lambda v: rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level = 0"), 10, dim=DIM).select("query_id", "chunk_id", "place"), f"""
+    ("rt2_nearest_chunks", lambda v: _indexed(v)[0].select("query_id", "chunk_id", "place", F.round("score", 6).alias("score")), f"WITH {_M} SELECT query_id, chunk_id, place, round(score, 6) AS score FROM m"),
+    ("rt2_rows_compared", lambda v: _indexed(v)[1], None),
+    ("rt3_flat_search", lambda v: _indexed(v, 10, "level = 0")[0].select("query_id", "chunk_id", "place"), f"""
 WITH {_M} SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM ms WHERE level = 0) WHERE place <= 10"""),
     ("rt4_mmr", lambda v: rt.mmr(_matches(v), v.chunks), None),
-    ("rt5_best_document", lambda v: rt.best_document(v.query_vectors, v.chunks, dim=DIM), f"""
+    ("rt5_best_document", lambda v: rt.best_document(v.query_vectors, v.chunks, DIM), f"""
 WITH d AS (SELECT q.query_id, c.document_id, round(avg(1 - {_QC}), 6) AS distance FROM query_vectors q, chunks c WHERE c.level >= 1 AND c.embedding IS NOT NULL GROUP BY 1, 2)
 SELECT query_id, document_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS n FROM d) WHERE n = 1"""),
     ("rt6_summaries", lambda v: rt.summaries(v.chunks), "SELECT document_id, id, level, CAST(row_number() OVER (PARTITION BY document_id ORDER BY level DESC, page_start ASC NULLS LAST, id) AS INT) AS place FROM chunks WHERE level BETWEEN 1 AND 2"),
@@ -154,7 +159,7 @@ WITH {_G}, h AS (SELECT response_id, id FROM g WHERE response_id % 2 = 0 AND rer
     ("rt21_cited_chunks", lambda v: rt.cited_chunks(v.links.select("response_id", F.concat(F.when(F.col("reranker_score") == 3, "REF-").otherwise("CHUNK-"), F.col("reranker_score")).alias("ref")), rt.step_attribution(v.links, v.chunks), "response_id"), """
 WITH a AS (SELECT l.response_id, l.id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY step_index ASC NULLS LAST, similarity_score DESC, l.id) AS INT) AS place FROM links l JOIN chunks c ON c.id = l.chunk_id),
 r AS (SELECT DISTINCT response_id, reranker_score AS place FROM links WHERE reranker_score <> 3) SELECT response_id, place, id FROM r JOIN a USING (response_id, place)"""),
-    ("rt22_rt23_example_search", lambda v: rt.example_search(_near_queries(v), _examples(v), cut=500, dim=DIM), f"""
+    ("rt22_rt23_example_search", lambda v: rt.example_search(_near_queries(v), _examples(v), DIM, cut=500), f"""
 WITH e AS (SELECT * FROM ({_EXAMPLE}) WHERE is_active AND NOT is_superseded),
 nq AS (SELECT query_id, device, list_transform(list_zip(query_vector, x.embedding, y.embedding), lambda z: CAST(z[1] AS DOUBLE) * 0.1e0 + CAST(z[2] AS DOUBLE) + CAST(z[3] AS DOUBLE) * 0.8e0) AS query_vector FROM query_vectors JOIN embeddings x ON x.vec_id = query_id + 1 JOIN embeddings y ON y.vec_id = query_id + 2),
 s AS (SELECT query_id, example_id, round(1 - {_COS.format(a='q.query_vector', b='e.vector')}, 6) AS distance, text FROM nq q JOIN e ON (for_device IS NULL OR for_device = q.device) AND category IN ('GENERAL', 'c' || (query_id % 2)))
