@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import dot, norm, words
+from ..sources.tables import stage_table
 from .cells import Index, build, search
 from .grams import grams, posted
 
@@ -184,11 +185,11 @@ def relevance_cut(rows: DataFrame, by: str, score: str, k: int, least: int, floo
     return placed.filter((s >= least) | (F.col("place") <= floor))
 
 
-def safety_search(queries: DataFrame, chunks: DataFrame, k: int = 10, enough: int = 3, dim: int | None = None) -> DataFrame:
-    """Safety chunks; where there are fewer than `enough`, general ones too, safety ones with 0.05 more."""
-    safe = nearest_chunks(queries, chunks.filter("has_safety_content"), k, dim=dim)
-    few = queries.join(safe.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < enough).select("query_id", "query_vector")
-    general = nearest_chunks(few, chunks, k, dim=dim).withColumn("score", F.col("score") + F.when(F.col("has_safety_content"), 0.05).otherwise(0.0))
+def safety_search(queries: DataFrame, index: Index, k: int = 10, enough: int = 3) -> DataFrame:
+    """Safety chunks; where there are fewer than `enough`, general ones too, safety ones with 0.05 more. Both from one index."""
+    safe = stage_table(indexed_chunks(queries, index, k, "has_safety_content")[0])
+    few = queries.join(safe.filter(F.col("place") == enough).select("query_id"), "query_id", "left_anti").select("query_id", "query_vector")
+    general = indexed_chunks(few, index, k)[0].withColumn("score", F.col("score") + F.when(F.col("has_safety_content"), 0.05).otherwise(0.0))
     both = safe.unionByName(general).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return best(both, "query_id", [F.desc("score"), F.col("chunk_id")], k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 

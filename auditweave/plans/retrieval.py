@@ -25,6 +25,11 @@ def _indexed(v, k=30, where=None):
     return rt.indexed_chunks(v.query_vectors, rt.chunk_index(_eligible(v), DIM), k, where)
 
 
+def _dual_path(v):
+    index = rt.chunk_index(_eligible(v), DIM)
+    return rt.dual_path(rt.indexed_chunks(v.query_vectors, index, 10)[0], rt.indexed_chunks(v.query_vectors, index, 10, "level > 0")[0])
+
+
 def _sections(v):
     asked = v.docs.select(F.col("id").alias("query_id"), F.col("id").alias("document_id"), F.when(F.col("id") % 3 == 0, "what about the xende part").otherwise("with this zzzz").alias("text"))
     heads = v.chunks.withColumn("section_header", F.when(F.col("section_header") == "de", "xende part").otherwise(F.col("section_header")))
@@ -134,13 +139,13 @@ a AS (SELECT query_id, document_id, sequence_index - 1 AS s FROM h UNION SELECT
 SELECT a.query_id, c.id AS chunk_id, c.document_id, c.sequence_index FROM a JOIN chunks c ON c.level = 0 AND c.document_id = a.document_id AND c.sequence_index = a.s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = a.query_id AND h.chunk_id = c.id)"""),
     ("rt13_relevance_cut", lambda v: rt.relevance_cut(v.links, "response_id", "reranker_score", 3, 5).select("response_id", "id", "place"), """
 SELECT response_id, id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY coalesce(reranker_score, 0) DESC, id) AS INT) AS place FROM links) WHERE place <= 3 AND (reranker_score >= 5 OR place <= 2)"""),
-    ("rt14_safety_search", lambda v: rt.safety_search(v.query_vectors, _eligible(v), dim=DIM), f"""
+    ("rt14_safety_search", lambda v: rt.safety_search(v.query_vectors, rt.chunk_index(_eligible(v), DIM)), f"""
 WITH {_M}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM ms WHERE has_safety_content) WHERE n <= 10),
 f AS (SELECT query_id FROM query_vectors WHERE query_id NOT IN (SELECT query_id FROM s GROUP BY 1 HAVING count(*) >= 3)),
 g AS (SELECT query_id, chunk_id, score + CASE WHEN has_safety_content THEN 0.05e0 ELSE 0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM ms WHERE query_id IN (SELECT query_id FROM f)) WHERE n <= 10),
 u AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM s UNION ALL SELECT * FROM g) GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS place FROM u) WHERE place <= 10"""),
-    ("rt15_dual_path", lambda v: rt.dual_path(_matches(v).filter("place <= 10"), rt.nearest_chunks(v.query_vectors, _eligible(v).filter("level > 0"), 10, dim=DIM)), f"""
+    ("rt15_dual_path", lambda v: _dual_path(v), f"""
 WITH {_M}, b AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS n FROM ms WHERE level > 0) WHERE n <= 10)
 SELECT query_id, chunk_id, 0 AS path, place FROM m WHERE place <= 10 UNION ALL SELECT query_id, chunk_id, 1, n FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = b.query_id AND m.chunk_id = b.chunk_id AND m.place <= 10)"""),
     ("rt16_merge_queries", lambda v: rt.merge_queries(_matches(v), v.leaves, F.floor(F.col("query_id") / 100)), f"""
