@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ..operators import context as cx
 from ..operators import feedback as l3
 from ..operators import retrieval as rt
 from .feedback import _CACHE
@@ -106,6 +107,36 @@ def _refs(v):
 def _images(v):
     return rt.step_images(v.links, F.when(F.col("reranker_score") % 2 == 0, F.concat(F.lit("img"), F.col("reranker_score"))))
 
+_SHOWN = """SELECT c.id, c.document_id, CASE WHEN c.document_id % 5 <> 0 THEN 'Manual ' || CAST(c.document_id AS VARCHAR(9)) END AS name, 'docs/' || CAST(c.document_id AS VARCHAR(9)) || '.pdf' AS doc_path,
+  CASE WHEN c.page_start % 6 <> 5 THEN c.page_start + 1 END AS pages, c.page_start, c.sequence_index, CASE WHEN c.section_header <> 'es' THEN c.section_header END AS section_header, c.level,
+  CASE WHEN c.doc_id % 6 = 0 THEN 'the same beginning ' || repeat('of several texts ', 6) || l.text WHEN c.doc_id % 13 <> 0 THEN l.text END AS text,
+  CASE WHEN c.doc_id % 4 = 0 THEN 'img/' || CAST(c.doc_id % 40 AS VARCHAR(9)) || '.png' WHEN c.doc_id % 4 = 1 THEN 'http://x.org/' || CAST(c.doc_id % 30 AS VARCHAR(9)) END AS path,
+  CASE WHEN c.doc_id % 3 = 0 THEN 'Figure ' || CAST(c.doc_id % 9 AS VARCHAR(9)) END AS caption FROM chunks c LEFT JOIN leaves l ON l.id = c.id"""
+_IMAGES = f"SELECT id AS chunk_id, 0 AS position, path AS url, caption FROM ({_SHOWN}) WHERE path IS NOT NULL"
+_TO_STEPS = "SELECT DISTINCT response_id, step_index, reranker_score AS chunk_at, chunk_id FROM links WHERE step_index IS NOT NULL AND grounding_label = 'verbatim'"
+
+
+def _shown(v):
+    none = F.array().cast("array<struct<path:string,caption:string>>")
+    return v.sql(_SHOWN).withColumn("images", F.when(F.col("path").isNotNull(), F.array(F.struct("path", "caption"))).otherwise(none)).drop("path", "caption")
+
+
+def _neighbours(v, part):
+    chosen = v.query_vectors.select("query_id").join(_matches(v).filter("level = 0").groupBy("query_id").agg(F.min("document_id").alias("document_id")), "query_id")
+    return cx.with_neighbours(_matches(v), chosen, _shown(v))[part]
+
+
+def _funnel(v, part):
+    kept = _matches(v).filter("place <= 8 and score > 0.25").select("query_id", "chunk_id", (F.col("place") % 5).alias("reranker_score"))
+    return cx.funnel(_matches(v), l3.chunk_cache(v.links, v.resp_fb, v.step_fb), kept)[part]
+
+
+_NEAR = f"""{_M}, sh AS ({_SHOWN}), lf AS (SELECT *, coalesce(left(text, 80), '') AS head FROM sh WHERE level = 0), ch AS (SELECT query_id, min(document_id) AS document_id FROM m WHERE level = 0 GROUP BY 1),
+ow AS (SELECT m.query_id, l.* FROM m JOIN ch USING (query_id, document_id) JOIN lf l ON l.id = m.chunk_id),
+ask AS ((SELECT query_id, document_id, sequence_index - 1 AS s FROM ow WHERE sequence_index > 0 UNION SELECT query_id, document_id, sequence_index + 1 FROM ow) EXCEPT SELECT query_id, document_id, sequence_index FROM ow),
+fd AS (SELECT ask.query_id, l.*, row_number() OVER (PARTITION BY ask.query_id, head ORDER BY sequence_index, page_start ASC NULLS LAST, id) AS n FROM ask JOIN lf l ON l.document_id = ask.document_id AND l.sequence_index = ask.s),
+jd AS (SELECT *, n = 1 AND head <> '' AND NOT EXISTS (SELECT 1 FROM ow WHERE ow.query_id = fd.query_id AND ow.head = fd.head) AS is_added FROM fd)"""
+_BOOSTED = f"""{_M}, {_CACHE}, bo AS (SELECT m.*, round(score + 0.05e0 * greatest(-1, least(1, coalesce(net / CAST(nullif(positive + abs(negative), 0) AS DOUBLE), 0))), 6) AS adjusted FROM m LEFT JOIN cache k ON k.chunk_id = m.chunk_id)"""
 
 
 PLANS = [
@@ -137,6 +168,29 @@ WITH {_M}, s AS (SELECT query_id, coalesce(c.parent_id, c.id) AS chunk_id, min(p
 WITH {_M}, h AS (SELECT m.query_id, c.id AS chunk_id, c.document_id, c.sequence_index FROM m JOIN chunks c ON c.id = m.chunk_id WHERE c.level = 0),
 a AS (SELECT query_id, document_id, sequence_index - 1 AS s FROM h UNION SELECT query_id, document_id, sequence_index + 1 FROM h)
 SELECT a.query_id, c.id AS chunk_id, c.document_id, c.sequence_index FROM a JOIN chunks c ON c.level = 0 AND c.document_id = a.document_id AND c.sequence_index = a.s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = a.query_id AND h.chunk_id = c.id)"""),
+    ("rt12_reading_order", lambda v: _neighbours(v, 0), f"""
+WITH {_NEAR}, al AS (SELECT query_id, id, sequence_index, page_start, false AS is_neighbour FROM ow UNION ALL SELECT query_id, id, sequence_index, page_start, true FROM jd WHERE is_added)
+SELECT query_id, id AS chunk_id, is_neighbour, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(nullif(sequence_index, 0), 9999), coalesce(nullif(page_start, 0), 9999), id) AS INT) AS place FROM al"""),
+    ("rt12_neighbour_counts", lambda v: _neighbours(v, 1), f"""
+WITH {_NEAR} SELECT query_id, count(*) AS requested, (SELECT count(*) FROM jd WHERE jd.query_id = ask.query_id AND is_added) AS added, (SELECT count(*) FROM jd WHERE jd.query_id = ask.query_id AND NOT is_added) AS duplicates FROM ask GROUP BY 1"""),
+    ("rt34_images_of_steps", lambda v: cx.step_images(v.sql(_TO_STEPS), v.links, v.sql(_IMAGES))[0], f"""
+WITH i AS ({_IMAGES}), a AS ({_TO_STEPS}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY response_id, url ORDER BY step_index, chunk_at, position, caption) AS n FROM a JOIN i USING (chunk_id)) WHERE n = 1)
+SELECT response_id, step_index, CAST(row_number() OVER (PARTITION BY response_id, step_index ORDER BY chunk_at, position, url) AS INT) AS place, url, caption FROM f"""),
+    ("rt34_image_counts", lambda v: cx.step_images(v.sql(_TO_STEPS), v.links, v.sql(_IMAGES))[1], f"""
+WITH i AS ({_IMAGES}), a AS ({_TO_STEPS}), f AS (SELECT response_id, url, min(step_index) AS step_index FROM a JOIN i USING (chunk_id) GROUP BY 1, 2), e AS (SELECT DISTINCT response_id, url FROM links JOIN i USING (chunk_id)),
+g AS (SELECT response_id, count(DISTINCT step_index) AS n FROM f GROUP BY 1), h AS (SELECT response_id, count(*) AS n FROM e ANTI JOIN f USING (response_id, url) GROUP BY 1)
+SELECT r.response_id, coalesce(g.n, 0) AS steps_with_images, coalesce(h.n, 0) AS unmatched FROM (SELECT DISTINCT response_id FROM links) r LEFT JOIN g USING (response_id) LEFT JOIN h ON h.response_id = r.response_id"""),
+    ("rt35_cited_context", lambda v: cx.cited_context(_matches(v), _shown(v), "https://files.example.org/").select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("image_keys", " ").alias("image_keys")), f"""
+WITH {_M}, sh AS ({_SHOWN}), b AS (SELECT query_id, place, path, '---[' || coalesce(name, '-') || ' | doc: ' || doc_path || ' | Page ' || coalesce(CAST(pages AS VARCHAR), '-') || coalesce(' | Seq ' || sequence_index, '') || ']---' || chr(10) || coalesce(text, '') || chr(10)
+  || CASE WHEN path IS NULL THEN '' ELSE chr(10) || 'Relevant Diagrams:' || chr(10) || '![' || coalesce(caption, 'Diagram') || '](' || CASE WHEN path LIKE 'http%' THEN path ELSE 'https://files.example.org/' || path END || ')' || chr(10) END AS t FROM m JOIN sh ON sh.id = m.chunk_id),
+k AS (SELECT query_id, path, min(place) AS p FROM b WHERE path IS NOT NULL GROUP BY 1, 2)
+SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY place)) AS context_sha256, coalesce((SELECT string_agg(path, ' ' ORDER BY p) FROM k WHERE k.query_id = b.query_id), '') AS image_keys FROM b GROUP BY query_id"""),
+    ("rt35_overview", lambda v: cx.overview(_shown(v)), f"""
+WITH s AS (SELECT *, '[' || CASE WHEN level >= 2 THEN 'Chapter' ELSE 'Section' END || ' Summary ' || coalesce('— ' || nullif(section_header, '') || ' ', '') || '(pp. ' || coalesce(CAST(pages AS VARCHAR), '-') || ')]' || chr(10) || coalesce(text, '') AS t FROM ({_SHOWN}) WHERE level BETWEEN 1 AND 2)
+SELECT document_id, '--- MANUAL OVERVIEW ---' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY level DESC, page_start ASC NULLS LAST, id) AS overview FROM s GROUP BY 1"""),
+    ("rt36_chunk_scores", lambda v: _funnel(v, 0), f"WITH {_BOOSTED} SELECT query_id, chunk_id, round(score, 6) AS cosine, adjusted, place % 5 AS reranker FROM bo WHERE place <= 8 AND score > 0.25"),
+    ("rt36_before_and_after", lambda v: _funnel(v, 1), f"""
+WITH {_BOOSTED} SELECT query_id, count(*) AS candidates_before, count(*) FILTER (WHERE place <= 8 AND score > 0.25) AS candidates_after, count(*) FILTER (WHERE adjusted <> round(score, 6)) AS chunks_boosted FROM bo GROUP BY 1"""),
     ("rt13_relevance_cut", lambda v: rt.relevance_cut(v.links, "response_id", "reranker_score", 3, 5).select("response_id", "id", "place"), """
 SELECT response_id, id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY coalesce(reranker_score, 0) DESC, id) AS INT) AS place FROM links) WHERE place <= 3 AND (reranker_score >= 5 OR place <= 2)"""),
     ("rt14_safety_search", lambda v: rt.safety_search(v.query_vectors, rt.chunk_index(_eligible(v), DIM)), f"""
