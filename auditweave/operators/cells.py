@@ -121,9 +121,9 @@ def _probes(index: Index, asked: DataFrame, first: int, rest: bool) -> DataFrame
                 if rest:
                     reads = ~reads & (bounds >= some["least"].to_numpy(float)[:, None])
                 i, j = np.nonzero(reads)
-                yield some.iloc[i].drop(columns="least").assign(cell=cell[j].astype(np.int32), ring=ring[j].astype(np.int32), n=size[j])
+                yield some.iloc[i].assign(cell=cell[j].astype(np.int32), ring=ring[j].astype(np.int32), n=size[j])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema if f.name != "least")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
     return asked.mapInPandas(probe, f"{schema}, cell int, ring int, n long")
 
 
@@ -151,6 +151,7 @@ def _scored(index: Index, probes: DataFrame, rows: DataFrame, k: int, digits: in
                 fits = np.array([[wanted is None or t in wanted for t in tags] for wanted in map(lambda w: None if w is None else set(w), some["tags"])])[:, codes]
                 score[~fits] = -np.inf
                 least = np.partition(score, -k, axis=1)[:, -k] - spare if len(r) > k else np.full(len(some), -np.inf)
+                least = np.maximum(least, some["least"].to_numpy(float) - spare)  # what the first step found already
                 i, j = np.nonzero(fits & (score >= least[:, None]))
                 total = np.zeros(len(i))
                 for d in range(vectors.shape[1]):
