@@ -14,17 +14,32 @@ def _judged(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return rankings.filter(F.col("rank") <= k).join(qrels, ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
-def per_query(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """recall, precision, reciprocal rank, hit and nDCG at k of each query and mode, in one pass over the rankings."""
+def grades(qrels: DataFrame) -> DataFrame:
+    """query_id, grade, n: how many documents of each grade a query has, which is all that its ideal ranking needs."""
+    return qrels.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+
+
+def _ideal(sizes: DataFrame, k: int) -> DataFrame:
+    """relevant and idcg at k of each query: the grades in falling order, each at the places that it fills."""
+    last = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
+    filled = sizes.filter("n > 0").withColumn("_to", F.least(last, F.lit(k))).withColumn("_from", last - F.col("n") + 1)
+    places = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<bigint>"))  # k at most
+    gain = F.pow(2.0, F.col("grade")) - 1
+    summed = F.aggregate(places, F.lit(0.0), lambda s, rank: s + gain / F.log2(rank + 1.0))
+    return filled.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("grade") > 0, F.col("n"))), F.lit(0)).alias("relevant"), F.sum(summed).alias("idcg"))
+
+
+def per_query(rankings: DataFrame, qrels: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
+    """recall, precision, reciprocal rank, hit and nDCG at k of each query and mode, in one pass over the rankings.
+
+    With `sizes` (as `grades` gives them) only judgements of ranked documents need be in `qrels`.
+    """
     gain, discount = F.pow(2.0, F.col("grade")) - 1, F.log2(F.col("rank") + 1.0)
     good = F.col("grade") > 0
     got = _judged(rankings, qrels, k).groupBy("query_id", "mode").agg(
         F.count_if(good).alias("found"), F.min(F.when(good, F.col("rank"))).alias("first"), F.sum(gain / discount).alias("dcg")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    ideal = qrels.withColumn("rank", F.row_number().over(order)).groupBy("query_id").agg(
-        F.count_if(good).alias("relevant"), F.sum(F.when(F.col("rank") <= k, gain / discount)).alias("idcg")
-    )
+    ideal = _ideal(grades(qrels) if sizes is None else sizes, k)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return got.join(ideal, "query_id", "left").select(
         "query_id", "mode", zero(share(F.col("found"), F.col("relevant"))).alias("recall"), (F.col("found") / k if k else F.lit(0.0)).alias("precision"),
