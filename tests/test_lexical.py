@@ -28,3 +28,10 @@ def test_shared_texts_score_as_pairs_do(spark):
 def test_the_query_scores_as_pairs_do(spark, sf_dir):
     v = Views(spark, sf_dir)
     assert of(plans._lexical(v)) == of(retrieval.lexical_scores(plans._pairs(v)))
+
+
+def test_a_step_with_a_low_score_keeps_its_chunk(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    best = plans._lexical(v).groupBy("response_id", "step_index").agg(F.max("score").alias("s"))
+    got = dict((name, plan) for name, plan, _ in plans.PLANS)["rt28_assign"](v)
+    assert got.filter("score <= 0.1").count() == best.filter("s > 0.02 and s <= 0.1").count() > 0
