@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -91,10 +92,29 @@ def followed_within(first: DataFrame, second: DataFrame, key: str, time: str, sp
     return a.join(b, near).select("key", "first_id", "second_id", F.timestamp_diff("MICROSECOND", "first_time", "second_time").alias("micros"))
 
 
+_LOG_START = hashlib.sha256(LOG_GENESIS.encode()).hexdigest()
+_TAILS = pa.schema([("chain_id", pa.string()), ("tail", pa.string()), ("time_ms", pa.int64()), ("id", pa.int64())])
+_WAITING = pa.schema([("chain_id", pa.string()), ("time_ms", pa.int64()), ("id", pa.int64()), ("suffix", pa.string()), ("record_hash", pa.string())])
+
+
+def _packed(rows: list[tuple], schema: pa.Schema) -> bytes:
+    """Rows as one compressed Arrow stream: a single value of the state."""
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns), strict=True)
+
+
 class _ChainCheck(StatefulProcessor):
-    """State of a chain: the last recomputed hash and the time and id it stands on; a buffer of records by (time, id) that wait for the watermark.
+    """State of a bucket of chains: of each chain the last recomputed hash and the time and id it stands on; the records that wait for the watermark.
 
-    When the watermark passes a record, it is folded in; one at or before the last that was folded came too late and is reported. A
+    A batch's records are one value of the waiting list, and the tails one value, so that state is read and written by bucket, not by record. When the
+    watermark passes a record, it is folded in; one at or before the last that was folded came too late and is reported. A
     chain whose last record is `idle_ms` behind the watermark and that has nothing waiting is forgotten.
     """
 
@@ -103,60 +123,90 @@ class _ChainCheck(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tail = handle.getValueState("tail", "tail string, time_ms long, id long")
-        self.waiting = handle.getMapState("waiting", "time_ms long, id long", "suffix string, record_hash string")
+        self.tails = handle.getValueState("tails", "packed binary")
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.due = handle.getValueState("due", "time_ms long")
+
+    def _known(self) -> dict[str, tuple]:
+        return {chain: rest for chain, *rest in _unpacked(self.tails.get()[0])} if self.tails.exists() else {}
+
+    def _set_timer(self, at: int) -> None:
+        """The bucket's one timer."""
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
-    def _row(self, chain: str, record: int, state: str) -> pd.DataFrame:
-        return pd.DataFrame({"chain_id": [chain], "id": pd.Series([record], dtype="int64"), "state": [state]})
+    def _rows(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame(found, columns=["chain_id", "id", "state"]).astype({"id": "int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Records wait in the buffer; the timer of the earliest is set."""
-        last = self.tail.get() if self.tail.exists() else None
-        due = set()
-        for batch in rows:
-            for r in batch.itertuples():
-                if last is not None and (r.time_ms, r.id) <= (last[1], last[2]):
-                    yield self._row(key[0], r.id, "late")
-                    continue
-                self.waiting.updateValue((int(r.time_ms), int(r.id)), (r.suffix, r.record_hash))
-                due.add(int(r.time_ms))
-        for at in due:
-            self.handle.registerTimer(at)
+        """Records wait; the timer goes to the earliest."""
+        tails, found, held = self._known(), [], []
+        for frame in rows:
+            for row in zip(*(frame[c].tolist() for c in _WAITING.names), strict=True):
+                chain, at, record = row[:3]
+                if chain in tails and (at, record) <= (tails[chain][1], tails[chain][2]):
+                    found.append((chain, record, "late"))
+                else:
+                    held.append(row)
+        if held:
+            self.waiting.appendValue((_packed(held, _WAITING),))
+            first = int(min(row[1] for row in held))
+            if not self.due.exists() or first < self.due.get()[0]:
+                self._set_timer(first)
+        yield from self._rows(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The watermark has passed: fold what is due, in order, and forget the chain if it has been idle."""
+        """The watermark has passed: fold what is due, in order, and forget chains that have been idle."""
         mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted(k for k in self.waiting.keys() if k[0] <= mark)
-        tail, time_ms, last = self.tail.get() if self.tail.exists() else (hashlib.sha256(LOG_GENESIS.encode()).hexdigest(), 0, -1)
-        for at, record in due:
-            suffix, stored = self.waiting.getValue((at, record))
-            self.waiting.removeKey((at, record))
-            tail, time_ms, last = hashlib.sha256(f"{tail}{suffix}".encode()).hexdigest(), at, record
+        tails, found = self._known(), []
+        waiting = {tuple(place): rest for (packed,) in self.waiting.get() for *place, suffix, stored in _unpacked(packed) for rest in [(suffix, stored)]}
+        for place in sorted((k for k in waiting if k[1] <= mark), key=lambda k: k[1:]):
+            chain, at, record = place
+            suffix, stored = waiting.pop(place)
+            tail = hashlib.sha256(f"{tails[chain][0] if chain in tails else _LOG_START}{suffix}".encode()).hexdigest()
+            tails[chain] = (tail, at, record)
             if tail != stored:
-                yield self._row(key[0], record, "broken")
-        if due:
-            self.tail.update((tail, int(time_ms), int(last)))
-            self.handle.registerTimer(int(time_ms) + self.idle_ms)
-        elif self.tail.exists() and time_ms + self.idle_ms <= mark and not any(True for _ in self.waiting.keys()):
-            self.tail.clear()
-            yield self._row(key[0], last, "expired")
+                found.append((chain, record, "broken"))
+        busy = {chain for chain, _, _ in waiting}
+        idle = [chain for chain, (_, at, _) in tails.items() if at + self.idle_ms <= mark and chain not in busy]
+        found += [(chain, tails.pop(chain)[2], "expired") for chain in idle]
+        self.due.clear()  # the timer is used up
+        if tails:
+            self.tails.update((_packed([(chain, *rest) for chain, rest in tails.items()], _TAILS),))
+        else:
+            self.tails.clear()
+        if waiting:
+            self.waiting.put([(_packed([(*place, *rest) for place, rest in waiting.items()], _WAITING),)])
+        else:
+            self.waiting.clear()
+        times = [at for _, at, _ in waiting] + [at + self.idle_ms for chain, (_, at, _) in tails.items() if chain not in busy]
+        if times:
+            self._set_timer(min(times))
+        yield from self._rows(found)
 
     def close(self) -> None:
         pass
 
 
-def broken_records(logs: DataFrame, late: str = "10 minutes", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def broken_records(logs: DataFrame, late: str = "10 minutes", idle_ms: int = 7 * 86_400_000, buckets: int = 256) -> DataFrame:
     """chain_id, id and state of each record of a stream whose stored hash is not the one recomputed from the chain so far (broken), of records that came
     after the watermark had passed later ones of their chain (late), and of the last record of chains that were forgotten (expired).
 
     Records may come in any order within `late` of each other: they wait, and are folded in order of started_ms and id once the watermark passes. A chain
-    forgotten after `idle_ms` would begin anew. The session must keep state in RocksDB (`rocksdb_state`).
+    forgotten after `idle_ms` would begin anew. Chains are dealt into `buckets` by a hash; a bucket with new records has its state read and written
+    as a whole, so that many short chains cost no call each. The session must keep state in RocksDB (`rocksdb_state`).
     """
     suffix = record_text(F.lit(""), {c: F.col(c) for c in ("operation_type", "document", "node_name", "started_ms", "metadata")})
-    rows = logs.select("chain_id", "id", F.col("started_ms").alias("time_ms"), suffix.alias("suffix"), "record_hash", F.timestamp_millis("started_ms").alias("at"))
-    schema = "chain_id string, id long, state string"
+    rows = logs.select(
+        F.pmod(F.xxhash64("chain_id"), F.lit(buckets)).alias("bucket"), "chain_id", F.col("started_ms").alias("time_ms"), "id",
+        F.coalesce(suffix, F.lit("")).alias("suffix"), "record_hash", F.timestamp_millis("started_ms").alias("at"),
+    )
     # without the column that carries the watermark, Spark hands late records on, too
-    return rows.withWatermark("at", late).drop("at").groupBy("chain_id").transformWithStateInPandas(_ChainCheck(idle_ms), schema, "Append", "EventTime")
+    dealt = rows.withWatermark("at", late).drop("at").groupBy("bucket")
+    return dealt.transformWithStateInPandas(_ChainCheck(idle_ms), "chain_id string, id long, state string", "Append", "EventTime")
 
 
 @contextmanager
