@@ -14,27 +14,27 @@ than id and text are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-MEMO, MEMO_CHARS = 250_000, 64
+#: Characters at which a word may not begin or end: all that count as blank for the byte-level pattern, and a few more.
+BLANKS = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
 
-class Tokens(dict):
-    """Ids of a text as little-endian 32-bit words. Keys of the dictionary: words that follow a blank.
+class Tokens:
+    """Ids of texts as little-endian 32-bit words.
 
     A blank between two characters that are not blank always begins a new unit of the byte-level pattern, so
-    words are looked up one by one; other texts go to the tokenizer whole. The memo is emptied when full; long words stay out.
+    the distinct words of many texts are encoded once, in one go; other texts go to the tokenizer whole.
     """
 
     def __init__(self, ranks_file: str, pattern: str) -> None:
@@ -43,30 +43,65 @@ class Tokens(dict):
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.irregular = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
-
-    def __missing__(self, word: str) -> bytes:
-        found = array("I", self.encode(" " + word)).tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = found
-        return found
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.n_bytes[i] = len(token)
 
     def ids(self, text: str) -> bytes:
-        parts = [self._plain(x) for x in text.split(SPECIAL)]
+        parts = [array("I", self.encode(x)).tobytes() for x in text.split(SPECIAL)]
         return array("I", [SPECIAL_ID]).tobytes().join(parts)
 
-    def _plain(self, text: str) -> bytes:
-        if self.irregular.search(text):
-            return array("I", self.encode(text)).tobytes()
-        first, *words = text.split(" ")
-        return array("I", self.encode(first)).tobytes() + b"".join(map(self.__getitem__, words))
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, each after a blank, and where each word's ids begin and end. The words neither begin nor end with a blank."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), " ")[0].as_py()
+        found = np.fromiter(self.encode(" " + joined), np.uint32)
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        stop = np.searchsorted(np.cumsum(self.n_bytes[found]), ends) + 1
+        return found, np.concatenate(([0], stop[:-1])), stop
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text. Missing texts count as empty."""
+        if not len(texts):
+            return
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        number, words = coded.indices.to_numpy(), coded.dictionary
+        odd = pc.match_substring_regex(words, f"^$|^{BLANKS}|{BLANKS}$").to_numpy(zero_copy_only=False)
+        whole = np.logical_or.reduceat(odd[number], bounds[:-1]) | pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
+        found, start, stop = self.of_words(pc.if_else(pa.array(odd), "x", words))
+        later = np.ones(len(number), bool)
+        later[bounds[:-1]] = False  # a first word has no blank before it
+        count = np.where(later, (stop - start)[number], 0)
+        place = np.concatenate(([0], np.cumsum(count)))
+        rest = found[np.repeat(start[number] - place[:-1], count) + np.arange(place[-1])].tobytes()
+        place *= 4
+        first = words.take(pa.array(number[bounds[:-1]])).to_pylist()
+        for i, (word, odd_one, at, end) in enumerate(zip(first, whole.tolist(), place[bounds[:-1]].tolist(), place[bounds[1:]].tolist(), strict=True)):
+            yield self.ids(texts[i].as_py()) if odd_one else array("I", self.encode(word)).tobytes() + rest[at:end]
+
+
+@functools.lru_cache(maxsize=1)
+def _tokens(ranks_file: str, pattern: str) -> Tokens:
+    return Tokens(ranks_file, pattern)
 
 
 def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Tokens]:
-    """A tokenizer that each task makes for itself."""
-    return lambda: Tokens(ranks_file, pattern)
+    """A tokenizer that each Python worker makes for itself."""
+    return lambda: _tokens(ranks_file, pattern)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, parted into runs of about `most` bytes of a text column, a row at least."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def cut(docs: DataFrame, tokenizer: Callable[[], Tokens], capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -75,10 +110,10 @@ def cut(docs: DataFrame, tokenizer: Callable[[], Tokens], capacity: int, end_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer()
-        for batch in slices(batches):
+        for batch in by_bytes(batches, 1):
             out = [], [], [], [], [], []
-            for doc, text, deal in zip(*batch.columns, strict=True):
-                ids = tokens.ids(text.as_py() or "") + end
+            for doc, ids, deal in zip(batch.column(0), tokens.of_texts(batch.column(1)), batch.column(2), strict=True):
+                ids += end
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
@@ -114,22 +149,25 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 
 
 def _best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes within the capacity (unbounded knapsack)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    rising = np.argsort(sizes, kind="stable")
-    s, p = sizes[rising], price[rising]
-    for w in range(int(s[0]), capacity + 1):
-        n = int(np.searchsorted(s, w, side="right"))
-        value = best[w - s[:n]] + p[:n]
-        j = int(value.argmax())
-        best[w], last[w] = (value[j], j) if value[j] > best[w - 1] else (best[w - 1], -1)
+    """The most valuable multiset of sizes within the capacity (unbounded knapsack), by the number of its members."""
+    widest = int(sizes.max())
+    before = np.arange(capacity + 1) + widest - sizes[:, None]  # where a size leads from each room, behind as many places that no room is
+    best, chosen = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        value = np.concatenate((np.full(widest, -np.inf), best))[before]
+        value += price[:, None]
+        last = value.argmax(0)
+        reached = value[last, np.arange(capacity + 1)]
+        better = reached > best
+        if not better.any():
+            break
+        best = np.where(better, reached, best)
+        chosen.append(np.where(better, last, -1))
     column, w = np.zeros(len(sizes)), capacity
-    while w > 0:
-        if last[w] < 0:
-            w -= 1
-        else:
-            column[rising[last[w]]] += 1
-            w -= int(s[last[w]])
+    for last in reversed(chosen):
+        if last[w] >= 0:
+            column[last[w]] += 1
+            w -= int(sizes[last[w]])
     return best[capacity], column
 
 
