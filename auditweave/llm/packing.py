@@ -93,7 +93,7 @@ def byte_bpe(ranks_file: str, pattern: str) -> Callable[[], Tokens]:
     return lambda: _tokens(ranks_file, pattern)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches of a task, parted into runs of about `most` bytes of a text column, a row at least."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
