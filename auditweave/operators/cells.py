@@ -85,7 +85,7 @@ def build(rows: DataFrame, dim: int, keep: list[str] | None = None, inner: bool
         return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angles[np.arange(len(cell)), cell]})
 
     placed = stage_table(base.withColumn("_n", F.lit(1.0) if inner else F.col("_length")).withColumn("_p", nearest("vector")).select("*", "_p.cell", "_p.angle").drop("_p"))
-    edges = placed.groupBy("cell").agg(F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)], 1000).alias("edges"))
+    edges = stage_table(placed.groupBy("cell").agg(F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)], 1000).alias("edges")))  # staged, as they depend on the order in which parts meet
     ringed = placed.join(F.broadcast(edges), "cell").withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("angle"))))  # MOST_CELLS rows at most
     weight = F.col("_length") / F.col("_n")
     sizes = ringed.groupBy("cell", "ring").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min(weight).alias("light"), F.max(weight).alias("heavy"), F.count("*").alias("n"))
