@@ -209,12 +209,12 @@ def _send_pieces(least: int, buckets: int):
             bucket_of = (value % np.uint64(buckets)).astype(np.int64)
             place = place[np.argsort(bucket_of[place[:, 0]], kind="stable")]
             place_bucket = bucket_of[place[:, 0]]
+            meta = np.column_stack((value.astype(np.int64), np.array(owners, np.int64), np.array([len(p) for p in pieces], np.int64)))  # once a chunk, not once a bucket
             for b, at in _by_bucket(value, buckets):
                 local[at] = np.arange(len(at))
                 own = place[np.searchsorted(place_bucket, b) : np.searchsorted(place_bucket, b, side="right")].copy()
                 own[:, 0] = local[own[:, 0]]
-                meta = np.column_stack((value[at].astype(np.int64), np.array(owners, np.int64)[at], [len(pieces[i]) for i in at]))
-                rows.append((b, planes(meta.astype(np.int64)), b"".join(pieces[i] for i in at), planes(own.astype(np.int32))))
+                rows.append((b, planes(meta[at]), b"".join([pieces[i] for i in at.tolist()]), planes(own.astype(np.int32))))
         n = len(rows)
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()), "_chunk": pa.array([key[0].as_py()] * n, pa.int64()),
