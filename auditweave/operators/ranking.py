@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,6 +74,15 @@ def draw(seed: int, iteration: Column, i: Column, n: Column) -> Column:
     return x % n
 
 
+def draws(spark: SparkSession, seen: DataFrame, seed: int, iterations: int, block: int = 4096) -> DataFrame:
+    """iteration and place: as many places of the pairs for each iteration as there are pairs (`n` of the one row `seen`), in blocks of numbers."""
+    n = F.col("n")
+    starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(block).cast("long")))
+    blocks = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(seen.select("n"))).withColumn("start", F.explode(starts))
+    rows = blocks.withColumn("i", F.explode(F.sequence("start", F.least(F.col("start") + block, n) - 1)))
+    return rows.select("iteration", draw(seed, F.col("iteration"), F.col("i"), n).alias("place"))
+
+
 def bootstrap_p(pairs: DataFrame, seed: int = 7, iterations: int = 10_000) -> DataFrame:
     """Share of resampled mean differences (centred) that are as large as the one observed; 1 of no pairs. pairs: query_id, a, b.
 
@@ -83,11 +92,12 @@ def bootstrap_p(pairs: DataFrame, seed: int = 7, iterations: int = 10_000) -> Da
     pairs = pairs.withColumn("_checked", whole).filter("_checked is null and a is not null").drop("_checked")
     diffs = numbered(pairs.select("query_id", (F.col("a") - F.col("b")).alias("d")), "query_id", seed, "place").select("place", "d")
     seen = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
-    draws = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(seen)).withColumn("i", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0))))))
-    drawn = draws.withColumn("place", draw(seed, F.col("iteration"), F.col("i"), F.col("n"))).join(diffs, "place")
-    means = drawn.groupBy("iteration").agg(F.avg(F.col("d") - F.col("mean")).alias("m"), F.first("mean").alias("mean"), F.first("n").alias("n"))
-    p = F.coalesce(share(F.count_if(F.round(F.abs("m"), 9) >= F.round(F.abs("mean"), 9)), F.count("*")), F.lit(1.0))
-    return means.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.max("mean"), 6).alias("mean"), p.alias("p_value"))
+    centred = diffs.crossJoin(F.broadcast(seen)).select("place", (F.col("d") - F.col("mean")).alias("d"))  # one row
+    # The hint keeps the draws, as many as iterations times pairs, from being taken for small, gathered by the driver and broadcast.
+    drawn = draws(pairs.sparkSession, seen, seed, iterations).join(centred.hint("shuffle_hash"), "place")
+    means = drawn.groupBy("iteration").agg(F.avg("d").alias("m"))
+    large = means.crossJoin(F.broadcast(seen)).agg(F.count_if(F.round(F.abs("m"), 9) >= F.round(F.abs("mean"), 9)).alias("large"), F.count("*").alias("of"))
+    return seen.crossJoin(F.broadcast(large)).select("n", F.round("mean", 6).alias("mean"), F.coalesce(share(F.col("large"), F.col("of")), F.lit(1.0)).alias("p_value"))
 
 
 def paired(scores: DataFrame, value: str, a: str, b: str) -> DataFrame:

@@ -23,3 +23,24 @@ def test_counts_of_judgements_equal_those_of_all_pairs(spark, sf_dir):
     pairs = own.join(v.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("doc_id <> query_id")
     of = lambda df: sorted(tuple(r) for r in df.filter("n > 0").select("query_id", "grade", "n").collect())
     assert of(plans._sizes(v)) == of(ranking.grades(plans._graded(pairs)))
+
+
+def test_draws_are_not_broadcast(spark):
+    """They are as many as iterations times pairs, which the planner cannot know: it took them for the smaller side."""
+    pairs = spark.range(300).select(F.col("id").alias("query_id"), (F.col("id") % 7 / 7.0).alias("a"), (F.col("id") % 5 / 5.0).alias("b"))
+    joined = ranking.bootstrap_p(pairs.repartition(3), iterations=50)
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [place" in plan and "BroadcastHashJoin [place" not in plan
+    diffs = [(i % 7) / 7.0 - (i % 5) / 5.0 for i in sorted(range(300), key=lambda i: ((i * 7919 + 7) % 2147483647 * 48271 + 11) % 2147483647)]
+    mean, large = sum(diffs) / 300, 0
+    for it in range(50):
+        x = [(it * 7919 + i * 104729 + 7) % 2147483647 for i in range(300)]
+        places = [((y * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 % 300 for y in x]
+        large += round(abs(sum(diffs[j] - mean for j in places) / 300), 9) >= round(abs(mean), 9)
+    assert tuple(joined.first()) == (300, round(mean, 6), large / 50)
+
+
+def test_draws_in_blocks(spark):
+    seen = spark.range(1).select(F.lit(10).cast("long").alias("n"))
+    of = lambda **more: sorted(tuple(r) for r in ranking.draws(spark, seen, 7, 6, **more).collect())
+    assert len(of()) == 60 and of(block=3) == of(block=10) == of(block=1) == of()
